@@ -63,6 +63,7 @@ class Fit:
     reg_param: float = 0.0
     divergence: str = "kl"
     scale: bool = True
+    only: tuple[int, ...] | None = None  # feature subset; the other weights stay 0
     params: dict = field(default_factory=dict, hash=False, compare=False)
 
     def __post_init__(self):

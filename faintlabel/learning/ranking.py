@@ -23,7 +23,8 @@ from faintlabel.functions.scalar import xlog2x
 from faintlabel.learning.fits import Fit
 from faintlabel.learning.training import Fitted, fit_many
 from faintlabel.operators.bags import Bagging, share_over_bags
-from faintlabel.operators.features import FeatureSet, nonzero_long
+from faintlabel.operators.features import ROW_MARK, FeatureSet, nonzero_long
+from faintlabel.session import held, settled
 
 
 @dataclass(frozen=True)
@@ -88,39 +89,49 @@ def contingency(df: DataFrame, features: FeatureSet, keys: list[str] | None = No
     return cells.unionByName(zero)
 
 
+def _sum(columns: list[Column]) -> Column:
+    return sum(columns[1:], columns[0])
+
+
 def entropy_sums(
     df: DataFrame, features: FeatureSet, labels: list[float], keys: list[str] | None = None, label: str = "label",
     shared: Bagging | None = None,
 ) -> DataFrame:
-    """(keys, feature, s_x, s_xy) per feature plus the group totals (n_all, s_y).
+    """(keys, feature, s_x, s_xy, n_all, s_y) per feature, the group totals repeated.  One scan.
 
+    Every row also counts as one entry of a pseudo feature, which carries the group sizes through the same shuffle.
     With ``shared`` bags the rows of NULL ``bag_id`` belong to every bag; they are counted once and the counts, not
     the rows, are given to the bags.
     """
     keys = keys or []
     ns = [f"n{i}" for i in range(len(labels))]
-    cells = nonzero_long(df, features, [*keys, label]).groupBy(*keys, "feature", "value").agg(*_per_label(labels, label))
-    sizes = df.groupBy(*keys).agg(*_per_label(labels, label))
+    counts = [F.col(c) for c in ns]
+    entries = nonzero_long(df, features, [*keys, label], mark_rows=True)
+    cells = entries.groupBy(*keys, "feature", "value").agg(*_per_label(labels, label))
     if shared is not None:
         cells = share_over_bags(cells, shared).groupBy(*keys, "feature", "value").agg(*[F.sum(c).alias(c) for c in ns])
-        sizes = share_over_bags(sizes, shared).groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ns])
-    total = sum((F.col(c) for c in ns[1:]), F.col(ns[0]))
     per_feature = cells.groupBy(*keys, "feature").agg(
-        F.sum(xlog2x(total)).alias("_sx"),
-        F.sum(sum((xlog2x(F.col(c)) for c in ns[1:]), xlog2x(F.col(ns[0])))).alias("_sxy"),
-        *[F.sum(c).alias(f"_seen{i}") for i, c in enumerate(ns)],
+        F.sum(xlog2x(_sum(counts))).alias("sx"),
+        F.sum(_sum([xlog2x(c) for c in counts])).alias("sxy"),
+        *[F.sum(c).alias(c) for c in ns],
     )
-    every = sizes.withColumn("feature", F.explode(F.sequence(F.lit(0), F.lit(features.size - 1))))
-    joined = every.join(per_feature, [*keys, "feature"], "left")
-    zeros = [F.col(c) - F.coalesce(F.col(f"_seen{i}"), F.lit(0)) for i, c in enumerate(ns)]
-    zero_total = sum(zeros[1:], zeros[0])
-    return joined.select(
+    # One entry per feature and group, as many as a model has weights.
+    entry = F.struct("sx", "sxy", *ns)
+    packed = per_feature.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("feature", entry))).alias("_m"))
+    rows = packed.select(
+        *keys,
+        F.col("_m")[ROW_MARK].alias("_t"),
+        F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(features.size - 1)), lambda i: F.col("_m")[i])).alias("feature", "_e"),
+    )
+    totals = [F.col(f"_t.{c}") for c in ns]
+    zeros = [t - F.coalesce(F.col(f"_e.{c}"), F.lit(0)) for t, c in zip(totals, ns)]
+    return rows.select(
         *keys,
         "feature",
-        (F.coalesce("_sx", F.lit(0.0)) + xlog2x(zero_total)).alias("s_x"),
-        (F.coalesce("_sxy", F.lit(0.0)) + sum((xlog2x(z) for z in zeros[1:]), xlog2x(zeros[0]))).alias("s_xy"),
-        total.alias("n_all"),
-        sum((xlog2x(F.col(c)) for c in ns[1:]), xlog2x(F.col(ns[0]))).alias("s_y"),
+        (F.coalesce("_e.sx", F.lit(0.0)) + xlog2x(_sum(zeros))).alias("s_x"),
+        (F.coalesce("_e.sxy", F.lit(0.0)) + _sum([xlog2x(z) for z in zeros])).alias("s_xy"),
+        _sum(totals).alias("n_all"),
+        _sum([xlog2x(t) for t in totals]).alias("s_y"),
     )
 
 
@@ -141,48 +152,52 @@ def mi_relevance(
 
 def pair_sums(df: DataFrame, features: FeatureSet, z: Column, labels: list[float], keys: list[str] | None = None,
               label: str = "label") -> DataFrame:
-    """(keys, feature, s_xz, s_xzy) of every feature with the value ``z`` of the same row.
+    """(keys, feature, d_xz, d_xzy): what S_xz and S_xzy of a feature exceed S_z and S_zy by.
 
-    ``z`` rides along on the row before the features are unpivoted, so no self join is needed.  The zero cells come
-    from the counts of z alone, carried as pseudo feature -1.
+    ``z`` rides along on the row before the features are unpivoted, so no self join is needed, and the pseudo feature
+    of the rows carries the counts of z.  A feature that is zero everywhere has no row here: both excesses are 0.
     """
     keys = keys or []
     ns = [f"n{i}" for i in range(len(labels))]
+    counts = [F.col(c) for c in ns]
     own = list(dict.fromkeys([*keys, label, *features.inputs]))
     with_z = df.select(*own, z.cast("double").alias("_z"))
-    cells = nonzero_long(with_z, features, [*keys, label, "_z"]).groupBy(*keys, "_z", "feature", "value").agg(
-        *_per_label(labels, label)
-    )
-    total = sum((F.col(c) for c in ns[1:]), F.col(ns[0]))
+    cells = nonzero_long(with_z, features, [*keys, label, "_z"], mark_rows=True).groupBy(
+        *keys, "_z", "feature", "value"
+    ).agg(*_per_label(labels, label))
     inner = cells.groupBy(*keys, "_z", "feature").agg(
-        F.sum(xlog2x(total)).alias("_sxz"),
-        F.sum(sum((xlog2x(F.col(c)) for c in ns[1:]), xlog2x(F.col(ns[0])))).alias("_sxzy"),
-        *[F.sum(c).alias(f"_seen{i}") for i, c in enumerate(ns)],
+        F.sum(xlog2x(_sum(counts))).alias("_sxz"),
+        F.sum(_sum([xlog2x(c) for c in counts])).alias("_sxzy"),
+        *[F.sum(c).alias(c) for c in ns],
     )
-    zs = with_z.groupBy(*keys, "_z").agg(*_per_label(labels, label))
-    every = zs.withColumn("feature", F.explode(F.sequence(F.lit(0), F.lit(features.size - 1))))
-    joined = every.join(inner, [*keys, "_z", "feature"], "left")
-    zeros = [F.col(c) - F.coalesce(F.col(f"_seen{i}"), F.lit(0)) for i, c in enumerate(ns)]
-    zero_total = sum(zeros[1:], zeros[0])
-    return joined.groupBy(*keys, "feature").agg(
-        F.sum(F.coalesce("_sxz", F.lit(0.0)) + xlog2x(zero_total)).alias("s_xz"),
-        F.sum(F.coalesce("_sxzy", F.lit(0.0)) + sum((xlog2x(c) for c in zeros[1:]), xlog2x(zeros[0]))).alias("s_xzy"),
+    same_z = Window.partitionBy(*keys, "_z")  # one row per feature
+    sized = inner.withColumns({f"t{i}": F.max(F.when(F.col("feature") == ROW_MARK, F.col(c))).over(same_z) for i, c in enumerate(ns)})
+    totals = [F.col(f"t{i}") for i in range(len(ns))]
+    zeros = [t - c for t, c in zip(totals, counts)]
+    return (
+        sized.filter(F.col("feature") != ROW_MARK)
+        .groupBy(*keys, "feature")
+        .agg(
+            F.sum(F.col("_sxz") + xlog2x(_sum(zeros)) - xlog2x(_sum(totals))).alias("d_xz"),
+            F.sum(F.col("_sxzy") + _sum([xlog2x(c) for c in zeros]) - _sum([xlog2x(t) for t in totals])).alias("d_xzy"),
+        )
     )
 
 
-def mi_redundancy(df: DataFrame, features: FeatureSet, selected: int, label: str = "label") -> DataFrame:
+def mi_redundancy(
+    df: DataFrame, features: FeatureSet, selected: int, label: str = "label", labels: list[float] | None = None
+) -> DataFrame:
     """(feature, mi, cmi): I(X;Z) and I(X;Z|Y) of every feature X with the selected feature Z."""
-    labels = label_values(df, label)
-    base = entropy_sums(df, features, labels, label=label)
-    chosen = base.filter(F.col("feature") == selected).select(F.col("s_x").alias("s_z"), F.col("s_xy").alias("s_zy"))
+    labels = labels or label_values(df, label)
+    base = settled(entropy_sums(df, features, labels, label=label))  # one row per feature
+    chosen = base.filter(F.col("feature") == selected).first()
     pairs = pair_sums(df, features, features.at(df, selected), labels, label=label)
-    n = F.col("n_all")
-    mi = F.log2(n.cast("double")) + (F.col("s_xz") - F.col("s_x") - F.col("s_z")) / n
-    cmi = (F.col("s_xzy") - F.col("s_xy") - F.col("s_zy") + F.col("s_y")) / n
-    return (
-        pairs.join(base, "feature")
-        .join(F.broadcast(chosen))  # one row
-        .select("feature", F.greatest(mi, F.lit(0.0)).alias("mi"), F.greatest(cmi, F.lit(0.0)).alias("cmi"))
+    n, s_z, s_zy = F.col("n_all"), F.lit(chosen["s_x"]), F.lit(chosen["s_xy"])
+    s_xz, s_xzy = s_z + F.coalesce("d_xz", F.lit(0.0)), s_zy + F.coalesce("d_xzy", F.lit(0.0))
+    mi = F.log2(n.cast("double")) + (s_xz - F.col("s_x") - s_z) / n
+    cmi = (s_xzy - F.col("s_xy") - s_zy + F.col("s_y")) / n
+    return base.join(pairs, "feature", "left").select(
+        "feature", F.greatest(mi, F.lit(0.0)).alias("mi"), F.greatest(cmi, F.lit(0.0)).alias("cmi")
     )
 
 
@@ -193,70 +208,71 @@ def _first_best(score: np.ndarray, valid: np.ndarray) -> int:
 
 
 def greedy_ranking(
-    df: DataFrame, features: FeatureSet, criterion: str, k: int, beta: float = 1.0, label: str = "label",
-    group: str | None = None,
+    df: DataFrame, features: FeatureSet, criterion: str | dict, k: int, beta: float = 1.0, label: str = "label",
+    group: str | None = None, labels: list[float] | None = None, hold: str = "auto",
 ) -> DataFrame:
     """(group, rank, feature, score) of a forward search; one counting job per selected feature serves all groups.
 
     Each round needs the redundancy of the feature picked last with all others, so the driver holds one number per
-    group and feature and the data never move.  Stops early when the candidates run out.
+    group and feature and the data never move.  With groups, ``criterion`` may name one per group.  Stops early when
+    the candidates run out.
     """
-    if criterion not in CRITERIA:
-        raise ValueError(f"unknown criterion {criterion}, have {sorted(CRITERIA)}")
+    for c in criterion.values() if isinstance(criterion, dict) else [criterion]:
+        if c not in CRITERIA:
+            raise ValueError(f"unknown criterion {c}, have {sorted(CRITERIA)}")
     if not 0 < k <= features.size:
         raise ValueError(f"k must be in 1..{features.size}, got {k}")
-    labels = label_values(df, label)
+    keep = list(dict.fromkeys([*([group] if group else []), label, *features.inputs]))
+    with held(df.select(*keep), hold, "ranking") as rows:
+        picks = _search(rows, features, criterion, k, beta, label, group, labels or label_values(rows, label))
+    out = [(None if g is None else int(g), r + 1, f, s) for g in picks for r, (f, s) in enumerate(picks[g])]
+    frame = df.sparkSession.createDataFrame(out, "grp int, rank int, feature int, score double")
+    return frame.withColumnRenamed("grp", group) if group else frame.drop("grp")
+
+
+def _search(rows, features, criterion, k, beta, label, group, labels) -> dict[object, list[tuple[int, float]]]:
     keys = [group] if group else []
     size = features.size
-    stats: dict[object, dict[str, np.ndarray]] = {}
-    for r in entropy_sums(df, features, labels, keys, label).collect():  # groups x features rows
-        g = r[group] if group else None
-        s = stats.setdefault(g, {"s_x": np.zeros(size), "s_xy": np.zeros(size), "n": r["n_all"], "s_y": r["s_y"]})
+    stats: dict[object, dict] = {}
+    for r in entropy_sums(rows, features, labels, keys, label).collect():  # groups x features rows
+        s = stats.setdefault(
+            r[group] if group else None, {"s_x": np.zeros(size), "s_xy": np.zeros(size), "n": r["n_all"], "s_y": r["s_y"]}
+        )
         s["s_x"][r["feature"]], s["s_xy"][r["feature"]] = r["s_x"], r["s_xy"]
+    rule = {g: CRITERIA[criterion[g] if isinstance(criterion, dict) else criterion] for g in stats}
     pools, valid, picks = {}, {}, {g: [] for g in stats}
     for g, s in stats.items():
         rel = np.maximum(math.log2(s["n"]) + (s["s_xy"] - s["s_x"] - s["s_y"]) / s["n"], 0.0)
         pools[g] = Pool(rel, *(np.zeros(size) for _ in range(4)), 0)
         valid[g] = np.ones(size, dtype=bool)
-
-    def pick(g) -> None:
-        score = CRITERIA[criterion](pools[g], beta)
-        i = _first_best(score, valid[g])
-        valid[g][i] = False
-        picks[g].append((i, float(score[i])))
-
-    for g in stats:
-        pick(g)
-    for _ in range(1, k):
-        if criterion != "mim":
-            last = {g: p[-1][0] for g, p in picks.items()}
-            _update_pools(df, features, labels, label, group, last, stats, pools)
+    only_relevance = all(f is CRITERIA["mim"] for f in rule.values())
+    for step in range(k):
+        if step and not only_relevance:
+            _update_pools(rows, features, labels, label, group, {g: p[-1][0] for g, p in picks.items()}, stats, pools)
         for g in stats:
             if valid[g].any():
-                pick(g)
-    rows = [(g, r + 1, f, s) for g in stats for r, (f, s) in enumerate(picks[g])]
-    out = df.sparkSession.createDataFrame(
-        [(None if g is None else int(g), r, f, s) for g, r, f, s in rows], "grp int, rank int, feature int, score double"
-    )
-    return out.withColumnRenamed("grp", group) if group else out.drop("grp")
+                score = rule[g](pools[g], beta)
+                i = _first_best(score, valid[g])
+                valid[g][i] = False
+                picks[g].append((i, float(score[i])))
+    return picks
 
 
-def _update_pools(df, features, labels, label, group, last, stats, pools) -> None:
+def _update_pools(rows, features, labels, label, group, last, stats, pools) -> None:
     """Add the redundancies with the feature each group picked last."""
     keys = [group] if group else []
     if group:
         index = F.create_map(*[F.lit(v) for g, i in last.items() for v in (int(g), int(i))])
-        z = features.at(df, index[F.col(group)])
+        z = features.at(rows, index[F.col(group)])
     else:
-        z = features.at(df, last[None])
-    got: dict[object, np.ndarray] = {}
-    for r in pair_sums(df, features, z, labels, keys, label).collect():  # groups x features rows
-        a = got.setdefault(r[group] if group else None, np.zeros((2, features.size)))
-        a[0, r["feature"]], a[1, r["feature"]] = r["s_xz"], r["s_xzy"]
-    for g, (s_xz, s_xzy) in got.items():
+        z = features.at(rows, last[None])
+    got = {g: np.zeros((2, features.size)) for g in stats}
+    for r in pair_sums(rows, features, z, labels, keys, label).collect():  # groups x features rows
+        got[r[group] if group else None][:, r["feature"]] = r["d_xz"], r["d_xzy"]
+    for g, (d_xz, d_xzy) in got.items():
         s, i, p = stats[g], last[g], pools[g]
-        mi = np.maximum(math.log2(s["n"]) + (s_xz - s["s_x"] - s["s_x"][i]) / s["n"], 0.0)
-        cmi = np.maximum((s_xzy - s["s_xy"] - s["s_xy"][i] + s["s_y"]) / s["n"], 0.0)
+        mi = np.maximum(math.log2(s["n"]) + (d_xz - s["s_x"]) / s["n"], 0.0)
+        cmi = np.maximum((d_xzy - s["s_xy"] + s["s_y"]) / s["n"], 0.0)
         excess = mi - cmi
         pools[g] = Pool(
             p.relevance, p.sum_mi + mi, p.sum_cmi + cmi, p.sum_excess + np.maximum(excess, 0.0),
@@ -318,5 +334,11 @@ def rank_bags(bagging: Bagging, features: FeatureSet, technique: str, k: int | N
     if technique == "mim":
         scores = mi_relevance(bagging.rows, features, ["bag_id"], labels=[0.0, 1.0], shared=bagging)
         return top_per_group(scores, "bag_id", k, "mi")
-    rows = share_over_bags(bagging.rows, bagging)
-    return greedy_ranking(rows, features, technique, k or features.size, group="bag_id")
+    return rank_bags_mixed(bagging, features, {b: technique for b in bagging.ids}, k)
+
+
+def rank_bags_mixed(bagging: Bagging, features: FeatureSet, criteria: dict[int, str], k: int | None = None) -> DataFrame:
+    """(bag_id, rank, feature, score) with a criterion per bag; all bags advance in the same counting jobs."""
+    part = bagging.restrict(criteria)
+    rows = share_over_bags(part.rows, part)
+    return greedy_ranking(rows, features, criteria, k or features.size, group="bag_id", labels=[0.0, 1.0])

@@ -113,6 +113,17 @@ def inverse_std(df: DataFrame, features: FeatureSet, fits: Sequence[Fit]) -> np.
     return out
 
 
+def feature_factors(df: DataFrame, features: FeatureSet, fits: Sequence[Fit]) -> np.ndarray:
+    """K x D factors by which each fit sees the features: 1/std, and 0 outside its feature subset."""
+    out = inverse_std(df, features, fits)
+    for i, f in enumerate(fits):
+        if f.only is not None:
+            keep = np.zeros(features.size, dtype=bool)
+            keep[list(f.only)] = True
+            out[i, ~keep] = 0.0
+    return out
+
+
 def _chunks(items: list, row_length: int):
     step = max(1, TASK_BYTES // (8 * row_length))
     for i in range(0, len(items), step):
@@ -239,7 +250,7 @@ def fit_many(
     keep = list(dict.fromkeys([*input_columns(fits), *features.inputs]))
     with held(df.select(*keep), hold, "training") as rows:
         check_labels(rows, fits)
-        inv = inverse_std(rows, features, fits)
+        inv = feature_factors(rows, features, fits)
         w0 = np.zeros(features.size) if start is None else np.asarray(start, dtype=float)
         return _drive(rows, features, fits, inv, [_solver(f, w0, max_iter, tol, options) for f in fits], path)
 

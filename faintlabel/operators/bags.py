@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 from faintlabel.functions.hashing import hash32, key_digest
 
+# Hash ranges for the distributed rank: at most 2**16, so that their counts are a bounded table.
+FINE_BUCKETS = 1 << 16
 ROWS_PER_BUCKET = 200_000
-MAX_BUCKETS = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -39,49 +40,56 @@ class Bagging:
         return Bagging(self.rows.filter(keep), self.n_bags, ids)
 
 
-def _rank_buckets(n_rows: int) -> int:
-    """Power of two, so that a bucket of the 32-bit hash is a contiguous range of it."""
+def _bucket_count(n_rows: int, finest: int) -> int:
+    """Power of two, so that a bucket is a contiguous range of the hash."""
     buckets = 1
-    while buckets * ROWS_PER_BUCKET < n_rows and buckets < MAX_BUCKETS:
+    while buckets * ROWS_PER_BUCKET < n_rows and buckets < finest:
         buckets *= 2
     return buckets
 
 
-def assign_bags(df: DataFrame, seed: int, key: str = "id", minority: float = 1.0, bag_col: str = "bag_id") -> Bagging:
+def assign_bags(
+    df: DataFrame, seed: int, key: str = "id", minority: float = 1.0, bag_col: str = "bag_id",
+    finest: int = FINE_BUCKETS, n_buckets: int | None = None,
+) -> Bagging:
     """Give every majority row the bag ``rank // n_minority`` in seeded hash order.
 
-    The global rank needs no single-partition window: rows are ranked inside hash ranges of about equal size, and a
-    table with one running count per range (at most 2**20 rows) shifts the ranks.
+    The global rank needs no single-partition window.  One aggregate counts the rows of every hash range (a bounded
+    number of ranges); rows are then ranked inside ranges of about equal size and shifted by the running count.
     """
     is_min = F.col("label") == minority
-    counts = df.agg(
-        F.count(F.when(is_min, 1)).alias("n_min"), F.count(F.when(~is_min, 1)).alias("n_maj")
-    ).first()
-    n_min, n_maj = int(counts["n_min"]), int(counts["n_maj"])
+    fine = F.floor(hash32(F.col(key), seed) / F.lit((1 << 32) // finest)).cast("int")
+    counted = df.groupBy(fine.alias("b"), is_min.alias("m")).agg(F.count("*").alias("n")).collect()  # <= 2 * finest rows
+    n_min = sum(r["n"] for r in counted if r["m"])
+    n_maj = sum(r["n"] for r in counted if not r["m"])
     if n_min == 0:
         raise ValueError("no minority rows: bags cannot be balanced")
     n_bags = -(-n_maj // n_min)
-    buckets = _rank_buckets(n_maj)
-    width = (1 << 32) // buckets
-    bucket = F.floor(hash32(F.col(key), seed) / F.lit(width)).cast("int")
-    keyed = df.withColumn("_bucket", F.when(~is_min, bucket))
-    majority = keyed.filter("_bucket IS NOT NULL")
-    order = Window.partitionBy("_bucket").orderBy(key_digest(F.col(key), seed), F.col(key))
-    ranked = majority.withColumn("_pos", F.row_number().over(order) - 1)
-    if buckets > 1:
-        # The running sum goes over one number per bucket, not over rows.
-        sizes = majority.groupBy("_bucket").agg(F.count("*").alias("_n"))
-        offsets = sizes.withColumn(
-            "_offset", F.sum("_n").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
-        ).select("_bucket", F.coalesce("_offset", F.lit(0)).alias("_offset"))
-        ranked = ranked.join(F.broadcast(offsets), "_bucket")  # at most MAX_BUCKETS rows of two numbers
-    else:
-        ranked = ranked.withColumn("_offset", F.lit(0).cast("bigint"))
-    ranked = ranked.withColumn(bag_col, F.floor((F.col("_offset") + F.col("_pos")) / n_min).cast("int"))
-    shared = keyed.filter("_bucket IS NULL").withColumn(bag_col, F.lit(None).cast("int"))
-    return Bagging(
-        ranked.select(*df.columns, bag_col).unionByName(shared.select(*df.columns, bag_col)), n_bags
+    buckets = n_buckets or _bucket_count(n_maj, finest)
+    width = finest // buckets
+    sizes = [0] * buckets
+    for r in counted:
+        if not r["m"]:
+            sizes[r["b"] // width] += r["n"]
+    offsets = df.sparkSession.createDataFrame(
+        [(i, sum_before) for i, sum_before in enumerate(_running(sizes))], "_bucket int, _offset bigint"
+    )
+    order = Window.partitionBy("_bucket", "_minority").orderBy(key_digest(F.col(key), seed), F.col(key))
+    ranked = (
+        df.withColumns({"_bucket": F.floor(fine / F.lit(width)).cast("int"), "_minority": is_min})
+        .withColumn("_pos", F.row_number().over(order) - 1)
+        .join(F.broadcast(offsets), "_bucket")  # one row of two numbers per bucket, at most ``finest``
     )
+    bag = F.floor((F.col("_offset") + F.col("_pos")) / n_min).cast("int")
+    return Bagging(ranked.withColumn(bag_col, F.when(~F.col("_minority"), bag)).select(*df.columns, bag_col), n_bags)
+
+
+def _running(sizes: list[int]) -> list[int]:
+    out, total = [], 0
+    for n in sizes:
+        out.append(total)
+        total += n
+    return out
 
 
 def share_over_bags(rows: DataFrame, bagging: Bagging, bag_col: str = "bag_id") -> DataFrame:

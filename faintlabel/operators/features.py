@@ -166,9 +166,14 @@ def feature_std(df: DataFrame, features: FeatureSet) -> DataFrame:
     )
 
 
-def nonzero_long(df: DataFrame, features: FeatureSet, keys: Sequence[str]) -> DataFrame:
+ROW_MARK = -1  # pseudo feature that every row carries once
+
+
+def nonzero_long(df: DataFrame, features: FeatureSet, keys: Sequence[str], mark_rows: bool = False) -> DataFrame:
     """(keys, feature, value) for the non-zero entries only.
 
+    ``mark_rows`` adds one entry ``ROW_MARK`` per row, so that counts of entries and of rows need only one scan.
+
     Sparse vectors are exploded through their stored entries, so a row of a wide sparse table costs its non-zeros.
     Generation happens inside the map task; nothing is shuffled here.
     """
@@ -182,6 +187,9 @@ def nonzero_long(df: DataFrame, features: FeatureSet, keys: Sequence[str]) -> Da
         entries = F.transform(
             F.col(features.packed), lambda x, i: F.struct(i.alias("feature"), x.cast("double").alias("value"))
         )
+    if mark_rows:
+        mark = F.array(F.struct(F.lit(ROW_MARK).alias("feature"), F.lit(1.0).alias("value")))
+        entries = F.concat(mark, entries)
     return (
         df.select(*keys, F.explode(entries).alias("_e"))
         .select(*keys, "_e.feature", "_e.value")

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from faintlabel.functions.scalar import divide
+from faintlabel.session import settled
 
 
 def hard_counts(
@@ -124,8 +125,10 @@ def score_curve(
     """
     keys = list(keys)
     s = scored.select(*keys, F.col(score).cast("double").alias("score"), (F.col(label) > 0.5).alias("_pos"))
-    points = s.groupBy(*keys, "score").agg(
-        F.count(F.when(F.col("_pos"), 1)).alias("_p"), F.count(F.when(~F.col("_pos"), 1)).alias("_n")
+    points = settled(
+        s.groupBy(*keys, "score").agg(
+            F.count(F.when(F.col("_pos"), 1)).alias("_p"), F.count(F.when(~F.col("_pos"), 1)).alias("_n")
+        )
     )
     cuts = points.select(
         F.percentile_approx("score", [i / ranges for i in range(1, ranges)], 10_000).alias("q")
@@ -194,18 +197,24 @@ def pr_curve(scored: DataFrame, keys: Sequence[str] = (), **options) -> DataFram
     )
 
 
-def areas_scored(scored: DataFrame, keys: Sequence[str] = (), curve_start: str = "spark", **options) -> DataFrame:
-    """``auprc`` and ``auroc`` of scores.  Each point knows its predecessor (cumulative minus own counts), so the
-    trapezoids add up in any order."""
+def areas_scored(scored: DataFrame, keys: Sequence[str] = (), **options) -> DataFrame:
+    """``auprc`` (curve from the first precision), ``auprc_legacy`` (from precision 1) and ``auroc`` of scores.
+
+    Each point knows its predecessor (cumulative minus own counts), so the trapezoids add up in any order.
+    """
     c = score_curve(scored, keys, **options)
     tp, fp, pos, neg = (F.col(x) for x in ("tp", "fp", "pos", "neg"))
     tp0, fp0 = tp - F.col("own_pos"), fp - F.col("own_neg")
     p = tp / (tp + fp)
-    start = p if curve_start == "spark" else F.lit(1.0)
-    p0 = F.when(tp0 + fp0 > 0, tp0 / F.greatest(tp0 + fp0, F.lit(1))).otherwise(start)
-    pr = F.when(pos > 0, (tp - tp0) / F.greatest(pos, F.lit(1)) * (p + p0) / 2).otherwise(0.0)
+    gain = (tp - tp0) / F.greatest(pos, F.lit(1))
+
+    def under_pr(start: Column) -> Column:
+        before = F.when(tp0 + fp0 > 0, tp0 / F.greatest(tp0 + fp0, F.lit(1))).otherwise(start)
+        return F.sum(gain * (p + before) / 2)
+
     roc = (fp - fp0) / F.greatest(neg, F.lit(1)) * (tp + tp0) / 2 / F.greatest(pos, F.lit(1))
     return c.groupBy(*keys).agg(
-        F.sum(pr).alias("auprc"),
+        under_pr(p).alias("auprc"),
+        under_pr(F.lit(1.0)).alias("auprc_legacy"),
         F.when(F.first("neg") == 0, 1.0).otherwise(F.sum(roc)).alias("auroc"),
     )

@@ -14,7 +14,7 @@ from faintlabel.learning.committee import Committee, CommitteeTest, committee_co
 from faintlabel.learning.fits import Fit
 from faintlabel.learning.models import LinearModel
 from faintlabel.learning.ranking import (
-    greedy_ranking, merged_scores, mi_relevance, rank_bags, svm_fits, svm_ranking,
+    greedy_ranking, merged_scores, mi_relevance, rank_bags, rank_bags_mixed, svm_fits, svm_ranking,
     svm_ranking_per_bag, top_features,
 )
 from faintlabel.learning.training import fit_many
@@ -59,34 +59,23 @@ def feature_lists(df: DataFrame, features: FeatureSet, technique: str, k: int, s
     }
 
 
-def _expand(model: LinearModel, indices: Sequence[int], size: int) -> LinearModel:
-    w = [0.0] * size
-    for i, v in zip(indices, model.weights):
-        w[i] = v
-    return LinearModel(tuple(w), model.intercept)
-
-
 def _svm_models(rows: DataFrame, features: FeatureSet, lists: dict[str, list[int]], bags: Sequence[int], iterations: int):
-    """SVM per (list, bag or all rows): a subset of the features is a narrower feature set over the same rows."""
-    out = {}
+    """SVM per (list, bag or all rows), all stepped in the same passes: a list is a mask on the weights."""
+    fits = []
     for name, indices in lists.items():
-        sub, view = _narrow(rows, features, indices)
-        fits = [Fit("all", "hinge", reg_param=0.01, scale=False)] + [
-            Fit(str(b), "hinge", reg_param=0.01, scale=False, bag_col="bag_id", bag=b) for b in bags
-        ]
-        done = fit_many(view, sub, fits, max_iter=iterations, hold="none")
-        models = [_expand(d.model, indices, features.size) for d in done]
-        out[name] = (models[0], models[1:])
+        base = dict(kind="hinge", reg_param=0.01, scale=False, only=tuple(indices))
+        fits.append(Fit(name, **base))
+        fits += [Fit(name, bag_col="bag_id", bag=b, **base) for b in bags]
+    done = fit_many(rows, features, fits, max_iter=iterations, hold="none")
+    out: dict[str, tuple[LinearModel, list[LinearModel]]] = {}
+    for d in done:
+        if d.fit.bag is None:
+            out[d.fit.name] = (d.model, [])
+        else:
+            out[d.fit.name][1].append(d.model)
     return out
 
 
-def _narrow(rows: DataFrame, features: FeatureSet, indices: Sequence[int]) -> tuple[FeatureSet, DataFrame]:
-    if features.is_wide:
-        return FeatureSet.wide([features.columns[i] for i in indices]), rows
-    picked = F.transform(F.array(*[F.lit(int(i)) for i in indices]), lambda i: F.element_at(features.array(rows), i + 1))
-    return FeatureSet.in_column("_picked", len(indices)), rows.withColumn("_picked", picked)
-
-
 def rank_committee(
     df: DataFrame, features: FeatureSet, technique: str = "mim", k: int = 150, folds: int = 3, key: str = "id",
     shares: Sequence[float] | None = None, svm: bool = True, svm_iterations: int = 100, hold: str = "auto",
@@ -162,11 +151,14 @@ def mixed_committee(
     )
     drawn = {r["bag_id"]: techniques[r["t"]] for r in draws.collect()}  # one row per bag
     chosen: dict[int, tuple[str, list[int]]] = {}
-    for technique in sorted(set(drawn.values())):
-        bags = sorted(b for b, t in drawn.items() if t == technique)
-        ranked = rank_bags(bagging.restrict(bags), features, technique, k).orderBy("bag_id", "rank")
-        for r in ranked.collect():  # bags x k rows
-            chosen.setdefault(r["bag_id"], (technique, []))[1].append(r["feature"])
+    quick = [(t, {b for b, d in drawn.items() if d == t}) for t in ("svm", "mim")]
+    ranked = [rank_bags(bagging.restrict(bags), features, t, k) for t, bags in quick if bags]
+    greedy = {b: t for b, t in drawn.items() if t not in ("svm", "mim")}
+    if greedy:
+        ranked.append(rank_bags_mixed(bagging, features, greedy, k))
+    for frame in ranked:
+        for r in frame.orderBy("bag_id", "rank").collect():  # bags x k rows
+            chosen.setdefault(r["bag_id"], (drawn[r["bag_id"]], []))[1].append(r["feature"])
     lists = {b: ix for b, (_, ix) in chosen.items()}
     models = bag_models(bag_sums(bagging, features), features.size, indices=lists)
     return Committee([models[b] for b in sorted(models)]), chosen

@@ -659,9 +659,14 @@ def auroc_hard(spark, d):
 @query
 def auprc_score(spark, d):
     pairs = S.kfold_assign(_nb_pairs(_labeled(spark, d)), 3, 11)
-    a = M.areas_scored(pairs, ["fold"]).withColumn("curve_start", F.lit("spark"))
-    b = M.areas_scored(pairs, ["fold"], curve_start="legacy").withColumn("curve_start", F.lit("legacy"))
-    return a.unionByName(b).select("curve_start", big("fold"), dbl("auprc"), dbl("auroc"))
+    both = F.explode(
+        F.array(
+            F.struct(F.lit("spark").alias("curve_start"), F.col("auprc")),
+            F.struct(F.lit("legacy").alias("curve_start"), F.col("auprc_legacy").alias("auprc")),
+        )
+    )
+    out = M.areas_scored(pairs, ["fold"]).select("fold", "auroc", both.alias("a"))
+    return out.select("a.curve_start", big("fold"), rounded(F.col("a.auprc")).alias("auprc"), dbl("auroc"))
 
 
 @query

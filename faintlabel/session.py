@@ -33,6 +33,9 @@ def remove_folder(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+ROWS_PER_TASK = 5_000
+
+
 @contextmanager
 def held(df: DataFrame, mode: str = "auto", name: str = "held") -> Iterator[DataFrame]:
     """Keep a table that many passes will read.
@@ -45,12 +48,13 @@ def held(df: DataFrame, mode: str = "auto", name: str = "held") -> Iterator[Data
     if mode == "auto":
         mode = "table" if shared_folder(spark) else "memory"
     if mode == "table":
-        path = new_folder(spark, name)
-        df.write.parquet(path)
+        paths = [new_folder(spark, name)]
+        df.write.parquet(paths[0])
         try:
-            yield spark.read.parquet(path)
+            yield _spread(spark, paths, name)
         finally:
-            remove_folder(spark, path)
+            for path in paths:
+                remove_folder(spark, path)
     elif mode == "memory":
         kept = df.persist(StorageLevel.MEMORY_AND_DISK)
         try:
@@ -61,6 +65,31 @@ def held(df: DataFrame, mode: str = "auto", name: str = "held") -> Iterator[Data
         yield df
 
 
+def _spread(spark: SparkSession, paths: list[str], name: str) -> DataFrame:
+    """The written table, rewritten once if it has too few splits to keep all cores busy in the passes to come.
+
+    Only a table smaller than cores x split size is ever rewritten, and the gain repeats in every pass.
+    """
+    rows = spark.read.parquet(paths[0])
+    cores = spark.sparkContext.defaultParallelism
+    splits = rows.rdd.getNumPartitions()  # from the file listing; runs no job
+    if splits >= cores:
+        return rows
+    wanted = min(cores, rows.count() // ROWS_PER_TASK)
+    if wanted <= splits:
+        return rows
+    paths.append(new_folder(spark, name))
+    rows.repartition(wanted).write.parquet(paths[1])
+    return spark.read.parquet(paths[1])
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """A small intermediate result that several branches of a lazy plan read: computed once.
+
+    Checkpointed where the cluster names a shared folder, persisted with spill to disk else.
+    """
+    return df.checkpoint() if shared_folder(df.sparkSession) else df.persist(StorageLevel.MEMORY_AND_DISK)
+
 
 _shipped: set[str] = set()
 
