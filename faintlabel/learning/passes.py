@@ -7,6 +7,7 @@ A sweep hands all its open fits to the same pass: the table is read once per ste
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from weakref import WeakKeyDictionary
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,16 @@ def _emit(total: np.ndarray | None) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([cell], names=["partial"])
 
 
+_tasks: WeakKeyDictionary[DataFrame, int] = WeakKeyDictionary()
+
+
+def _task_count(df: DataFrame) -> int:
+    """Number of partitions, looked up once per table since solvers pass over the same one again and again."""
+    if df not in _tasks:
+        _tasks[df] = df.rdd.getNumPartitions()
+    return _tasks[df]
+
+
 def _add_partials(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = None
     for batch in batches:
@@ -62,7 +73,7 @@ def sum_over_rows(
 
     parts = df.mapInArrow(partials, "partial binary")
     fan_in = max(2, DRIVER_BYTES // (length * 8))
-    tasks = df.rdd.getNumPartitions() if fan_in < 100_000 else 1
+    tasks = _task_count(df)
     while tasks > fan_in:
         groups = max(1, -(-tasks // min(fan_in, 64)))
         parts = parts.repartition(groups).mapInArrow(_add_partials, "partial binary")
