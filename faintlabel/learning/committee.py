@@ -11,10 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faintlabel.learning.batches import feature_blocks, nullable
-from faintlabel.learning.models import LinearModel, committee_columns, expert_prediction, stack, vote_prediction
+from faintlabel.learning.models import BLOCK_BYTES, LinearModel, committee_columns, expert_prediction, stack, vote_prediction
 from faintlabel.learning.passes import TASK_BYTES, sum_over_rows
 from faintlabel.operators.features import FeatureSet
-from faintlabel.operators.metrics import areas_hard, hard_counts, auprc_of_counts
+from faintlabel.operators.metrics import areas_hard, auprc_of_counts, hard_counts
 
 
 class Committee:
@@ -129,25 +129,55 @@ class CommitteeTest:
 
 
 def committee_counts(df: DataFrame, features: FeatureSet, tests: Sequence[CommitteeTest]) -> DataFrame:
-    """(name, rule, prediction, label, n) for the vote and the expert rule of many committees, in one pass."""
+    """(name, rule, prediction, label, n) for the vote and the expert rule of many committees.
+
+    Committees are tested together while their weights fit in one broadcast block; a committee larger than a block is
+    scored block after block instead.
+    """
+    out: list[tuple] = []
+    block: list[CommitteeTest] = []
+    size = 0
+    for t in tests:
+        need = len(t.models) * (features.size + 1) * 8
+        if need > BLOCK_BYTES:
+            out += _large_committee_rows(df, features, t)
+            continue
+        if block and size + need > BLOCK_BYTES:
+            out += _count_block(df, features, block)
+            block, size = [], 0
+        block.append(t)
+        size += need
+    if block:
+        out += _count_block(df, features, block)
+    return df.sparkSession.createDataFrame(out, "name string, rule string, prediction double, label double, n bigint")
+
+
+def _large_committee_rows(df: DataFrame, features: FeatureSet, test: CommitteeTest) -> list[tuple]:
+    rows = df if test.fold_col is None else df.filter(F.col(test.fold_col) == test.fold)
+    scored = Committee(test.models).score(rows, features)
+    label = F.when(F.col("label") > 0.5, 1.0).otherwise(0.0).alias("y")
+    cells = scored.groupBy("vote", "expert", label).agg(F.count("*").alias("n")).collect()  # at most 8 rows
+    return [(test.name, rule, r[rule], r["y"], r["n"]) for r in cells for rule in ("vote", "expert")]
+
+
+def _count_block(df: DataFrame, features: FeatureSet, tests: list[CommitteeTest]) -> list[tuple]:
     names = sorted({"label"} | {t.fold_col for t in tests if t.fold_col})
     rows = df.select(*dict.fromkeys([*names, *features.inputs]))
     w, b = stack([m for t in tests for m in t.models])
     ends = np.cumsum([len(t.models) for t in tests])
     starts = ends - [len(t.models) for t in tests]
+    where = [(t.fold_col, t.fold) for t in tests]
     shared = df.sparkSession.sparkContext.broadcast((w, b))
 
     def reducer(batch: pa.RecordBatch) -> np.ndarray:
         weights, bias = shared.value
         columns = {c: nullable(batch.column(c)) for c in names}
-        acc = np.zeros((len(tests), 8))
+        acc = np.zeros((len(where), 8))
         for sl, block in feature_blocks(batch, features):
             local = {c: v[sl] for c, v in columns.items()}
             y = (local["label"] > 0.5).astype(int)
-            for k, t in enumerate(tests):
-                inside = np.ones(block.n, dtype=bool)
-                if t.fold_col is not None:
-                    inside = local[t.fold_col] == t.fold
+            for k, (fold_col, fold) in enumerate(where):
+                inside = np.ones(block.n, dtype=bool) if fold_col is None else local[fold_col] == fold
                 m = block.dot(weights[starts[k] : ends[k]]) + bias[starts[k] : ends[k]]
                 size = m.shape[1]
                 e = np.exp(-np.abs(m))
@@ -158,12 +188,12 @@ def committee_counts(df: DataFrame, features: FeatureSet, tests: Sequence[Commit
                 acc[k, 4:] += np.bincount((expert * 2 + y)[inside], minlength=4)
         return acc.ravel()
 
-    total = sum_over_rows(rows, reducer, len(tests) * 8, max(len(t.models) for t in tests)).reshape(len(tests), 2, 2, 2)
-    out = [
+    widest = max(len(t.models) for t in tests)
+    total = sum_over_rows(rows, reducer, len(tests) * 8, widest).reshape(len(tests), 2, 2, 2)
+    return [
         (t.name, rule, float(p), float(y), int(total[k, r, p, y]))
         for k, t in enumerate(tests)
         for r, rule in enumerate(("vote", "expert"))
         for p in (0, 1)
         for y in (0, 1)
     ]
-    return df.sparkSession.createDataFrame(out, "name string, rule string, prediction double, label double, n bigint")

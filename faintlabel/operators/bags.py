@@ -9,13 +9,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from faintlabel.functions.hashing import hash32, key_digest
 
-# Hash ranges for the distributed rank: at most 2**16, so that their counts are a bounded table.
-FINE_BUCKETS = 1 << 16
+# Hash ranges for the distributed rank.  Their counts are a bounded table: 2**12 ranges, or 2**16 for a majority of more
+# than ROWS_PER_BUCKET * 2**12 rows.
+BUCKETS = 1 << 12
+MORE_BUCKETS = 1 << 16
 ROWS_PER_BUCKET = 200_000
 
 
@@ -48,9 +50,15 @@ def _bucket_count(n_rows: int, finest: int) -> int:
     return buckets
 
 
+def _range_counts(df: DataFrame, fine: Column, is_min: Column) -> tuple[dict[int, int], int, int]:
+    """Majority rows per hash range, and the totals of both classes."""
+    rows = df.groupBy(fine.alias("b"), is_min.alias("m")).agg(F.count("*").alias("n")).collect()  # 2 per range
+    per_range = {r["b"]: r["n"] for r in rows if not r["m"]}
+    return per_range, sum(r["n"] for r in rows if r["m"]), sum(per_range.values())
+
+
 def assign_bags(
-    df: DataFrame, seed: int, key: str = "id", minority: float = 1.0, bag_col: str = "bag_id",
-    finest: int = FINE_BUCKETS, n_buckets: int | None = None,
+    df: DataFrame, seed: int, key: str = "id", minority: float = 1.0, bag_col: str = "bag_id", n_buckets: int | None = None
 ) -> Bagging:
     """Give every majority row the bag ``rank // n_minority`` in seeded hash order.
 
@@ -58,19 +66,24 @@ def assign_bags(
     number of ranges); rows are then ranked inside ranges of about equal size and shifted by the running count.
     """
     is_min = F.col("label") == minority
-    fine = F.floor(hash32(F.col(key), seed) / F.lit((1 << 32) // finest)).cast("int")
-    counted = df.groupBy(fine.alias("b"), is_min.alias("m")).agg(F.count("*").alias("n")).collect()  # <= 2 * finest rows
-    n_min = sum(r["n"] for r in counted if r["m"])
-    n_maj = sum(r["n"] for r in counted if not r["m"])
+
+    def ranges(n: int) -> Column:
+        return F.floor(hash32(F.col(key), seed) / F.lit((1 << 32) // n)).cast("int")
+
+    finest = BUCKETS
+    per_range, n_min, n_maj = _range_counts(df, ranges(finest), is_min)
+    if n_maj > ROWS_PER_BUCKET * finest:
+        finest = MORE_BUCKETS
+        per_range, n_min, n_maj = _range_counts(df, ranges(finest), is_min)
     if n_min == 0:
         raise ValueError("no minority rows: bags cannot be balanced")
     n_bags = -(-n_maj // n_min)
+    fine = ranges(finest)
     buckets = n_buckets or _bucket_count(n_maj, finest)
     width = finest // buckets
     sizes = [0] * buckets
-    for r in counted:
-        if not r["m"]:
-            sizes[r["b"] // width] += r["n"]
+    for b, n in per_range.items():
+        sizes[b // width] += n
     offsets = df.sparkSession.createDataFrame(
         [(i, sum_before) for i, sum_before in enumerate(_running(sizes))], "_bucket int, _offset bigint"
     )
@@ -78,7 +91,7 @@ def assign_bags(
     ranked = (
         df.withColumns({"_bucket": F.floor(fine / F.lit(width)).cast("int"), "_minority": is_min})
         .withColumn("_pos", F.row_number().over(order) - 1)
-        .join(F.broadcast(offsets), "_bucket")  # one row of two numbers per bucket, at most ``finest``
+        .join(F.broadcast(offsets), "_bucket")  # one row of two numbers per bucket, at most MORE_BUCKETS
     )
     bag = F.floor((F.col("_offset") + F.col("_pos")) / n_min).cast("int")
     return Bagging(ranked.withColumn(bag_col, F.when(~F.col("_minority"), bag)).select(*df.columns, bag_col), n_bags)

@@ -89,19 +89,24 @@ def subset(df: DataFrame, indices: Sequence[int], col: str = "features", sparse:
     return df.withColumn(col, array_to_vector(zeroed))
 
 
-def subset_per_bag(bags: DataFrame, lists: DataFrame, features: FeatureSet, out: str = "features") -> DataFrame:
+def subset_per_bag(
+    bags: DataFrame, lists: DataFrame, features: FeatureSet, out: str = "features", n_bags: int | None = None
+) -> DataFrame:
     """Each bag gets its own feature list (``lists``: bag_id, indices ARRAY<INT>).
 
-    A bag without a list is an error of the caller, so the join is checked on the small side only.
+    The list table has one row per bag; whether it is broadcast is left to its size.  A bag without a list fails the
+    job, and with ``n_bags`` the number of lists is checked up front.
     """
-    n_lists = lists.select("bag_id").distinct().count()
-    n_bags = bags.select("bag_id").distinct().count()
-    if n_lists != n_bags:
-        raise ValueError(f"{n_bags} bags but {n_lists} feature lists")
+    if n_bags is not None:
+        n_lists = lists.select("bag_id").distinct().count()
+        if n_lists != n_bags:
+            raise ValueError(f"{n_bags} bags but {n_lists} feature lists")
     packed = bags.withColumn("_all", features.array(bags)).drop(*features.inputs)
+    picked = F.transform("indices", lambda i: F.element_at(F.col("_all"), i + 1))
+    missing = F.raise_error(F.concat(F.lit("no feature list for bag "), F.col("bag_id").cast("string")))
     return (
-        packed.join(lists, "bag_id")
-        .withColumn(out, F.transform("indices", lambda i: F.element_at(F.col("_all"), i + 1)))
+        packed.join(lists, "bag_id", "left")
+        .withColumn(out, F.when(F.col("indices").isNull(), missing.cast("array<double>")).otherwise(picked))
         .drop("_all", "indices")
     )
 

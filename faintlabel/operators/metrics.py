@@ -113,15 +113,19 @@ def mean_over_folds(results: DataFrame, keys: Sequence[str], value: str = "value
     return results.groupBy(*keys).agg(F.avg(value).alias(value), F.count("*").alias("n_folds"))
 
 
+POINTS_PER_RANGE = 500_000
+MAX_RANGES = 10_000
+
+
 def score_curve(
     scored: DataFrame, keys: Sequence[str] = (), score: str = "score", label: str = "label", num_bins: int = 0,
-    ranges: int = 64,
+    ranges: int | None = None,
 ) -> DataFrame:
     """One row per distinct score from high to low with cumulative counts ``tp`` and ``fp`` and the class sizes.
 
     Rows first collapse per score, so a score shared by a third of the table is one row.  The running sums then work
-    in ``ranges`` score ranges cut at approximate quantiles, shifted by the totals of the ranges above; the quantiles
-    only balance the work and do not touch the result.
+    in ``ranges`` score ranges (one per POINTS_PER_RANGE distinct scores by default) cut at approximate quantiles,
+    shifted by the totals of the ranges above; the quantiles only balance the work and do not touch the result.
     """
     keys = list(keys)
     s = scored.select(*keys, F.col(score).cast("double").alias("score"), (F.col(label) > 0.5).alias("_pos"))
@@ -130,9 +134,12 @@ def score_curve(
             F.count(F.when(F.col("_pos"), 1)).alias("_p"), F.count(F.when(~F.col("_pos"), 1)).alias("_n")
         )
     )
-    cuts = points.select(
-        F.percentile_approx("score", [i / ranges for i in range(1, ranges)], 10_000).alias("q")
-    ).first()["q"] or []
+    if ranges is None:
+        ranges = min(MAX_RANGES, 1 + points.count() // POINTS_PER_RANGE)
+    cuts = []
+    if ranges > 1:
+        shares = [i / ranges for i in range(1, ranges)]
+        cuts = points.select(F.percentile_approx("score", shares, 10 * MAX_RANGES).alias("q")).first()["q"] or []
     splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
     ranged = (
         Bucketizer(splits=splits, inputCol="score", outputCol="_range").transform(points)

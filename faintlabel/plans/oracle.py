@@ -429,6 +429,35 @@ w{i} AS (SELECT feature, w * (1 - 0.01 / sqrt({i})) - g / (SELECT n FROM cnt) /
 
 put("svm_ranking", f"{BITS}, {bits_long()}, {svm_steps(4)}", f"SELECT CAST(feature AS BIGINT) AS feature, {r6('w')} AS score FROM w4")
 
+def svm_recursion(source: str, iterations: int) -> str:
+    """The same schedule to the end: stop after ``iterations`` or when a step is shorter than 1e-3 * max(|w|, 1)."""
+    js = range(N_FEATURES)
+    w = ", ".join(f"w{j}" for j in js)
+    p = ", ".join(f"p{j}" for j in js)
+    y = "(2 * label - 1)"
+    m = " + ".join(f"w{j} * f{j}" for j in js)
+    step = ", ".join(
+        f"any_value(w{j}) * (1 - 0.01 / sqrt(i + 1)) + sum(CASE WHEN {y} * ({m}) < 1 THEN {y} * f{j} ELSE 0 END) / count(*) / sqrt(i + 1)"
+        for j in js
+    )
+    moved = " + ".join(f"(w{j} - p{j}) * (w{j} - p{j})" for j in js)
+    norm = " + ".join(f"w{j} * w{j}" for j in js)
+    return f"""
+src AS MATERIALIZED (SELECT label, {F_LIST} FROM {source}),
+it(i, {w}, {p}) AS (
+  SELECT 0, {", ".join("0.0::DOUBLE" for _ in range(2 * N_FEATURES))}
+  UNION ALL
+  SELECT i + 1, {step}, {", ".join(f"any_value(w{j})" for j in js)}
+  FROM it, src WHERE i < {iterations} AND NOT (i >= 2 AND sqrt({moved}) < 0.001 * greatest(sqrt({norm}), 1)) GROUP BY i),
+fin AS (SELECT * FROM it ORDER BY i DESC LIMIT 1)"""
+
+
+put(
+    "baseline_svm",
+    f"RECURSIVE {LAB.lstrip()}, {svm_recursion('lab', 200)}",
+    " UNION ALL ".join(f"SELECT CAST({j} AS BIGINT) AS feature, {r6(f'w{j}')} AS weight FROM fin" for j in range(N_FEATURES)),
+)
+
 # ---- Naive Bayes --------------------------------------------------------------------------------------------------
 
 
@@ -517,6 +546,45 @@ put("lr_predict", f"{LAB}, {_m}", f"SELECT id, CASE WHEN {sigmoid('m')} > 0.5 TH
 put("lr_score", f"{LAB}, {_m}", f"SELECT id, {r6(sigmoid('m'))} AS score FROM m")
 
 
+def pu_recursion(iterations: int, step: float, p: str, lam: float, reg: float) -> str:
+    """Full-batch label-regularized gradient steps on scaled features, from zero weights, stopped by the short-step rule."""
+    js = range(N_FEATURES)
+    m = "(" + " + ".join(f"w{j} * z{j}" for j in js) + ")"
+    s = sigmoid(m)
+    ph = f"(sum(CASE WHEN label = 0 THEN {s} ELSE 0 END) / count(*) FILTER (label = 0))"
+    slope = f"((1 - {p}) / (1 - {ph}) - {p} / {ph})"
+    steps = ", ".join(
+        f"""any_value(w{j}) - {step} / sqrt(i + 1) * (sum(CASE WHEN label = 1 THEN ({s} - 1) * z{j} ELSE 0 END) / count(*) FILTER (label = 1)
+      + {reg} * any_value(w{j}) + {lam} * {slope} * sum(CASE WHEN label = 0 THEN {s} * (1 - {s}) * z{j} ELSE 0 END) / count(*) FILTER (label = 0))"""
+        for j in js
+    )
+    w = ", ".join(f"w{j}" for j in js)
+    before = ", ".join(f"p{j}" for j in js)
+    moved = " + ".join(f"(w{j} - p{j}) * (w{j} - p{j})" for j in js)
+    norm = " + ".join(f"w{j} * w{j}" for j in js)
+    stds = ", ".join(f"stddev_samp(f{j}) AS s{j}" for j in js)
+    zs = ", ".join(f"CASE WHEN s{j} > 0 THEN f{j} / s{j} ELSE 0 END AS z{j}" for j in js)
+    return f"""
+stds AS (SELECT {stds} FROM lab),
+src AS MATERIALIZED (SELECT label, {zs} FROM lab, stds),
+it(i, {w}, {before}) AS (
+  SELECT 0, {", ".join("0.0::DOUBLE" for _ in range(2 * N_FEATURES))}
+  UNION ALL
+  SELECT i + 1, {steps}, {", ".join(f"any_value(w{j})" for j in js)}
+  FROM it, src WHERE i < {iterations} AND NOT (i >= 2 AND sqrt({moved}) < 0.001 * greatest(sqrt({norm}), 1)) GROUP BY i),
+fin AS (SELECT * FROM it ORDER BY i DESC LIMIT 1)"""
+
+
+put(
+    "lrlr_sgd_fit",
+    f"RECURSIVE {LAB.lstrip()}, {pu_recursion(25, 0.5, '0.05::DOUBLE', 1.0, 0.01)}",
+    " UNION ALL ".join(
+        f"SELECT CAST({j} AS BIGINT) AS feature, {r6(f'CASE WHEN s{j} > 0 THEN w{j} / s{j} ELSE 0 END')} AS weight FROM fin, stds"
+        for j in range(N_FEATURES)
+    ),
+)
+
+
 def argmax(a: str, b: str) -> str:
     return f"CASE WHEN {b} > greatest({a}, 0) THEN 2.0::DOUBLE WHEN {a} > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END"
 
@@ -587,6 +655,18 @@ margin AS (SELECT id, b AS bag_id, any_value(label) AS label, sum(value * sin((f
     "SELECT id, CAST(votes AS BIGINT) AS votes, vote AS prediction FROM judged",
 )
 
+put(
+    "committee_own_top_features",
+    f"""{_bag_rel},
+ranked AS (SELECT bag_id, feature, row_number() OVER (PARTITION BY bag_id ORDER BY round(abs(mi), 12) DESC, feature) AS rank FROM rel),
+mine AS (SELECT bag_id, feature FROM ranked WHERE rank <= 5),
+blong AS (SELECT long.* FROM long JOIN mine USING (bag_id, feature)), {nb('blong', 'nb', 'bag_id', features=5)}, {linear_nb('nb', 'bag_id')},
+{bits_long('lab', 'each')},
+margin AS (SELECT id, bag_id, any_value(label) AS label, sum(value * w) + any_value(b) AS m FROM each JOIN nb_l USING (feature) GROUP BY id, bag_id),
+{pooled()}""",
+    f"SELECT id, CAST(votes AS BIGINT) AS votes, {r6('certainty')} AS certainty, vote, expert FROM judged",
+)
+
 # ---- metrics ------------------------------------------------------------------------------------------------------
 
 NAN = "'NaN'::DOUBLE"

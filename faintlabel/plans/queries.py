@@ -19,7 +19,7 @@ from faintlabel.learning.committee import Committee
 from faintlabel.learning.fits import Fit, loss_and_gradient
 from faintlabel.learning.models import LinearModel, load_model, save_model
 from faintlabel.learning.solvers import pu_step
-from faintlabel.learning.training import evaluate, fit_label_regularized, fit_many, inverse_std
+from faintlabel.learning.training import evaluate, fit_label_regularized, fit_label_regularized_sgd, fit_many, inverse_std
 from faintlabel.operators import bags as B
 from faintlabel.operators import features as FE
 from faintlabel.operators import labeling as L
@@ -258,7 +258,7 @@ def feature_subset_per_bag(spark, d):
         F.col("id").cast("int").alias("bag_id"),
         F.array(*[((F.col("id") + s) % 10).cast("int") for s in (0, 3, 6)]).alias("indices"),
     )
-    out = FE.subset_per_bag(bags, lists, T.appsec_features())
+    out = FE.subset_per_bag(bags, lists, T.appsec_features(), n_bags=bagging.n_bags)
     return out.select(big("bag_id"), "id", *[F.col("features")[i].alias(f"x{i}") for i in range(3)])
 
 
@@ -468,6 +468,14 @@ def lrlr_sgd_step(spark, d):
     return spark.createDataFrame(rows, "item string, feature bigint, value double").withColumn("value", rounded(F.col("value")))
 
 
+@query
+def lrlr_sgd_fit(spark, d):
+    """Twenty-five full-batch steps from zero weights."""
+    done = fit_label_regularized_sgd(_labeled(spark, d), T.appsec_features(), 0.05, 1.0, step=0.5, iterations=25)
+    out = spark.createDataFrame(list(enumerate(done.model.weights)), "feature bigint, weight double")
+    return out.select("feature", dbl("weight"))
+
+
 @query
 def mean_unlabeled_score(spark, d):
     df = S.kfold_assign(_labeled(spark, d), 3, 11)
@@ -530,7 +538,8 @@ def baseline_svm(spark, d):
     """Linear SVM, 200 subgradient steps, regularisation .01, no intercept."""
     fit = Fit("svm", "hinge", reg_param=0.01, scale=False)
     m = fit_many(_labeled(spark, d), T.appsec_features(), [fit], max_iter=200)[0].model
-    return spark.createDataFrame([(j, w) for j, w in enumerate(m.weights)], "feature bigint, weight double")
+    out = spark.createDataFrame([(j, w) for j, w in enumerate(m.weights)], "feature bigint, weight double")
+    return out.select("feature", dbl("weight"))
 
 
 # ---- committees ---------------------------------------------------------------------------------------------------
@@ -575,6 +584,20 @@ def committee_per_bag_features(spark, d):
     return scored.select("id", big("votes"), dbl("certainty"), "vote", "expert")
 
 
+@query
+def committee_own_top_features(spark, d):
+    """Each bag's model sees the five features that rank best in its own bag."""
+    df = _bit_classes(spark, d)
+    fs = T.vector_features()
+    bagging = B.assign_bags(df, 7)
+    lists: dict[int, list[int]] = {}
+    for r in R.rank_bags(bagging, fs, "mim", 5).orderBy("bag_id", "rank").collect():  # bags x 5 rows
+        lists.setdefault(r["bag_id"], []).append(r["feature"])
+    models = bag_models(bag_sums(bagging, fs), fs.size, indices=lists)
+    scored = Committee([models[b] for b in sorted(models)]).score(df, fs)
+    return scored.select("id", big("votes"), dbl("certainty"), "vote", "expert")
+
+
 @query
 def committee_vote_linear(spark, d):
     """Four linear models at given weights; two against two is a tie and goes to class 0."""

@@ -256,6 +256,18 @@ def test_prediction_counts(rows, matrix):
                 assert n == int(((pred == p) & (y == t) & keep).sum())
 
 
+def test_large_committees_are_counted_in_blocks(rows, monkeypatch):
+    from faintlabel.learning import committee as CM
+
+    models = tuple(LinearModel(tuple(W * (i - 3)), 0.1 * i) for i in range(7))
+    tests = [CM.CommitteeTest("a", models), CM.CommitteeTest("b", models[:3], "fold", 1), CM.CommitteeTest("c", models[2:4])]
+    want = CM.committee_counts(rows, WIDE, tests).filter("n > 0")
+    monkeypatch.setattr(CM, "BLOCK_BYTES", 8 * (D + 1) * 4)
+    monkeypatch.setattr(MO, "BLOCK_BYTES", 8 * (D + 1) * 4)
+    got = CM.committee_counts(rows, WIDE, tests).groupBy("name", "rule", "prediction", "label").agg(F.sum("n").alias("n"))
+    assert got.filter("n > 0").exceptAll(want).count() == 0
+
+
 # ---- Naive Bayes --------------------------------------------------------------------------------------------------
 
 

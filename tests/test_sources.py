@@ -78,7 +78,9 @@ def test_subset_lists_must_match_the_bags(spark):
     bags = spark.createDataFrame([(0, 1.0), (1, 2.0)], "bag_id int, f0 double")
     lists = spark.createDataFrame([(0, [0])], "bag_id int, indices array<int>")
     with pytest.raises(ValueError, match="2 bags but 1"):
-        FE.subset_per_bag(bags, lists, FE.FeatureSet.wide(["f0"]))
+        FE.subset_per_bag(bags, lists, FE.FeatureSet.wide(["f0"]), n_bags=2)
+    with pytest.raises(Exception, match="no feature list for bag 1"):
+        FE.subset_per_bag(bags, lists, FE.FeatureSet.wide(["f0"])).collect()
 
 
 def test_held_table_is_removed_and_spread(spark):
