@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from faintlabel.learning.models import LinearModel
@@ -53,11 +53,12 @@ def nb_params(
     df: DataFrame, features: FeatureSet, keys: Sequence[str] = (), label: str = "label", smoothing: float = 1.0
 ) -> DataFrame:
     """(keys, label, log_prior, log_theta): log_theta per feature, log_prior smoothed over the labels that occur."""
-    sums = label_sums(df, features, keys, label)
-    totals = sums.groupBy(*keys).agg(F.sum("n").alias("_all"), F.count("*").alias("_labels"))
-    joined = sums.join(totals, list(keys)) if keys else sums.join(F.broadcast(totals))  # without keys: one row
+    group = Window.partitionBy(*keys)  # one row per label
+    sums = label_sums(df, features, keys, label).withColumns(
+        {"_all": F.sum("n").over(group), "_labels": F.count("*").over(group)}
+    )
     prior = F.log(F.col("n") + smoothing) - F.log(F.col("_all") + F.col("_labels") * smoothing)
-    return joined.select(*keys, label, prior.alias("log_prior"), log_theta(F.col("sums"), smoothing).alias("log_theta"))
+    return sums.select(*keys, label, prior.alias("log_prior"), log_theta(F.col("sums"), smoothing).alias("log_theta"))
 
 
 def two_class_weights(n0: float, s0: np.ndarray, n1: float, s1: np.ndarray, smoothing: float = 1.0) -> LinearModel:

@@ -75,10 +75,13 @@ def _per_label(labels: list[float], label: str) -> list[Column]:
 def contingency(df: DataFrame, features: FeatureSet, keys: list[str] | None = None, label: str = "label") -> DataFrame:
     """(keys, feature, value, label, n) for all cells that occur, the zero cells found by subtraction."""
     keys = keys or []
-    cells = nonzero_long(df, features, [*keys, label]).groupBy(*keys, "feature", "value", label).agg(
-        F.count("*").alias("n")
-    )
-    sizes = df.groupBy(*keys, label).agg(F.count("*").alias("_all"))
+    counted = settled(
+        nonzero_long(df, features, [*keys, label], mark_rows=True)
+        .groupBy(*keys, "feature", "value", label)
+        .agg(F.count("*").alias("n"))
+    )  # one scan of the rows; only cells from here on
+    cells = counted.filter(F.col("feature") != ROW_MARK)
+    sizes = counted.filter(F.col("feature") == ROW_MARK).select(*keys, label, F.col("n").alias("_all"))
     seen = cells.groupBy(*keys, "feature", label).agg(F.sum("n").alias("_seen"))
     every = sizes.withColumn("feature", F.explode(F.sequence(F.lit(0), F.lit(features.size - 1))))
     zero = (
