@@ -9,9 +9,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.ml.feature import VectorAssembler, VectorSlicer
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.linalg import VectorUDT
+from pyspark.ml.feature import ElementwiseProduct, VectorAssembler, VectorSlicer
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,6 +65,9 @@ class FeatureSet:
         if self.is_wide and isinstance(index, int):
             return F.col(self.columns[index]).cast("double")
         i = F.lit(index) if isinstance(index, int) else index
+        if self.is_vector(df):
+            stored = F.filter(sparse_entries(self.packed), lambda e: e["feature"] == i)
+            return F.coalesce(F.get(stored, F.lit(0))["value"], F.lit(0.0))
         return F.element_at(self.array(df), (i + 1).cast("int"))
 
 
@@ -79,14 +83,22 @@ def assemble(df: DataFrame, columns: Sequence[str], keep: Sequence[str], out: st
     )
 
 
-def subset(df: DataFrame, indices: Sequence[int], col: str = "features", sparse: bool = False) -> DataFrame:
-    """Vector restricted to the given indices: in the given order, or with the old width and all else zero."""
+def subset(
+    df: DataFrame, indices: Sequence[int], col: str = "features", sparse: bool = False, size: int | None = None
+) -> DataFrame:
+    """Vector restricted to the given indices: in the given order, or with the old width and all else zero.
+
+    Both forms stay in the JVM and touch the stored entries of a sparse vector only.
+    """
     if not sparse:
         sliced = VectorSlicer(inputCol=col, outputCol="_sliced", indices=list(indices)).transform(df)
         return sliced.drop(col).withColumnRenamed("_sliced", col)
-    keep = F.array(*[F.lit(int(i)) for i in indices])
-    zeroed = F.transform(vector_to_array(col), lambda x, i: F.when(F.array_contains(keep, i), x).otherwise(0.0))
-    return df.withColumn(col, array_to_vector(zeroed))
+    if size is None:
+        raise ValueError("the sparse form needs the width of the vectors")
+    wanted = set(indices)
+    mask = Vectors.dense([1.0 if i in wanted else 0.0 for i in range(size)])
+    masked = ElementwiseProduct(scalingVec=mask, inputCol=col, outputCol="_masked").transform(df)
+    return masked.drop(col).withColumnRenamed("_masked", col)
 
 
 def subset_per_bag(
@@ -133,14 +145,16 @@ def discrete_report(df: DataFrame, features: FeatureSet, low: float = -128, high
         )
         return df.agg(*aggs).select(F.explode(cells).alias("c")).select("c.*")
     value = F.col("value")
-    return (
-        df.select(F.posexplode(features.array(df)).alias("feature", "value"))
-        .groupBy("feature")
-        .agg(
-            F.count(F.when(value != F.floor(value), 1)).alias("n_not_whole"),
-            F.count(F.when((value < low) | (value > high), 1)).alias("n_out_of_range"),
-        )
+    zero_is_fine = low <= 0 <= high
+    entries = nonzero_long(df, features, []) if zero_is_fine else df.select(
+        F.posexplode(features.array(df)).alias("feature", "value")
+    )
+    found = entries.groupBy("feature").agg(
+        F.count(F.when(value != F.floor(value), 1)).alias("n_not_whole"),
+        F.count(F.when((value < low) | (value > high), 1)).alias("n_out_of_range"),
     )
+    every = df.sparkSession.range(features.size).select(F.col("id").cast("int").alias("feature"))
+    return every.join(found, "feature", "left").na.fill(0)
 
 
 def require_discrete(df: DataFrame, features: FeatureSet, low: float = -128, high: float = 127) -> None:
@@ -164,6 +178,10 @@ def feature_std(df: DataFrame, features: FeatureSet) -> DataFrame:
             *[F.struct(F.lit(i).alias("feature"), F.col(f"m{i}").alias("mean"), F.col(f"s{i}").alias("std")) for i in range(features.size)]
         )
         return df.agg(*aggs).select(F.explode(cells).alias("c")).select("c.*")
+    if features.is_vector(df):
+        summary = df.agg(Summarizer.metrics("mean", "std").summary(F.col(features.packed)).alias("s"))
+        pairs = F.arrays_zip(vector_to_array(F.col("s.mean")).alias("mean"), vector_to_array(F.col("s.std")).alias("std"))
+        return summary.select(F.posexplode(pairs).alias("feature", "p")).select("feature", "p.mean", "p.std")
     return (
         df.select(F.posexplode(features.array(df)).alias("feature", "value"))
         .groupBy("feature")

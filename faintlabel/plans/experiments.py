@@ -24,7 +24,7 @@ from faintlabel.operators.features import FeatureSet
 from faintlabel.operators.metrics import auprc_of_counts, auroc_of_counts, hard_counts, harmonic, positive_rate
 from faintlabel.operators.sampling import family_one_shot, kfold_assign, noise_role, positive_counts, split_index
 from faintlabel.session import held
-from faintlabel.sources.results import RESULT_SCHEMA
+from faintlabel.sources.results import RESULT_SCHEMA, save_predictions
 
 BASELINES = ("naive_bayes", "logistic", "svm")
 
@@ -155,8 +155,13 @@ def run_cases(
     max_iter: int | None = None,
     tol: float | None = None,
     hold: str = "auto",
+    prediction_dir: str | None = None,
 ) -> Sweep:
-    """Fit and test all cases.  ``temporal`` is an extra all-positive set on which detection rates are taken."""
+    """Fit and test all cases.
+
+    ``temporal`` is an extra all-positive set on which detection rates are taken; with ``prediction_dir`` the
+    predictions of the first label-regularized model per prior on it are kept as CSV.
+    """
     planned = _plan_fits(cases, fold_col, divergence)
     columns = {c.train for c in cases} | {c.test for c in cases} | {x for x in (truth, fold_col) if x}
     with held(df.select(*sorted(columns), *features.inputs), hold, experiment) as rows:
@@ -178,6 +183,11 @@ def run_cases(
             everywhere = [Scorer(s.name, s.model) for s in scorers]
             rates = positive_rate(prediction_counts(temporal, features, everywhere), ["name"], "n")
             got += [(int(r["name"]), "temporal_rate", r["rate"]) for r in rates.collect()]
+    if temporal is not None and prediction_dir is not None:
+        for _, _, kind, g, model in entries:
+            if kind == "label_regularized":
+                pairs = temporal.select(model.predict(temporal, features).alias("prediction"), F.lit(1.0).alias("label"))
+                save_predictions(pairs, f"{prediction_dir}/temporal_{g['p_tilde']}.csv")
     run = uuid.uuid4().hex
     out = []
     for i, metric, value in sorted(got):

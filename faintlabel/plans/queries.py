@@ -244,7 +244,7 @@ def feature_subset(spark, d):
     df = T.appsec(spark, d)
     vec = FE.assemble(df, FE.feature_columns(df), ["id"])
     narrow = FE.unpivot(FE.subset(vec, [7, 2, 5]), FE.FeatureSet.in_column("features", 3), ["id"])
-    wide = FE.unpivot(FE.subset(vec, [7, 2, 5], sparse=True), FE.FeatureSet.in_column("features", 10), ["id"])
+    wide = FE.unpivot(FE.subset(vec, [7, 2, 5], sparse=True, size=10), FE.FeatureSet.in_column("features", 10), ["id"])
     both = narrow.withColumn("form", F.lit("dense")).unionByName(wide.withColumn("form", F.lit("sparse")))
     return both.select("form", "id", big("feature"), "value")
 

@@ -62,6 +62,18 @@ def test_family_sweep_trains_on_two_sets(spark):
     assert got == {("supervised", "naive_bayes"), ("supervised", "logistic"), ("supervised", "svm"), ("semi", "label_regularized")}
 
 
+def test_temporal_rate_and_stored_predictions(spark, labeled):
+    from faintlabel.session import new_folder
+    from faintlabel.sources.results import read_predictions
+
+    later = L.temporal_holdout(T.appsec(spark, SMALL))
+    folder = new_folder(spark, "predictions")
+    sweep = X.unlabeled_sweep(labeled, FS, later, (0.001,), k=2, max_iter=2, reg_param=0.001, prediction_dir=folder)
+    rates = [r["value"] for r in sweep.results.filter("metric = 'temporal_rate'").collect()]
+    assert len(rates) == 8 and all(0 <= v <= 1 for v in rates)
+    assert read_predictions(spark, f"{folder}/temporal_0.001.csv").count() == later.count()
+
+
 def test_bag_dropping_reports_every_share(spark):
     df = T.bits(spark, SMALL).withColumn("label", F.when(F.col("group") == 3, 1.0).otherwise(0.0)).select("id", "label", "features")
     out = C.bag_dropping(df, T.vector_features(), k=5, folds=2, shares=(1.0, 0.5)).collect()

@@ -268,6 +268,27 @@ def test_large_committees_are_counted_in_blocks(rows, monkeypatch):
     assert got.filter("n > 0").exceptAll(want).count() == 0
 
 
+def test_sparse_vectors_equal_wide_columns(rows, vector_rows):
+    """Scores, lookups, moments and masks go through the stored entries of sparse rows."""
+    from faintlabel.operators import features as FE
+
+    packed = FeatureSet.in_column("features", D)
+    kinds = {type(r["features"]).__name__ for r in vector_rows.select("features").collect()}
+    assert kinds == {"SparseVector", "DenseVector"}
+    m = LinearModel(tuple(W), -0.2).without_threshold()
+    a = rows.select("id", F.round(m.predict(rows, WIDE), 9).alias("s"), WIDE.at(rows, 4).alias("x"))
+    b = vector_rows.select("id", F.round(m.predict(vector_rows, packed), 9).alias("s"), packed.at(vector_rows, 4).alias("x"))
+    assert a.exceptAll(b).count() == 0
+    x = {r["feature"]: (r["mean"], r["std"]) for r in FE.feature_std(rows, WIDE).collect()}
+    y = {r["feature"]: (r["mean"], r["std"]) for r in FE.feature_std(vector_rows, packed).collect()}
+    assert all(x[j] == pytest.approx(y[j]) for j in range(D))
+    masked = FE.subset(vector_rows, [4, 1], sparse=True, size=D)
+    sums = {r["label"]: list(r["sums"]) for r in label_sums(masked, packed, []).collect()}
+    full = {r["label"]: list(r["sums"]) for r in label_sums(rows, WIDE, []).collect()}
+    for y0, s in sums.items():
+        assert s == [v if j in (1, 4) else 0.0 for j, v in enumerate(full[y0])]
+
+
 # ---- Naive Bayes --------------------------------------------------------------------------------------------------
 
 
