@@ -21,6 +21,7 @@ class Committee:
     """Models that predict together.  Members trained on their own feature subset have weight 0 elsewhere."""
 
     def __init__(self, models: Sequence[LinearModel]):
+        self.models = tuple(models)
         self.weights, self.intercepts = stack(models)
 
     def __len__(self) -> int:
@@ -44,11 +45,16 @@ class Committee:
 
     def average_auprc(self, df: DataFrame, features: FeatureSet, curve_start: str = "spark") -> DataFrame:
         """Mean over the members of each member's own area; all members are counted in one pass."""
-        scorers = [Scorer(str(i), LinearModel(tuple(w), float(b), len(w))) for i, (w, b) in enumerate(zip(self.weights, self.intercepts))]
+        scorers = [Scorer(str(i), m) for i, m in enumerate(self.models)]
         c = hard_counts(prediction_counts(df, features, scorers), ["name"], weight="n")
         area = auprc_of_counts(F.col("tp"), F.col("n_pred"), F.col("pos"), F.col("n"), curve_start)
         return c.agg(F.avg(area).alias("average_auprc"))
 
+    def areas(self, df: DataFrame, features: FeatureSet, curve_start: str = "spark") -> DataFrame:
+        """(rule, auprc, auroc) of the vote and of the expert sum, counted in one pass."""
+        counts = committee_counts(df, features, [CommitteeTest("all", self.models)])
+        return areas_hard(counts.withColumnRenamed("n", "w"), ["rule"], curve_start, weight="w")
+
 
 @dataclass(frozen=True)
 class Scorer:

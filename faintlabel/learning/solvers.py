@@ -14,6 +14,9 @@ import numpy as np
 from faintlabel.learning.fits import Fit, Sums, divergence, loss_and_gradient
 
 
+WINDOW = 10
+
+
 @dataclass
 class Solution:
     weights: np.ndarray
@@ -40,7 +43,10 @@ def _two_loop(grad: np.ndarray, pairs: deque) -> np.ndarray:
 def lbfgs(
     fit: Fit, w0: np.ndarray, max_iter: int = 100, tol: float = 1e-4, corrections: int = 10, max_evals: int | None = None
 ) -> Generator[np.ndarray, Sums, Solution]:
-    """Limited-memory BFGS with a weak-Wolfe bisection line search."""
+    """Limited-memory BFGS with a weak-Wolfe bisection line search.
+
+    Stops when the last WINDOW iterations together gained no more than ``tol`` times the first loss.
+    """
     if corrections <= 0:
         raise ValueError("corrections must be positive")
     if tol < 0 or max_iter < 0:
@@ -81,10 +87,9 @@ def lbfgs(
         s, y = trial - w, gt - g
         if float(s @ y) > 1e-12 * float(np.linalg.norm(s) * np.linalg.norm(y)):
             pairs.append((s, y))
-        drop = f - ft
         w, f, g = trial, ft, gt
         losses.append(f)
-        if drop <= tol * max(abs(f), abs(f + drop), 1e-6) * 1e-2:
+        if max(losses[-WINDOW - 1 : -1]) - f <= tol * abs(losses[0]):
             break
     return Solution(w, losses, evals)
 

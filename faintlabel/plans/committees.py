@@ -204,17 +204,10 @@ def measure_mixed_committee(bagging: Bagging, test: DataFrame, features: Feature
 
 
 def _committee_areas(committee: Committee, test: DataFrame, features: FeatureSet) -> DataFrame:
-    scored = committee.score(test, features)
-    both = F.explode(
-        F.array(
-            F.struct(F.lit("vote").alias("rule"), F.col("vote").alias("prediction")),
-            F.struct(F.lit("expert").alias("rule"), F.col("expert").alias("prediction")),
-        )
-    )
-    flat = scored.select("label", both.alias("x")).select("label", "x.rule", "x.prediction")
-    areas = areas_hard(flat, ["rule"])
+    areas = committee.areas(test, features)
+    vote, expert = F.col("rule") == "vote", F.col("rule") == "expert"
     return areas.agg(
-        F.max(F.when(F.col("rule") == "vote", F.col("auprc"))).alias("auprc"),
-        F.max(F.when(F.col("rule") == "vote", F.col("auroc"))).alias("auroc"),
-        F.max(F.when(F.col("rule") == "expert", F.col("auprc"))).alias("expert_auprc"),
+        F.max(F.when(vote, F.col("auprc"))).alias("auprc"),
+        F.max(F.when(vote, F.col("auroc"))).alias("auroc"),
+        F.max(F.when(expert, F.col("auprc"))).alias("expert_auprc"),
     )

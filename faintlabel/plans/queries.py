@@ -27,11 +27,12 @@ from faintlabel.operators import metrics as M
 from faintlabel.operators import sampling as S
 from faintlabel.plans import committees as C
 from faintlabel.plans import experiments as X
-from faintlabel.session import new_folder
+from faintlabel.session import held, new_folder
 from faintlabel.sources import arff, libsvm, results
 from faintlabel.sources import tables as T
 
 FEATURES = T.APPSEC_FEATURES
+BINARY = [0.0, 1.0]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -349,7 +350,7 @@ def contingency(spark, d):
 
 @query
 def mi_relevance(spark, d):
-    return R.mi_relevance(_labeled(spark, d), T.appsec_features()).select(big("feature"), dbl("mi"))
+    return R.mi_relevance(_labeled(spark, d), T.appsec_features(), labels=BINARY).select(big("feature"), dbl("mi"))
 
 
 @query
@@ -366,7 +367,7 @@ def mi_relevance_sparse(spark, d):
 
 @query
 def mi_redundancy(spark, d):
-    return R.mi_redundancy(_labeled(spark, d), T.appsec_features(), 1).select(big("feature"), dbl("mi"), dbl("cmi"))
+    return R.mi_redundancy(_labeled(spark, d), T.appsec_features(), 1, labels=BINARY).select(big("feature"), dbl("mi"), dbl("cmi"))
 
 
 @query
@@ -377,7 +378,7 @@ def mim_topk(spark, d):
 
 def _rank_query(criterion: str):
     def run(spark, d):
-        out = R.greedy_ranking(T.bits(spark, d), T.vector_features(), criterion, 3)
+        out = R.greedy_ranking(T.bits(spark, d), T.vector_features(), criterion, 3, labels=BINARY)
         return out.select(big("rank"), big("feature"), dbl("score"))
 
     return run
@@ -434,12 +435,11 @@ def nb_predict(spark, d):
 
 
 def _objective(spark, d, divergence: str) -> DataFrame:
-    df = _labeled(spark, d)
     fs = T.appsec_features()
     fit = Fit("given", "pu", p_tilde=0.05, lambda_u=2.0, reg_param=0.001, divergence=divergence)
-    inv = inverse_std(df, fs, [fit])[0]
     w = np.array(given_weights())
-    sums = evaluate(df, fs, fit, w, inv)
+    with held(_labeled(spark, d)) as df:
+        sums = evaluate(df, fs, fit, w, inverse_std(df, fs, [fit])[0])
     loss, grad = loss_and_gradient(fit, sums, w)
     rows = [("loss", -1, float(loss)), ("p_hat", -1, float(sums.p_hat()))] + [("gradient", j, float(g)) for j, g in enumerate(grad)]
     return spark.createDataFrame(rows, "item string, feature bigint, value double").withColumn("value", rounded(F.col("value")))
@@ -458,12 +458,12 @@ def lrlr_objective_bh(spark, d):
 @query
 def lrlr_sgd_step(spark, d):
     """One full-batch update from the given weights, and the penalty after it."""
-    df = _labeled(spark, d)
     fs = T.appsec_features()
     fit = Fit("given", "pu", p_tilde=0.01, lambda_u=10.0, reg_param=0.01)
-    inv = inverse_std(df, fs, [fit])[0]
     w = np.array(given_weights())
-    w_next, penalty = pu_step(fit, evaluate(df, fs, fit, w, inv), w, 1.0, 1)
+    with held(_labeled(spark, d)) as df:
+        sums = evaluate(df, fs, fit, w, inverse_std(df, fs, [fit])[0])
+    w_next, penalty = pu_step(fit, sums, w, 1.0, 1)
     rows = [("penalty", -1, float(penalty))] + [("weight", j, float(v)) for j, v in enumerate(w_next)]
     return spark.createDataFrame(rows, "item string, feature bigint, value double").withColumn("value", rounded(F.col("value")))
 
@@ -565,12 +565,12 @@ def committee_expert(spark, d):
 
 @query
 def committee_avg_auprc(spark, d):
-    df, committee = _bag_committee(spark, d)
     fs = T.appsec_features()
-    mean = committee.average_auprc(df, fs).select(F.lit("average").alias("rule"), F.col("average_auprc").alias("auprc"))
-    vote = committee.voted_auprc(df, fs).select(F.lit("vote").alias("rule"), "auprc")
-    expert = committee.expert_auprc(df, fs).select(F.lit("expert").alias("rule"), "auprc")
-    return mean.unionByName(vote).unionByName(expert).select("rule", dbl("auprc"))
+    with held(_labeled(spark, d)) as df:
+        models = bag_models(bag_sums(B.assign_bags(df, 7), fs), fs.size)
+        committee = Committee([models[b] for b in sorted(models)])
+        mean = committee.average_auprc(df, fs).select(F.lit("average").alias("rule"), F.col("average_auprc").alias("auprc"))
+        return mean.unionByName(committee.areas(df, fs).select("rule", "auprc")).select("rule", dbl("auprc"))
 
 
 @query

@@ -100,6 +100,8 @@ def ship_package(spark: SparkSession) -> None:
     if context.applicationId in _shipped:
         return
     package = Path(__file__).resolve().parent
+    if not package.is_dir():
+        return  # already imported from a shipped archive
     archive = Path(tempfile.mkdtemp(prefix="faintlabel-")) / "faintlabel.zip"
     with zipfile.ZipFile(archive, "w") as out:
         for source in sorted(package.rglob("*.py")):
