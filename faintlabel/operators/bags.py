@@ -84,15 +84,15 @@ def assign_bags(
     sizes = [0] * buckets
     for b, n in per_range.items():
         sizes[b // width] += n
-    offsets = df.sparkSession.createDataFrame(
-        [(i, sum_before) for i, sum_before in enumerate(_running(sizes))], "_bucket int, _offset bigint"
-    )
     order = Window.partitionBy("_bucket", "_minority").orderBy(key_digest(F.col(key), seed), F.col(key))
-    ranked = (
-        df.withColumns({"_bucket": F.floor(fine / F.lit(width)).cast("int"), "_minority": is_min})
-        .withColumn("_pos", F.row_number().over(order) - 1)
-        .join(F.broadcast(offsets), "_bucket")  # one row of two numbers per bucket, at most MORE_BUCKETS
+    ranked = df.withColumns({"_bucket": F.floor(fine / F.lit(width)).cast("int"), "_minority": is_min}).withColumn(
+        "_pos", F.row_number().over(order) - 1
     )
+    if buckets == 1:
+        ranked = ranked.withColumn("_offset", F.lit(0))
+    else:
+        offsets = df.sparkSession.createDataFrame(list(enumerate(_running(sizes))), "_bucket int, _offset bigint")
+        ranked = ranked.join(F.broadcast(offsets), "_bucket")  # two numbers per bucket, at most MORE_BUCKETS rows
     bag = F.floor((F.col("_offset") + F.col("_pos")) / n_min).cast("int")
     return Bagging(ranked.withColumn(bag_col, F.when(~F.col("_minority"), bag)).select(*df.columns, bag_col), n_bags)
 
