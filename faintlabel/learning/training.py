@@ -201,7 +201,7 @@ def pass_sums(df: DataFrame, features: FeatureSet, fits: list[Fit], w: np.ndarra
     """Sums of all fits at raw-space weights ``w``.
 
     The Arrow path is the default: weights are data there, while the ``catalyst`` path compiles new code for every
-    weight vector (measured 0.8 s per pass against 0.15 s on 7,000 rows, and equal time per row beyond that).
+    weight vector.  Measured per pass on local[8]: 0.8 s against 0.15 s on 7,000 rows, 0.9 s against 0.23 s on 69,000.
     """
     length = HEAD + 2 * features.size
     if path == "catalyst":
