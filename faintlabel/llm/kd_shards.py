@@ -55,12 +55,14 @@ def _level(points: DataFrame, nodes: list[Node], n_dims: int, tolerance: float,
     live = {n.name: n for n in nodes if n.leaves > 1}
     if not live:
         return {}
-    spread = points.where(F.col("_node").isin(list(live))).groupBy("_node").agg(
+    spread = points.groupBy("_node").agg(
         F.sum("size").alias("bytes"), *[(F.max(f"_d{i}") - F.min(f"_d{i}")).alias(f"w{i}") for i in range(n_dims)]
     ).collect()  # one row per node
     wanted, total = {}, {}
     for r in spread:
-        node = live[r["_node"]]
+        node = live.get(r["_node"])
+        if node is None:
+            continue
         node.dimension = max(range(n_dims), key=lambda i: r[f"w{i}"])
         total[node.name] = r["bytes"]
         wanted[node.name] = r["bytes"] * (node.leaves // 2) / node.leaves
@@ -68,17 +70,16 @@ def _level(points: DataFrame, nodes: list[Node], n_dims: int, tolerance: float,
     for depth in range(1 + TEXT_DIGITS + KEY_DIGITS):
         if not searching:
             break
-        rows = [(n.name, n.dimension, n.cut + [-1] * (7 - len(n.cut))) for n in searching]
-        state = F.broadcast(spark.createDataFrame(rows, "_node int, _dim int, _cut array<int>"))  # nodes of the level
+        rows = [(n.name, n.dimension, n.cut, float(wanted[n.name])) for n in searching]
+        state = F.broadcast(spark.createDataFrame(rows, "_node int, _dim int, _cut array<int>, _wanted double"))  # nodes of the level
         digit = F.element_at(F.array(*[f"_d{i}" for i in range(n_dims)]), F.col("_dim") + 1)
         path = F.concat(F.array(digit), F.col("_digits"))
         inside = points.join(state, "_node").withColumn("_path", path)
         if depth:
-            inside = inside.where(F.slice("_path", 1, depth) == F.slice("_cut", 1, depth))
-        sums = inside.groupBy("_node", F.col("_path")[depth].alias("_digit")).agg(F.sum("size").alias("_bytes"))
+            inside = inside.where(F.slice("_path", 1, depth) == F.col("_cut"))
+        sums = inside.groupBy("_node", F.col("_path")[depth].alias("_digit")).agg(F.sum("size").alias("_bytes"), F.first("_wanted").alias("_wanted"))
         upto = F.sum("_bytes").over(Window.partitionBy("_node").orderBy("_digit"))
-        share = F.create_map(*[x for n in searching for x in (F.lit(n.name), F.lit(float(wanted[n.name])))])
-        crossing = sums.withColumn("_upto", upto).where((F.col("_upto") >= share[F.col("_node")]) & (F.col("_upto") - F.col("_bytes") < share[F.col("_node")]))
+        crossing = sums.withColumn("_upto", upto).where((F.col("_upto") >= F.col("_wanted")) & (F.col("_upto") - F.col("_bytes") < F.col("_wanted")))
         found = {r["_node"]: r for r in crossing.select("_node", "_digit", "_bytes", "_upto").collect()}  # one row per node
         still = []
         for n in searching:

@@ -8,8 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faintlabel.llm import bpe, kd_shards, minhash, ordinal, packing, quality_rules
+from faintlabel.llm import bpe, cover_tree, kd_shards, license_scan, minhash, ordinal, packing, quality_rules, quotes, warc
 from faintlabel.llm.common import table
+from faintlabel.llm.oracle import ORACLE
+from faintlabel.session import new_folder
 
 PACKING_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 PACKING_END = 2
@@ -49,13 +51,39 @@ def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_tree.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_folder(spark, "archives")
+    warc.write_archives(table(spark, sf_dir, "pages"), folder)
+    read = warc.payloads(warc.reassembled(warc.read_records(spark, folder)))
+    return read.select(
+        warc.page_of(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), warc.page_of(F.col("refers_to")).alias("refers_to"), "status"
+    )
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"), ["doc_id"])
+
+
+def op9_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations as mail with nested quotes, and rebuilt from it."""
+    return quotes.conversations(quotes.as_mailbox(table(spark, sf_dir, "conversations")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_minhash": op2_minhash,
+    "op3_cover_tree": op3_cover_tree,
     "op4_ordinal": op4_ordinal,
     "op5_bpe": op5_bpe,
+    "op6_warc": op6_warc,
+    "op7_license_scan": op7_license_scan,
     "op8_quality_rules": op8_quality_rules,
+    "op9_quotes": op9_quotes,
     "op10_kd_shards": op10_kd_shards,
 }
 
-ORACLE: dict[str, str] = {}
+__all__ = ["ORACLE", "QUERIES"]
