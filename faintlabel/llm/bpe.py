@@ -22,8 +22,8 @@ from faintlabel.llm.common import SLICE, slices, text_of, with_keys
 from faintlabel.session import ship_package
 
 LEAF_BITS = 8
-#: Words that a worker remembers; it starts anew when full.
-MEMORY = 600_000
+#: Words of a generation of a worker's memory; the one before is kept, and what is met again moves on.
+GENERATION = 450_000
 #: Longer words are not remembered.
 LONGEST_KEPT = 64
 #: Texts whose unknown words are encoded together.
@@ -173,8 +173,8 @@ class Encoder:
         self.pattern = regex.compile(pattern)
         self.double_blank = regex.compile(r"\s\s")
         #: Ids of pieces of text as they stand, and of words with a space before them.
-        self.plain: dict[str, bytes] = {}
-        self.spaced: dict[str, bytes] = {}
+        self.plain, self.older_plain = {}, {}
+        self.spaced, self.older_spaced = {}, {}
 
     def units(self, text: str) -> tuple[list[str], list[str]]:
         """A text as parts that no match of the pattern crosses, and the words that follow them, each after a space.
@@ -187,10 +187,16 @@ class Encoder:
         parts = text.split(" ")
         return parts[:1], parts[1:]
 
-    def learn(self, words: set[str], space: str, known: dict[str, bytes]) -> None:
-        words = words.difference(known)
-        if len(known) + len(words) > MEMORY:
-            known.clear()
+    def remember(self, words: set[str], space: str, known: dict[str, bytes], older: dict[str, bytes]) -> tuple[dict[str, bytes], dict[str, bytes]]:
+        """The two generations, the younger with all the words."""
+        new = words.difference(known)
+        if len(known) + len(new) > GENERATION:
+            older, known, new = known, {}, words
+        known.update({w: older[w] for w in new if w in older})
+        known.update(self.learn(new.difference(older), space))
+        return known, older
+
+    def learn(self, words: set[str], space: str) -> dict[str, bytes]:
         pieces: list[bytes] = []
         whole: list[tuple[int, int]] = []
         counts = []
@@ -207,8 +213,7 @@ class Encoder:
                     whole.append((len(pieces), rank))
                     find(b"\1")
             counts.append(len(parts))
-        if ordered:
-            known.update(zip(ordered, self.merger.encode(pieces, whole, counts), strict=True))
+        return dict(zip(ordered, self.merger.encode(pieces, whole, counts), strict=True)) if ordered else {}
 
     def encode(self, texts: list[str], step: int = SLICE) -> Iterator[list[np.ndarray]]:
         """Ids of the texts, ``step`` texts at a time.  First the unknown words of all the texts are encoded in one queue."""
@@ -218,28 +223,22 @@ class Encoder:
             head, rest = self.units(text)
             plain.update(head)
             spaced.update(rest)
-            if len(spaced) > 400_000:
-                self.learn(spaced, " ", self.spaced)
-                spaced.clear()
-            if len(plain) > 400_000:
-                self.learn(plain, "", self.plain)
-                plain.clear()
-        self.learn(plain, "", self.plain)
-        self.learn(spaced, " ", self.spaced)
+            if len(spaced) > GENERATION or len(plain) > GENERATION:
+                break  # _joined learns what is missing
+        self.plain, self.older_plain = self.remember(plain, "", self.plain, self.older_plain)
+        self.spaced, self.older_spaced = self.remember(spaced, " ", self.spaced, self.older_spaced)
         for at in range(0, len(texts), step):
             yield [np.frombuffer(self._joined(*self.units(t)), np.int32) for t in texts[at : at + step]]
-        for known in (self.plain, self.spaced):
-            for long in [w for w in known if len(w) > LONGEST_KEPT]:
-                del known[long]
+        for words, known in ((plain, self.plain), (spaced, self.spaced)):
+            for long in [w for w in words if len(w) > LONGEST_KEPT]:
+                known.pop(long, None)
 
     def _joined(self, head: list[str], rest: list[str]) -> bytes:
         plain, spaced = self.plain, self.spaced
         try:
             return b"".join([plain[u] for u in head]) + b"".join([spaced[u] for u in rest])
-        except KeyError:  # forgotten meanwhile
-            plain, spaced = {}, {}
-            self.learn(set(head), "", plain)
-            self.learn(set(rest), " ", spaced)
+        except KeyError:
+            plain, spaced = self.learn(set(head), ""), self.learn(set(rest), " ")
             return b"".join([plain[u] for u in head]) + b"".join([spaced[u] for u in rest])
 
 

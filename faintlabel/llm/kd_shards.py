@@ -10,13 +10,16 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from faintlabel.llm.common import bucket_count, ranked, stored
 
 DIGIT = 4096
 TEXT_DIGITS, KEY_DIGITS = 3, 3
+DEPTH = 1 + TEXT_DIGITS + KEY_DIGITS
+#: Where this many rows or fewer are left around a cut, the rest of their digits is looked at in one job.
+FEW_ROWS = 50_000
 
 
 @dataclass
@@ -28,7 +31,16 @@ class Node:
     leaves: int
     dimension: int = 0
     cut: list[int] = field(default_factory=list)
-    open: bool = True
+
+
+def _local(spark: SparkSession, rows: list[tuple], columns: str) -> DataFrame:
+    """A few rows of the driver, as SQL values, to be sent to all tasks."""
+
+    def literal(x: object) -> str:
+        return f"array({', '.join(map(str, x))})" if isinstance(x, list) and x else "cast(array() as array<int>)" if isinstance(x, list) else f"{x!r}D" if isinstance(x, float) else str(x)
+
+    values = ", ".join("(" + ", ".join(map(literal, r)) + ")" for r in rows)
+    return F.broadcast(spark.sql(f"SELECT * FROM VALUES {values} AS t({columns})"))
 
 
 def _digits(hashed: Column, count: int) -> list[Column]:
@@ -67,33 +79,35 @@ def _level(points: DataFrame, nodes: list[Node], n_dims: int, tolerance: float,
         total[node.name] = r["bytes"]
         wanted[node.name] = r["bytes"] * (node.leaves // 2) / node.leaves
     searching = [n for n in live.values() if n.name in total]
-    for depth in range(1 + TEXT_DIGITS + KEY_DIGITS):
+    left_rows = None
+    for depth in range(DEPTH):
         if not searching:
             break
-        rows = [(n.name, n.dimension, n.cut, float(wanted[n.name])) for n in searching]
-        state = F.broadcast(spark.createDataFrame(rows, "_node int, _dim int, _cut array<int>, _wanted double"))  # nodes of the level
+        state = _local(spark, [(n.name, n.dimension, n.cut, float(wanted[n.name])) for n in searching], "_node, _dim, _cut, _wanted")  # nodes of the level
         digit = F.element_at(F.array(*[f"_d{i}" for i in range(n_dims)]), F.col("_dim") + 1)
         path = F.concat(F.array(digit), F.col("_digits"))
         inside = points.join(state, "_node").withColumn("_path", path)
         if depth:
             inside = inside.where(F.slice("_path", 1, depth) == F.col("_cut"))
-        sums = inside.groupBy("_node", F.col("_path")[depth].alias("_digit")).agg(F.sum("size").alias("_bytes"), F.first("_wanted").alias("_wanted"))
-        upto = F.sum("_bytes").over(Window.partitionBy("_node").orderBy("_digit"))
+        last = depth == DEPTH - 1 or (left_rows is not None and left_rows <= FEW_ROWS)
+        step = F.slice("_path", depth + 1, DEPTH if last else 1)
+        sums = inside.groupBy("_node", step.alias("_step")).agg(F.sum("size").alias("_bytes"), F.count(F.lit(1)).alias("_rows"), F.first("_wanted").alias("_wanted"))
+        upto = F.sum("_bytes").over(Window.partitionBy("_node").orderBy("_step"))
         crossing = sums.withColumn("_upto", upto).where((F.col("_upto") >= F.col("_wanted")) & (F.col("_upto") - F.col("_bytes") < F.col("_wanted")))
-        found = {r["_node"]: r for r in crossing.select("_node", "_digit", "_bytes", "_upto").collect()}  # one row per node
-        still = []
+        found = {r["_node"]: r for r in crossing.select("_node", "_step", "_bytes", "_upto", "_rows").collect()}  # one row per node
+        still, left_rows = [], 0
         for n in searching:
             r = found.get(n.name)
             if r is None:
                 continue
             below = r["_upto"] - r["_bytes"]
-            last = depth == TEXT_DIGITS + KEY_DIGITS
+            n.cut += r["_step"]
             if r["_bytes"] <= tolerance * target or last:
-                nearer_below = wanted[n.name] - below <= r["_upto"] - wanted[n.name]
-                n.cut.append(r["_digit"] if nearer_below else r["_digit"] + 1)
+                if wanted[n.name] - below > r["_upto"] - wanted[n.name]:
+                    n.cut[-1] += 1
             else:
-                n.cut.append(r["_digit"])
                 wanted[n.name] -= below
+                left_rows = max(left_rows, r["_rows"])
                 still.append(n)
         searching = still
     return {n.name: (n.dimension, n.cut) for n in live.values() if n.name in total}
@@ -129,7 +143,7 @@ def shard(docs: DataFrame, n_shards: int, keys: list[str], tolerance: float = 0.
             dimension, cut = cuts.get(n.name, (0, [DIGIT + 1]))
             rows.append((n.name, dimension, cut, len(after), len(after) + 1))
             after += [Node(len(after), n.first, left), Node(len(after) + 1, n.first + left, n.leaves - left)]
-        state = F.broadcast(docs.sparkSession.createDataFrame(rows, "_node int, _dim int, _cut array<int>, _left int, _right int"))  # nodes of the level
+        state = _local(docs.sparkSession, rows, "_node, _dim, _cut, _left, _right")  # nodes of the level
         digit = F.element_at(F.array(*[f"_d{i}" for i in range(len(dims))]), F.col("_dim") + 1)
         path = F.slice(F.concat(F.array(digit), F.col("_digits")), F.lit(1), F.size("_cut"))
         moved = placed.join(state, "_node").withColumn("_node", F.when(path < F.col("_cut"), F.col("_left")).otherwise(F.col("_right")))

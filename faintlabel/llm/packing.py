@@ -26,8 +26,8 @@ from faintlabel.session import ship_package
 CAPACITY = 4096
 #: Classes in each doubling of the length; lengths up to twice as many are classes of their own.
 PER_OCTAVE = 8
-#: Words that a worker remembers; it starts anew when full.
-MEMORY = 600_000
+#: Words of a generation of a worker's memory; the one before is kept, and what is met again moves on.
+GENERATION = 450_000
 LONGEST_KEPT = 64
 #: Texts whose unknown words are encoded together.
 STEP = 4_096
@@ -50,6 +50,7 @@ class WordEncoder:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith(PIECE_END)]] = True
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _encode_pieces(self, pieces: list[str], together: int = 500) -> dict[str, bytes]:
         """Many pieces are encoded in one string; the tokens that end a piece tell where it is cut."""
@@ -66,13 +67,19 @@ class WordEncoder:
             out.update(zip(group, [raw[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)], strict=True))
         return out
 
-    def learn(self, words: set[str], known: dict[str, bytes]) -> None:
-        words = words.difference(known)
-        if len(known) + len(words) > MEMORY:
-            known.clear()
-        split = {w: (w,) if w.isalpha() else PIECES.findall(w) for w in words}
-        ids = self._encode_pieces(list({p for parts in split.values() for p in parts}))
-        known.update({w: ids[parts[0]] if len(parts) == 1 else b"".join([ids[p] for p in parts]) for w, parts in split.items()})
+    def remember(self, words: set[str]) -> None:
+        """Makes the ids of all the words known."""
+        new = words.difference(self.words)
+        if len(self.words) + len(new) > GENERATION:
+            self.older, self.words, new = self.words, {}, words
+        older = self.older
+        self.words.update({w: older[w] for w in new if w in older})
+        self.words.update(self.learn(new.difference(older)))
+
+    def learn(self, words: set[str]) -> dict[str, bytes]:
+        split = [(w, (w,) if w.isalpha() else tuple(PIECES.findall(w))) for w in words]
+        ids = self._encode_pieces(list({p for _, parts in split for p in parts}))
+        return {w: ids[parts[0]] if len(parts) == 1 else b"".join([ids[p] for p in parts]) for w, parts in split}
 
     def encode(self, texts: list[str], step: int = SLICE) -> Iterator[list[bytes]]:
         """Little-endian unsigned 32-bit ids of whole texts, ``step`` texts at a time."""
@@ -81,14 +88,13 @@ class WordEncoder:
         for text, simple in zip(texts, plain, strict=True):
             if simple:
                 new.update(text.lower().split())
-                if len(new) > 400_000:
-                    self.learn(new, self.words)
-                    new.clear()
-        self.learn(new, self.words)
+                if len(new) > GENERATION:
+                    break  # _ids learns what is missing
+        self.remember(new)
         for at in range(0, len(texts), step):
             yield [self._ids(t, simple) for t, simple in zip(texts[at : at + step], plain[at : at + step], strict=True)]
-        for long in [w for w in self.words if len(w) > LONGEST_KEPT]:
-            del self.words[long]
+        for long in [w for w in new if len(w) > LONGEST_KEPT]:
+            self.words.pop(long, None)
 
     def _ids(self, text: str, simple: bool) -> bytes:
         if not simple:
@@ -96,9 +102,8 @@ class WordEncoder:
         words, known = text.lower().split(), self.words
         try:
             return b"".join([known[w] for w in words])
-        except KeyError:  # forgotten meanwhile
-            known = {}
-            self.learn(set(words), known)
+        except KeyError:
+            known = self.learn(set(words))
             return b"".join([known[w] for w in words])
 
 
