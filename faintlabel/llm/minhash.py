@@ -6,8 +6,9 @@ other set has is skipped at once, so most sets post nothing.  Sets that meet und
 that agree in T coordinates are compared on their full sets.
 
 Groups of copies: equal sets are one node.  In each posting list all nodes are first compared with the list's most
-central node; only nodes that this leaves outside of the list's largest component are compared with all others there.
-No link between different components is lost, and the pairs within a large group are never listed.
+central node, then, for some rounds, those outside of the list's largest component with nodes drawn from it; whoever is
+still outside is compared with all others there.  No link between different components is lost, and the pairs within a
+large component are never listed.
 """
 
 from __future__ import annotations
@@ -170,7 +171,15 @@ def _links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, words: int, pe
     return stored(_confirmed(pairs, sets, percent).distinct(), "links")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, coordinates: int = COORDINATES, miss: float = MISS) -> DataFrame:
+def _mixed_lists(posts: DataFrame, labels: DataFrame) -> DataFrame:
+    """node, token, label and _top (the label of most) of the posting lists with nodes of more than one component."""
+    labelled = stored(posts.join(labels, "node", "left").select("node", "token", F.coalesce("label", "node").alias("label")), "labelled")
+    heads = labelled.groupBy("token", "label").agg(F.count(F.lit(1)).alias("_n"))
+    mixed = heads.groupBy("token").agg(F.count(F.lit(1)).alias("_labels"), F.max(F.struct("_n", "label")).alias("_top")).where("_labels > 1")
+    return stored(labelled.join(stored(mixed.select("token", F.col("_top.label").alias("_top")), "mixed"), "token"), "lists")
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, coordinates: int = COORDINATES, miss: float = MISS, most_rounds: int = 5) -> DataFrame:
     """doc_id, n_shingles, text_key (a hash of the text), label (of the component; null: no shingles), component_id and
     kept of every row of ``docs`` (doc_id, text; other columns are not read).
 
@@ -187,21 +196,31 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, coordina
 
     centres = posts.groupBy("token").agg(F.max(F.struct("weight", "node")).alias("_c")).select("token", F.col("_c.node").alias("b"))
     star = posts.join(stored(centres, "centres"), "token").where("node <> b").select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
-    star = stored(_agreeing(stored(star, "star"), classes, threshold, percent), "agreeing")
-    links = _links(given, classes, star, words, percent)
+    star = stored(star, "star")
+    links = _links(given, classes, stored(_agreeing(star, classes, threshold, percent), "agreeing"), words, percent)
     labels = stored(components(links), "labels")
 
-    labelled = stored(posts.join(labels, "node", "left").select("node", "token", F.coalesce("label", "node").alias("label")), "labelled")
-    heads = labelled.groupBy("token", "label").agg(F.count(F.lit(1)).alias("_n"))
-    mixed = heads.groupBy("token").agg(F.count(F.lit(1)).alias("_labels"), F.max(F.struct("_n", "label")).alias("_top")).where("_labels > 1")
-    mixed = stored(mixed.select("token", F.col("_top.label").alias("_top")), "mixed")
-    lists = stored(labelled.join(mixed, "token"), "lists")
-    outside = lists.where("label <> _top").select("token", F.col("node").alias("_node"), F.col("label").alias("_label"))
-    met = outside.join(lists, "token").where((F.col("label") != F.col("_label")) & ((F.col("label") == F.col("_top")) | (F.col("node") < F.col("_node"))))
-    met = stored(met.select(F.least("node", "_node").alias("a"), F.greatest("node", "_node").alias("b")).distinct(), "met")
-    rest = stored(_agreeing(met, classes, threshold, percent).join(star, ["a", "b"], "left_anti"), "agreeing")
-    more = _links(given, classes, rest, words, percent)
-    labels = stored(components(links.unionAll(more)), "labels")
+    left = None
+    for seed in range(most_rounds + 1):
+        lists = _mixed_lists(posts, labels)
+        outside = lists.where("label <> _top").select("token", F.col("node").alias("_node"), F.col("label").alias("_label"), "_top")
+        before, left = left, outside.select("_node").distinct().count()
+        if not left:
+            break
+        final = seed == most_rounds or (before is not None and left > 0.8 * before)
+        if final:  # whoever is still outside meets all others of its lists
+            met = outside.drop("_top").join(lists, "token").where((F.col("label") != F.col("_label")) & ((F.col("label") == F.col("_top")) | (F.col("node") < F.col("_node"))))
+        else:  # one node of the largest component and one of the others, drawn by hash in each list, meet those outside
+            drawn = F.min(F.struct(F.xxhash64("token", "node", F.lit(seed)).alias("_h"), "node", "label"))
+            centres = lists.groupBy("token", (F.col("label") == F.col("_top")).alias("_in")).agg(drawn.alias("_c")).select("token", "_c.node", "_c.label")
+            met = outside.join(stored(centres, "centres"), "token").where("label <> _label")
+        met = met.select(F.least("node", "_node").alias("a"), F.greatest("node", "_node").alias("b")).distinct()
+        met = stored(met.join(star, ["a", "b"], "left_anti"), "met")
+        more = _links(given, classes, stored(_agreeing(met, classes, threshold, percent), "agreeing"), words, percent)
+        star, links = stored(star.unionAll(met), "star"), stored(links.unionAll(more), "links")
+        labels = stored(components(links), "labels")
+        if final:
+            break
 
     named = classes.join(labels, "node", "left").withColumn("_label", F.coalesce("label", "node")).select("node", "_label", "first_doc", "copies")
     ids = named.groupBy("_label").agg(F.min("first_doc").alias("component_id"), F.sum("copies").alias("_rows")).where("_rows > 1")
@@ -218,11 +237,12 @@ def without_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80)
     chosen = first.select(F.col("_f.doc_id").alias("_doc"), F.col("_f.text_key").alias("_key"))
     again = told.where("label is not null").groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
     again = again.select(F.col("doc_id").alias("_again"), F.col("text_key").alias("_again_key"))
-    key = F.xxhash64(F.coalesce("text", F.lit("")))
     empty = told.where("label is null").select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key")).distinct()
-    kept = docs.join(chosen.unionAll(empty), F.col("doc_id").eqNullSafe(F.col("_doc")) & (key == F.col("_key")), "left_semi")
+    # whole rows in one column, so that no column of theirs clashes
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), F.col("doc_id").alias("_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_own"))
+    kept = rows.join(chosen.unionAll(empty), F.col("_id").eqNullSafe(F.col("_doc")) & (F.col("_own") == F.col("_key")), "left_semi")
     if again.isEmpty():
-        return kept
-    same = F.col("doc_id").eqNullSafe(F.col("_again")) & (key == F.col("_again_key"))
-    repeated = kept.join(again, same, "left_semi").withColumn("_text", key).dropDuplicates(["doc_id", "_text"]).drop("_text")
-    return kept.join(again, same, "left_anti").unionAll(repeated)
+        return kept.select("_row.*")
+    same = F.col("_id").eqNullSafe(F.col("_again")) & (F.col("_own") == F.col("_again_key"))
+    repeated = kept.join(again, same, "left_semi").dropDuplicates(["_id", "_own"])
+    return kept.join(again, same, "left_anti").unionAll(repeated).select("_row.*")
