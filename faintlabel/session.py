@@ -16,13 +16,18 @@ CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 
 def shared_folder(spark: SparkSession) -> str | None:
-    """The shared folder the cluster names, if it names one."""
-    return spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
+    """The shared folder the cluster names, by its setting or by the context's checkpoint folder; None if it names none."""
+    named = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
+    return named or spark.sparkContext.getCheckpointDir()
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared folder.  Only a session without one (a test) gets a local temporary folder."""
-    base = shared_folder(spark) or tempfile.mkdtemp(prefix="faintlabel-")
+    """A fresh path under the shared folder.  Without one only a local session (a test) gets a temporary folder."""
+    base = shared_folder(spark)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError(f"set {CHECKPOINT_KEY} to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="faintlabel-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
