@@ -59,11 +59,15 @@ def conversations(messages: DataFrame, most_rounds: int = 64) -> DataFrame:
     tree = stored(spots.join(parents, ["conv_id", "turn"], "left"), "tree")
     # pointer doubling: ``up`` is an ancestor ``far`` steps above
     state = stored(tree.select("conv_id", "turn", F.coalesce("reply_to", "turn").alias("up"), F.col("reply_to").isNotNull().cast("long").alias("far")), "state")
+    going, done = state, None  # only messages that have not reached their root are joined again
     for _ in range(most_rounds):
         above = state.select("conv_id", F.col("turn").alias("up"), F.col("up").alias("_up"), F.col("far").alias("_far"))
-        after = stored(state.join(above, ["conv_id", "up"]).select("conv_id", "turn", F.col("_up").alias("up"), (F.col("far") + F.col("_far")).alias("far"), (F.col("_far") > 0).alias("_moved")), "state")
-        state = after.drop("_moved")
-        if after.where("_moved").isEmpty():
+        after = stored(going.join(above, ["conv_id", "up"]).select("conv_id", "turn", F.col("_up").alias("up"), (F.col("far") + F.col("_far")).alias("far"), (F.col("_far") > 0).alias("_moved")), "state")
+        there = after.where("not _moved").drop("_moved")
+        done = there if done is None else done.unionAll(there)
+        going = after.where("_moved").drop("_moved")
+        state = done.unionAll(going)
+        if going.isEmpty():
             break
     placed = tree.join(state, ["conv_id", "turn"]).select("conv_id", "turn", "reply_to", F.col("up").alias("root"), F.col("far").alias("depth"))
     own = messages.select("conv_id", "turn", "role", own_text(F.col("text")).alias("text"))
