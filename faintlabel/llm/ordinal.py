@@ -72,7 +72,7 @@ class OrdinalModel:
         return 1 / (1 + np.exp(-np.clip(scores[:, None] - self.thresholds, -500, 500)))
 
 
-def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, levels: int, rounds: int = 150, l2: float = 1e-4, least: int = 3, rate: float = 0.1) -> OrdinalModel:
+def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, levels: int, rounds: int = 150, l2: float = 2e-3, least: int = 20, rate: float = 0.05) -> OrdinalModel:
     """Maximum likelihood with an L2 penalty by Adam over all rows; features of fewer than ``least`` rows are left out.
     Thresholds are a first one and positive steps, so they stay ordered."""
     flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
