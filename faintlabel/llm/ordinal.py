@@ -1,7 +1,8 @@
 """Quality by ordinal cumulative-link regression on hashed text.
 
 P(grade > k) = logistic(x.w - threshold_k), with one weight vector for all grades and ordered thresholds.  x marks which
-hashed features a text has: its words, their shapes, and how often words repeat at once.
+hashed features a text has: its words, their shapes and prefixes, prefixes of two words or more, and how often words
+repeat at once.  A feature takes part if a likelihood-ratio test on the labelled rows says that it tells grades apart.
 """
 
 from __future__ import annotations
@@ -10,19 +11,24 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faintlabel.llm.common import slices, stored, text_of, with_keys
+from faintlabel.llm.common import forget, slices, stored, text_of, with_keys
 from faintlabel.session import ship_package
 
 #: Hash places; wide, so that a rare word seldom falls on a telling one.
 PLACES = 1 << 22
 #: Words a worker remembers the features of; it starts anew when full.
 MEMORY = 300_000
+#: Lengths of the word prefixes that are features.
+PREFIXES = (4, 5, 6, 7)
+#: A feature of fewer labelled rows, or of a smaller likelihood ratio, takes no part.
+LEAST_ROWS, LEAST_RATIO = 5, 30.0
 _SHAPES = (re.compile(r"[a-zß-öø-ÿ]+"), "a"), (re.compile(r"[A-ZÀ-ÖØ-Þ]+"), "A"), (re.compile(r"[0-9]+"), "0")
 _EDGES = re.compile(r"^\W+|\W+$")
 
@@ -31,30 +37,58 @@ def _place(feature: str) -> int:
     return zlib.crc32(feature.encode()) % PLACES
 
 
+def _again(place: int) -> int:
+    """Place of the feature that two different words or more have the prefix of ``place``."""
+    return (place * 40_503 + 1) % PLACES
+
+
 class _Words(dict):
-    def __missing__(self, word: str) -> tuple[int, ...]:
+    """Places of a word's features: of itself and its shape, and of its prefixes.  With ``used``, flags of all places,
+    only features that a model uses; None where there are none."""
+
+    def __init__(self, used: np.ndarray | None = None):
+        super().__init__()
+        self.used = None if used is None else used.tobytes()
+
+    def __missing__(self, word: str) -> tuple[list[int], list[int]] | None:
         if len(self) >= MEMORY:
             self.clear()
-        shape = word[:40]
-        for pattern, sign in _SHAPES:
+        plain = word.isascii() and word.isalpha() and word.islower()
+        shape = "a" if plain else word[:40]
+        for pattern, sign in () if plain else _SHAPES:
             shape = pattern.sub(sign, shape)
-        found = (_place("w " + _EDGES.sub("", word).lower()), _place("s " + shape[:12]))
+        lower = word if plain else _EDGES.sub("", word).lower()
+        own = [_place("w " + lower), _place("s " + shape[:12])]
+        starts = [_place("p " + lower[:n]) for n in PREFIXES if len(lower) > n]
+        if self.used is not None:
+            own = [p for p in own if self.used[p]]
+            starts = [p for p in starts if self.used[p] or self.used[_again(p)]]
+        found = (own, starts) if own or starts else None
         if len(word) <= 64:
             self[word] = found
         return found
 
 
-_words = _Words()
+_all_words = _Words()
 
 
-def features_of(text: str) -> np.ndarray:
+def features_of(text: str, words: _Words = _all_words) -> np.ndarray:
     """Sorted places of the features that a whole text has; an empty text has one that says so."""
     split = text.split()
     if not split:
         return np.array([_place("empty")])
     distinct = set(split)
-    found = {p for w in distinct for p in _words[w]}
-    again = sum(a == b for a, b in zip(split, split[1:], strict=False)) / len(split)
+    found: set[int] = set()
+    starts: set[int] = set()
+    for own, prefixes in filter(None, map(words.__getitem__, distinct)):
+        found.update(own)
+        for place in prefixes:
+            if place in starts:
+                found.add(_again(place))
+            else:
+                starts.add(place)
+    found |= starts
+    again = sum(map(eq, split, split[1:])) / len(split)
     found.add(_place(f"adjacent {int(again * 20)}"))
     if len(split) >= 20:
         found.add(_place(f"distinct {int(10 * len(distinct) / len(split)) if len(split) < 2000 else 'long'}"))
@@ -72,16 +106,12 @@ class OrdinalModel:
         return 1 / (1 + np.exp(-np.clip(scores[:, None] - self.thresholds, -500, 500)))
 
 
-def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, levels: int, rounds: int = 150, l2: float = 2e-3, least: int = 20, rate: float = 0.05) -> OrdinalModel:
-    """Maximum likelihood with an L2 penalty by Adam over all rows; features of fewer than ``least`` rows are left out.
+def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, levels: int, rounds: int = 300, l2: float = 1e-3, rate: float = 0.05) -> OrdinalModel:
+    """Maximum likelihood with an L2 penalty by Adam over all rows.
     Thresholds are a first one and positive steps, so they stay ordered."""
     flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-    places, column, seen = np.unique(flat, return_inverse=True, return_counts=True)
-    used = seen >= least
-    number = np.cumsum(used) - 1
+    places, column = np.unique(flat, return_inverse=True)
     row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    keep = used[column]
-    row, column, places = row[keep], number[column[keep]], places[used]
     n, m, steps = len(rows), len(places), levels - 1
     share = np.array([(np.sum(grades <= k) + 0.5) / (n + 1) for k in range(steps)])
     start = np.log(share / (1 - share))
@@ -110,8 +140,45 @@ def graded(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").join(told, F.col("doc_id") == F.col("_doc")).select("doc_id", "text", grade.alias("grade"))
 
 
+def ratio(seen: list[Column], total: list[int]) -> Column:
+    """The largest likelihood ratio of a feature between a grade and all grades above it, from the rows with the feature per grade."""
+
+    def h(x: Column) -> Column:
+        return F.when(x > 0, x * F.log(x)).otherwise(0.0)
+
+    def tested(a: Column, b: Column, all_a: int, all_b: int) -> Column:
+        whole_a, whole_b = F.lit(all_a), F.lit(all_b)
+        parts = h(a) + h(b) + h(whole_a - a) + h(whole_b - b) + h(whole_a + whole_b)
+        return 2 * (parts - h(a + b) - h(whole_a + whole_b - a - b) - h(whole_a) - h(whole_b))
+
+    found = [tested(seen[k], sum(seen[k + 2 :], seen[k + 1]), total[k], sum(total[k + 1 :])) for k in range(len(seen) - 1)]
+    return F.greatest(*found) if len(found) > 1 else found[0]
+
+
+def telling(marked: DataFrame, levels: int) -> np.ndarray:
+    """Places of the features that tell grades apart; tasks count theirs in one array each, sums are added up by place."""
+    total = {r["grade"]: r["n"] for r in marked.groupBy("grade").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per grade
+    names = [f"n{k}" for k in range(levels)]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros((levels, PLACES), np.int32)
+        for batch in batches:
+            for grade, marks in zip(batch.column("grade").to_pylist(), batch.column("marks").to_pylist(), strict=True):
+                seen[grade, np.frombuffer(marks, "<i4")] += 1
+        at = np.flatnonzero(seen.any(0))
+        for some in np.array_split(at, max(1, len(at) // 50_000)):
+            yield pa.RecordBatch.from_arrays([pa.array(some), *(pa.array(n[some].astype(np.int64)) for n in seen)], names=["place", *names])
+
+    parts = marked.select("grade", "marks").mapInArrow(count, "place long, " + ", ".join(f"{n} long" for n in names))
+    sums = parts.groupBy("place").agg(*[F.sum(n).alias(n) for n in names])
+    enough = sum((F.col(n) for n in names[1:]), F.col(names[0])) >= LEAST_ROWS
+    chosen = sums.where(enough & (ratio([F.col(n) for n in names], [total.get(k, 0) for k in range(levels)]) >= LEAST_RATIO))
+    return np.array(sorted(r["place"] for r in chosen.select("place").collect()), np.int64)  # features of the bounded sample
+
+
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, levels: int = 3) -> OrdinalModel:
-    """Fits on a sample, by a hash of doc_id, of about ``max_rows`` labelled documents; one task fits it."""
+    """Fits on a sample, by a hash of doc_id, of about ``max_rows`` labelled documents; one task fits it, on the features
+    that ``telling`` has chosen."""
     ship_package(docs.sparkSession)
     there = labels.count()
     share = min(1.0, max_rows / max(there, 1))
@@ -121,15 +188,23 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, levels: in
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             marks = [features_of(t).astype("<i4").tobytes() for t in text_of(batch)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("grade"), pa.array(marks, pa.binary())], names=["doc_id", "grade", "marks"])
+            yield pa.RecordBatch.from_arrays([batch.column("grade"), pa.array(marks, pa.binary())], names=["grade", "marks"])
+
+    marked = stored(rows.mapInArrow(features, "grade int, marks binary"), "marked")
+    chosen = telling(marked, levels)
+
+    def only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            marks = [np.intersect1d(np.frombuffer(m, "<i4"), chosen, assume_unique=True).astype("<i4").tobytes() for m in batch.column("marks").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("grade"), pa.array(marks, pa.binary())], names=["grade", "marks"])
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = sorted((m, g) for b in batches for m, g in zip(b.column("marks").to_pylist(), b.column("grade").to_pylist(), strict=True))
         model = fit_ordinal([np.frombuffer(m, "<i4").astype(np.int64) for m, _ in got], np.array([g for _, g in got], np.int64), levels)
         yield pa.RecordBatch.from_arrays([pa.array([x.astype(k).tobytes()], pa.binary()) for x, k in ((model.places, "<i8"), (model.weights, "<f8"), (model.thresholds, "<f8"))], names=["p", "w", "t"])
 
-    marked = stored(rows.mapInArrow(features, with_keys(rows, ["doc_id", "grade"], "marks binary")), "marked")
-    found = marked.repartition(1).mapInArrow(fit, "p binary, w binary, t binary").first()
+    found = marked.mapInArrow(only, "grade int, marks binary").repartition(1).mapInArrow(fit, "p binary, w binary, t binary").first()
+    forget(marked)
     if found is None:
         return fit_ordinal([], np.zeros(0, np.int64), levels)
     return OrdinalModel(np.frombuffer(found["p"], "<i8"), np.frombuffer(found["w"], "<f8"), np.frombuffer(found["t"], "<f8"))
@@ -148,8 +223,11 @@ def score(docs: DataFrame, model: OrdinalModel, keys: list[str], least: float =
         own = sent.value
         dense = np.zeros(PLACES, np.float32)
         dense[own.places] = own.weights
+        used = np.zeros(PLACES, np.uint8)
+        used[own.places] = 1
+        words = _Words(used)
         for batch in slices(batches):
-            tails = own.tails(np.array([float(dense[features_of(t)].sum()) for t in text_of(batch, "_text")]))
+            tails = own.tails(np.array([float(dense[features_of(t, words)].sum()) for t in text_of(batch, "_text")]))
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), pa.array(tails.sum(1)), pa.array(tails[:, -1])], names=[*keys, "expected_grade", "tail"])
 
     given = docs.select(*keys, F.col("text").alias("_text"))
