@@ -8,10 +8,11 @@ repeat at once.  A feature takes part if a likelihood-ratio test on the labelled
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from operator import eq
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -24,17 +25,24 @@ from faintlabel.session import ship_package
 #: Hash places; wide, so that a rare word seldom falls on a telling one.
 PLACES = 1 << 22
 #: Words a worker remembers the features of; it starts anew when full.
-MEMORY = 300_000
+MEMORY = 500_000
 #: Lengths of the word prefixes that are features.
 PREFIXES = (4, 5, 6, 7)
 #: A feature of fewer labelled rows, or of a smaller likelihood ratio, takes no part.
 LEAST_ROWS, LEAST_RATIO = 5, 30.0
 _SHAPES = (re.compile(r"[a-zß-öø-ÿ]+"), "a"), (re.compile(r"[A-ZÀ-ÖØ-Þ]+"), "A"), (re.compile(r"[0-9]+"), "0")
+_LOWER, _TITLE = re.compile(r"[a-zß-öø-ÿ]+"), re.compile(r"[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+")
+_PREFIX, _WORD = crc32(b"p "), crc32(b"w ")
 _EDGES = re.compile(r"^\W+|\W+$")
 
 
 def _place(feature: str) -> int:
-    return zlib.crc32(feature.encode()) % PLACES
+    return crc32(feature.encode()) % PLACES
+
+
+@lru_cache(maxsize=10_000)
+def _shape_place(shape: str) -> int:
+    return _place("s " + shape)
 
 
 def _again(place: int) -> int:
@@ -53,16 +61,28 @@ class _Words(dict):
     def __missing__(self, word: str) -> tuple[list[int], list[int]] | None:
         if len(self) >= MEMORY:
             self.clear()
-        plain = word.isascii() and word.isalpha() and word.islower()
-        shape = "a" if plain else word[:40]
-        for pattern, sign in () if plain else _SHAPES:
-            shape = pattern.sub(sign, shape)
-        lower = word if plain else _EDGES.sub("", word).lower()
-        own = [_place("w " + lower), _place("s " + shape[:12])]
-        starts = [_place("p " + lower[:n]) for n in PREFIXES if len(lower) > n]
-        if self.used is not None:
-            own = [p for p in own if self.used[p]]
-            starts = [p for p in starts if self.used[p] or self.used[_again(p)]]
+        lower = word.lower() if word.isalpha() else _EDGES.sub("", word).lower()
+        if _LOWER.fullmatch(word):
+            shape = "a"
+        elif _TITLE.fullmatch(word):
+            shape = "Aa"
+        else:
+            shape = word[:40]
+            for pattern, sign in _SHAPES:
+                shape = pattern.sub(sign, shape)
+        own = [crc32(lower.encode(), _WORD) % PLACES, _shape_place(shape[:12])]
+        starts = []
+        if len(lower) > PREFIXES[0]:
+            done, at = _PREFIX, 0
+            for n in PREFIXES:  # each sum goes on from the one of the prefix before
+                if len(lower) <= n:
+                    break
+                done, at = crc32(lower[at:n].encode(), done), n
+                starts.append(done % PLACES)
+        used = self.used
+        if used is not None:
+            own = [p for p in own if used[p]]
+            starts = [p for p in starts if used[p] or used[(p * 40_503 + 1) % PLACES]]
         found = (own, starts) if own or starts else None
         if len(word) <= 64:
             self[word] = found
@@ -70,6 +90,18 @@ class _Words(dict):
 
 
 _all_words = _Words()
+#: The words of the model last used in this worker, by the model's digest.
+_model_words: dict[int, _Words] = {}
+
+
+def words_of(model: OrdinalModel) -> _Words:
+    key = crc32(model.places.tobytes())
+    if key not in _model_words:
+        used = np.zeros(PLACES, np.uint8)
+        used[model.places] = 1
+        _model_words.clear()
+        _model_words[key] = _Words(used)
+    return _model_words[key]
 
 
 def features_of(text: str, words: _Words = _all_words) -> np.ndarray:
@@ -223,9 +255,7 @@ def score(docs: DataFrame, model: OrdinalModel, keys: list[str], least: float =
         own = sent.value
         dense = np.zeros(PLACES, np.float32)
         dense[own.places] = own.weights
-        used = np.zeros(PLACES, np.uint8)
-        used[own.places] = 1
-        words = _Words(used)
+        words = words_of(own)
         for batch in slices(batches):
             tails = own.tails(np.array([float(dense[features_of(t, words)].sum()) for t in text_of(batch, "_text")]))
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), pa.array(tails.sum(1)), pa.array(tails[:, -1])], names=[*keys, "expected_grade", "tail"])
