@@ -223,7 +223,7 @@ def evaluate(df: DataFrame, features: FeatureSet, fit: Fit, w, inv_std=None, pat
 
 def _solver(fit: Fit, w0: np.ndarray, max_iter: int | None, tol: float | None, options: dict):
     if fit.kind == "hinge":
-        return subgradient(fit, w0, max_iter or 100, options.get("step", 1.0), 1e-3 if tol is None else tol)
+        return subgradient(fit, w0, options.get("svm_iterations", 100 if max_iter is None else max_iter), options.get("step", 1.0), 1e-3 if tol is None else tol)
     return lbfgs(
         fit, w0, 100 if max_iter is None else max_iter, 1e-4 if tol is None else tol,
         options.get("corrections", 10), options.get("max_evals"),

@@ -153,11 +153,12 @@ def run_cases(
     temporal: DataFrame | None = None,
     divergence: str = "kl",
     max_iter: int | None = None,
+    svm_iterations: int = 200,
     tol: float | None = None,
     hold: str = "auto",
     prediction_dir: str | None = None,
 ) -> Sweep:
-    """Fit and test all cases.
+    """Fit and test all cases.  ``max_iter`` is for the logistic fits, ``svm_iterations`` for the SVM baselines.
 
     ``temporal`` is an extra all-positive set on which detection rates are taken; with ``prediction_dir`` the
     predictions of the first label-regularized model per prior on it are kept as CSV.
@@ -166,7 +167,7 @@ def run_cases(
     columns = {c.train for c in cases} | {c.test for c in cases} | {x for x in (truth, fold_col) if x}
     with held(df.select(*sorted(columns), *features.inputs), hold, experiment) as rows:
         fitted = (
-            fit_many(rows, features, [p[4] for p in planned], hold="none", max_iter=max_iter, tol=tol) if planned else []
+            fit_many(rows, features, [p[4] for p in planned], hold="none", max_iter=max_iter, svm_iterations=svm_iterations, tol=tol) if planned else []
         )
         bayes = _bayes_models(rows, features, cases, fold_col)
         entries: list[tuple[Case, int | None, str, dict, LinearModel]] = [

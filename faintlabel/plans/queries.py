@@ -743,7 +743,7 @@ def cv_highconf(spark, d):
     return _nb_sweep(rows, cases, ["truth_auprc", "truth_precision"], "real_label")
 
 
-# ---- sweeps (parameter lists cut down to a few values each) --------------------------------------------------------
+# ---- sweeps over their whole parameter lists, folds and iterations -------------------------------------------------
 
 
 def _report(sweep: X.Sweep) -> DataFrame:
@@ -752,27 +752,25 @@ def _report(sweep: X.Sweep) -> DataFrame:
 
 @query
 def x_noise(spark, d):
-    return _report(X.noise_sweep(_labeled(spark, d), T.appsec_features(), (0.001, 0.02), reg_param=0.001, k=3, max_iter=40))
+    return _report(X.noise_sweep(_labeled(spark, d), T.appsec_features(), reg_param=0.001))
 
 
 @query
 def x_labeled_amount(spark, d):
     return _report(
-        X.labeled_amount_sweep(
-            _labeled(spark, d), T.appsec_features(), (0.1, 0.5), noise_levels=(0.001, 0.02), reg_param=0.001, k=3, max_iter=40
-        )
+        X.labeled_amount_sweep(_labeled(spark, d), T.appsec_features(), reg_param=0.001)
     )
 
 
 @query
 def x_lambdas(spark, d):
-    return _report(X.lambda_sweep(_labeled(spark, d), T.appsec_features(), (1, 100), (0.001, 1), k=3, max_iter=40))
+    return _report(X.lambda_sweep(_labeled(spark, d), T.appsec_features()))
 
 
 @query
 def x_temporal(spark, d):
     return _report(
-        X.temporal_sweep(_two_vintages(spark, d), T.appsec_features(), (0.01, 0.05), reg_param=0.001, k=3, max_iter=40)
+        X.temporal_sweep(_two_vintages(spark, d), T.appsec_features(), reg_param=0.001)
     )
 
 
@@ -780,7 +778,7 @@ def x_temporal(spark, d):
 def x_changed_train(spark, d):
     return _report(
         X.changed_training_sweep(
-            _two_vintages(spark, d), T.appsec_features(), p_tildes=(0.01, 0.05), lambda_us=(1, 5), reg_param=0.001, max_iter=40
+            _two_vintages(spark, d), T.appsec_features(), reg_param=0.001
         )
     )
 
@@ -790,8 +788,7 @@ def x_family(spark, d):
     df = L.label_2016(T.appsec(spark, d)).select("id", "family", "label", *FEATURES)
     return _report(
         X.family_sweep(
-            df.filter("label = 1"), df.filter("label = 0"), T.appsec_features(), (0.05, 0.1), reg_param=0.001,
-            benign_fraction=0.2, max_iter=40,
+            df.filter("label = 1"), df.filter("label = 0"), T.appsec_features(), reg_param=0.001
         )
     )
 
@@ -799,14 +796,14 @@ def x_family(spark, d):
 @query
 def x_highconf(spark, d):
     df = L.label_highconf_rest(T.appsec(spark, d)).select("id", "label", "real_label", *FEATURES)
-    return _report(X.highconf_sweep(df, T.appsec_features(), lambda_us=(1, 10), reg_param=0.001, max_iter=40))
+    return _report(X.highconf_sweep(df, T.appsec_features(), reg_param=0.001))
 
 
 @query
 def x_noisy_benign(spark, d):
     df = T.appsec(spark, d)
-    a = _report(X.noisy_benign_sweep(df, T.appsec_features(), (1, 6), lambda_us=(1,), reg_param=0.001, max_iter=40))
-    b = _report(X.noisy_benign_sweep(df, T.appsec_features(), (2, 8), "min_malware", lambda_us=(1,), reg_param=0.001, max_iter=40))
+    a = _report(X.noisy_benign_sweep(df, T.appsec_features(), reg_param=0.001))
+    b = _report(X.noisy_benign_sweep(df, T.appsec_features(), vary="min_malware", reg_param=0.001))
     return a.unionByName(b)
 
 
@@ -814,9 +811,9 @@ def x_noisy_benign(spark, d):
 def x_android(spark, d):
     df = T.appsec(spark, d)
     base = L.base_set(df).select("id", "label", *FEATURES)
-    one = _report(X.single_split(base, T.appsec_features(), reg_param=0.001, max_iter=40))
+    one = _report(X.single_split(base, T.appsec_features(), reg_param=0.001))
     more = _report(
-        X.unlabeled_sweep(base, T.appsec_features(), L.temporal_holdout(df), (0.001, 0.02), reg_param=0.001, max_iter=40)
+        X.unlabeled_sweep(base, T.appsec_features(), L.temporal_holdout(df), reg_param=0.001)
     )
     return one.unionByName(more)
 
