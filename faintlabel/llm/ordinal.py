@@ -2,7 +2,8 @@
 
 P(grade > k) = logistic(x.w - threshold_k), with one weight vector for all grades and ordered thresholds.  x marks which
 hashed features a text has: its words, their shapes and prefixes, prefixes of two words or more, and how often words
-repeat at once.  A feature takes part if a likelihood-ratio test on the labelled rows says that it tells grades apart.
+repeat at once.  A feature takes part if a likelihood-ratio test on the labelled rows says that it tells grades apart; the
+limit, twice the logarithm of how many features are tested, lets about one of them pass by chance.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from math import log
 from operator import eq
 from zlib import crc32
 
@@ -28,8 +30,8 @@ PLACES = 1 << 22
 MEMORY = 500_000
 #: Lengths of the word prefixes that are features.
 PREFIXES = (4, 5, 6, 7)
-#: A feature of fewer labelled rows, or of a smaller likelihood ratio, takes no part.
-LEAST_ROWS, LEAST_RATIO = 5, 30.0
+#: A feature of fewer labelled rows takes no part.
+LEAST_ROWS = 5
 _SHAPES = (re.compile(r"[a-zß-öø-ÿ]+"), "a"), (re.compile(r"[A-ZÀ-ÖØ-Þ]+"), "A"), (re.compile(r"[0-9]+"), "0")
 _LOWER, _TITLE = re.compile(r"[a-zß-öø-ÿ]+"), re.compile(r"[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+")
 _PREFIX, _WORD = crc32(b"p "), crc32(b"w ")
@@ -138,7 +140,7 @@ class OrdinalModel:
         return 1 / (1 + np.exp(-np.clip(scores[:, None] - self.thresholds, -500, 500)))
 
 
-def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, levels: int, rounds: int = 300, l2: float = 1e-3, rate: float = 0.05) -> OrdinalModel:
+def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, levels: int, rounds: int = 300, l2: float = 5e-4, rate: float = 0.05) -> OrdinalModel:
     """Maximum likelihood with an L2 penalty by Adam over all rows.
     Thresholds are a first one and positive steps, so they stay ordered."""
     flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
@@ -204,8 +206,11 @@ def telling(marked: DataFrame, levels: int) -> np.ndarray:
     parts = marked.select("grade", "marks").mapInArrow(count, "place long, " + ", ".join(f"{n} long" for n in names))
     sums = parts.groupBy("place").agg(*[F.sum(n).alias(n) for n in names])
     enough = sum((F.col(n) for n in names[1:]), F.col(names[0])) >= LEAST_ROWS
-    chosen = sums.where(enough & (ratio([F.col(n) for n in names], [total.get(k, 0) for k in range(levels)]) >= LEAST_RATIO))
-    return np.array(sorted(r["place"] for r in chosen.select("place").collect()), np.int64)  # features of the bounded sample
+    tested = stored(sums.where(enough).select("place", ratio([F.col(n) for n in names], [total.get(k, 0) for k in range(levels)]).alias("ratio")), "tested")
+    chosen = tested.where(F.col("ratio") >= 2 * log(max(tested.count(), 2)))
+    found = np.array(sorted(r["place"] for r in chosen.select("place").collect()), np.int64)  # features of the bounded sample
+    forget(tested)
+    return found
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, levels: int = 3) -> OrdinalModel:
