@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faintlabel.llm.common import SLICE, slices, text_of, with_keys
+from faintlabel.llm.common import SLICE, remembered, slices, text_of, with_keys
 from faintlabel.session import ship_package
 
 LEAF_BITS = 8
@@ -242,14 +242,8 @@ class Encoder:
             return b"".join([plain[u] for u in head]) + b"".join([spaced[u] for u in rest])
 
 
-_encoders: dict[tuple[int, str], Encoder] = {}
-
-
 def encoder(data: bytes, pattern: str) -> Encoder:
-    key = (zlib.crc32(data), pattern)
-    if key not in _encoders:
-        _encoders[key] = Encoder(data, pattern)
-    return _encoders[key]
+    return remembered(("bpe", zlib.crc32(data), pattern), lambda: Encoder(data, pattern))
 
 
 def encode(docs: DataFrame, keys: list[str], ranks_path: str, pattern: str) -> DataFrame:

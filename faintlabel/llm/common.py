@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -15,6 +16,19 @@ from faintlabel.session import new_folder, remove_folder
 SLICE = 256
 
 
+#: What this process remembers from task to task, for one operator at a time.
+_memory: dict[object, Any] = {}
+
+
+def remembered(key: object, make: Callable[[], Any]) -> Any:
+    """The memory named ``key`` of this worker, made when first asked for.  Spark uses its Python workers again for the
+    next operator, so what another one has left behind is dropped."""
+    if key not in _memory:
+        _memory.clear()
+        _memory[key] = make()
+    return _memory[key]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

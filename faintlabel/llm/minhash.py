@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faintlabel.llm.common import components, slices, stored, with_keys
+from faintlabel.llm.common import components, remembered, slices, stored, with_keys
 from faintlabel.session import ship_package
 
 COORDINATES = 64
@@ -46,9 +46,6 @@ class _Hashes(dict):
         return found
 
 
-_hashes = _Hashes()
-
-
 def match_threshold(percent: int, coordinates: int = COORDINATES, miss: float = MISS) -> int:
     """The largest T such that sets just similar enough agree in fewer than T coordinates with probability ``miss`` at most."""
     p, below = percent / 100, 0.0
@@ -71,7 +68,8 @@ def shingles_of(text: str | None, words: int) -> np.ndarray:
     split = (text or "").encode().lower().split()
     if not split:
         return np.zeros(0, np.uint64)
-    ids = np.array([_hashes[w] for w in split], np.uint64)
+    hashes = remembered("minhash", _Hashes)
+    ids = np.array([hashes[w] for w in split], np.uint64)
     size = min(words, len(ids))
     out = np.full(len(ids) - size + 1, size, np.uint64)
     for j in range(size):

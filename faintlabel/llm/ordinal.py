@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faintlabel.llm.common import forget, slices, stored, text_of, with_keys
+from faintlabel.llm.common import forget, remembered, slices, stored, text_of, with_keys
 from faintlabel.session import ship_package
 
 #: Hash places; wide, so that a rare word seldom falls on a telling one.
@@ -91,26 +91,23 @@ class _Words(dict):
         return found
 
 
-_all_words = _Words()
-#: The words of the model last used in this worker, by the model's digest.
-_model_words: dict[int, _Words] = {}
-
-
 def words_of(model: OrdinalModel) -> _Words:
-    key = crc32(model.places.tobytes())
-    if key not in _model_words:
+    """The words that this worker remembers for the model."""
+
+    def make() -> _Words:
         used = np.zeros(PLACES, np.uint8)
         used[model.places] = 1
-        _model_words.clear()
-        _model_words[key] = _Words(used)
-    return _model_words[key]
+        return _Words(used)
+
+    return remembered(("ordinal", crc32(model.places.tobytes())), make)
 
 
-def features_of(text: str, words: _Words = _all_words) -> np.ndarray:
+def features_of(text: str, words: _Words | None = None) -> np.ndarray:
     """Sorted places of the features that a whole text has; an empty text has one that says so."""
     split = text.split()
     if not split:
         return np.array([_place("empty")])
+    words = remembered("ordinal", _Words) if words is None else words
     distinct = set(split)
     found: set[int] = set()
     starts: set[int] = set()

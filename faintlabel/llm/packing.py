@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from faintlabel.llm.common import SLICE, bucket_count, ranked, running, slices, stored, text_of, with_keys
+from faintlabel.llm.common import SLICE, bucket_count, ranked, remembered, running, slices, stored, text_of, with_keys
 from faintlabel.session import ship_package
 
 CAPACITY = 4096
@@ -107,14 +107,8 @@ class WordEncoder:
             return b"".join([known[w] for w in words])
 
 
-_encoders: dict[int, WordEncoder] = {}
-
-
 def word_encoder(data: bytes) -> WordEncoder:
-    key = zlib.crc32(data)
-    if key not in _encoders:
-        _encoders[key] = WordEncoder(data)
-    return _encoders[key]
+    return remembered(("packing", zlib.crc32(data)), lambda: WordEncoder(data))
 
 
 def encode_pieces(docs: DataFrame, keys: list[str], tokenizer_path: str, end_id: int, capacity: int = CAPACITY, spans: str | None = None) -> DataFrame:
