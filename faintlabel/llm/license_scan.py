@@ -45,21 +45,32 @@ RULES = [
     ("CC-BY-4.0", ["CcBy4"]),
     ("CC-BY-SA-4.0", ["CcBySa4"]),
 ]
-#: Sentences end at a line's end, or at one of .!?;: before a blank.
+#: Fragments end at a line's end, or at one of .!?;: before a blank; a known sentence is one or several fragments in a row.
 BREAKS = r"\n|[.!?;:][ \t\r\n]"
-#: Each known sentence has one of these; a sentence without them needs no look-up.
+#: What may stand before a line's first word besides signs: a list mark such as "1)" or "(b)", or a word that opens a comment.
+MARKS = r"(?md)^[^a-z0-9\n]*(?:(?:[0-9]{1,2}|[a-z]|[ivx]{2,4})\)|rem|dnl)[ \t]"
+#: Each known sentence has one of these; a text without them needs no look-up.
 KEYWORDS = "licens|permission|copyright|warrant|redistribut"
 
 
-def normalised(sentence: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " "))
+def fragments(text: Column) -> Column:
+    """The text's words, lower case, with one blank between two and a newline before, between and after the fragments."""
+    broken = F.regexp_replace(F.regexp_replace(F.lower(text), MARKS, ""), BREAKS, "\n")
+    words = F.regexp_replace(F.regexp_replace(broken, "[^a-z0-9\n]+", " "), " ?\n[ \n]*", "\n")
+    return F.concat(F.lit("\n"), F.btrim(words, F.lit(" \n")), F.lit("\n"))
 
 
 def identifiers(text: Column) -> Column:
-    """The identifiers of a text's known sentences, in order."""
+    """The identifiers of a text's known sentences, in order; of two that begin at one place the longer.
+
+    A sentence may be wrapped or broken anywhere between two words, but begins and ends with a fragment.
+    """
     known = F.create_map(*[F.lit(x) for name, words in SENTENCES.items() for x in (words, name)])
-    sentences = F.filter(F.split(text, BREAKS), lambda s: F.lower(s).rlike(KEYWORDS))
-    return F.filter(F.transform(sentences, lambda s: known[normalised(s)]), lambda x: x.isNotNull())
+    longest_first = sorted(SENTENCES.values(), key=len, reverse=True)
+    pattern = r"\n(" + "|".join(words.replace(" ", r"[ \n]") for words in longest_first) + r")(?=\n)"
+    found = F.regexp_extract_all(fragments(text), F.lit(pattern), F.lit(1))
+    found = F.when(F.lower(text).rlike(KEYWORDS), found).otherwise(F.array().cast("array<string>"))
+    return F.transform(found, lambda s: known[F.translate(s, "\n", " ")])
 
 
 def scan(docs: DataFrame, keys: list[str]) -> DataFrame:

@@ -237,6 +237,101 @@ def test_licenses_of_full_texts(spark, odd):
     assert license_scan.scan(odd, ["doc_id", "label"]).where("licenses = 'CC-BY-NC-4.0'").count() == 1
 
 
+#: Official notices as they are usually wrapped.
+NOTICES = {
+    "MIT": '''MIT License
+
+Copyright (c) 2024 A. Writer
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY.
+''',
+    "BSD-2-Clause": '''Copyright (c) 2024, A. Writer
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED.
+''',
+    "Apache-2.0": '''Copyright 2024 A. Writer
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+''',
+    "GPL-3.0-or-later": '''Copyright (C) 2024  A. Writer
+
+This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License
+along with this program.  If not, see <https://www.gnu.org/licenses/>.
+''',
+}
+
+
+@pytest.mark.parametrize("name", sorted(NOTICES))
+def test_licenses_of_wrapped_notices(spark, name):
+    lines = NOTICES[name].split("\n")
+    texts = {"plain": NOTICES[name], "crlf": "\r\n".join(lines)}
+    texts |= {sign: "\n".join(sign + x for x in lines) for sign in ("# ", " * ", "// ", "dnl ")}
+    texts["marks"] = NOTICES[name].replace("1. ", "(a) ").replace("2. ", "2) ")
+    texts["narrow"] = "\n".join("\n".join(x.split(" ")) for x in lines)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id string, text string")
+    got = {r["doc_id"]: (r["licenses"], r["unmatched"]) for r in license_scan.scan(docs, ["doc_id"]).collect()}
+    assert got == {k: (name, 0) for k in texts}
+
+
+def test_licenses_of_one_line(spark):
+    """A notice on a line of its own, and one that stops before its end."""
+    notice = " ".join(NOTICES["GPL-3.0-or-later"].split("\n\n", 1)[1].split())
+    docs = spark.createDataFrame([(1, notice), (2, notice[:200])], "doc_id long, text string")
+    got = {r["doc_id"]: r["licenses"] for r in license_scan.scan(docs, ["doc_id"]).collect()}
+    assert got == {1: "GPL-3.0-or-later", 2: ""}
+
+
+def test_longer_license_sentence_is_taken(spark):
+    text = "Licensed under the Apache License, Version 2.0\n(the \"License\");\n\nReleased under the MIT License"
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert license_scan.scan(docs, ["doc_id"]).first()["sentences"] == "ApacheGrant,MitShort"
+
+
 def test_quality_rules_base_columns(odd, small):
     for docs in (odd, small):
         for r in quality_rules.judge(docs, ["doc_id", "text"]).collect():
