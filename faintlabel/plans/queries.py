@@ -831,7 +831,7 @@ def x_rank_committee(spark, d):
 
 @query
 def x_bag_dropping(spark, d):
-    return _committee_report(C.bag_dropping(_bit_classes(spark, d), T.vector_features(), "mim", 20, shares=(1.0, 0.5)))
+    return _committee_report(C.bag_dropping(_bit_classes(spark, d), T.vector_features()))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

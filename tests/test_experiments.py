@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from inspect import signature
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -82,6 +84,27 @@ def test_bag_dropping_reports_every_share(spark):
     assert {r["fold"] for r in out} == {0, 1}
 
 
+def asked_for(monkeypatch) -> list[dict]:
+    """What the committee queries ask for, filled while they run."""
+    asked, run, shape = [], C.rank_committee, signature(C.rank_committee)
+
+    def spied(*args, **options):
+        given = shape.bind(*args, **options)
+        given.apply_defaults()
+        asked.append(given.arguments)
+        return run(*args, **options)
+
+    monkeypatch.setattr(C, "rank_committee", spied)
+    return asked
+
+
+def test_bag_dropping_query_takes_all_shares_and_features(spark, monkeypatch):
+    asked = asked_for(monkeypatch)
+    out = QUERIES["x_bag_dropping"](spark, SMALL).collect()
+    assert {r["share"] for r in out} == {str(s) for s in C.BAG_SHARES} and len(C.BAG_SHARES) == 5
+    assert [a["k"] >= T.VECTOR_SIZE for a in asked] == [True]
+
+
 def test_contract():
     assert entry_module.queries().keys() == QUERIES.keys()
     assert entry_module.oracle_sql().keys() == ORACLE.keys()
