@@ -826,7 +826,7 @@ def _committee_report(df: DataFrame) -> DataFrame:
 
 @query
 def x_rank_committee(spark, d):
-    return _committee_report(C.rank_committee(_bit_classes(spark, d), T.vector_features(), "mim", 20, svm_iterations=25))
+    return _committee_report(C.rank_committee(_bit_classes(spark, d), T.vector_features()))
 
 
 @query

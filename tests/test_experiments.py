@@ -105,6 +105,13 @@ def test_bag_dropping_query_takes_all_shares_and_features(spark, monkeypatch):
     assert [a["k"] >= T.VECTOR_SIZE for a in asked] == [True]
 
 
+def test_rank_committee_query_takes_all_steps_and_features(spark, monkeypatch):
+    asked = asked_for(monkeypatch)
+    out = QUERIES["x_rank_committee"](spark, SMALL).collect()
+    assert {r["features"] for r in out} == {"merged", "base", "random"}
+    assert [(a["k"] >= T.VECTOR_SIZE, a["svm_iterations"]) for a in asked] == [(True, 100)]
+
+
 def test_contract():
     assert entry_module.queries().keys() == QUERIES.keys()
     assert entry_module.oracle_sql().keys() == ORACLE.keys()
