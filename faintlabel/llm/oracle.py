@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from faintlabel.llm import secret_scan
 from faintlabel.llm.license_scan import KEYWORDS, RULES, SENTENCES
 
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -65,9 +66,60 @@ SELECT m.conv_id, m.turn, m.role, w.reply_to, w.root, w.depth,
 FROM m LEFT JOIN walk w ON m.conv_id = w.conv_id AND m.turn = w.turn"""
 
 
+def _spelling() -> str:
+    """CRC-32 byte by byte from its table; words as ASCII, so that an edit of a letter is one of a byte."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    accented = "".join(map(chr, range(0xC0, 0x100)))
+    single = "".join(c for c in map(chr, range(33, 127)) if c not in lower)[:64]
+    pair = f"levenshtein(translate(a.word, {_quoted(accented)}, {_quoted(single)}), translate(b.word, {_quoted(accented)}, {_quoted(single)})) = 1"
+    return f"""
+WITH RECURSIVE crc AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce([1, 2, 3, 4, 5, 6, 7, 8], lambda c, j:
+          CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i::BIGINT) AS v FROM range(256) r(i))),
+runs AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), '{upper}', '{lower}') AS run FROM documents WHERE text IS NOT NULL),
+each AS (SELECT doc_id, run, count(*) AS n FROM runs GROUP BY ALL),
+raw AS (SELECT run, n, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS x FROM each),
+marked AS (SELECT run, n, xor(list_reduce(list_transform(range(length(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT), lambda c, b:
+          xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) AS h FROM raw, crc),
+slipped AS (SELECT CASE WHEN h % 199 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM marked),
+v AS (SELECT word, sum(n)::BIGINT AS n FROM slipped WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+near AS (SELECT a.word, b.word AS other, b.n AS other_n FROM v a JOIN v b ON a.word <> b.word AND abs(length(a.word) - length(b.word)) <= 1
+         AND (left(a.word, length(a.word) // 2 - 1) = left(b.word, length(a.word) // 2 - 1)
+              OR right(a.word, length(a.word) // 2 - 1) = right(b.word, length(a.word) // 2 - 1)) AND {pair}),
+best AS (SELECT *, count(*) OVER (PARTITION BY word) AS n_near, row_number() OVER (PARTITION BY word ORDER BY other_n DESC, encode(other)) AS place FROM near),
+told AS (SELECT v.word, v.n, coalesce(b.n_near, 0)::BIGINT AS n_near, CASE WHEN b.other_n >= 5 * v.n THEN b.other END AS form,
+                CASE WHEN b.other_n >= 5 * v.n THEN b.other_n END AS form_n FROM v LEFT JOIN best b ON v.word = b.word AND b.place = 1),
+walk AS (SELECT word, word AS at FROM told UNION ALL SELECT w.word, t.form FROM walk w JOIN told t ON t.word = w.at WHERE t.form IS NOT NULL)
+SELECT told.word, told.form, w.at AS root, told.n, told.n_near, told.form_n
+FROM told JOIN walk w USING (word) JOIN told last ON last.word = w.at WHERE last.form IS NULL"""
+
+
+def _secrets() -> str:
+    """Places from the lengths of what lies between the matches."""
+    steps, names = [], []
+    for place, rule in enumerate(secret_scan.RULES):
+        pattern = _quoted(rule.pattern)
+        measured = f"length(regexp_extract(unnest(m), {pattern}, {rule.group}))" if rule.group else "length(unnest(m))"
+        steps.append(f"""
+k{place} AS (SELECT doc_id, regexp_split_to_array(text, {pattern}) AS g, regexp_extract_all(text, {pattern}) AS m FROM d WHERE regexp_matches(text, {pattern})),
+l{place} AS (SELECT doc_id, unnest(g[:len(m)]) AS gap, unnest(m) AS hit, unnest(range(len(m))) AS i, {measured} AS size FROM k{place}),
+s{place} AS (SELECT doc_id, {place} AS place, '{rule.name}' AS kind, size, (sum(length(gap) + length(hit)) OVER (PARTITION BY doc_id ORDER BY i))::BIGINT AS stop, length(hit) AS width FROM l{place})""")
+        names.append(f"SELECT doc_id, place, kind, stop - width AS start, stop FROM s{place} WHERE size >= {rule.least}")
+    base = ", ".join(_quoted(r.name) for r in secret_scan.BASE_RULES)
+    counts = ", ".join(f"count(*) FILTER (kind = '{r.name}') AS n_{r.name}" for r in secret_scan.BASE_RULES)
+    told = "kind || ':' || start || ':' || stop"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),{",".join(steps)},
+spans AS ({" UNION ALL ".join(names)}),
+found AS (SELECT doc_id, {counts}, coalesce(string_agg({told}, ',' ORDER BY start, place) FILTER (kind IN ({base})), '') AS base, string_agg({told}, ',' ORDER BY start, place) AS spans FROM spans GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN found f ON d.doc_id = f.doc_id"""
+
+
 ORACLE: dict[str, str] = {
     "op3_cover_tree": _top_k(),
     "op6_warc": _warc(),
     "op7_license_scan": _licenses(),
     "op9_quotes": _quotes(),
+    "op11_spelling": _spelling(),
+    "op12_secret_scan": _secrets(),
 }

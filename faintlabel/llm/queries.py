@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import zlib
+from collections import Counter
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faintlabel.llm import bpe, cover_tree, kd_shards, license_scan, minhash, ordinal, packing, quality_rules, quotes, warc
+from faintlabel.llm import bpe, cover_tree, kd_shards, license_scan, minhash, ordinal, packing, periodic, quality_rules, quotes, secret_scan, spelling, warc
 from faintlabel.llm.common import table
 from faintlabel.llm.oracle import ORACLE
 from faintlabel.session import new_folder
@@ -73,6 +75,61 @@ def op9_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes.conversations(quotes.as_mailbox(table(spark, sf_dir, "conversations")))
 
 
+def _mistyped(counts: Counter, doc_id: int | None) -> None:
+    """The contract's spelling slips: one letter of a run is left out where 199 divides the CRC of doc_id and run."""
+    start = zlib.crc32(b"" if doc_id is None else b"%d" % doc_id)
+    start = zlib.crc32(b":", start)
+    for word in [w for w in counts if zlib.crc32(w.encode(), start) % 199 == 0]:
+        at = zlib.crc32(word.encode(), start) % len(word)
+        counts[word[:at] + word[at + 1 :]] += counts.pop(word)
+
+
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spelling variants of the words of all documents; a null doc_id counts as no digits before the colon."""
+    words = spelling.vocabulary(table(spark, sf_dir, "documents"), alter=_mistyped)
+    return spelling.variants(words).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as versions in a new ledger, and the findings of every document."""
+    told = secret_scan.scan_versions(table(spark, sf_dir, "documents"), ["doc_id"])
+    base = [r.name for r in secret_scan.BASE_RULES]
+    counts = [F.expr(f"cast(size(filter(spans, s -> s.kind = '{k}')) as bigint) as n_{k}") for k in base]
+    of_base = F.filter("spans", lambda s: s["kind"].isin(*base))
+    return told.select("doc_id", *counts, F.sha2(secret_scan.told(of_base).cast("binary"), 256).alias("base_sha256"), secret_scan.told(F.col("spans")).alias("spans"))
+
+
+def looped(docs: DataFrame) -> DataFrame:
+    """doc_id and text; where 10 divides the CRC of doc_id the words from some place on repeat in a period, both drawn from
+    that CRC.  A null doc_id leaves its text as it is."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    split = F.filter(F.split("text", "[ \\x09-\\x0D]+"), lambda w: w != "")
+    drawn = docs.select("doc_id", "text", F.when(h % 10 == 0, split).alias("_w"), F.floor(h / 10).alias("_g"))
+    drawn = drawn.withColumn("_n", F.size("_w").cast("long"))
+    drawn = drawn.withColumn("_a", F.when(F.col("_n") > 0, F.col("_g") % F.col("_n")))
+    drawn = drawn.withColumn("_p", F.expr("1 + (_n - _a) div (3 + _g % 8)"))
+    repeated = F.expr("array_join(transform(sequence(0L, _n - 1), i -> element_at(_w, cast(if(i >= _a, _a + (i - _a) % _p, i) as int) + 1)), ' ')")
+    return drawn.select("doc_id", F.when(F.col("_n") > 0, repeated).otherwise(F.col("text")).alias("text"))
+
+
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of four periods and six words or more in every document."""
+    found = periodic.find_runs(looped(table(spark, sf_dir, "documents")), ["doc_id"])
+    # quotients of word counts under 2**26 differ as doubles wherever they differ
+    best = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"] / r["period"]).alias("o"), r["start"], r["period"], r["length"])))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    return found.withColumn("_b", best).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        F.col("_b.start").alias("start"),
+        F.col("_b.length").alias("length"),
+        F.col("_b.period").alias("period"),
+        F.expr("1000 * _b.length div _b.period").alias("exponent_milli"),
+        F.sha2(lines.cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_minhash": op2_minhash,
@@ -84,6 +141,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_quotes": op9_quotes,
     "op10_kd_shards": op10_kd_shards,
+    "op11_spelling": op11_spelling,
+    "op12_secret_scan": op12_secret_scan,
+    "op13_runs": op13_runs,
 }
 
 __all__ = ["ORACLE", "QUERIES"]
