@@ -54,6 +54,15 @@ def feature_blocks(batch: pa.RecordBatch, features: FeatureSet):
         yield slice(0, batch.num_rows), DenseBlock(x)
         return
     column = batch.column(features.packed)
+    if features.is_entries:
+        lengths = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        col = column.flatten().cast(pa.int64()).to_numpy(zero_copy_only=False)
+        value = _floats(batch.column(features.values).flatten())
+        if col.size and not 0 <= col.min() <= col.max() < features.size:
+            raise ValueError(f"indices must be from 0 to {features.size - 1}")
+        row = np.repeat(np.arange(batch.num_rows), lengths)
+        yield slice(0, batch.num_rows), SparseBlock(row, col, value, batch.num_rows, features.size)
+        return
     if pa.types.is_struct(column.type):
         yield from _vector_blocks(column, features.size)
         return

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from faintlabel.learning.models import LinearModel
 from faintlabel.operators.bags import Bagging, share_over_bags
-from faintlabel.operators.features import FeatureSet, nonzero_long
+from faintlabel.operators.features import FeatureSet, laid_out, nonzero_long
 
 
 def label_sums(df: DataFrame, features: FeatureSet, keys: Sequence[str], label: str = "label") -> DataFrame:
@@ -28,17 +28,16 @@ def label_sums(df: DataFrame, features: FeatureSet, keys: Sequence[str], label:
     entries = nonzero_long(df, features, groups)
     value = F.when(F.col("value") < 0, F.raise_error("Naive Bayes needs features >= 0")).otherwise(F.col("value"))
     cells = entries.groupBy(*groups, "feature").agg(F.sum(value.cast("double")).alias("s"))
-    # One map entry per feature that occurs, never per row.
-    maps = cells.groupBy(*groups).agg(
-        F.map_from_entries(F.collect_list(F.struct("feature", "s"))).alias("_m")
-    )
-    dense = F.transform(F.sequence(F.lit(0), F.lit(features.size - 1)), lambda i: F.coalesce(F.col("_m")[i], F.lit(0.0)))
+    # One entry per feature that occurs, never per row.
+    packed = cells.groupBy(*groups).agg(F.sort_array(F.collect_list(F.struct("feature", "s"))).alias("_e"))
+    none = F.array().cast("array<struct<feature: int, s: double>>")
+    dense = laid_out(F.col("_e.feature"), F.col("_e.s"), features.size)
     counts = df.groupBy(*groups).agg(F.count("*").alias("n"))
     same = [F.col(f"a.{g}").eqNullSafe(F.col(f"b.{g}")) for g in groups]
     return (
         counts.alias("a")
-        .join(maps.alias("b"), same, "left")
-        .select(*[F.col(f"a.{g}").alias(g) for g in groups], "n", F.coalesce("_m", F.create_map().cast("map<int,double>")).alias("_m"))
+        .join(packed.alias("b"), same, "left")
+        .select(*[F.col(f"a.{g}").alias(g) for g in groups], "n", F.coalesce("_e", none).alias("_e"))
         .select(*groups, "n", dense.alias("sums"))
     )
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from faintlabel.functions.scalar import sigmoid, weighted_sum
 from faintlabel.learning.batches import feature_blocks
-from faintlabel.operators.features import FeatureSet, sparse_entries
+from faintlabel.operators.features import FeatureSet
 from faintlabel.session import ship_package
 
 # Above this many multiply-adds one generated method gets too large for the JIT compiler; Arrow batches take over.
@@ -101,8 +101,8 @@ def margin_columns(df: DataFrame, features: FeatureSet, w: np.ndarray, b: np.nda
     """Margin expressions of a few models: flat sums if they stay small, else array folds."""
     if features.is_wide and w.size <= CODEGEN_TERMS:
         return [weighted_sum(features.scalars(df), row, bias) for row, bias in zip(w, b)]
-    if features.is_vector(df):
-        stored = sparse_entries(features.packed)
+    stored = features.stored(df)
+    if stored is not None:
         return [
             F.aggregate(stored, F.lit(float(bias)), _add_entry(F.lit([float(v) for v in row]))) for row, bias in zip(w, b)
         ]

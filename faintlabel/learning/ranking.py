@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from faintlabel.functions.scalar import xlog2x
 from faintlabel.learning.fits import Fit
+from faintlabel.learning.pairs import Marginals, PairTable, marginals_of, pair_cells, pair_sums
 from faintlabel.learning.training import Fitted, fit_many
 from faintlabel.operators.bags import Bagging, share_over_bags
 from faintlabel.operators.features import ROW_MARK, FeatureSet, nonzero_long
@@ -118,21 +119,20 @@ def entropy_sums(
         F.sum(_sum([xlog2x(c) for c in counts])).alias("sxy"),
         *[F.sum(c).alias(c) for c in ns],
     )
-    # One entry per feature and group, as many as a model has weights.
-    entry = F.struct("sx", "sxy", *ns)
-    packed = per_feature.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("feature", entry))).alias("_m"))
-    rows = packed.select(
-        *keys,
-        F.col("_m")[ROW_MARK].alias("_t"),
-        F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(features.size - 1)), lambda i: F.col("_m")[i])).alias("feature", "_e"),
+    per_feature = settled(per_feature)  # groups x features rows
+    total = per_feature.filter(F.col("feature") == ROW_MARK).select(*keys, *[F.col(c).alias(f"_t{i}") for i, c in enumerate(ns)])
+    every = total.withColumn("feature", F.explode(F.sequence(F.lit(0), F.lit(features.size - 1))))
+    same = [F.col(f"t.{c}").eqNullSafe(F.col(f"e.{c}")) for c in keys] + [F.col("t.feature") == F.col("e.feature")]
+    rows = every.alias("t").join(per_feature.alias("e"), same, "left").select(
+        *[F.col(f"t.{c}").alias(c) for c in keys], F.col("t.feature").alias("feature"), "sx", "sxy", *ns, *[f"_t{i}" for i in range(len(ns))]
     )
-    totals = [F.col(f"_t.{c}") for c in ns]
-    zeros = [t - F.coalesce(F.col(f"_e.{c}"), F.lit(0)) for t, c in zip(totals, ns)]
+    totals = [F.col(f"_t{i}") for i in range(len(ns))]
+    zeros = [t - F.coalesce(F.col(c), F.lit(0)) for t, c in zip(totals, ns)]
     return rows.select(
         *keys,
         "feature",
-        (F.coalesce("_e.sx", F.lit(0.0)) + xlog2x(_sum(zeros))).alias("s_x"),
-        (F.coalesce("_e.sxy", F.lit(0.0)) + _sum([xlog2x(z) for z in zeros])).alias("s_xy"),
+        (F.coalesce("sx", F.lit(0.0)) + xlog2x(_sum(zeros))).alias("s_x"),
+        (F.coalesce("sxy", F.lit(0.0)) + _sum([xlog2x(z) for z in zeros])).alias("s_xy"),
         _sum(totals).alias("n_all"),
         _sum([xlog2x(t) for t in totals]).alias("s_y"),
     )
@@ -153,7 +153,7 @@ def mi_relevance(
     return relevance_of_sums(entropy_sums(df, features, labels, keys, label, shared), keys)
 
 
-def pair_sums(df: DataFrame, features: FeatureSet, z: Column, labels: list[float], keys: list[str] | None = None,
+def pair_sums_with(df: DataFrame, features: FeatureSet, z: Column, labels: list[float], keys: list[str] | None = None,
               label: str = "label") -> DataFrame:
     """(keys, feature, d_xz, d_xzy): what S_xz and S_xzy of a feature exceed S_z and S_zy by.
 
@@ -194,7 +194,7 @@ def mi_redundancy(
     labels = labels or label_values(df, label)
     base = settled(entropy_sums(df, features, labels, label=label))  # one row per feature
     chosen = base.filter(F.col("feature") == selected).first()
-    pairs = pair_sums(df, features, features.at(df, selected), labels, label=label)
+    pairs = pair_sums_with(df, features, features.at(df, selected), labels, label=label)
     n, s_z, s_zy = F.col("n_all"), F.lit(chosen["s_x"]), F.lit(chosen["s_xy"])
     s_xz, s_xzy = s_z + F.coalesce("d_xz", F.lit(0.0)), s_zy + F.coalesce("d_xzy", F.lit(0.0))
     mi = F.log2(n.cast("double")) + (s_xz - F.col("s_x") - s_z) / n
@@ -210,15 +210,19 @@ def _first_best(score: np.ndarray, valid: np.ndarray) -> int:
     return int(np.flatnonzero(valid & (score >= best - 1e-12 * max(1.0, abs(best))))[0])
 
 
+#: Pairs of features, over all groups, whose redundancies the driver holds at once; beyond that each pick counts its own.
+MOST_PAIRS = 2_000_000
+
+
 def greedy_ranking(
     df: DataFrame, features: FeatureSet, criterion: str | dict, k: int, beta: float = 1.0, label: str = "label",
     group: str | None = None, labels: list[float] | None = None, hold: str = "auto",
 ) -> DataFrame:
-    """(group, rank, feature, score) of a forward search; one counting job per selected feature serves all groups.
+    """(group, rank, feature, score) of a forward search in every group; with groups, ``criterion`` may name one per group.
 
-    Each round needs the redundancy of the feature picked last with all others, so the driver holds one number per
-    group and feature and the data never move.  With groups, ``criterion`` may name one per group.  Stops early when
-    the candidates run out.
+    One pass counts all pairs of features, after which the search needs no more data.  Where the pairs would be too many
+    for the driver, each pick is one counting job for all groups; the ranks are the same.  Stops early when the
+    candidates run out.
     """
     for c in criterion.values() if isinstance(criterion, dict) else [criterion]:
         if c not in CRITERIA:
@@ -226,33 +230,41 @@ def greedy_ranking(
     if not 0 < k <= features.size:
         raise ValueError(f"k must be in 1..{features.size}, got {k}")
     keep = list(dict.fromkeys([*([group] if group else []), label, *features.inputs]))
-    with held(df.select(*keep), hold, "ranking") as rows:
-        picks = _search(rows, features, criterion, k, beta, label, group, labels or label_values(rows, label))
+    rows = df.select(*keep)
+    labels = labels or label_values(rows, label)
+    groups = 1 if group is None else len(criterion) if isinstance(criterion, dict) else rows.select(group).distinct().count()
+    if features.size**2 * groups <= MOST_PAIRS:
+        table = PairTable(rows, features, labels, label, group)
+        relevance = {g: m.relevance() for g, m in table.marginals.items()}
+        picks = _search(relevance, criterion, k, beta, lambda last: {g: (table.mi[g][z], table.cmi[g][z]) for g, z in last.items()})
+    else:
+        with held(rows, hold, "ranking") as rows:
+            relevance, redundancy = _counted_per_pick(rows, features, label, group, labels)
+            picks = _search(relevance, criterion, k, beta, redundancy)
     out = [(None if g is None else int(g), r + 1, f, s) for g in picks for r, (f, s) in enumerate(picks[g])]
     frame = df.sparkSession.createDataFrame(out, "grp int, rank int, feature int, score double")
     return frame.withColumnRenamed("grp", group) if group else frame.drop("grp")
 
 
-def _search(rows, features, criterion, k, beta, label, group, labels) -> dict[object, list[tuple[int, float]]]:
-    keys = [group] if group else []
-    size = features.size
-    stats: dict[object, dict] = {}
-    for r in entropy_sums(rows, features, labels, keys, label).collect():  # groups x features rows
-        s = stats.setdefault(
-            r[group] if group else None, {"s_x": np.zeros(size), "s_xy": np.zeros(size), "n": r["n_all"], "s_y": r["s_y"]}
-        )
-        s["s_x"][r["feature"]], s["s_xy"][r["feature"]] = r["s_x"], r["s_xy"]
-    rule = {g: CRITERIA[criterion[g] if isinstance(criterion, dict) else criterion] for g in stats}
-    pools, valid, picks = {}, {}, {g: [] for g in stats}
-    for g, s in stats.items():
-        rel = np.maximum(math.log2(s["n"]) + (s["s_xy"] - s["s_x"] - s["s_y"]) / s["n"], 0.0)
-        pools[g] = Pool(rel, *(np.zeros(size) for _ in range(4)), 0)
-        valid[g] = np.ones(size, dtype=bool)
+def _search(
+    relevance: dict[object, np.ndarray], criterion: str | dict, k: int, beta: float,
+    redundancy: Callable[[dict[object, int]], dict[object, tuple[np.ndarray, np.ndarray]]],
+) -> dict[object, list[tuple[int, float]]]:
+    """The picks of every group; ``redundancy`` gives I(X;Z) and I(X;Z|Y) of all features with each group's last pick Z."""
+    rule = {g: CRITERIA[criterion[g] if isinstance(criterion, dict) else criterion] for g in relevance}
+    pools = {g: Pool(r, *(np.zeros(r.size) for _ in range(4)), 0) for g, r in relevance.items()}
+    valid = {g: np.ones(r.size, dtype=bool) for g, r in relevance.items()}
+    picks: dict[object, list[tuple[int, float]]] = {g: [] for g in relevance}
     only_relevance = all(f is CRITERIA["mim"] for f in rule.values())
     for step in range(k):
         if step and not only_relevance:
-            _update_pools(rows, features, labels, label, group, {g: p[-1][0] for g, p in picks.items()}, stats, pools)
-        for g in stats:
+            for g, (mi, cmi) in redundancy({g: p[-1][0] for g, p in picks.items()}).items():
+                p, excess = pools[g], mi - cmi
+                pools[g] = Pool(
+                    p.relevance, p.sum_mi + mi, p.sum_cmi + cmi, p.sum_excess + np.maximum(excess, 0.0),
+                    np.maximum(p.max_excess, excess), p.picked + 1,
+                )
+        for g in relevance:
             if valid[g].any():
                 score = rule[g](pools[g], beta)
                 i = _first_best(score, valid[g])
@@ -261,26 +273,112 @@ def _search(rows, features, criterion, k, beta, label, group, labels) -> dict[ob
     return picks
 
 
-def _update_pools(rows, features, labels, label, group, last, stats, pools) -> None:
-    """Add the redundancies with the feature each group picked last."""
+def _counted_per_pick(rows: DataFrame, features: FeatureSet, label: str, group: str | None, labels: list[float]):
+    """Relevance of all features per group, and the redundancies with given features by one counting job for all groups."""
     keys = [group] if group else []
-    if group:
-        index = F.create_map(*[F.lit(v) for g, i in last.items() for v in (int(g), int(i))])
-        z = features.at(rows, index[F.col(group)])
-    else:
-        z = features.at(rows, last[None])
-    got = {g: np.zeros((2, features.size)) for g in stats}
-    for r in pair_sums(rows, features, z, labels, keys, label).collect():  # groups x features rows
-        got[r[group] if group else None][:, r["feature"]] = r["d_xz"], r["d_xzy"]
-    for g, (d_xz, d_xzy) in got.items():
-        s, i, p = stats[g], last[g], pools[g]
-        mi = np.maximum(math.log2(s["n"]) + (d_xz - s["s_x"]) / s["n"], 0.0)
-        cmi = np.maximum((d_xzy - s["s_xy"] + s["s_y"]) / s["n"], 0.0)
-        excess = mi - cmi
-        pools[g] = Pool(
-            p.relevance, p.sum_mi + mi, p.sum_cmi + cmi, p.sum_excess + np.maximum(excess, 0.0),
-            np.maximum(p.max_excess, excess), p.picked + 1,
+    size = features.size
+    stats: dict[object, dict] = {}
+    for r in entropy_sums(rows, features, labels, keys, label).collect():  # groups x features rows
+        s = stats.setdefault(
+            r[group] if group else None, {"s_x": np.zeros(size), "s_xy": np.zeros(size), "n": r["n_all"], "s_y": r["s_y"]}
         )
+        s["s_x"][r["feature"]], s["s_xy"][r["feature"]] = r["s_x"], r["s_xy"]
+
+    def redundancy(last: dict[object, int]) -> dict[object, tuple[np.ndarray, np.ndarray]]:
+        if group:
+            index = rows.sparkSession.createDataFrame([(int(g), int(i)) for g, i in last.items()], f"{group} int, _last int")
+            with_last = rows.join(F.broadcast(index), group)  # one row per group
+            got = pair_sums_with(with_last, features, features.at(with_last, F.col("_last")), labels, keys, label)
+        else:
+            got = pair_sums_with(rows, features, features.at(rows, last[None]), labels, keys, label)
+        d = {g: np.zeros((2, size)) for g in stats}
+        for r in got.collect():  # groups x features rows
+            d[r[group] if group else None][:, r["feature"]] = r["d_xz"], r["d_xzy"]
+        out = {}
+        for g, (d_xz, d_xzy) in d.items():
+            s = stats[g]
+            mi = np.maximum(math.log2(s["n"]) + (d_xz - s["s_x"]) / s["n"], 0.0)
+            out[g] = mi, np.maximum((d_xzy - s["s_xy"] + s["s_y"]) / s["n"], 0.0)
+        return out
+
+    relevance = {g: np.maximum(math.log2(s["n"]) + (s["s_xy"] - s["s_x"] - s["s_y"]) / s["n"], 0.0) for g, s in stats.items()}
+    return relevance, redundancy
+
+
+@dataclass(frozen=True)
+class LazyRanking:
+    """A ranking, and what it cost: (feature, pick) pairs brought up to date and counting jobs."""
+
+    ranking: DataFrame
+    refreshed: int
+    jobs: int
+
+
+def lazy_cmim(
+    df: DataFrame, features: FeatureSet, k: int, heads: int = 16, label: str = "label", labels: list[float] | None = None, hold: str = "auto",
+) -> LazyRanking:
+    """(rank, feature, score) by conditional mutual information maximisation, for many features.
+
+    A feature's score falls with every pick or stays.  Each feature keeps its score over the picks it has been compared
+    with, which bounds its score over all; only the features whose bound could still win are brought up to date,
+    ``heads`` of them in one counting job over their columns alone.  Ranks and scores equal those of the full search.
+    """
+    if not 0 < k <= features.size:
+        raise ValueError(f"k must be in 1..{features.size}, got {k}")
+    rows = df.select(*dict.fromkeys([label, *features.inputs]))
+    labels = labels or label_values(rows, label)
+    with held(rows, hold, "ranking") as rows:
+        return _lazy_search(rows, features, k, heads, label, labels)
+
+
+def _lazy_search(rows: DataFrame, features: FeatureSet, k: int, heads: int, label: str, labels: list[float]) -> LazyRanking:
+    classes = len(labels)
+    cells = settled(marginal_cells(rows, features, labels, label))
+    known = marginals_of(cells, features.size, classes)[None]
+    bound = known.relevance()
+    relevance, worst = bound.copy(), np.zeros(features.size)
+    seen, valid = np.zeros(features.size, np.int64), np.ones(features.size, bool)
+    picks: list[tuple[int, float]] = []
+    refreshed = jobs = 0
+    while len(picks) < k:
+        fresh = valid & (seen == len(picks))
+        least = bound[fresh].max() if fresh.any() else -np.inf
+        stale = np.flatnonzero(valid & ~fresh & (bound >= least - 1e-9))
+        if len(stale):
+            chosen = stale[np.argsort(-bound[stale], kind="stable")[:heads]]
+            wanted = [(f, z) for f in chosen.tolist() for z, _ in picks[seen[f] :]]
+            for (f, _), excess in zip(wanted, _excesses(rows, features, labels, label, cells, known, wanted), strict=True):
+                worst[f] = max(worst[f], excess)
+            seen[chosen] = len(picks)
+            bound[chosen] = relevance[chosen] - worst[chosen]
+            refreshed, jobs = refreshed + len(wanted), jobs + 1
+            continue
+        best = _first_best(bound, fresh)
+        valid[best] = False
+        picks.append((best, float(bound[best])))
+    out = rows.sparkSession.createDataFrame([(r + 1, f, s) for r, (f, s) in enumerate(picks)], "rank int, feature int, score double")
+    return LazyRanking(out, refreshed, jobs)
+
+
+def marginal_cells(rows: DataFrame, features: FeatureSet, labels: list[float], label: str = "label") -> DataFrame:
+    """The cells of every feature with itself, and the rows, as ``pairs.pair_cells`` gives them."""
+    counted = nonzero_long(rows, features, [label], mark_rows=True).groupBy("feature", "value").agg(*_per_label(labels, label))
+    a, u = F.col("feature"), F.col("value")
+    return counted.select(a.alias("a"), u.alias("u"), a.alias("b"), u.alias("v"), *[f"n{i}" for i in range(len(labels))])
+
+
+def _excesses(rows, features, labels, label, marginals: DataFrame, known: Marginals, wanted: list[tuple[int, int]]) -> np.ndarray:
+    """I(X;Z) - I(X;Z|Y) of the given pairs (x, z)."""
+    classes = len(labels)
+    x, z = np.array(wanted).T
+    cells = pair_cells(rows, features, labels, label, left=sorted(set(x.tolist())), right=sorted(set(z.tolist())))
+    of = marginals.where(F.col("a").isin(sorted({*x.tolist(), *z.tolist()})))
+    met = {(r["a"], r["b"]): r for r in pair_sums(cells, of, classes).collect()}  # heads x picks rows
+    got = [met.get((min(p), max(p))) for p in wanted]
+    e, ey = (np.array([0.0 if r is None else r[c] for r in got]) for c in ("e", "ey"))
+    both = np.array([[0 if r is None else r[f"m{i}"] for i in range(classes)] for r in got])
+    mi, cmi = known.redundancy(x, z, e, ey, both)
+    return mi - cmi
 
 
 def top_features(scores: DataFrame, k: int, score: str = "mi") -> DataFrame:

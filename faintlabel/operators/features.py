@@ -1,7 +1,8 @@
 """Feature columns: assembly, subsets, checks, moments and the long form.
 
-A feature set is either *wide* (a list of numeric column names) or *packed* (one ARRAY<DOUBLE> or vector column).
-Wide sets let Catalyst prune and vectorise; packed sets suit hundreds of dimensions or sparse rows.
+A feature set is *wide* (a list of numeric column names), *packed* (one ARRAY<DOUBLE> or vector column) or *entries* (a
+column of ascending indices and one of the values there; the other features are 0).  Wide sets let Catalyst prune and
+vectorise; packed sets suit hundreds of dimensions; entries cost what a row stores, whatever the width.
 """
 
 from __future__ import annotations
@@ -21,11 +22,13 @@ from faintlabel.functions.scalar import rounded
 
 @dataclass(frozen=True)
 class FeatureSet:
-    """Where the features of a row are: ``columns`` if wide, ``packed`` otherwise; ``size`` dimensions."""
+    """Where the features of a row are: ``columns`` if wide, ``packed`` otherwise, the indices with ``values`` for entries;
+    ``size`` dimensions."""
 
     size: int
     columns: tuple[str, ...] = ()
     packed: str = ""
+    values: str = ""
 
     @staticmethod
     def wide(columns: Sequence[str]) -> FeatureSet:
@@ -35,22 +38,45 @@ class FeatureSet:
     def in_column(name: str, size: int) -> FeatureSet:
         return FeatureSet(size, (), name)
 
+    @staticmethod
+    def entries(indices: str, values: str, size: int) -> FeatureSet:
+        return FeatureSet(size, (), indices, values)
+
     @property
     def is_wide(self) -> bool:
         return bool(self.columns)
 
+    @property
+    def is_entries(self) -> bool:
+        return bool(self.values)
+
     @property
     def inputs(self) -> list[str]:
         """Columns a scan must deliver."""
-        return list(self.columns) if self.is_wide else [self.packed]
+        return list(self.columns) if self.is_wide else [self.packed, self.values] if self.is_entries else [self.packed]
 
     def is_vector(self, df: DataFrame) -> bool:
-        return not self.is_wide and isinstance(df.schema[self.packed].dataType, VectorUDT)
+        return not self.is_wide and not self.is_entries and isinstance(df.schema[self.packed].dataType, VectorUDT)
+
+    def stored(self, df: DataFrame) -> Column | None:
+        """ARRAY<STRUCT<feature, value>> of what a sparse row stores; None for the other forms."""
+        if self.is_entries:
+            return F.zip_with(self.packed, self.values, lambda i, x: F.struct(i.cast("int").alias("feature"), x.cast("double").alias("value")))
+        return sparse_entries(self.packed) if self.is_vector(df) else None
+
+    def listed(self, df: DataFrame) -> Column:
+        """ARRAY<STRUCT<feature, value>> of every form; zeros may be left out."""
+        stored = self.stored(df)
+        if stored is not None:
+            return stored
+        return F.transform(self.array(df), lambda x, i: F.named_struct(F.lit("feature"), i, F.lit("value"), x.cast("double")))
 
     def array(self, df: DataFrame) -> Column:
         """Dense ARRAY<DOUBLE> of all features."""
         if self.is_wide:
             return F.array(*[F.col(c).cast("double") for c in self.columns])
+        if self.is_entries:
+            return laid_out(F.col(self.packed), F.col(self.values), self.size)
         return vector_to_array(F.col(self.packed)) if self.is_vector(df) else F.col(self.packed)
 
     def scalars(self, df: DataFrame) -> list[Column]:
@@ -65,9 +91,9 @@ class FeatureSet:
         if self.is_wide and isinstance(index, int):
             return F.col(self.columns[index]).cast("double")
         i = F.lit(index) if isinstance(index, int) else index
-        if self.is_vector(df):
-            stored = F.filter(sparse_entries(self.packed), lambda e: e["feature"] == i)
-            return F.coalesce(F.get(stored, F.lit(0))["value"], F.lit(0.0))
+        stored = self.stored(df)
+        if stored is not None:
+            return F.coalesce(F.get(F.filter(stored, lambda e: e["feature"] == i), F.lit(0))["value"], F.lit(0.0))
         return F.element_at(self.array(df), (i + 1).cast("int"))
 
 
@@ -204,8 +230,8 @@ def nonzero_long(df: DataFrame, features: FeatureSet, keys: Sequence[str], mark_
         entries = F.array(
             *[F.struct(F.lit(i).alias("feature"), c.alias("value")) for i, c in enumerate(features.scalars(df))]
         )
-    elif features.is_vector(df):
-        entries = sparse_entries(features.packed)
+    elif (stored := features.stored(df)) is not None:
+        entries = stored
     else:
         entries = F.transform(
             F.col(features.packed), lambda x, i: F.struct(i.alias("feature"), x.cast("double").alias("value"))
@@ -220,6 +246,15 @@ def nonzero_long(df: DataFrame, features: FeatureSet, keys: Sequence[str], mark_
     )
 
 
+def laid_out(indices: Column, values: Column, size: int) -> Column:
+    """Dense ARRAY<DOUBLE> from ascending indices and the values there, in time of the width."""
+    before = lambda k: F.coalesce(F.get(indices, k - 1), F.lit(-1))
+    gap = lambda i, k: F.array_repeat(F.lit(0.0), (i - before(k) - 1).cast("int"))
+    filled = F.flatten(F.transform(indices, lambda i, k: F.concat(gap(i, k), F.array(F.get(values, k).cast("double")))))
+    rest = F.lit(size - 1) - F.coalesce(F.get(indices, F.size(indices) - 1), F.lit(-1))
+    return F.concat(filled, F.array_repeat(F.lit(0.0), rest.cast("int")))
+
+
 def sparse_entries(vector_col: str) -> Column:
     """ARRAY<STRUCT<feature, value>> of the stored entries of a vector column; dense rows give all entries."""
     v = F.unwrap_udt(F.col(vector_col))

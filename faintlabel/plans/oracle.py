@@ -163,9 +163,9 @@ put(
 )
 put(
     "libsvm_roundtrip",
-    f"{LAB}, f AS (SELECT *, {hash32('id', 11)} % 3 AS fold FROM lab)",
-    f"""SELECT 'fold-' || CAST(i + 1 AS VARCHAR) || '-of-3_' || CASE WHEN fold = i THEN 'test' ELSE 'train' END AS part,
-      id, label, {F_LIST} FROM f CROSS JOIN range(3) t(i)""",
+    f"{LAB}, f AS (SELECT *, {hash32('id', 11)} AS h FROM lab), parts AS (SELECT k, unnest(range(k)) AS i FROM (VALUES (3), (5)) t(k))",
+    f"""SELECT 'fold-' || CAST(i + 1 AS VARCHAR) || '-of-' || CAST(k AS VARCHAR) || '_' || CASE WHEN h % k = i THEN 'test' ELSE 'train' END AS part,
+      id, label, {F_LIST} FROM f CROSS JOIN parts""",
 )
 put(
     "save_predictions",
@@ -371,35 +371,48 @@ def top(source: str, score: str, k: int) -> str:
 
 put("mim_topk", f"{BITS}, {bits_long()}, {relevance()}", top("rel", "mi", 10))
 
-# Scores of the third pick from relevance and the redundancies with the first two; the second pick uses one of them.
+# Scores after ``step`` picks: rel, and of I(X;Z) and I(X;Z|Y) with the picks Z the sums (m, c), the sum of what the first
+# exceeds the second by (e, not below 0 each) and the most of it (x, not below 0).
 CRITERIA = {
-    "mifs": ("mi0 - m1", "mi0 - m1 - m2"),
-    "jmi": ("mi0 - (m1 - c1)", "mi0 - ((m1 - c1) + (m2 - c2)) / 2"),
-    "mrmr": ("mi0 - m1", "mi0 - (m1 + m2) / 2"),
-    "icap": ("mi0 - greatest(m1 - c1, 0)", "mi0 - greatest(m1 - c1, 0) - greatest(m2 - c2, 0)"),
-    "cmim": ("mi0 - greatest(m1 - c1, 0)", "mi0 - greatest(m1 - c1, m2 - c2, 0)"),
-    "if": ("mi0 - (m1 - c1)", "mi0 - (m1 - c1) - (m2 - c2)"),
+    "mifs": "rel - m",
+    "jmi": "rel - (m - c) / step",
+    "mrmr": "rel - m / step",
+    "icap": "rel - e",
+    "cmim": "rel - x",
+    "if": "rel - (m - c)",
 }
-
-
-def best(score: str, source: str, rank: int, name: str) -> str:
-    return f"""
-{name} AS (SELECT CAST({rank} AS BIGINT) AS rank, feature, {score} AS score FROM {source} ORDER BY round({score}, 12) DESC, feature LIMIT 1)"""
-
-
-for _name, (_two, _three) in CRITERIA.items():
-    put(
-        f"rank_{_name}",
-        f"""{BITS}, {bits_long()}, {relevance()}, {best('mi', 'rel', 1, 's1')},
-{redundancy('SELECT feature FROM s1', 'r1')},
-p1 AS (SELECT feature, rel.mi AS mi0, r1.mi AS m1, r1.cmi AS c1 FROM rel JOIN r1 USING (feature) WHERE feature NOT IN (SELECT feature FROM s1)),
-{best(_two, 'p1', 2, 's2')},
-{redundancy('SELECT feature FROM s2', 'r2')},
-p2 AS (SELECT feature, mi0, m1, c1, r2.mi AS m2, r2.cmi AS c2 FROM p1 JOIN r2 USING (feature) WHERE feature NOT IN (SELECT feature FROM s2)),
-{best(_three, 'p2', 3, 's3')}""",
-        "SELECT rank, CAST(feature AS BIGINT) AS feature, "
-        f"{r6('score')} AS score FROM (SELECT * FROM s1 UNION ALL SELECT * FROM s2 UNION ALL SELECT * FROM s3)",
-    )
+PAIRS = """
+pc AS (SELECT a.feature, b.feature AS other, a.value AS x, b.value AS z, a.label AS y, CAST(count(*) AS DOUBLE) AS n
+  FROM long a JOIN long b USING (id) WHERE a.feature <> b.feature GROUP BY ALL),
+pm AS (SELECT feature, other, greatest(sum(n / nn * log2(n * nn / (nx * nz))), 0) AS mi FROM (
+  SELECT feature, other, n, sum(n) OVER (PARTITION BY feature, other, x) AS nx, sum(n) OVER (PARTITION BY feature, other, z) AS nz,
+    sum(n) OVER (PARTITION BY feature, other) AS nn FROM (SELECT feature, other, x, z, sum(n) AS n FROM pc GROUP BY ALL)) GROUP BY ALL),
+py AS (SELECT feature, other, greatest(sum(n / nn * log2(n * ny / (nxy * nzy))), 0) AS cmi FROM (
+  SELECT feature, other, n, sum(n) OVER (PARTITION BY feature, other, x, y) AS nxy, sum(n) OVER (PARTITION BY feature, other, z, y) AS nzy,
+    sum(n) OVER (PARTITION BY feature, other, y) AS ny, sum(n) OVER (PARTITION BY feature, other) AS nn FROM pc) GROUP BY ALL),
+pairs AS MATERIALIZED (SELECT feature, other, mi, cmi FROM pm JOIN py USING (feature, other))"""
+
+
+def greedy(score: str) -> str:
+    """All ranks: each step adds the pairs with the best feature left to the sums of the others."""
+    return f"""RECURSIVE {BITS.lstrip()}, {bits_long()}, {relevance()}, {PAIRS},
+it(step, feature, rel, m, c, e, x, score) AS (
+  SELECT 0, feature, mi, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, mi FROM rel
+  UNION ALL
+  SELECT *, {score} FROM (
+    SELECT step + 1 AS step, t.feature, rel, m + mi AS m, c + cmi AS c, e + greatest(mi - cmi, 0) AS e, greatest(x, mi - cmi) AS x
+    FROM (SELECT *, first_value(feature) OVER (ORDER BY round(score, 12) DESC, feature) AS best FROM it) t
+    JOIN pairs p ON p.feature = t.feature AND p.other = t.best))"""
+
+
+for _name, _score in CRITERIA.items():
+    for _query in (f"rank_{_name}", *(["rank_cmim_lazy"] if _name == "cmim" else [])):
+        put(
+            _query,
+            greedy(_score),
+            f"""SELECT CAST(step + 1 AS BIGINT) AS rank, CAST(feature AS BIGINT) AS feature, {r6('score')} AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY step ORDER BY round(score, 12) DESC, feature) AS place FROM it) WHERE place = 1""",
+        )
 
 _bag_rel = f"{BIT_CLASSES}, {bags()}, {bits_long('bagged', extra='bag_id, label')}, {relevance(key='bag_id')}"
 put(

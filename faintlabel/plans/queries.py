@@ -74,15 +74,14 @@ def scan_appsec(spark, d):
 @query
 def arff_sparse(spark, d):
     """Sign bits written as sparse text (attribute 0 is the class) and read back."""
-    from pyspark.ml.functions import array_to_vector
-
     path = new_folder(spark, "sparse-arff")
-    padded = array_to_vector(F.concat(F.array(F.lit(0.0)), F.col("features")))
-    arff.write_sparse(T.bits(spark, d).select("label", padded.alias("features")), path)
+    arff.write_sparse(T.bits(spark, d), path, T.vector_features())
     rows, names = arff.read_sparse(spark, path)
-    fs = FE.FeatureSet.in_column("features", len(names))
-    counts = FE.unpivot(rows, fs, ["label"]).groupBy("label", "feature").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
-    return counts.filter("feature > 0").select("label", big("feature"), big("n"), "total")
+    fs = arff.sparse_features(names)
+    totals = FE.nonzero_long(rows, fs, ["label"], mark_rows=True).groupBy("label", "feature").agg(F.sum("value").alias("total"))
+    sizes = totals.filter(F.col("feature") == FE.ROW_MARK).select("label", F.col("total").cast("bigint").alias("n"))
+    every = sizes.withColumn("feature", F.explode(F.sequence(F.lit(1), F.lit(fs.size - 1))))
+    return every.join(totals, ["label", "feature"], "left").select("label", big("feature"), "n", F.coalesce("total", F.lit(0.0)).alias("total"))
 
 
 @query
@@ -110,19 +109,16 @@ def genome_scan(spark, d):
 
 @query
 def libsvm_roundtrip(spark, d):
-    """Folds exported as text with the row key as feature 0, then read back."""
+    """Train and test text of three and of five folds with the row key as feature 0, then read back."""
     base = new_folder(spark, "folds")
-    rows = FE.assemble(S.kfold_assign(_labeled(spark, d), 3, 11), FEATURES, ["id", "fold", "label"])
-    paths = libsvm.write_folds(rows, base, 3)
-    parts = []
-    for p in paths:
-        name = p.rsplit("/", 1)[1].removesuffix(".libsvm")
-        parts.append(libsvm.read_libsvm(spark, p, len(FEATURES) + 1).withColumn("part", F.lit(name)))
-    read = parts[0]
-    for p in parts[1:]:
-        read = read.unionByName(p)
-    x = FE.FeatureSet.in_column("features", len(FEATURES) + 1).array(read)
-    return read.select("part", x[0].cast("bigint").alias("id"), "label", *[x[i + 1].cast("int").alias(c) for i, c in enumerate(FEATURES)])
+    rows = _labeled(spark, d)
+    for k in (3, 5):
+        rows = S.kfold_assign(rows, k, 11, col=f"fold{k}")
+    libsvm.write_folds(rows, T.appsec_features(), base, {3: "fold3", 5: "fold5"}, "id")
+    read = libsvm.read_parts(spark, base)
+    x = FE.FeatureSet.entries("indices", "values", len(FEATURES) + 1).array(read)
+    laid = read.select("part", "label", x.alias("x"))
+    return laid.select("part", F.col("x")[0].cast("bigint").alias("id"), "label", *[F.col("x")[i + 1].cast("int").alias(c) for i, c in enumerate(FEATURES)])
 
 
 @query
@@ -378,7 +374,8 @@ def mim_topk(spark, d):
 
 def _rank_query(criterion: str):
     def run(spark, d):
-        out = R.greedy_ranking(T.bits(spark, d), T.vector_features(), criterion, 3, labels=BINARY)
+        fs = T.vector_features()
+        out = R.greedy_ranking(T.bits(spark, d), fs, criterion, fs.size, labels=BINARY)
         return out.select(big("rank"), big("feature"), dbl("score"))
 
     return run
@@ -388,6 +385,13 @@ for _c in ("mifs", "jmi", "mrmr", "icap", "cmim", "if"):
     QUERIES[f"rank_{_c}"] = _rank_query(_c)
 
 
+@query
+def rank_cmim_lazy(spark, d):
+    """The ranking of rank_cmim with the scores brought up to date only where they could win."""
+    fs = T.vector_features()
+    return R.lazy_cmim(T.bits(spark, d), fs, fs.size, labels=BINARY).ranking.select(big("rank"), big("feature"), dbl("score"))
+
+
 def _bag_relevance(spark, d) -> DataFrame:
     bagging = B.assign_bags(_bit_classes(spark, d), 7)
     return R.mi_relevance(bagging.rows, T.vector_features(), ["bag_id"], labels=[0.0, 1.0], shared=bagging)

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.ml.functions import array_to_vector
-from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from faintlabel.operators.features import FeatureSet
+
 # Fixed values of the file format.
 SPARSE_POSITIVE = "malware"
 DENSE_POSITIVE = "high_mal"
@@ -40,10 +41,10 @@ def _sampled(df: DataFrame, sample: float) -> DataFrame:
 
 
 def read_sparse(spark: SparkSession, path: str, sample: float = 1.0) -> tuple[DataFrame, list[str]]:
-    """(label, features) with sparse vectors, and the attribute names.
+    """(label, indices, values) and the attribute names: the stored entries of every row, by ascending index.
 
     Attribute 0 is the class.  A row is positive if any of its values is the positive token.  Blanks around an
-    entry are ignored.
+    entry are ignored.  ``sparse_features(names)`` tells where the features are; nothing is as wide as the header.
     """
     names = attribute_names(spark, path)
     rows = spark.read.text(path).filter(F.col("value").startswith("{") & (F.length("value") > 2))
@@ -62,17 +63,12 @@ def read_sparse(spark: SparkSession, path: str, sample: float = 1.0) -> tuple[Da
         F.when(F.exists("e", lambda e: e[1] == SPARSE_POSITIVE), 1.0).otherwise(0.0).alias("label"),
         numbers.alias("n"),
     )
-    return parsed.select("label", sparse_vector(len(names))("n.i", "n.v").alias("features")), names
-
+    return parsed.select("label", F.col("n.i").alias("indices"), F.col("n.v").alias("values")), names
 
-def sparse_vector(size: int):
-    """Vector from parallel index and value arrays (index order); Spark has no built-in for it."""
 
-    @F.udf(VectorUDT())
-    def build(i, v):
-        return SparseVector(size, i, v)
-
-    return build
+def sparse_features(names: list[str]) -> FeatureSet:
+    """Where ``read_sparse`` leaves the features; attribute 0, the class, is never stored."""
+    return FeatureSet.entries("indices", "values", len(names))
 
 
 def read_dense(spark: SparkSession, path: str, sample: float = 1.0) -> tuple[DataFrame, list[str]]:
@@ -100,20 +96,16 @@ def read_families(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def write_sparse(df: DataFrame, path: str, label: str = "label", features: str = "features") -> None:
-    """Header and sparse rows; the class is entry 0, shown only for positives."""
-    from faintlabel.operators.features import sparse_entries
-
-    size = len(df.select(features).first()[0])
-    spark = df.sparkSession
-    header = ["@attribute class {benign,malware}"] + [f"@attribute f{i} numeric" for i in range(1, size)]
+def write_sparse(df: DataFrame, path: str, features: FeatureSet, label: str = "label") -> None:
+    """Header and sparse rows: the class is entry 0, shown only for positives, and feature i is attribute i + 1."""
+    header = ["@attribute class {benign,malware}"] + [f"@attribute f{i + 1} numeric" for i in range(features.size)]
     entries = F.transform(
-        F.filter(sparse_entries(features), lambda e: (e["value"] != 0) & (e["feature"] > 0)),
-        lambda e: F.concat(e["feature"].cast("string"), F.lit(" "), e["value"].cast("string")),
+        F.filter(features.listed(df), lambda e: e["value"] != 0),
+        lambda e: F.concat((e["feature"] + 1).cast("string"), F.lit(" "), e["value"].cast("string")),
     )
     cls = F.when(F.col(label) == 1, F.array(F.lit("0 malware"))).otherwise(F.array().cast("array<string>"))
     body = F.concat(F.lit("{"), F.array_join(F.concat(cls, entries), ", "), F.lit("}"))
-    spark.createDataFrame([("\n".join(header),)], ["value"]).coalesce(1).write.mode("append").text(path)
+    df.sparkSession.createDataFrame([("\n".join(header),)], ["value"]).coalesce(1).write.mode("append").text(path)
     df.select(body.alias("value")).write.mode("append").text(path)
 
 

@@ -268,6 +268,28 @@ def test_large_committees_are_counted_in_blocks(rows, monkeypatch):
     assert got.filter("n > 0").exceptAll(want).count() == 0
 
 
+def test_entries_equal_wide_columns(rows):
+    """Fits, Naive Bayes, scores, moments and the dense form from index and value arrays."""
+    from faintlabel.operators import features as FE
+
+    kept = F.filter(F.transform(WIDE.array(rows), lambda x, i: F.struct(i.alias("i"), x.alias("v"))), lambda e: e["v"] != 0)
+    sparse = rows.select("id", "label", "fold", kept.alias("_e")).select("id", "label", "fold", F.col("_e.i").alias("at"), F.col("_e.v").alias("there")).cache()
+    fs = FeatureSet.entries("at", "there", D)
+    a, b = ({r["label"]: list(r["sums"]) for r in label_sums(df, f, []).collect()} for df, f in ((rows, WIDE), (sparse, fs)))
+    assert a == b
+    m = LinearModel(tuple(W), -0.2).without_threshold()
+    x = rows.select("id", F.round(m.predict(rows, WIDE), 9).alias("s"), WIDE.at(rows, 4).alias("x"), WIDE.array(rows).alias("d"))
+    y = sparse.select("id", F.round(m.predict(sparse, fs), 9).alias("s"), fs.at(sparse, 4).alias("x"), fs.array(sparse).alias("d"))
+    assert x.exceptAll(y).count() == 0
+    s, t = ({r["feature"]: r["std"] for r in FE.feature_std(df, f).collect()} for df, f in ((rows, WIDE), (sparse, fs)))
+    assert s == pytest.approx(t)
+    p, q = (fit_label_regularized(df, f, 0.05, 1.0, reg_param=0.001, max_iter=4).model.weights for df, f in ((rows, WIDE), (sparse, fs)))
+    assert p == pytest.approx(q, abs=1e-8)
+    bad = FeatureSet.entries("at", "there", 3)
+    with pytest.raises(Exception, match="indices must be"):
+        fit_label_regularized(sparse, bad, 0.05, 1.0, max_iter=1)
+
+
 def test_sparse_vectors_equal_wide_columns(rows, vector_rows):
     """Scores, lookups, moments and masks go through the stored entries of sparse rows."""
     from faintlabel.operators import features as FE

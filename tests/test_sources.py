@@ -26,7 +26,7 @@ def test_sparse_rows_with_and_without_blanks(spark, folder):
     ]
     rows, names = arff.read_sparse(spark, write(spark, folder, lines))
     assert names == ["class", "f1", "f2"]
-    got = {(r["label"], tuple(r["features"].toArray())) for r in rows.collect()}
+    got = {(r["label"], tuple(r["x"])) for r in rows.withColumn("x", arff.sparse_features(names).array(rows)).collect()}
     assert got == {(1.0, (0.0, 0.0, 1.5)), (0.0, (0.0, 2.0, 3.0)), (1.0, (0.0, 4.0, 0.0))}
 
 
@@ -62,6 +62,39 @@ def test_libsvm_prepends_the_key(spark, folder):
     assert (r["label"], list(r["features"].toArray())) == (1.0, [7.0, 2.0, 0.0])
 
 
+def test_sparse_text_is_as_long_as_its_entries(spark, folder):
+    """A row of a table of a million features is read and written by its entries."""
+    size = 1_000_000
+    rows = spark.createDataFrame([(1.0, [5, 999_999], [2.5, 1.0]), (0.0, [], []), (0.0, [7], [0.0])], "label double, at array<int>, there array<double>")
+    lines = [r["value"] for r in _written(spark, folder, rows, FE.FeatureSet.entries("at", "there", size))]
+    assert sorted(x for x in lines if x.startswith("{")) == ["{0 malware, 6 2.5, 1000000 1.0}", "{}", "{}"]
+    assert sum(x.startswith("@") for x in lines) == size + 1
+
+
+def _written(spark, folder, rows, features):
+    arff.write_sparse(rows, folder, features)
+    return spark.read.text(folder).collect()
+
+
+def test_all_folds_in_one_job(spark, folder):
+    rows = [(i, float(i % 2), float(i), 0.0, i % 3, i % 5) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, label double, a double, b double, three int, five int")
+    names = libsvm.write_folds(df, FE.FeatureSet.wide(["a", "b"]), folder, {3: "three", 5: "five"}, "id", files_per_part=2)
+    assert len(names) == 16
+    got = {}
+    for r in libsvm.read_parts(spark, folder).collect():
+        got.setdefault(r["part"], set()).add((r["label"], dict(zip(r["indices"], r["values"])).get(0, 0.0)))
+        assert r["indices"] == sorted(r["indices"])
+    assert sorted(got) == sorted(names)
+    for k, at in ((3, 4), (5, 5)):
+        for f in range(k):
+            test = {(r[1], float(r[0])) for r in rows if r[at] == f}
+            assert got[libsvm.part_name(k, f, "test")] == test
+            assert got[libsvm.part_name(k, f, "train")] == {(r[1], float(r[0])) for r in rows} - test
+    one = libsvm.read_libsvm(spark, f"{folder}/part={names[0]}", 3).select("label", "features").collect()
+    assert len(one) == 40 and all(list(r["features"].toArray())[0] == list(r["features"].toArray())[1] for r in one)
+
+
 def test_predictions_are_not_overwritten(spark, folder):
     pairs = spark.createDataFrame([(1.0, 0.0), (0.0, 0.0)], "prediction double, label double")
     results.save_predictions(pairs, folder)
