@@ -146,8 +146,8 @@ class Ledger:
     def update(self, versions: DataFrame, keys: list[str], rules: tuple[Rule, ...] = RULES) -> DataFrame:
         """Scan the unseen pairs of blobs and rules of ``versions`` (keys, text), and return keys and blob of all versions.
 
-        Null and empty texts are one blob without findings; equal texts and repeated rows are scanned once; columns
-        besides keys and text are not read.
+        Null and empty texts are one blob without findings; equal texts are scanned once, rows that repeat keys and text
+        each, with their findings kept once; columns besides keys and text are not read.
         """
         given = versions.select(*keys, F.xxhash64(*keys).alias("_row"), blob_of().alias("_blob"), F.col("text").alias("_text"))
         held = stored(given.select(*keys, "_row", "_blob"), "versions")
