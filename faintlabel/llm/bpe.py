@@ -10,6 +10,7 @@ from __future__ import annotations
 import base64
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 from pathlib import Path
 
 import numpy as np
@@ -22,12 +23,15 @@ from faintlabel.llm.common import SLICE, remembered, slices, text_of, with_keys
 from faintlabel.session import ship_package
 
 LEAF_BITS = 8
-#: Words of a generation of a worker's memory; the one before is kept, and what is met again moves on.
-GENERATION = 450_000
+#: Bytes that a generation of a worker's memory may take; the one before is kept, and what is met again moves on.
+GENERATION = 24 << 20
+#: What a word costs besides its letters and ids.
+ENTRY = 180
 #: Longer words are not remembered.
 LONGEST_KEPT = 64
-#: Texts whose unknown words are encoded together.
+#: Texts whose unknown words are encoded together, and the letters of unknown words from which on they are.
 STEP = 4_096
+LETTERS = 600_000
 #: Stands between pre-tokens; no merge has it.
 WALL = (1 << 17) - 1
 
@@ -101,7 +105,7 @@ class Merger:
         n = len(ids)
         fixed = np.array(known, np.int64).reshape(-1, 2)
         single = walls[fixed[:, 0]] + 1
-        following, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        following, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
         alive = np.ones(n, bool)
         rank_at = np.full(n, -1, np.int64)
         rank_at[:-1] = self.rank_of(ids[:-1], ids[1:])
@@ -164,6 +168,39 @@ class Merger:
         return at[(index - run_start) % 2 == 0]
 
 
+class Words:
+    """Ids of words by two generations of bounded size: what is met again moves to the younger."""
+
+    def __init__(self) -> None:
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.size = 0
+
+    def turn(self) -> None:
+        """Between texts: a full generation becomes the old one."""
+        if self.size > GENERATION:
+            self.old, self.young, self.size = self.young, {}, 0
+
+    def add(self, word: str, ids: bytes) -> None:
+        self.young[word] = ids
+        self.size += ENTRY + len(word) + len(ids)
+
+    def drop(self, words: list[str]) -> None:
+        for word in words:
+            self.old.pop(word, None)
+            ids = self.young.pop(word, None)
+            if ids is not None:
+                self.size -= ENTRY + len(word) + len(ids)
+
+    def missing(self, words: set[str]) -> set[str]:
+        """The words that neither generation has; the others are in the younger then."""
+        new = words.difference(self.young)
+        for word in [w for w in new if w in self.old]:
+            self.add(word, self.old[word])
+            new.discard(word)
+        return new
+
+
 class Encoder:
     """Encodes whole texts; remembers the ids of short words."""
 
@@ -172,9 +209,9 @@ class Encoder:
         self.merger = Merger(self.ranks)
         self.pattern = regex.compile(pattern)
         self.double_blank = regex.compile(r"\s\s")
-        #: Ids of pieces of text as they stand, and of words with a space before them.
-        self.plain, self.older_plain = {}, {}
-        self.spaced, self.older_spaced = {}, {}
+        #: Pieces of text as they stand, and words with a space before them.
+        self.plain, self.spaced = Words(), Words()
+        self.tokens = dict(zip(self.ranks.values(), self.ranks.keys(), strict=True))
 
     def units(self, text: str) -> tuple[list[str], list[str]]:
         """A text as parts that no match of the pattern crosses, and the words that follow them, each after a space.
@@ -187,15 +224,6 @@ class Encoder:
         parts = text.split(" ")
         return parts[:1], parts[1:]
 
-    def remember(self, words: set[str], space: str, known: dict[str, bytes], older: dict[str, bytes]) -> tuple[dict[str, bytes], dict[str, bytes]]:
-        """The two generations, the younger with all the words."""
-        new = words.difference(known)
-        if len(known) + len(new) > GENERATION:
-            older, known, new = known, {}, words
-        known.update({w: older[w] for w in new if w in older})
-        known.update(self.learn(new.difference(older), space))
-        return known, older
-
     def learn(self, words: set[str], space: str) -> dict[str, bytes]:
         pieces: list[bytes] = []
         whole: list[tuple[int, int]] = []
@@ -215,54 +243,67 @@ class Encoder:
             counts.append(len(parts))
         return dict(zip(ordered, self.merger.encode(pieces, whole, counts), strict=True)) if ordered else {}
 
-    def encode(self, texts: list[str], step: int = SLICE) -> Iterator[list[np.ndarray]]:
-        """Ids of the texts, ``step`` texts at a time.  First the unknown words of all the texts are encoded in one queue."""
-        plain: set[str] = set()
-        spaced: set[str] = set()
-        for text in texts:
-            head, rest = self.units(text)
-            plain.update(head)
-            spaced.update(rest)
-            if len(spaced) > GENERATION or len(plain) > GENERATION:
-                break  # _joined learns what is missing
-        self.plain, self.older_plain = self.remember(plain, "", self.plain, self.older_plain)
-        self.spaced, self.older_spaced = self.remember(spaced, " ", self.spaced, self.older_spaced)
-        for at in range(0, len(texts), step):
-            yield [np.frombuffer(self._joined(*self.units(t)), np.int32) for t in texts[at : at + step]]
-        for words, known in ((plain, self.plain), (spaced, self.spaced)):
-            for long in [w for w in words if len(w) > LONGEST_KEPT]:
-                known.pop(long, None)
-
-    def _joined(self, head: list[str], rest: list[str]) -> bytes:
-        plain, spaced = self.plain, self.spaced
-        try:
-            return b"".join([plain[u] for u in head]) + b"".join([spaced[u] for u in rest])
-        except KeyError:
-            plain, spaced = self.learn(set(head), ""), self.learn(set(rest), " ")
-            return b"".join([plain[u] for u in head]) + b"".join([spaced[u] for u in rest])
+    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """Ids of each text.  Unknown words of some texts are encoded in one queue before those texts are put together."""
+        at = 0
+        while at < len(texts):
+            self.plain.turn()
+            self.spaced.turn()
+            plain: set[str] = set()
+            spaced: set[str] = set()
+            letters, split = 0, []
+            while at + len(split) < len(texts) and letters < LETTERS:
+                head, rest = self.units(texts[at + len(split)])
+                split.append((head, rest))
+                for words, known, new in ((head, self.plain, plain), (rest, self.spaced, spaced)):
+                    unknown = known.missing(set(words).difference(new))
+                    new |= unknown
+                    letters += sum(map(len, unknown))
+            at += len(split)
+            for known, new, space in ((self.plain, plain, ""), (self.spaced, spaced, " ")):
+                for word, ids in self.learn(new, space).items():
+                    known.add(word, ids)
+            for head, rest in split:
+                yield np.frombuffer(b"".join([*map(self.plain.young.__getitem__, head), *map(self.spaced.young.__getitem__, rest)]), np.int32)
+            for known, new in ((self.plain, plain), (self.spaced, spaced)):
+                known.drop([w for w in new if len(w) > LONGEST_KEPT])
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        return b"".join(map(self.tokens.__getitem__, ids.tolist()))
 
 
 def encoder(data: bytes, pattern: str) -> Encoder:
     return remembered(("bpe", zlib.crc32(data), pattern), lambda: Encoder(data, pattern))
 
 
-def encode(docs: DataFrame, keys: list[str], ranks_path: str, pattern: str) -> DataFrame:
-    """``keys`` and ``ids`` (array of int) of every whole text; null and empty texts have no ids, repeated rows are encoded each."""
+def encode(docs: DataFrame, keys: list[str], ranks_path: str, pattern: str, decoded: bool = False) -> DataFrame:
+    """``keys`` and ``ids`` (array of int) of every whole text, with ``decoded`` also the bytes that the ids stand for.
+    Null and empty texts have no ids and no bytes, repeated rows are encoded each."""
     ship_package(docs.sparkSession)
     data = docs.sparkSession.sparkContext.broadcast(Path(ranks_path).read_bytes())  # as large as the vocabulary file
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(data.value, pattern)
         for batch in slices(batches, STEP):
-            for i, ids in enumerate(own.encode(text_of(batch, "_text"))):
-                part = batch.slice(i * SLICE, SLICE)
+            for at, ids in portions(own.encode(text_of(batch, "_text"))):
+                part = batch.slice(at, len(ids))
                 ends = np.zeros(len(ids) + 1, np.int32)
                 np.cumsum([len(x) for x in ids], out=ends[1:])
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids), pa.int32()))
-                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keys), lists], names=[*keys, "ids"])
+                columns = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids), pa.int32()))]
+                if decoded:
+                    columns.append(pa.array([own.decode(x) for x in ids], pa.binary()))
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keys), *columns], names=[*keys, "ids", *["decoded"] * decoded])
 
     given = docs.select(*keys, F.col("text").alias("_text"))
-    return given.mapInArrow(run, with_keys(given, keys, "ids array<int>"))
+    return given.mapInArrow(run, with_keys(given, keys, "ids array<int>" + ", decoded binary" * decoded))
+
+
+def portions(found: Iterator[np.ndarray]) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """Ids of ``SLICE`` texts at a time, with the place of the first."""
+    at = 0
+    while part := list(islice(found, SLICE)):
+        yield at, part
+        at += len(part)
 
 
 def decode(encoded: DataFrame, keys: list[str], ranks_path: str) -> DataFrame:
@@ -271,10 +312,9 @@ def decode(encoded: DataFrame, keys: list[str], ranks_path: str) -> DataFrame:
     data = encoded.sparkSession.sparkContext.broadcast(Path(ranks_path).read_bytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_rank = {rank: token for token, rank in read_ranks(data.value).items()}
-        token_of = by_rank.__getitem__
+        by_rank = remembered(("tokens", zlib.crc32(data.value)), lambda: {rank: token for token, rank in read_ranks(data.value).items()})
         for batch in slices(batches):
-            texts = [b"".join(map(token_of, x.tolist())) for x in _arrays(batch.column("ids"))]
+            texts = [b"".join(map(by_rank.__getitem__, x.tolist())) for x in _arrays(batch.column("ids"))]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), pa.array(texts, pa.binary())], names=[*keys, "decoded"])
 
     given = encoded.select(*keys, "ids")

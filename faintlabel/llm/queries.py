@@ -26,10 +26,14 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = bpe.encode(table(spark, sf_dir, "documents"), ["doc_id"], BPE_RANKS, public_tokenizers.PATTERN)
-    told = encoded.withColumn("n_tokens", F.size("ids").cast("long")).withColumn("ids_sha256", F.sha2(bpe.joined("ids").cast("binary"), 256))
-    decoded = bpe.decode(told, ["doc_id", "n_tokens", "ids_sha256"], BPE_RANKS)
-    return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    """Ids of every whole text, and the bytes that they decode to."""
+    coded = bpe.encode(table(spark, sf_dir, "documents"), ["doc_id"], BPE_RANKS, public_tokenizers.PATTERN, decoded=True)
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(bpe.joined("ids").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
