@@ -17,6 +17,10 @@ class DenseBlock:
         self.x = x
         self.n = x.shape[0]
 
+    def take(self, rows: np.ndarray) -> DenseBlock:
+        """The rows that a mask names."""
+        return DenseBlock(self.x[rows])
+
     def dot(self, w: np.ndarray) -> np.ndarray:
         """Margins n x K for K weight rows."""
         return self.x @ w.T
@@ -25,6 +29,10 @@ class DenseBlock:
         """K x D sums of rows weighted by the n x K coefficients."""
         return c.T @ self.x
 
+    def weighted_square(self, c: np.ndarray) -> np.ndarray:
+        """D x D sum of the rows' outer products, weighted by n coefficients."""
+        return self.x.T @ (self.x * c[:, None])
+
 
 class SparseBlock:
     """n rows as stored entries; costs the number of entries, whatever D is."""
@@ -32,6 +40,11 @@ class SparseBlock:
     def __init__(self, row: np.ndarray, col: np.ndarray, value: np.ndarray, n: int, size: int):
         self.row, self.col, self.value, self.n, self.size = row, col, value, n, size
 
+    def take(self, rows: np.ndarray) -> SparseBlock:
+        kept = rows[self.row]
+        place = np.cumsum(rows) - 1
+        return SparseBlock(place[self.row[kept]], self.col[kept], self.value[kept], int(rows.sum()), self.size)
+
     def dot(self, w: np.ndarray) -> np.ndarray:
         return np.column_stack(
             [np.bincount(self.row, weights=self.value * wk[self.col], minlength=self.n) for wk in w]
@@ -43,6 +56,19 @@ class SparseBlock:
         )
 
 
+    def weighted_square(self, c: np.ndarray) -> np.ndarray:
+        """From the pairs of each row's entries."""
+        out = np.zeros(self.size * self.size)
+        order = np.argsort(self.row, kind="stable")
+        row, col, value = self.row[order], self.col[order], self.value[order]
+        first, last = np.searchsorted(row, row, "left"), np.searchsorted(row, row, "right")
+        for shift in range(int((last - first).max(initial=0))):
+            at = np.flatnonzero(first + shift < last)
+            other = first[at] + shift
+            out += np.bincount(col[at] * self.size + col[other], weights=c[row[at]] * value[at] * value[other], minlength=self.size * self.size)
+        return out.reshape(self.size, self.size)
+
+
 def _floats(a: pa.Array) -> np.ndarray:
     return a.cast(pa.float64()).to_numpy(zero_copy_only=False)
 

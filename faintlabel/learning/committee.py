@@ -126,19 +126,32 @@ def _cell_rows(name: str, row: np.ndarray) -> list[tuple]:
 
 @dataclass(frozen=True)
 class CommitteeTest:
-    """A committee and the rows it is tested on."""
+    """A committee and the rows it is tested on.
+
+    With ``prefixes`` its first 1, 5, ... members are tested as committees of their own: every member is scored once, and
+    the votes of all of them are read off the running sums.
+    """
 
     name: str
     models: tuple[LinearModel, ...]
     fold_col: str | None = None
     fold: int | None = None
+    prefixes: tuple[int, ...] = ()
+
+    def __post_init__(self):
+        if any(not 0 < p <= len(self.models) for p in self.prefixes):
+            raise ValueError(f"prefixes must be from 1 to {len(self.models)}, got {self.prefixes}")
+
+    @property
+    def sizes(self) -> tuple[int, ...]:
+        return self.prefixes or (len(self.models),)
 
 
 def committee_counts(df: DataFrame, features: FeatureSet, tests: Sequence[CommitteeTest]) -> DataFrame:
-    """(name, rule, prediction, label, n) for the vote and the expert rule of many committees.
+    """(name, members, rule, prediction, label, n) for the vote and the expert rule of many committees.
 
     Committees are tested together while their weights fit in one broadcast block; a committee larger than a block is
-    scored block after block instead.
+    scored block after block instead.  A member's margins are taken on the rows of its own test alone.
     """
     out: list[tuple] = []
     block: list[CommitteeTest] = []
@@ -146,7 +159,8 @@ def committee_counts(df: DataFrame, features: FeatureSet, tests: Sequence[Commit
     for t in tests:
         need = len(t.models) * (features.size + 1) * 8
         if need > BLOCK_BYTES:
-            out += _large_committee_rows(df, features, t)
+            for members in t.sizes:
+                out += _large_committee_rows(df, features, t, members)
             continue
         if block and size + need > BLOCK_BYTES:
             out += _count_block(df, features, block)
@@ -155,15 +169,16 @@ def committee_counts(df: DataFrame, features: FeatureSet, tests: Sequence[Commit
         size += need
     if block:
         out += _count_block(df, features, block)
-    return df.sparkSession.createDataFrame(out, "name string, rule string, prediction double, label double, n bigint")
+    schema = "name string, members int, rule string, prediction double, label double, n bigint"
+    return df.sparkSession.createDataFrame(out, schema)
 
 
-def _large_committee_rows(df: DataFrame, features: FeatureSet, test: CommitteeTest) -> list[tuple]:
+def _large_committee_rows(df: DataFrame, features: FeatureSet, test: CommitteeTest, members: int) -> list[tuple]:
     rows = df if test.fold_col is None else df.filter(F.col(test.fold_col) == test.fold)
-    scored = Committee(test.models).score(rows, features)
+    scored = Committee(test.models[:members]).score(rows, features)
     label = F.when(F.col("label") > 0.5, 1.0).otherwise(0.0).alias("y")
     cells = scored.groupBy("vote", "expert", label).agg(F.count("*").alias("n")).collect()  # at most 8 rows
-    return [(test.name, rule, r[rule], r["y"], r["n"]) for r in cells for rule in ("vote", "expert")]
+    return [(test.name, members, rule, r[rule], r["y"], r["n"]) for r in cells for rule in ("vote", "expert")]
 
 
 def _count_block(df: DataFrame, features: FeatureSet, tests: list[CommitteeTest]) -> list[tuple]:
@@ -173,32 +188,43 @@ def _count_block(df: DataFrame, features: FeatureSet, tests: list[CommitteeTest]
     ends = np.cumsum([len(t.models) for t in tests])
     starts = ends - [len(t.models) for t in tests]
     where = [(t.fold_col, t.fold) for t in tests]
+    sizes = [np.array(t.sizes) for t in tests]
+    cells = np.concatenate(([0], np.cumsum([len(s) for s in sizes])))
     shared = df.sparkSession.sparkContext.broadcast((w, b))
 
     def reducer(batch: pa.RecordBatch) -> np.ndarray:
         weights, bias = shared.value
         columns = {c: nullable(batch.column(c)) for c in names}
-        acc = np.zeros((len(where), 8))
+        acc = np.zeros((cells[-1], 8))
         for sl, block in feature_blocks(batch, features):
             local = {c: v[sl] for c, v in columns.items()}
             y = (local["label"] > 0.5).astype(int)
+            of: dict[tuple, tuple] = {}
             for k, (fold_col, fold) in enumerate(where):
-                inside = np.ones(block.n, dtype=bool) if fold_col is None else local[fold_col] == fold
-                m = block.dot(weights[starts[k] : ends[k]]) + bias[starts[k] : ends[k]]
-                size = m.shape[1]
+                if where[k] not in of:
+                    inside = np.ones(block.n, dtype=bool) if fold_col is None else local[fold_col] == fold
+                    of[where[k]] = (block if inside.all() else block.take(inside)), y[inside]
+                part, seen = of[where[k]]
+                if not part.n:
+                    continue
+                m = part.dot(weights[starts[k] : ends[k]]) + bias[starts[k] : ends[k]]
                 e = np.exp(-np.abs(m))
-                sure = np.where(m >= 0, 1 / (1 + e), e / (1 + e)).sum(1)
-                vote = ((m > 0).sum(1) * 2 > size).astype(int)
-                expert = 1 - (size - sure > sure).astype(int)
-                acc[k, :4] += np.bincount((vote * 2 + y)[inside], minlength=4)
-                acc[k, 4:] += np.bincount((expert * 2 + y)[inside], minlength=4)
+                members = sizes[k] - 1
+                votes = np.cumsum(m > 0, axis=1)[:, members]
+                sure = np.cumsum(np.where(m >= 0, 1 / (1 + e), e / (1 + e)), axis=1)[:, members]
+                vote = (votes * 2 > sizes[k]).astype(int)
+                expert = 1 - (sizes[k] - sure > sure).astype(int)
+                for p in range(len(members)):
+                    acc[cells[k] + p, :4] += np.bincount(vote[:, p] * 2 + seen, minlength=4)
+                    acc[cells[k] + p, 4:] += np.bincount(expert[:, p] * 2 + seen, minlength=4)
         return acc.ravel()
 
     widest = max(len(t.models) for t in tests)
-    total = sum_over_rows(rows, reducer, len(tests) * 8, widest).reshape(len(tests), 2, 2, 2)
+    total = sum_over_rows(rows, reducer, int(cells[-1]) * 8, widest).reshape(-1, 2, 2, 2)
     return [
-        (t.name, rule, float(p), float(y), int(total[k, r, p, y]))
+        (t.name, int(members), rule, float(p), float(y), int(total[cells[k] + i, r, p, y]))
         for k, t in enumerate(tests)
+        for i, members in enumerate(t.sizes)
         for r, rule in enumerate(("vote", "expert"))
         for p in (0, 1)
         for y in (0, 1)

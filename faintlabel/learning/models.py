@@ -46,6 +46,12 @@ class LinearModel:
         if k < 2:
             raise ValueError("need at least two classes")
 
+    def shape_report(self, df: DataFrame, column: str) -> DataFrame:
+        """(problem, size, n): rows whose array of features fits the model or does not, by the size they have (-1: none)."""
+        size = F.when(F.col(column).isNull(), -1).otherwise(F.size(F.col(column)))
+        problem = F.when(size < 0, "no features").when(size != self.num_features, "wrong size").otherwise("fits")
+        return df.groupBy(problem.alias("problem"), size.alias("size")).agg(F.count("*").alias("n"))
+
     def with_threshold(self, threshold: float) -> LinearModel:
         return replace(self, threshold=threshold)
 

@@ -19,9 +19,20 @@ WINDOW = 10
 
 @dataclass
 class Solution:
+    """``reason``: what ended the fit; it has ``converged`` by its own test, or ran out of something."""
+
     weights: np.ndarray
     losses: list[float]
     evaluations: int
+    reason: str = "iterations"
+
+    @property
+    def converged(self) -> bool:
+        return self.reason in CONVERGED
+
+
+#: Reasons that mean an optimum: no slope, no more gain, short steps, a small Newton decrement.
+CONVERGED = ("gradient", "gain", "short steps", "decrement")
 
 
 def _two_loop(grad: np.ndarray, pairs: deque) -> np.ndarray:
@@ -56,9 +67,14 @@ def lbfgs(
     f, g = loss_and_gradient(fit, (yield w), w)
     losses, evals = [f], 1
     pairs: deque = deque(maxlen=corrections)
+    reason = "iterations"
     for _ in range(max_iter):
         norm = float(np.linalg.norm(g))
-        if norm <= 1e-10 * max(1.0, abs(f)) or evals >= limit:
+        if norm <= 1e-10 * max(1.0, abs(f)):
+            reason = "gradient"
+            break
+        if evals >= limit:
+            reason = "evaluations"
             break
         d = _two_loop(g, pairs)
         slope = float(d @ g)
@@ -82,6 +98,7 @@ def lbfgs(
             if evals >= limit:
                 break
         if accepted is None:
+            reason = "evaluations" if evals >= limit else "line search"
             break
         trial, ft, gt = accepted
         s, y = trial - w, gt - g
@@ -90,8 +107,56 @@ def lbfgs(
         w, f, g = trial, ft, gt
         losses.append(f)
         if max(losses[-WINDOW - 1 : -1]) - f <= tol * abs(losses[0]):
+            reason = "gain"
             break
-    return Solution(w, losses, evals)
+    return Solution(w, losses, evals, reason)
+
+
+def newton(
+    fit: Fit, w0: np.ndarray, max_iter: int = 50, tol: float = 1e-20, free: np.ndarray | None = None
+) -> Generator[np.ndarray, tuple[Sums, np.ndarray], Solution]:
+    """Damped Newton steps from sums that come with the Hessian of the loss; ``free`` flags the features that take part.
+
+    A step that does not lower the loss enough is halved, and the damping grows; it shrinks with every step taken.
+    Stops when half the squared Newton decrement, the gain a full step promises, is at most ``tol`` plus rounding.
+    """
+    w = np.asarray(w0, dtype=float)
+    inside = np.ones(w.size, bool) if free is None else free
+
+    def told(answer: tuple[Sums, np.ndarray], at: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        sums, curve = answer
+        f, g = loss_and_gradient(fit, sums, at)
+        return f, np.where(inside, g, 0.0), curve / max(sums.n, 1.0) + fit.reg_param * np.eye(at.size)
+
+    f, g, h = told((yield w), w)
+    losses, evals, damping, reason = [f], 1, 0.0, "iterations"
+    for _ in range(max_iter):
+        scale = max(float(np.trace(h)) / w.size, 1e-300)
+        system = h + damping * scale * np.eye(w.size)
+        system[~inside] = 0.0
+        system[:, ~inside] = 0.0
+        d = -np.linalg.pinv(system, hermitian=True) @ g
+        gain = -float(g @ d)
+        if gain / 2 <= tol + 1e-18 * abs(f):
+            reason = "decrement"
+            break
+        t, accepted = 1.0, None
+        for _ in range(30):
+            trial = w + t * d
+            answer = told((yield trial), trial)
+            evals += 1
+            if np.isfinite(answer[0]) and answer[0] <= f - 1e-4 * t * gain + 1e-15 * abs(f):
+                accepted = trial, answer
+                break
+            t /= 2
+            damping = max(2 * damping, 1e-6)
+        if accepted is None:
+            reason = "line search"
+            break
+        w, (f, g, h) = accepted
+        damping = damping / 4 if t == 1.0 else damping
+        losses.append(f)
+    return Solution(w, losses, evals, reason)
 
 
 def _settled(before: np.ndarray | None, now: np.ndarray, tol: float) -> bool:
@@ -103,12 +168,13 @@ def subgradient(
 ) -> Generator[np.ndarray, Sums, Solution]:
     """Full-batch subgradient descent with step / sqrt(i) and an L2 shrink: the classic linear SVM schedule."""
     w = np.asarray(w0, dtype=float)
-    losses, before = [], None
+    losses, before, reason = [], None, "iterations"
     reg = 0.5 * fit.reg_param * float(w @ w)
     i = 0
     for i in range(1, iterations + 1):
         s = yield w
         if s.n == 0:
+            reason = "no rows"
             break
         losses.append((s.loss_pos + s.stat_unl) / s.n + reg)
         rate = step / np.sqrt(i)
@@ -117,8 +183,9 @@ def subgradient(
         done = _settled(before, w_next, tol)
         before, w = w_next, w_next
         if done:
+            reason = "short steps"
             break
-    return Solution(w, losses, i)
+    return Solution(w, losses, i, reason)
 
 
 def pu_step(fit: Fit, s: Sums, w: np.ndarray, step: float, iteration: int) -> tuple[np.ndarray, float]:
@@ -134,18 +201,20 @@ def pu_sgd(
 ) -> Generator[np.ndarray, Sums, Solution]:
     """Gradient descent for the label-regularized objective.
 
-    The caller samples the positives of each batch; an empty batch leaves the weights alone.
+    The caller samples each batch and sends None if the table has no rows; a batch without positives, or without rows to
+    regularise on, leaves the weights alone.
     """
     if not 0.0 <= tol <= 1.0:
         raise ValueError("tol must be in [0, 1]")
     w = np.asarray(w0, dtype=float)
-    losses, before, penalty = [], None, None
+    losses, before, penalty, reason = [], None, None, "iterations"
     i = 0
     for i in range(1, iterations + 1):
         s = yield w
-        if s.n == 0:
+        if s is None:
+            reason = "no rows"
             break
-        if s.n_pos == 0:
+        if s.n_pos == 0 or s.n_unl == 0:
             continue
         if penalty is None:
             penalty = 0.5 * fit.reg_param * float(w @ w) + fit.lambda_u * divergence(
@@ -156,8 +225,9 @@ def pu_sgd(
         done = _settled(before, w_next, tol)
         before, w = w_next, w_next
         if done:
+            reason = "short steps"
             break
-    return Solution(w, losses, i)
+    return Solution(w, losses, i, reason)
 
 
 SolverFactory = Callable[[Fit, np.ndarray], Generator[np.ndarray, Sums, Solution]]

@@ -13,36 +13,60 @@ from pyspark.sql import functions as F
 from faintlabel.functions.hashing import hash_unit
 from faintlabel.functions.scalar import softplus, weighted_sum
 from faintlabel.learning.batches import SparseBlock, feature_blocks, nullable
+from faintlabel.learning.buckets import Bucketed
 from faintlabel.learning.fits import HEAD, Fit, Sums, batch_sums, input_columns, member_mask
 from faintlabel.learning.models import LinearModel
 from faintlabel.learning.passes import TASK_BYTES, sum_over_rows
-from faintlabel.learning.solvers import Solution, lbfgs, pu_sgd, subgradient
+from faintlabel.learning.solvers import Solution, lbfgs, newton, pu_sgd, subgradient
 from faintlabel.operators.features import FeatureSet
 from faintlabel.session import held
 
 
 @dataclass
 class Fitted:
+    """``reason`` is what ended the fit, ``converged`` whether that was its own test."""
+
     fit: Fit
     model: LinearModel
     losses: list[float]
     evaluations: int
+    reason: str = "iterations"
+    converged: bool = False
+    rows_read: int | None = None
 
+    @staticmethod
+    def of(fit: Fit, done: Solution, factors: np.ndarray, rows_read: int | None = None) -> Fitted:
+        model = LinearModel(tuple(float(v) for v in done.weights * factors))
+        return Fitted(fit, model, done.losses, done.evaluations, done.reason, done.converged, rows_read)
 
-def check_labels(df: DataFrame, fits: Sequence[Fit]) -> None:
-    """Labels must be 0, 1 or NULL (not in this fit); every ``pu`` fit needs label-0 rows somewhere."""
-    labels = sorted({f.label for f in fits})
+
+def label_check(df: DataFrame, labels: Sequence[str]) -> DataFrame:
+    """(column, n, n_bad, n_unlabeled, problem) of label columns: labels must be 0, 1 or NULL (not in this fit), and a
+    label-regularized fit needs rows with label 0.  One aggregate."""
     aggs = []
     for i, c in enumerate(labels):
         aggs += [
+            F.count(c).alias(f"n{i}"),
             F.count(F.when(~F.col(c).isin(0.0, 1.0), 1)).alias(f"bad{i}"),
             F.count(F.when(F.col(c) == 0, 1)).alias(f"unl{i}"),
         ]
-    row = df.agg(*aggs).first()
-    for i, c in enumerate(labels):
-        if row[f"bad{i}"]:
-            raise ValueError(f"{row[f'bad{i}']} rows of {c} have a label other than 0 and 1")
-        if not row[f"unl{i}"] and any(f.kind == "pu" and f.label == c for f in fits):
+    told = [
+        F.struct(
+            F.lit(c).alias("column"), F.col(f"n{i}").alias("n"), F.col(f"bad{i}").alias("n_bad"), F.col(f"unl{i}").alias("n_unlabeled"),
+            F.when(F.col(f"bad{i}") > 0, "labels other than 0 and 1").when(F.col(f"unl{i}") == 0, "no unlabeled rows").otherwise("").alias("problem"),
+        )
+        for i, c in enumerate(labels)
+    ]
+    return df.agg(*aggs).select(F.explode(F.array(*told)).alias("_t")).select("_t.*")
+
+
+def check_labels(df: DataFrame, fits: Sequence[Fit]) -> None:
+    """Raise for labels that ``label_check`` finds bad, and for ``pu`` fits without unlabeled rows."""
+    regularized = {f.label for f in fits if f.kind == "pu"}
+    for r in label_check(df, sorted({f.label for f in fits})).collect():  # one row per label column
+        if r["n_bad"]:
+            raise ValueError(f"{r['n_bad']} rows of {r['column']} have a label other than 0 and 1")
+        if not r["n_unlabeled"] and r["column"] in regularized:
             raise ValueError("no unlabeled rows: the label regulariser needs rows with label 0")
 
 
@@ -270,10 +294,66 @@ def _drive(rows, features, fits, inv, solvers, path) -> list[Fitted]:
             except StopIteration as stop:
                 solutions[i] = stop.value
         open_fits = still
-    return [
-        Fitted(f, LinearModel(tuple(float(v) for v in solutions[i].weights * inv[i])), solutions[i].losses, solutions[i].evaluations)
-        for i, f in enumerate(fits)
-    ]
+    return [Fitted.of(f, solutions[i], inv[i]) for i, f in enumerate(fits)]
+
+
+def hessian_sums(df: DataFrame, features: FeatureSet, fits: list[Fit], w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """K x (5 + 2D) sums and K x D x D Hessians of logistic fits at raw-space weights, all from the same pass."""
+    size = features.size
+    length = HEAD + 2 * size
+    names = input_columns(fits)
+    head, curve = [], []
+    at = 0
+    for part in _chunks(fits, length + size * size):
+        own = w[at : at + len(part)]
+        at += len(part)
+
+        def reducer(batch: pa.RecordBatch, part=part, own=own) -> np.ndarray:
+            acc = np.zeros((len(part), length + size * size))
+            acc[:, :length] = batch_sums(batch, features, part, own)
+            columns = {c: nullable(batch.column(c)) for c in names}
+            for rows, block in feature_blocks(batch, features):
+                local = {c: v[rows] for c, v in columns.items()}
+                m = block.dot(own)
+                e = np.exp(-np.abs(m))
+                bend = e / (1 + e) ** 2
+                for k, f in enumerate(part):
+                    acc[k, length:] += block.weighted_square(np.where(member_mask(f, local), bend[:, k], 0.0)).ravel()
+            return acc.ravel()
+
+        total = sum_over_rows(df, reducer, len(part) * (length + size * size), len(part) + size).reshape(len(part), -1)
+        head.append(total[:, :length])
+        curve.append(total[:, length:].reshape(len(part), size, size))
+    return np.concatenate(head), np.concatenate(curve)
+
+
+def fit_newton(df: DataFrame, features: FeatureSet, fits: Sequence[Fit], max_iter: int = 50, tol: float = 1e-20, hold: str = "auto") -> list[Fitted]:
+    """Plain logistic regression by damped Newton steps, all fits (folds, settings, subsets) in the same passes.
+
+    A pass adds up a D x D Hessian per open fit, so it suits up to some thousand features; a fit takes a few passes.
+    """
+    fits = list(fits)
+    if any(f.kind != "logistic" for f in fits):
+        raise ValueError("Newton steps are for logistic fits")
+    keep = list(dict.fromkeys([*input_columns(fits), *features.inputs]))
+    with held(df.select(*keep), hold, "training") as rows:
+        check_labels(rows, fits)
+        inv = feature_factors(rows, features, fits)
+        solvers = [newton(f, np.zeros(features.size), max_iter, tol, inv[i] != 0) for i, f in enumerate(fits)]
+        wanted = [next(s) for s in solvers]
+        open_fits, done = list(range(len(fits))), {}
+        while open_fits:
+            w = np.stack([wanted[i] * inv[i] for i in open_fits])
+            head, curve = hessian_sums(rows, features, [fits[i] for i in open_fits], w)
+            still = []
+            for i, sums, bend in zip(open_fits, head, curve, strict=True):
+                try:
+                    wanted[i] = solvers[i].send((Sums.of(sums, inv[i]), bend * np.outer(inv[i], inv[i])))
+                    still.append(i)
+                except StopIteration as stop:
+                    done[i] = stop.value
+            open_fits = still
+        return [Fitted.of(f, done[i], inv[i]) for i, f in enumerate(fits)]
 
 
 def fit_label_regularized(
@@ -304,12 +384,42 @@ def fit_label_regularized_sgd(
             if batch_fraction < 1.0:
                 role = F.when((role != 1) | (hash_unit(F.col(key), 42 + i) < batch_fraction), role)
             batch = rows.withColumn("_role", role.cast("double"))
-            sums = pass_sums(batch, features, [fit], (wanted * inv)[None, :])
+            sums = Sums.of(pass_sums(batch, features, [fit], (wanted * inv)[None, :])[0], inv)
+            try:
+                wanted = solver.send(sums if sums.n else None)
+            except StopIteration as stop:
+                return Fitted.of(fit, stop.value, inv)
+
+
+def fit_minibatch(
+    df: DataFrame, features: FeatureSet, p_tilde: float, lambda_u: float, reg_param: float = 0.01, step: float = 1.0,
+    iterations: int = 100, batch_fraction: float = 0.1, tol: float = 1e-3, divergence: str = "kl", label: str = "label",
+    key: str = "id", n_buckets: int = 100, seed: int = 42,
+) -> Fitted:
+    """Label-regularized logistic regression by gradient steps that read their batch alone.
+
+    The training table is written once in ``n_buckets`` buckets by the key's hash, and step i reads the buckets that a hash
+    of (bucket, seed + i) draws: about ``batch_fraction`` of the rows, positives and unlabeled, the others are not scanned.
+    A batch without positives or without unlabeled rows is skipped.  ``rows_read`` adds up the rows of all steps.
+    """
+    fit = Fit("pu-minibatch", "pu", label, p_tilde=p_tilde, lambda_u=lambda_u, reg_param=reg_param, divergence=divergence)
+    with Bucketed.write(df.select(key, label, *features.inputs), key, n_buckets, seed) as table:
+        check_labels(table.rows, [fit])
+        inv = inverse_std(table.rows, features, [fit])[0]
+        solver = pu_sgd(fit, np.zeros(features.size), iterations, step, tol)
+        wanted, i, read = next(solver), 0, 0
+        empty = Sums(0.0, 0.0, 0.0, 0.0, 0.0, np.zeros(features.size), np.zeros(features.size))
+        while True:
+            i += 1
+            sums = empty
+            if table.drawn(i, batch_fraction, seed):
+                batch = table.sample(i, batch_fraction, seed)
+                sums = Sums.of(pass_sums(batch, features, [fit], (wanted * inv)[None, :])[0], inv)
+            read += int(sums.n)
             try:
-                wanted = solver.send(Sums.of(sums[0], inv))
+                wanted = solver.send(sums)
             except StopIteration as stop:
-                s = stop.value
-                return Fitted(fit, LinearModel(tuple(float(v) for v in s.weights * inv)), s.losses, s.evaluations)
+                return Fitted.of(fit, stop.value, inv, read)
 
 
 def loss_history(df: DataFrame, fitted: Fitted) -> DataFrame:

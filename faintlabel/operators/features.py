@@ -14,7 +14,7 @@ from pyspark.ml.feature import ElementwiseProduct, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from faintlabel.functions.scalar import rounded
@@ -154,6 +154,27 @@ def without_prefixes(names: Sequence[str], prefixes: Sequence[str]) -> list[int]
     return [i for i, n in enumerate(names) if not n.startswith(tuple(prefixes))]
 
 
+def named_features(names: DataFrame) -> DataFrame:
+    """(feature, name): attribute names numbered from 0 in their order.
+
+    Names are dealt to ranges by their first characters and numbered inside those, so no task holds all of them.
+    """
+    cut = names.select("name", F.substring("name", 1, 7).alias("_range"))
+    sizes = cut.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    base = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy("name"))
+    return cut.withColumn("_inside", inside).join(base, "_range").select((F.col("_base") + F.col("_inside") - 1).alias("feature"), "name")
+
+
+def has_prefix(name: Column, prefixes: Sequence[str]) -> Column:
+    """Whether an attribute name starts with one of the prefixes."""
+    found = F.lit(False)
+    for p in prefixes:
+        found = found | name.startswith(p)
+    return found
+
+
 def discrete_report(df: DataFrame, features: FeatureSet, low: float = -128, high: float = 127) -> DataFrame:
     """Per feature: how many values are not whole, how many are outside [low, high].  One aggregate."""
     if features.is_wide:

@@ -83,8 +83,9 @@ def rank_committee(
     """Cross-validated committees and single models on ranked features.
 
     Per fold and feature list: a committee over the balanced bags of the training rows, and a single model for the
-    lists ``merged`` and ``base``.  ``shares`` keeps only a share of the bags (all by default).  Naive Bayes needs no
-    pass per list: the models of every list follow from the same per-bag sums.
+    lists ``merged`` and ``base``.  ``shares`` keeps only a share of the bags (all by default): the members stand in drop
+    order, so all shares are prefixes of one committee and each member is scored once, on its own fold's rows.  Naive
+    Bayes needs no pass per list: the models of every list follow from the same per-bag sums.
     """
     k = min(k, features.size)
     spark = df.sparkSession
@@ -96,11 +97,13 @@ def rank_committee(
         tests: list[CommitteeTest] = []
         info: dict[str, tuple] = {}
 
-        def add(share: float, fold: int, kind: str, name: str, models: Sequence[LinearModel]) -> None:
-            if models:
+        def add(fold: int, kind: str, name: str, models: Sequence[LinearModel], members: dict[float, int]) -> None:
+            """One test for all shares; ``members``: how many of the models each share keeps."""
+            there = {share: n for share, n in members.items() if n}
+            if there:
                 tag = str(len(tests))
-                info[tag] = (share, fold, kind, name)
-                tests.append(CommitteeTest(tag, tuple(models), "fold", fold))
+                info[tag] = (there, fold, kind, name)
+                tests.append(CommitteeTest(tag, tuple(models), "fold", fold, tuple(sorted(set(there.values())))))
 
         for fold in range(folds):
             train = rows.filter(F.col("fold") != fold)
@@ -111,27 +114,30 @@ def rank_committee(
                 whole = {r["label"]: r for r in label_sums(bag_rows, features, []).collect()}  # one row per label
                 nb = {n: bag_models(sums, features.size, indices=ix) for n, ix in lists.items()}
                 svms = _svm_models(bag_rows, features, lists, range(n_bags), svm_iterations) if svm else {}
-                for share in shares or (1.0,):
-                    ids = {r["bag_id"] for r in kept_bags(spark, n_bags, share, BAG_SEED, n_base).collect()}
-                    for name, ix in lists.items():
-                        add(share, fold, "nb_committee", name, [m for b, m in nb[name].items() if b in ids])
+                order = [r["bag_id"] for r in kept_bags(spark, n_bags, 1.0, BAG_SEED).collect()]  # one row per bag
+                members = {share: min(n_bags, int(share * n_base)) for share in shares or (1.0,)}
+                single = dict.fromkeys(members, 1)
+                for name, ix in lists.items():
+                    kept = [b for b in order if b in nb[name]]
+                    add(fold, "nb_committee", name, [nb[name][b] for b in kept], {s: sum(b in nb[name] for b in order[:n]) for s, n in members.items()})
+                    if name != "random":
+                        add(fold, "nb_single", name, [model_of(whole.get(0.0), whole.get(1.0), features.size, 1.0, ix)], single)
+                    if name in svms:
+                        alone, of_bags = svms[name]
+                        add(fold, "svm_committee", name, [of_bags[b] for b in order], members)
                         if name != "random":
-                            add(share, fold, "nb_single", name, [model_of(whole.get(0.0), whole.get(1.0), features.size, 1.0, ix)])
-                        if name in svms:
-                            single, members = svms[name]
-                            add(share, fold, "svm_committee", name, [m for b, m in enumerate(members) if b in ids])
-                            if name != "random":
-                                add(share, fold, "svm_single", name, [single])
+                            add(fold, "svm_single", name, [alone], single)
         counts = committee_counts(rows, features, tests)
-        areas = areas_hard(counts.withColumnRenamed("n", "w"), ["name", "rule"], weight="w")
+        areas = areas_hard(counts.withColumnRenamed("n", "w"), ["name", "members", "rule"], weight="w")
         run = uuid.uuid4().hex
         for r in areas.collect():  # a few rows per test
-            share, fold, kind, name = info[r["name"]]
-            params = {"features": name, "share": str(share), "technique": technique, "k": str(k)}
-            if r["rule"] == "vote":
-                out += [(run, "rank_committee", params, fold, kind, m, r[m]) for m in ("auprc", "auroc")]
-            elif kind == "nb_committee":
-                out.append((run, "rank_committee", params, fold, kind, "expert_auprc", r["auprc"]))
+            there, fold, kind, name = info[r["name"]]
+            for share in [s for s, n in there.items() if n == r["members"]]:
+                params = {"features": name, "share": str(share), "technique": technique, "k": str(k)}
+                if r["rule"] == "vote":
+                    out += [(run, "rank_committee", params, fold, kind, m, r[m]) for m in ("auprc", "auroc")]
+                elif kind == "nb_committee":
+                    out.append((run, "rank_committee", params, fold, kind, "expert_auprc", r["auprc"]))
     return spark.createDataFrame(out, RESULT_SCHEMA)
 
 
@@ -140,16 +146,21 @@ def bag_dropping(df: DataFrame, features: FeatureSet, technique: str = "mim", k:
     return rank_committee(df, features, technique, k, shares=shares, svm=False, **options)
 
 
+def technique_draws(spark: SparkSession, n_bags: int, seed: int = BAG_SEED, techniques: Sequence[str] = TECHNIQUES) -> DataFrame:
+    """(bag_id, technique): the ranking technique each bag draws."""
+    names = F.array(*[F.lit(t) for t in techniques])
+    drawn = F.get(names, (hash32(F.col("id"), seed) % len(techniques)).cast("int"))
+    return spark.range(n_bags).select(F.col("id").cast("int").alias("bag_id"), drawn.alias("technique"))
+
+
 def mixed_committee(
     bagging: Bagging, features: FeatureSet, top: int = MIXED_TOP, seed: int = BAG_SEED, techniques: Sequence[str] = TECHNIQUES
 ) -> tuple[Committee, dict[int, tuple[str, list[int]]]]:
     """Each bag ranks with a randomly drawn technique and trains Naive Bayes on its own best features."""
     spark = bagging.rows.sparkSession
     k = min(top, features.size)
-    draws = spark.range(bagging.n_bags).select(
-        F.col("id").cast("int").alias("bag_id"), (hash32(F.col("id"), seed) % len(techniques)).cast("int").alias("t")
-    )
-    drawn = {r["bag_id"]: techniques[r["t"]] for r in draws.collect()}  # one row per bag
+    draws = technique_draws(spark, bagging.n_bags, seed, techniques)
+    drawn = {r["bag_id"]: r["technique"] for r in draws.collect()}  # one row per bag
     chosen: dict[int, tuple[str, list[int]]] = {}
     quick = [(t, {b for b, d in drawn.items() if d == t}) for t in ("svm", "mim")]
     ranked = [rank_bags(bagging.restrict(bags), features, t, k) for t, bags in quick if bags]

@@ -5,6 +5,8 @@ Each text is put together from common table expressions; all computed numbers ar
 
 from __future__ import annotations
 
+from faintlabel.plans.committees import TECHNIQUES
+
 N_FEATURES = 10
 N_BITS = 64
 F_LIST = ", ".join(f"f{i}" for i in range(N_FEATURES))
@@ -182,8 +184,9 @@ put(
 put(
     "experiment_results",
     LAB,
-    """SELECT 'run' AS run_id, 'counts' AS experiment, CAST(CAST(label AS INTEGER) AS VARCHAR) AS label, CAST(fold AS BIGINT) AS fold,
-      'none' AS model, 'rows' AS metric, CAST(count(*) AS DOUBLE) AS value FROM lab CROSS JOIN range(2) t(fold) GROUP BY label, fold""",
+    """SELECT run_id, 'counts' AS experiment, CAST(CAST(label AS INTEGER) AS VARCHAR) AS label, CAST(fold AS BIGINT) AS fold,
+      'none' AS model, 'rows' AS metric, CAST(count(*) AS DOUBLE) AS value
+FROM lab CROSS JOIN (VALUES ('run', 0), ('again', 1)) t(run_id, fold) GROUP BY label, run_id, fold""",
 )
 
 # ---- labels and filters -------------------------------------------------------------------------------------------
@@ -196,6 +199,22 @@ put(
 )
 put("label_2016", LAB, "SELECT id, label FROM lab")
 put("label_both_years", BOTH, "SELECT id, label, real_label FROM lab")
+put("relabel_to_truth", BOTH, "SELECT id, real_label AS label, real_label FROM lab")
+put(
+    "label_report",
+    f"""{BOTH}, told AS (
+  SELECT 'label' AS col, label AS y FROM lab UNION ALL SELECT 'real_label', real_label FROM lab UNION ALL SELECT 'shifted', label + 1 FROM lab
+  UNION ALL SELECT 'only_positive', CASE WHEN label = 1 THEN 1.0::DOUBLE END FROM lab UNION ALL SELECT 'doubtful', real_label * 2 - 1 FROM lab),
+counted AS (SELECT col, count(y) AS n, count(*) FILTER (y NOT IN (0, 1)) AS n_bad, count(*) FILTER (y = 0) AS n_unlabeled FROM told GROUP BY col)""",
+    """SELECT col AS "column", n, n_bad, n_unlabeled,
+  CASE WHEN n_bad > 0 THEN 'labels other than 0 and 1' WHEN n_unlabeled = 0 THEN 'no unlabeled rows' ELSE '' END AS problem FROM counted""",
+)
+put(
+    "shape_report",
+    "v AS (SELECT CASE WHEN vec_id % 97 = 0 THEN 60 WHEN vec_id % 101 = 0 THEN NULL ELSE len(embedding) END AS size FROM embeddings)",
+    """SELECT CASE WHEN size IS NULL THEN 'no features' WHEN size <> 64 THEN 'wrong size' ELSE 'fits' END AS problem,
+  CAST(coalesce(size, -1) AS BIGINT) AS size, CAST(count(*) AS BIGINT) AS n FROM v GROUP BY ALL""",
+)
 put(
     "label_highconf_rest",
     APPSEC,
@@ -261,7 +280,7 @@ FROM bagged""",
 )
 put(
     "feature_prefix_filter",
-    "names AS (SELECT name, row_number() OVER (ORDER BY name) - 1 AS feature FROM (SELECT DISTINCT p_brand AS name FROM part))",
+    "names AS (SELECT name, row_number() OVER (ORDER BY name) - 1 AS feature FROM (SELECT DISTINCT p_brand AS name FROM part WHERE p_brand IS NOT NULL))",
     "SELECT CAST(feature AS BIGINT) AS feature, name FROM names WHERE NOT starts_with(name, 'Brand#1') AND NOT starts_with(name, 'Brand#3')",
 )
 put(
@@ -428,43 +447,35 @@ ranked AS (SELECT bag_id, feature, mi, row_number() OVER (PARTITION BY bag_id OR
 )
 
 
-def svm_steps(n: int) -> str:
-    """Subgradient steps with rate 1/sqrt(i) and an L2 shrink of .01, from zero weights."""
-    out = [f"w0 AS (SELECT feature, 0.0::DOUBLE AS w FROM range({N_BITS}) t(feature))", "cnt AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM bits)"]
-    for i in range(1, n + 1):
-        out.append(
-            f"""m{i} AS (SELECT id, any_value(2 * label - 1) AS y, sum(value * w) AS m FROM long JOIN w{i - 1} USING (feature) GROUP BY id),
-g{i} AS (SELECT feature, sum(CASE WHEN y * m < 1 THEN -y * value ELSE 0 END) AS g FROM long JOIN m{i} USING (id) GROUP BY feature),
-w{i} AS (SELECT feature, w * (1 - 0.01 / sqrt({i})) - g / (SELECT n FROM cnt) / sqrt({i}) AS w FROM w{i - 1} JOIN g{i} USING (feature))"""
-        )
-    return ",\n".join(out)
-
-
-put("svm_ranking", f"{BITS}, {bits_long()}, {svm_steps(4)}", f"SELECT CAST(feature AS BIGINT) AS feature, {r6('w')} AS score FROM w4")
-
-def svm_recursion(source: str, iterations: int) -> str:
-    """The same schedule to the end: stop after ``iterations`` or when a step is shorter than 1e-3 * max(|w|, 1)."""
-    js = range(N_FEATURES)
+def svm_recursion(source: str, iterations: int, values: list[str] | None = None) -> str:
+    """The subgradient schedule to the end: rate 1/sqrt(i), L2 shrink of .01, from zero weights; stop after ``iterations``
+    or when a step is shorter than 1e-3 * max(|w|, 1)."""
+    values = values or [f"f{j}" for j in range(N_FEATURES)]
+    js = range(len(values))
     w = ", ".join(f"w{j}" for j in js)
     p = ", ".join(f"p{j}" for j in js)
-    y = "(2 * label - 1)"
-    m = " + ".join(f"w{j} * f{j}" for j in js)
+    columns = ", ".join(f"CAST({v} AS DOUBLE) AS f{j}" for j, v in enumerate(values))
+    margin = " + ".join(f"w{j} * f{j}" for j in js)
     step = ", ".join(
-        f"any_value(w{j}) * (1 - 0.01 / sqrt(i + 1)) + sum(CASE WHEN {y} * ({m}) < 1 THEN {y} * f{j} ELSE 0 END) / count(*) / sqrt(i + 1)"
-        for j in js
+        f"any_value(w{j}) * (1 - 0.01 / sqrt(i + 1)) + sum(CASE WHEN y * m < 1 THEN y * f{j} ELSE 0 END) / count(*) / sqrt(i + 1)" for j in js
     )
     moved = " + ".join(f"(w{j} - p{j}) * (w{j} - p{j})" for j in js)
     norm = " + ".join(f"w{j} * w{j}" for j in js)
     return f"""
-src AS MATERIALIZED (SELECT label, {F_LIST} FROM {source}),
+src AS MATERIALIZED (SELECT 2 * label - 1 AS y, {columns} FROM {source}),
 it(i, {w}, {p}) AS (
-  SELECT 0, {", ".join("0.0::DOUBLE" for _ in range(2 * N_FEATURES))}
+  SELECT 0, {", ".join("0.0::DOUBLE" for _ in range(2 * len(values)))}
   UNION ALL
   SELECT i + 1, {step}, {", ".join(f"any_value(w{j})" for j in js)}
-  FROM it, src WHERE i < {iterations} AND NOT (i >= 2 AND sqrt({moved}) < 0.001 * greatest(sqrt({norm}), 1)) GROUP BY i),
+  FROM (SELECT *, {margin} AS m FROM it, src WHERE i < {iterations} AND NOT (i >= 2 AND sqrt({moved}) < 0.001 * greatest(sqrt({norm}), 1))) GROUP BY i),
 fin AS (SELECT * FROM it ORDER BY i DESC LIMIT 1)"""
 
 
+put(
+    "svm_ranking",
+    f"RECURSIVE {BITS.lstrip()}, {svm_recursion('bits', 100, [f'features[{j + 1}]' for j in range(N_BITS)])}",
+    " UNION ALL ".join(f"SELECT CAST({j} AS BIGINT) AS feature, {r6(f'w{j}')} AS score FROM fin" for j in range(N_BITS)),
+)
 put(
     "baseline_svm",
     f"RECURSIVE {LAB.lstrip()}, {svm_recursion('lab', 200)}",
@@ -511,6 +522,13 @@ scored AS (
 
 put("nb_predict", f"{LAB}, {SCORED}", "SELECT id, score AS p1, prediction FROM scored")
 
+put(
+    "committee_debug_dump",
+    f"{LAB}, {SCORED}",
+    """SELECT list, CASE WHEN list = 'expert' AND score = 0.5 THEN 1.0::DOUBLE ELSE prediction END AS prediction, label, CAST(count(*) AS BIGINT) AS n
+FROM scored CROSS JOIN (VALUES ('expert'), ('member')) t(list) GROUP BY ALL""",
+)
+
 # ---- label-regularized objective ----------------------------------------------------------------------------------
 
 
@@ -559,8 +577,9 @@ put("lr_predict", f"{LAB}, {_m}", f"SELECT id, CASE WHEN {sigmoid('m')} > 0.5 TH
 put("lr_score", f"{LAB}, {_m}", f"SELECT id, {r6(sigmoid('m'))} AS score FROM m")
 
 
-def pu_recursion(iterations: int, step: float, p: str, lam: float, reg: float) -> str:
-    """Full-batch label-regularized gradient steps on scaled features, from zero weights, stopped by the short-step rule."""
+def pu_recursion(iterations: int, step: float, p: str, lam: float, reg: float, buckets: int = 0, fraction: float = 1.0) -> str:
+    """Label-regularized gradient steps on scaled features, from zero weights: on all rows until the short-step rule stops
+    them, or each on the hash buckets it draws."""
     js = range(N_FEATURES)
     m = "(" + " + ".join(f"w{j} * z{j}" for j in js) + ")"
     s = sigmoid(m)
@@ -577,20 +596,64 @@ def pu_recursion(iterations: int, step: float, p: str, lam: float, reg: float) -
     norm = " + ".join(f"w{j} * w{j}" for j in js)
     stds = ", ".join(f"stddev_samp(f{j}) AS s{j}" for j in js)
     zs = ", ".join(f"CASE WHEN s{j} > 0 THEN f{j} / s{j} ELSE 0 END AS z{j}" for j in js)
+    bucket = f"{hash32('id', 42)} % {buckets}" if buckets else "0"
+    draw = "CAST('0x' || substr(md5(CAST(b AS VARCHAR) || ':' || CAST(42 + i AS VARCHAR)), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE"
+    rows = "src" if not buckets else "(SELECT i AS at, src.* FROM drawn JOIN src USING (bucket)) src"
+    stop = "" if buckets else f" AND NOT (i >= 2 AND sqrt({moved}) < 0.001 * greatest(sqrt({norm}), 1))"
+    draws = f"drawn AS MATERIALIZED (SELECT i, b AS bucket FROM range(1, {iterations + 1}) s(i), range({buckets}) t(b) WHERE {draw} < {fraction}),"
     return f"""
 stds AS (SELECT {stds} FROM lab),
-src AS MATERIALIZED (SELECT label, {zs} FROM lab, stds),
+src AS MATERIALIZED (SELECT label, {bucket} AS bucket, {zs} FROM lab, stds),
+{draws if buckets else ""}
 it(i, {w}, {before}) AS (
   SELECT 0, {", ".join("0.0::DOUBLE" for _ in range(2 * N_FEATURES))}
   UNION ALL
   SELECT i + 1, {steps}, {", ".join(f"any_value(w{j})" for j in js)}
-  FROM it, src WHERE i < {iterations} AND NOT (i >= 2 AND sqrt({moved}) < 0.001 * greatest(sqrt({norm}), 1)) GROUP BY i),
+  FROM it, {rows} WHERE i < {iterations}{" AND at = i + 1" if buckets else stop} GROUP BY i),
 fin AS (SELECT * FROM it ORDER BY i DESC LIMIT 1)"""
 
 
+def newton_recursion(iterations: int = 30) -> str:
+    """Full Newton steps for three features, the 3 x 3 system by determinants, for each left-out fold and penalty."""
+    js = range(3)
+    m = " + ".join(f"w{j} * f{j}" for j in js)
+    g = ", ".join(f"avg((s - label) * f{j}) + any_value(reg * w{j}) AS g{j}" for j in js)
+    h = ", ".join(f"avg(s * (1 - s) * f{j} * f{k}){' + any_value(reg)' if j == k else ''} AS h{j}{k}" for j in js for k in js if j <= k)
+
+    def det(columns: list[list[str]]) -> str:
+        a, b, c = columns
+        return f"({a[0]} * ({b[1]} * {c[2]} - {b[2]} * {c[1]}) - {b[0]} * ({a[1]} * {c[2]} - {a[2]} * {c[1]}) + {c[0]} * ({a[1]} * {b[2]} - {a[2]} * {b[1]}))"
+
+    own = [[f"h{min(j, k)}{max(j, k)}" for k in js] for j in js]
+    right = [f"g{k}" for k in js]
+    steps = ", ".join(f"w{j} - {det([right if k == j else own[k] for k in js])} / {det(own)}" for j in js)
+    return f"""
+src AS MATERIALIZED (SELECT {hash32('id', 11)} % 3 AS fold, label, CAST(f0 AS DOUBLE) AS f0, CAST(f1 AS DOUBLE) AS f1, CAST(f2 AS DOUBLE) AS f2 FROM lab),
+it(left_out, reg, i, w0, w1, w2) AS (
+  SELECT o - 1, r, 0, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE FROM range(4) t(o), (VALUES (0.0::DOUBLE), (0.01::DOUBLE)) u(r)
+  UNION ALL
+  SELECT left_out, reg, i + 1, {steps} FROM (
+    SELECT left_out, reg, i, any_value(w0) AS w0, any_value(w1) AS w1, any_value(w2) AS w2, {g}, {h}
+    FROM (SELECT *, {sigmoid('(' + m + ')')} AS s FROM it JOIN src ON src.fold <> it.left_out WHERE i < {iterations}) GROUP BY left_out, reg, i)),
+fin AS (SELECT * FROM it WHERE i = {iterations})"""
+
+
+put(
+    "lr_newton",
+    f"RECURSIVE {LAB.lstrip()}, {newton_recursion()}",
+    " UNION ALL ".join(f"SELECT CAST(left_out AS BIGINT) AS left_out, reg, CAST({j} AS BIGINT) AS feature, {r6(f'w{j}')} AS weight FROM fin" for j in range(3)),
+)
+put(
+    "lrlr_minibatch",
+    f"RECURSIVE {LAB.lstrip()}, {pu_recursion(100, 0.5, '0.05::DOUBLE', 1.0, 0.01, 100, 0.1)}",
+    " UNION ALL ".join(
+        [f"SELECT CAST({j} AS BIGINT) AS feature, {r6(f'CASE WHEN s{j} > 0 THEN w{j} / s{j} ELSE 0 END')} AS weight FROM fin, stds" for j in range(N_FEATURES)]
+        + ["SELECT CAST(-1 AS BIGINT), CAST(count(*) AS DOUBLE) FROM drawn JOIN src USING (bucket)"]
+    ),
+)
 put(
     "lrlr_sgd_fit",
-    f"RECURSIVE {LAB.lstrip()}, {pu_recursion(25, 0.5, '0.05::DOUBLE', 1.0, 0.01)}",
+    f"RECURSIVE {LAB.lstrip()}, {pu_recursion(100, 0.5, '0.05::DOUBLE', 1.0, 0.01)}",
     " UNION ALL ".join(
         f"SELECT CAST({j} AS BIGINT) AS feature, {r6(f'CASE WHEN s{j} > 0 THEN w{j} / s{j} ELSE 0 END')} AS weight FROM fin, stds"
         for j in range(N_FEATURES)
@@ -608,6 +671,13 @@ put(
     f"SELECT id, {argmax('a', 'b')} AS plain, {argmax('(a + 0.1)', '(b + 0.2)')} AS biased FROM m",
 )
 
+_TECHNIQUES = ", ".join(f"'{t}'" for t in TECHNIQUES)
+put(
+    "hetero_draws",
+    f"{BIT_CLASSES}, {bags()}",
+    f"SELECT bag_id, [{_TECHNIQUES}][{hash32('bag_id', 7)} % {len(TECHNIQUES)} + 1] AS technique FROM bag_ids",
+)
+
 # ---- committees ---------------------------------------------------------------------------------------------------
 
 # Margins of every row under every bag's model.
@@ -757,6 +827,26 @@ put(
     f"SELECT {r6('score')} AS threshold, {r6('r')} AS recall, {r6('pc')} AS precision FROM pr",
 )
 
+def _scored_models() -> str:
+    """Four models at given weights, their scores to nine digits."""
+    parts = []
+    for b in range(4):
+        m = dot(bias=f"{-0.1 * b}::DOUBLE", weight=lambda j, b=b: f"sin(({j} + 1) * {b + 1}) / 10")
+        parts.append(f"SELECT {b} AS model, id, label, {hash32('id', 11)} % 3 AS fold, {m} AS m FROM lab")
+    return f"ms AS (SELECT model, fold, label, round({sigmoid('m')}, 9) AS score FROM ({' UNION ALL '.join(parts)}))"
+
+
+put(
+    "pr_curve_binned",
+    f"""{LAB}, {_scored_models()},
+sk AS (SELECT model, fold, least(floor(score * 16384), 16383) AS cell, count(*) FILTER (label > 0.5) AS pos, count(*) FILTER (NOT label > 0.5) AS neg FROM ms GROUP BY ALL),
+cu AS (SELECT *, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos + neg) OVER (PARTITION BY model, fold) AS n, sum(pos) OVER (PARTITION BY model, fold) AS np
+  FROM sk WINDOW w AS (PARTITION BY model, fold ORDER BY cell DESC)),
+bi AS (SELECT model, fold, (tp + fp - pos - neg) * 100 // n AS bin, min(cell) / 16384 AS threshold, max(tp) AS tp, max(fp) AS fp, max(np) AS np FROM cu GROUP BY ALL)""",
+    f"""SELECT CAST(model AS BIGINT) AS model, CAST(fold AS BIGINT) AS fold, CAST(bin AS BIGINT) AS bin, {r6('threshold')} AS threshold,
+  {r6('tp / np')} AS recall, {r6('tp / (tp + fp)')} AS precision FROM bi""",
+)
+
 # ---- cross-validation with Naive Bayes ----------------------------------------------------------------------------
 
 

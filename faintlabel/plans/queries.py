@@ -19,7 +19,7 @@ from faintlabel.learning.committee import Committee
 from faintlabel.learning.fits import Fit, loss_and_gradient
 from faintlabel.learning.models import LinearModel, load_model, save_model
 from faintlabel.learning.solvers import pu_step
-from faintlabel.learning.training import evaluate, fit_label_regularized, fit_label_regularized_sgd, fit_many, inverse_std
+from faintlabel.learning.training import evaluate, fit_label_regularized, fit_label_regularized_sgd, fit_many, fit_minibatch, fit_newton, inverse_std, label_check
 from faintlabel.operators import bags as B
 from faintlabel.operators import features as FE
 from faintlabel.operators import labeling as L
@@ -147,7 +147,7 @@ def model_roundtrip(spark, d):
 
 @query
 def experiment_results(spark, d):
-    """Result rows appended in two runs and read back."""
+    """Result rows of one run written twice and of another once, read back."""
     counts = L.class_counts(_labeled(spark, d)).filter("source = 'label'")
     rows = counts.select(
         F.lit("run").alias("run_id"), F.lit("counts").alias("experiment"),
@@ -155,8 +155,8 @@ def experiment_results(spark, d):
         F.lit("none").alias("model"), F.lit("rows").alias("metric"), F.col("n").cast("double").alias("value"),
     )
     path = new_folder(spark, "results")
-    results.append_results(rows, path)
-    results.append_results(rows.withColumn("fold", F.lit(1)), path)
+    for run, fold in (("run", 0), ("run", 0), ("again", 1)):
+        results.append_results(rows.withColumns({"run_id": F.lit(run), "fold": F.lit(fold)}), path)
     return results.read_results(spark, path).select(
         "run_id", "experiment", F.col("params")["label"].alias("label"), big("fold"), "model", "metric", "value"
     )
@@ -202,6 +202,30 @@ def changed_labels(spark, d):
     return L.changed_rows(L.label_both_years(T.appsec(spark, d))).select("id", "label", "real_label")
 
 
+@query
+def relabel_to_truth(spark, d):
+    """Training labels replaced by the later ones."""
+    return L.relabel_to_truth(L.label_both_years(T.appsec(spark, d))).select("id", "label", "real_label")
+
+
+@query
+def label_report(spark, d):
+    """What keeps label columns from being fitted: other values than 0 and 1, no row with label 0."""
+    df = L.label_both_years(T.appsec(spark, d)).withColumns({
+        "shifted": F.col("label") + 1, "only_positive": F.when(F.col("label") == 1, 1.0), "doubtful": F.col("real_label") * 2 - 1,
+    })
+    out = label_check(df, ["label", "real_label", "shifted", "only_positive", "doubtful"])
+    return out.select("column", big("n"), big("n_bad"), big("n_unlabeled"), "problem")
+
+
+@query
+def shape_report(spark, d):
+    """Rows whose feature arrays do not fit a model of 64 weights, and the first size that is wrong."""
+    rows = T.vectors(spark, d).select("id", F.when(F.col("id") % 97 == 0, F.slice("features", 1, 60)).when(F.col("id") % 101 == 0, F.lit(None)).otherwise(F.col("features")).alias("features"))
+    model = LinearModel(tuple(given_weights(64)), 0.0)
+    return model.shape_report(rows, "features").select("problem", big("size"), big("n"))
+
+
 @query
 def changed_label_counts(spark, d):
     return L.changed_counts(L.label_both_years(T.appsec(spark, d))).select(big("n"), big("n_changed"), big("n_to_positive"))
@@ -262,9 +286,8 @@ def feature_subset_per_bag(spark, d):
 @query
 def feature_prefix_filter(spark, d):
     """Features of the part table whose brand name does not start with the given prefixes."""
-    names = [r[0] for r in T.read_table(spark, d, "part").select("p_brand").distinct().orderBy("p_brand").collect()]
-    kept = FE.without_prefixes(names, ["Brand#1", "Brand#3"])
-    return spark.createDataFrame([(i, names[i]) for i in kept], "feature bigint, name string")
+    names = T.read_table(spark, d, "part").select(F.col("p_brand").alias("name")).where("name is not null").distinct()
+    return FE.named_features(names).where(~FE.has_prefix(F.col("name"), ["Brand#1", "Brand#3"])).select(big("feature"), "name")
 
 
 @query
@@ -411,8 +434,8 @@ def topk_per_bag(spark, d):
 
 @query
 def svm_ranking(spark, d):
-    """Signed weights after four subgradient steps, the length the SQL counterpart unrolls."""
-    return R.svm_ranking(T.bits(spark, d), T.vector_features(), iterations=4).select(big("feature"), dbl("score"))
+    """Signed weights after up to 100 subgradient steps."""
+    return R.svm_ranking(T.bits(spark, d), T.vector_features()).select(big("feature"), dbl("score"))
 
 
 # ---- models -------------------------------------------------------------------------------------------------------
@@ -474,8 +497,8 @@ def lrlr_sgd_step(spark, d):
 
 @query
 def lrlr_sgd_fit(spark, d):
-    """Twenty-five full-batch steps from zero weights."""
-    done = fit_label_regularized_sgd(_labeled(spark, d), T.appsec_features(), 0.05, 1.0, step=0.5, iterations=25)
+    """Up to 100 full-batch steps from zero weights."""
+    done = fit_label_regularized_sgd(_labeled(spark, d), T.appsec_features(), 0.05, 1.0, step=0.5)
     out = spark.createDataFrame(list(enumerate(done.model.weights)), "feature bigint, weight double")
     return out.select("feature", dbl("weight"))
 
@@ -528,13 +551,32 @@ def lrlr_fit(spark, d):
 
 @query
 def baseline_lr(spark, d):
-    """Plain logistic regression with label-0 rows as negatives, by the built-in estimator."""
-    from pyspark.ml.classification import LogisticRegression
+    """Plain logistic regression with label-0 rows as negatives, on scaled features: Newton steps."""
+    done = fit_newton(_labeled(spark, d), T.appsec_features(), [Fit("lr", "logistic")])[0]
+    out = spark.createDataFrame(list(enumerate(done.model.weights)), "feature bigint, weight double")
+    return out.select("feature", dbl("weight"))
+
+
+@query
+def lr_newton(spark, d):
+    """Three features, no penalty and a small one, all rows and each fold left out: eight fits in the same passes."""
+    fs = FE.FeatureSet.wide(FEATURES[:3])
+    rows = S.kfold_assign(_labeled(spark, d), 3, 11).select("label", "fold", *FEATURES[:3])
+    fits = [
+        Fit(f"{out}/{reg}", "logistic", fold_col=None if out < 0 else "fold", left_out=None if out < 0 else out, reg_param=reg, scale=False)
+        for out in (-1, 0, 1, 2) for reg in (0.0, 0.01)
+    ]
+    rows = [(*f.fit.name.split("/"), j, w) for f in fit_newton(rows, fs, fits) for j, w in enumerate(f.model.weights)]
+    out = spark.createDataFrame([(int(a), float(b), j, w) for a, b, j, w in rows], "left_out bigint, reg double, feature bigint, weight double")
+    return out.select("left_out", "reg", "feature", dbl("weight"))
+
 
-    df = FE.assemble(_labeled(spark, d), FEATURES, ["label"])
-    m = LogisticRegression(regParam=0.0, fitIntercept=False, standardization=True, tol=1e-6).fit(df)
-    rows = [(j, float(w)) for j, w in enumerate(m.coefficients)]
-    return spark.createDataFrame(rows, "feature bigint, weight double")
+@query
+def lrlr_minibatch(spark, d):
+    """A hundred steps on about a tenth of the rows each, read by bucket."""
+    done = fit_minibatch(_labeled(spark, d), T.appsec_features(), 0.05, 1.0, step=0.5, tol=0.0)
+    out = spark.createDataFrame([*enumerate(done.model.weights), (-1, float(done.rows_read))], "feature bigint, weight double")
+    return out.select("feature", dbl("weight"))
 
 
 @query
@@ -612,14 +654,51 @@ def committee_vote_linear(spark, d):
 
 @query
 def hetero_ensemble(spark, d):
-    """A drawn technique per bag, ten features each, vote and expert areas on all rows."""
+    """A drawn technique per bag, all its ranked features, vote and expert areas on all rows."""
     df = _bit_classes(spark, d)
-    committee, chosen = C.mixed_committee(B.assign_bags(df, 7), T.vector_features(), top=10)
+    committee, chosen = C.mixed_committee(B.assign_bags(df, 7), T.vector_features())
     areas = M.areas_hard(committee.score(df, T.vector_features()), prediction="vote").first()
     rows = [(b, t, r + 1, f, float(areas["auprc"])) for b, (t, ix) in sorted(chosen.items()) for r, f in enumerate(ix)]
     return spark.createDataFrame(rows, "bag_id bigint, technique string, rank bigint, feature bigint, auprc double")
 
 
+@query
+def hetero_draws(spark, d):
+    """The technique that each bag draws."""
+    bagging = B.assign_bags(_bit_classes(spark, d), 7)
+    return C.technique_draws(spark, bagging.n_bags).select(big("bag_id"), "technique")
+
+
+@query
+def single_schemes(spark, d):
+    """The six schemes that fit on one part and measure on another: single models, and committees over balanced bags."""
+    rows = S.kfold_assign(_bit_classes(spark, d), 3, 11)
+    fs = T.vector_features()
+    with held(rows.filter("fold <> 0")) as train, held(rows.filter("fold = 0")) as test:
+        bagging = B.assign_bags(train, 7)
+        lists = {b: [b % fs.size, (7 * b + 3) % fs.size] for b in range(bagging.n_bags)}
+        found = {
+            "naive_bayes": C.measure_naive_bayes(train, test, fs),
+            "svm": C.measure_svm(train, test, fs),
+            "naive_bayes_committee": C.measure_naive_bayes_committee(bagging, test, fs),
+            "naive_bayes_committee_lists": C.measure_naive_bayes_committee(bagging, test, fs, lists),
+            "svm_committee": C.measure_svm_committee(bagging, test, fs),
+            "mixed_committee": C.measure_mixed_committee(bagging, test, fs),
+        }
+        out = [(name, r["auprc"], r["auroc"], r["expert_auprc"] if "expert_auprc" in df.columns else None) for name, df in found.items() for r in df.collect()]
+    return spark.createDataFrame(out, "scheme string, auprc double, auroc double, expert_auprc double")
+
+
+@query
+def committee_debug_dump(spark, d):
+    """The two prediction lists that a committee of one member leaves behind."""
+    df, fs = _labeled(spark, d), T.appsec_features()
+    path = new_folder(spark, "debug")
+    Committee([fit_nb(df, fs)]).expert_auprc(df, fs, debug_path=path).collect()
+    lists = [results.read_predictions(spark, f"{path}/{name}").withColumn("list", F.lit(name)) for name in ("expert", "member")]
+    return lists[0].unionByName(lists[1]).groupBy("list", "prediction", "label").agg(F.count("*").alias("n"))
+
+
 # ---- metrics ------------------------------------------------------------------------------------------------------
 
 
@@ -630,6 +709,18 @@ def _nb_pairs(df: DataFrame) -> DataFrame:
     return df.withColumns({"prediction": F.when(margin > 0, 1.0).otherwise(0.0), "score": rounded(sigmoid(margin))})
 
 
+@query
+def pr_curve_binned(spark, d):
+    """Curves of 100 bins for four models in three folds, from one mergeable sketch."""
+    fs = T.appsec_features()
+    df = S.kfold_assign(_labeled(spark, d), 3, 11)
+    models = [LinearModel(tuple(math.sin((j + 1) * (b + 1)) / 10 for j in range(10)), -0.1 * b) for b in range(4)]
+    scores = F.array(*[rounded(sigmoid(m.margins(df, fs)[0]), 9) for m in models])
+    scored = df.select(big("fold"), "label", F.posexplode(scores).alias("model", "score"))
+    out = M.binned_curve(M.score_sketch(scored, ["model", "fold"]), ["model", "fold"], 100)
+    return out.select(big("model"), "fold", big("bin"), dbl("threshold"), dbl("recall"), dbl("precision"))
+
+
 def _two_vintages(spark, d) -> DataFrame:
     return L.label_both_years(T.appsec(spark, d)).select("id", "label", "real_label", *FEATURES)
 
@@ -756,13 +847,13 @@ def _report(sweep: X.Sweep) -> DataFrame:
 
 @query
 def x_noise(spark, d):
-    return _report(X.noise_sweep(_labeled(spark, d), T.appsec_features(), reg_param=0.001))
+    return _report(X.noise_sweep(_labeled(spark, d), T.appsec_features(), reg_param=0.0))
 
 
 @query
 def x_labeled_amount(spark, d):
     return _report(
-        X.labeled_amount_sweep(_labeled(spark, d), T.appsec_features(), reg_param=0.001)
+        X.labeled_amount_sweep(_labeled(spark, d), T.appsec_features(), reg_param=0.0)
     )
 
 
@@ -774,7 +865,7 @@ def x_lambdas(spark, d):
 @query
 def x_temporal(spark, d):
     return _report(
-        X.temporal_sweep(_two_vintages(spark, d), T.appsec_features(), reg_param=0.001)
+        X.temporal_sweep(_two_vintages(spark, d), T.appsec_features(), reg_param=0.0)
     )
 
 
@@ -782,7 +873,7 @@ def x_temporal(spark, d):
 def x_changed_train(spark, d):
     return _report(
         X.changed_training_sweep(
-            _two_vintages(spark, d), T.appsec_features(), reg_param=0.001
+            _two_vintages(spark, d), T.appsec_features(), reg_param=0.0
         )
     )
 
@@ -792,7 +883,7 @@ def x_family(spark, d):
     df = L.label_2016(T.appsec(spark, d)).select("id", "family", "label", *FEATURES)
     return _report(
         X.family_sweep(
-            df.filter("label = 1"), df.filter("label = 0"), T.appsec_features(), reg_param=0.001
+            df.filter("label = 1"), df.filter("label = 0"), T.appsec_features(), reg_param=0.0
         )
     )
 
@@ -800,14 +891,14 @@ def x_family(spark, d):
 @query
 def x_highconf(spark, d):
     df = L.label_highconf_rest(T.appsec(spark, d)).select("id", "label", "real_label", *FEATURES)
-    return _report(X.highconf_sweep(df, T.appsec_features(), reg_param=0.001))
+    return _report(X.highconf_sweep(df, T.appsec_features(), reg_param=0.0))
 
 
 @query
 def x_noisy_benign(spark, d):
     df = T.appsec(spark, d)
-    a = _report(X.noisy_benign_sweep(df, T.appsec_features(), reg_param=0.001))
-    b = _report(X.noisy_benign_sweep(df, T.appsec_features(), vary="min_malware", reg_param=0.001))
+    a = _report(X.noisy_benign_sweep(df, T.appsec_features(), reg_param=0.0))
+    b = _report(X.noisy_benign_sweep(df, T.appsec_features(), vary="min_malware", reg_param=0.0))
     return a.unionByName(b)
 
 
@@ -815,9 +906,9 @@ def x_noisy_benign(spark, d):
 def x_android(spark, d):
     df = T.appsec(spark, d)
     base = L.base_set(df).select("id", "label", *FEATURES)
-    one = _report(X.single_split(base, T.appsec_features(), reg_param=0.001))
+    one = _report(X.single_split(base, T.appsec_features(), reg_param=0.0))
     more = _report(
-        X.unlabeled_sweep(base, T.appsec_features(), L.temporal_holdout(df), reg_param=0.001)
+        X.unlabeled_sweep(base, T.appsec_features(), L.temporal_holdout(df), reg_param=0.0)
     )
     return one.unionByName(more)
 

@@ -20,11 +20,17 @@ def read_predictions(spark: SparkSession, path: str) -> DataFrame:
 
 
 def append_results(results: DataFrame, path: str, timestamp: bool = True) -> None:
-    """Append metric rows to a results table, stamped with the time of the run."""
+    """Add metric rows to a results table, stamped with the time of the run.
+
+    The table is kept by ``run_id`` and a run's rows take the place of that run's rows, so a run that is written again,
+    after a retry or by a second driver, is there once; other runs are left alone.
+    """
     if timestamp:
         results = results.withColumn("at", F.date_format(F.current_timestamp(), "MM/dd/yyyy HH:mm:ss"))
-    results.write.mode("append").parquet(path)
+    results.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    rows = spark.read.parquet(path)
+    others = [c for c in rows.columns if c != "run_id"]
+    return rows.select(F.col("run_id").cast("string").alias("run_id"), *others)

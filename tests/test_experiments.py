@@ -113,8 +113,8 @@ def test_rank_committee_query_takes_all_steps_and_features(spark, monkeypatch):
 
 
 def test_contract():
-    assert entry_module.queries().keys() == QUERIES.keys()
-    assert entry_module.oracle_sql().keys() == ORACLE.keys()
+    assert entry_module.queries().keys() == {**QUERIES, **entry_module.CORPUS}.keys()
+    assert entry_module.oracle_sql().keys() == {**ORACLE, **entry_module.CORPUS_ORACLE}.keys()
     assert len(QUERIES) >= 85
 
 

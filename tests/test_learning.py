@@ -16,7 +16,8 @@ from faintlabel.learning.committee import Committee, Scorer, prediction_counts
 from faintlabel.learning.fits import DIVERGENCES, Fit, divergence, loss_and_gradient, true_kl
 from faintlabel.learning.models import LinearModel, committee_columns, load_model, save_model
 from faintlabel.learning.training import (
-    catalyst_sums, arrow_sums, evaluate, fit_label_regularized, fit_label_regularized_sgd, fit_many, inverse_std, loss_history,
+    catalyst_sums, arrow_sums, evaluate, fit_label_regularized, fit_label_regularized_sgd, fit_many, fit_minibatch, fit_newton,
+    inverse_std, loss_history,
 )
 from faintlabel.operators import bags as B
 from faintlabel.operators.features import FeatureSet
@@ -261,13 +262,140 @@ def test_large_committees_are_counted_in_blocks(rows, monkeypatch):
 
     models = tuple(LinearModel(tuple(W * (i - 3)), 0.1 * i) for i in range(7))
     tests = [CM.CommitteeTest("a", models), CM.CommitteeTest("b", models[:3], "fold", 1), CM.CommitteeTest("c", models[2:4])]
-    want = CM.committee_counts(rows, WIDE, tests).filter("n > 0")
+    want = CM.committee_counts(rows, WIDE, tests).filter("n > 0").drop("members")
     monkeypatch.setattr(CM, "BLOCK_BYTES", 8 * (D + 1) * 4)
     monkeypatch.setattr(MO, "BLOCK_BYTES", 8 * (D + 1) * 4)
     got = CM.committee_counts(rows, WIDE, tests).groupBy("name", "rule", "prediction", "label").agg(F.sum("n").alias("n"))
     assert got.filter("n > 0").exceptAll(want).count() == 0
 
 
+def test_prefixes_equal_separate_committees(rows, monkeypatch):
+    from faintlabel.learning import committee as CM
+
+    models = tuple(LinearModel(tuple(W * (i - 3)), 0.1 * i) for i in range(7))
+    at_once = [CM.CommitteeTest("a", models, "fold", 1, (1, 3, 7)), CM.CommitteeTest("b", models[1:], None, None, (2,))]
+    apart = [CM.CommitteeTest("a", models[:n], "fold", 1) for n in (1, 3, 7)] + [CM.CommitteeTest("b", models[1:3])]
+    want = CM.committee_counts(rows, WIDE, apart).filter("n > 0")
+    for most in (CM.BLOCK_BYTES, 8 * (D + 1) * 4):
+        monkeypatch.setattr(CM, "BLOCK_BYTES", most)
+        got = CM.committee_counts(rows, WIDE, at_once).groupBy("name", "members", "rule", "prediction", "label").agg(F.sum("n").alias("n")).filter("n > 0")
+        assert got.count() == want.count() and got.exceptAll(want).count() == 0
+    with pytest.raises(ValueError, match="prefixes"):
+        CM.CommitteeTest("c", models, prefixes=(8,))
+
+
+def test_members_are_scored_on_their_own_fold(rows, monkeypatch):
+    from faintlabel.learning import batches as BA
+    from faintlabel.learning import committee as CM
+
+    seen = []
+    monkeypatch.setattr(CM, "sum_over_rows", lambda df, reducer, length, cells: sum(reducer(b) for b in df.toArrow().to_batches()))
+    dot = BA.DenseBlock.dot
+    monkeypatch.setattr(BA.DenseBlock, "dot", lambda self, w: seen.append(self.n * len(w)) or dot(self, w))
+    models = tuple(LinearModel(tuple(W * (i - 3)), 0.1 * i) for i in range(4))
+    CM.committee_counts(rows, WIDE, [CM.CommitteeTest(str(f), models, "fold", f, (1, 2, 4)) for f in range(3)])
+    assert sum(seen) == 4 * rows.count()
+
+
+def test_fits_tell_why_they_ended(rows):
+    done = fit_label_regularized(rows, WIDE, 0.05, 1.0, reg_param=0.01)
+    assert done.converged and done.reason in ("gain", "gradient")
+    short = fit_label_regularized(rows, WIDE, 0.05, 1.0, reg_param=0.01, max_iter=2)
+    assert not short.converged and short.reason == "iterations"
+    few = fit_label_regularized(rows, WIDE, 0.05, 1.0, reg_param=0.01, max_evals=3, tol=0.0)
+    assert not few.converged and few.reason == "evaluations"
+    svm = fit_many(rows, WIDE, [Fit("svm", "hinge", reg_param=0.01, scale=False)], max_iter=3)[0]
+    assert not svm.converged and svm.reason == "iterations"
+
+
+def newton_fits(reg):
+    return [
+        Fit("all", "logistic", reg_param=reg), Fit("raw", "logistic", reg_param=reg, scale=False), Fit("fold", "logistic", fold_col="fold", left_out=1, reg_param=reg),
+        Fit("some", "logistic", reg_param=reg, only=(0, 2, 5)),
+    ]
+
+
+def test_newton_finds_the_engines_optimum(rows, vector_rows):
+    from pyspark.ml.classification import LogisticRegression
+
+    found = {f.fit.name: f for f in fit_newton(rows, WIDE, newton_fits(0.01))}
+    for name, data, scaled in (("all", vector_rows, True), ("raw", vector_rows, False), ("fold", vector_rows.filter("fold <> 1"), True)):
+        engine = LogisticRegression(regParam=0.01, fitIntercept=False, standardization=scaled, tol=1e-14, maxIter=500).fit(data)
+        assert found[name].converged
+        # the engine's own steps end some 1e-7 before the optimum; the next test looks at the gradient
+        assert np.array(found[name].model.weights) == pytest.approx(engine.coefficients.toArray(), abs=1e-6)
+    assert {j for j, w in enumerate(found["some"].model.weights) if w} <= {0, 2, 5}
+
+
+def test_newton_gradient_vanishes_and_steps_are_few(rows, matrix):
+    x, y, fold = matrix
+    std = x.std(axis=0, ddof=1)
+    for f in fit_newton(rows, WIDE, newton_fits(0.01)):
+        keep = fold != 1 if f.fit.name == "fold" else np.ones(len(y), bool)
+        scale = np.ones(D) if f.fit.name == "raw" else x[keep].std(axis=0, ddof=1)
+        w = np.array(f.model.weights) * scale
+        z = x[keep] / scale
+        grad = z.T @ (1 / (1 + np.exp(-z @ w)) - y[keep]) / keep.sum() + 0.01 * w
+        inside = [0, 2, 5] if f.fit.name == "some" else range(D)
+        assert np.abs(grad[list(inside)]).max() < 1e-9
+        assert f.evaluations <= 15
+    assert std.min() > 0
+
+
+def test_newton_on_separable_rows_stops(spark):
+    rows = spark.createDataFrame([(i, float(i >= 10), float(i) - 9.5, 0.0) for i in range(20)], "id long, label double, a double, b double")
+    free, held_back = fit_newton(rows, FeatureSet.wide(["a", "b"]), [Fit("free", "logistic"), Fit("ridge", "logistic", reg_param=0.1)], max_iter=12)
+    assert held_back.converged and held_back.model.weights[0] > 0 and held_back.model.weights[1] == 0.0
+    assert np.isfinite(free.model.weights).all() and free.losses == sorted(free.losses, reverse=True)
+
+
+def test_minibatches_read_their_buckets(rows):
+    from faintlabel.learning import buckets
+
+    table = buckets.Bucketed.write(rows.select("id", "label", *WIDE.columns), "id", 20, seed=5)
+    n = rows.count()
+    with table:
+        parts = [table.sample(step, 0.25, 42) for step in range(1, 9)]
+        shares = [p.count() / n for p in parts]
+        assert 0.15 < sum(shares) / len(shares) < 0.35
+        assert len({tuple(sorted(table.drawn(step, 0.25, 42))) for step in range(1, 9)}) > 4
+        plan = parts[0]._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [_bucket" in plan.replace("isnotnull(_bucket", "_bucket")  # folders left out, not rows filtered
+        read = {r[0] for r in parts[0].select(F.input_file_name()).distinct().collect()}
+        assert len(read) == len(table.drawn(1, 0.25, 42)) < 12
+        assert table.rows.count() == n
+
+
+def test_minibatch_fit_follows_plain_steps(rows, matrix):
+    from faintlabel.learning import buckets
+
+    fit = fit_minibatch(rows, WIDE, 0.05, 1.0, reg_param=0.01, step=0.5, iterations=6, batch_fraction=0.3, n_buckets=16, tol=0.0)
+    data = rows.select("id", "label", *WIDE.columns).toPandas()
+    x, y = data[list(WIDE.columns)].to_numpy(float), data["label"].to_numpy()
+    of = buckets.bucket_numbers(data["id"].tolist(), 16, 42)
+    std = x.std(axis=0, ddof=1)
+    z, w, read = x / std, np.zeros(D), 0
+    for i in range(1, 7):
+        drawn = set(buckets.drawn_buckets(i, 0.3, 42, 16))
+        inside = np.array([b in drawn for b in of])
+        read += inside.sum()
+        pos, unl = inside & (y == 1), inside & (y == 0)
+        if not pos.any() or not unl.any():
+            continue
+        s = 1 / (1 + np.exp(-z @ w))
+        p = s[unl].mean()
+        slope = (1 - 0.05) / (1 - p) - 0.05 / p
+        push = slope * (s[unl] * (1 - s[unl])) @ z[unl] / unl.sum()
+        w = w - 0.5 / np.sqrt(i) * ((s[pos] - 1) @ z[pos] / pos.sum() + 0.01 * w + push)
+    assert np.array(fit.model.weights) == pytest.approx(w / std, abs=1e-9)
+    assert fit.rows_read == read < 0.6 * 6 * len(y)
+
+
+def test_empty_batches_leave_the_weights_alone(rows):
+    done = fit_minibatch(rows, WIDE, 0.05, 1.0, iterations=4, batch_fraction=0.0, n_buckets=8)
+    assert set(done.model.weights) == {0.0} and done.rows_read == 0 and done.losses == []
+
+
 def test_entries_equal_wide_columns(rows):
     """Fits, Naive Bayes, scores, moments and the dense form from index and value arrays."""
     from faintlabel.operators import features as FE

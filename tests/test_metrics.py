@@ -86,3 +86,29 @@ def test_merged_points_end_at_the_totals(scored):
     last = c.orderBy(F.desc("point")).first()
     assert c.count() <= 60 and last["tp"] == last["pos"] and last["fp"] == last["neg"]
     assert M.areas_scored(scored, num_bins=50).first()["auprc"] == pytest.approx(M.areas_scored(scored).first()["auprc"], abs=0.02)
+
+
+def test_score_sketch_merges_and_bins(spark):
+    import random
+
+    draw = random.Random(9)
+    rows = []
+    for i in range(6000):
+        model, y = i % 3, float(draw.random() < 0.3)
+        rows.append((model, min(1.0, max(0.0, draw.gauss(0.35 + 0.2 * y, 0.15))), y))
+    scored = spark.createDataFrame(rows, "model int, score double, label double")
+    one, other = scored.filter("score < 0.4"), scored.filter("score >= 0.4")
+    whole = M.score_sketch(scored, ["model"])
+    merged = M.merged_sketch(M.score_sketch(one, ["model"]), M.score_sketch(other, ["model"]), ["model"])
+    assert whole.exceptAll(merged).count() == 0 and merged.exceptAll(whole).count() == 0
+    curve = M.binned_curve(whole, ["model"], 100)
+    sizes = [r["count"] for r in curve.groupBy("model").count().collect()]
+    assert len(sizes) == 3 and all(90 <= n <= 100 for n in sizes)
+    exact = {r["model"]: r["auprc"] for r in M.areas_scored(scored, ["model"]).collect()}
+    for r in M.binned_areas(curve, ["model"]).collect():
+        assert r["auprc"] == pytest.approx(exact[r["model"]], abs=0.01)
+    last = curve.filter("recall = 1").groupBy("model").agg(F.max("tp").alias("tp"), F.first("pos").alias("pos")).collect()
+    assert len(last) == 3 and all(r["tp"] == r["pos"] for r in last)
+    ends = spark.createDataFrame([(1.0, 1.0), (1.0, 0.0), (-5.0, 0.0), (7.0, 1.0)], "score double, label double")
+    assert {(r["cell"], r["pos"], r["neg"]) for r in M.score_sketch(ends).collect()} == {(M.SCORE_CELLS - 1, 2, 1), (0, 0, 1)}
+    assert M.binned_curve(M.score_sketch(ends.limit(0))).count() == 0

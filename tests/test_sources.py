@@ -95,6 +95,19 @@ def test_all_folds_in_one_job(spark, folder):
     assert len(one) == 40 and all(list(r["features"].toArray())[0] == list(r["features"].toArray())[1] for r in one)
 
 
+def test_a_run_written_twice_is_there_once(spark, folder):
+    def run(name, values):
+        rows = [(name, "e", {"a": "1"}, i, "m", "x", v) for i, v in enumerate(values)]
+        results.append_results(spark.createDataFrame(rows, results.RESULT_SCHEMA), folder)
+
+    run("1", [0.1, 0.2])
+    run("2", [0.3])
+    run("1", [0.1, 0.2])
+    assert sorted((r["run_id"], r["value"]) for r in results.read_results(spark, folder).collect()) == [("1", 0.1), ("1", 0.2), ("2", 0.3)]
+    run("2", [0.4, 0.5, 0.6])
+    assert results.read_results(spark, folder).count() == 5
+
+
 def test_predictions_are_not_overwritten(spark, folder):
     pairs = spark.createDataFrame([(1.0, 0.0), (0.0, 0.0)], "prediction double, label double")
     results.save_predictions(pairs, folder)
@@ -131,5 +144,9 @@ def test_folders_are_fresh(spark):
     assert a != b and (shared_folder(spark) is None or a.startswith(shared_folder(spark)))
 
 
-def test_prefix_filter():
+def test_prefix_filter(spark):
     assert FE.without_prefixes(["a::x", "b::y", "c"], ["a::", "c"]) == [1]
+    names = [f"{p}{i}" for p in ("permission_", "api", "") for i in range(30)]
+    named = FE.named_features(spark.createDataFrame([(n,) for n in names], "name string"))
+    kept = named.where(~FE.has_prefix(F.col("name"), ["api"])).collect()
+    assert {(r["feature"], r["name"]) for r in kept} == {(i, n) for i, n in enumerate(sorted(names)) if not n.startswith("api")}
