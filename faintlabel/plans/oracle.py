@@ -598,7 +598,7 @@ def pu_recursion(iterations: int, step: float, p: str, lam: float, reg: float, b
     zs = ", ".join(f"CASE WHEN s{j} > 0 THEN f{j} / s{j} ELSE 0 END AS z{j}" for j in js)
     bucket = f"{hash32('id', 42)} % {buckets}" if buckets else "0"
     draw = "CAST('0x' || substr(md5(CAST(b AS VARCHAR) || ':' || CAST(42 + i AS VARCHAR)), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE"
-    rows = "src" if not buckets else "(SELECT i AS at, src.* FROM drawn JOIN src USING (bucket)) src"
+    rows = "src" if not buckets else "(SELECT i AS nth, src.* FROM drawn JOIN src USING (bucket)) src"
     stop = "" if buckets else f" AND NOT (i >= 2 AND sqrt({moved}) < 0.001 * greatest(sqrt({norm}), 1))"
     draws = f"drawn AS MATERIALIZED (SELECT i, b AS bucket FROM range(1, {iterations + 1}) s(i), range({buckets}) t(b) WHERE {draw} < {fraction}),"
     return f"""
@@ -609,7 +609,7 @@ it(i, {w}, {before}) AS (
   SELECT 0, {", ".join("0.0::DOUBLE" for _ in range(2 * N_FEATURES))}
   UNION ALL
   SELECT i + 1, {steps}, {", ".join(f"any_value(w{j})" for j in js)}
-  FROM it, {rows} WHERE i < {iterations}{" AND at = i + 1" if buckets else stop} GROUP BY i),
+  FROM it, {rows} WHERE i < {iterations}{" AND nth = i + 1" if buckets else stop} GROUP BY i),
 fin AS (SELECT * FROM it ORDER BY i DESC LIMIT 1)"""
 
 
