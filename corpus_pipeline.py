@@ -16,18 +16,18 @@ from faintlabel.llm.common import stored, table
 
 def _rows(docs: DataFrame) -> DataFrame:
     """Whole rows in one column, so that no column of theirs clashes with a stage's own."""
-    return docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), "text")
+    return docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"))
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that fail the base rules or whose votes make poor quality likelier."""
-    return quality_rules.judge(_rows(docs), ["_row"]).where("kept").select("_row.*")
+    return quality_rules.judge(_rows(docs), ["_row"], text="_row.text").where("kept").select("_row.*")
 
 
 def classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose probability of the highest grade is under a half; trained on the labelled documents."""
     model = ordinal.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return ordinal.score(_rows(docs), model, ["_row"]).where("kept").select("_row.*")
+    return ordinal.score(_rows(docs), model, ["_row"], text="_row.text").where("kept").select("_row.*")
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

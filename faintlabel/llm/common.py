@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -58,8 +59,20 @@ def slices(batches: Iterator[pa.RecordBatch], step: int = SLICE) -> Iterator[pa.
 
 
 def text_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
-    """Texts of a batch, null as empty."""
-    return [x or "" for x in batch.column(name).to_pylist()]
+    """Texts of a batch, null as empty; ``name`` may be a field of a struct column."""
+    first, *fields = name.split(".")
+    column = batch.column(first)
+    for field in fields:
+        column = pc.struct_field(column, field)
+    return [x or "" for x in column.to_pylist()]
+
+
+def with_text(docs: DataFrame, keys: list[str], text: str) -> tuple[DataFrame, str]:
+    """The columns that a task needs, and where the text is among them.  A text inside of a key, as ``_row.text``, travels
+    with it and not once more."""
+    if text.split(".")[0] in keys:
+        return docs.select(*keys), text
+    return docs.select(*keys, F.col(text).alias("_text")), "_text"
 
 
 def ranked(df: DataFrame, keys: list[str], order: list[Column], spread: list[Column], name: str, buckets: int = 64) -> DataFrame:

@@ -9,6 +9,7 @@ limit, twice the logarithm of how many features are tested, lets about one of th
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -21,13 +22,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faintlabel.llm.common import forget, remembered, slices, stored, text_of, with_keys
+from faintlabel.llm.common import forget, remembered, slices, stored, text_of, with_keys, with_text
 from faintlabel.session import ship_package
 
 #: Hash places; wide, so that a rare word seldom falls on a telling one.
 PLACES = 1 << 22
-#: Words a worker remembers the features of; it starts anew when full.
-MEMORY = 500_000
+#: Bytes of words and features that a worker remembers, and what an entry takes besides its letters and places.
+MEMORY = 80 << 20
+ENTRY = 180
 #: Lengths of the word prefixes that are features.
 PREFIXES = (4, 5, 6, 7)
 #: A feature of fewer labelled rows takes no part.
@@ -53,26 +55,26 @@ def _again(place: int) -> int:
 
 
 class _Words(dict):
-    """Places of a word's features: of itself and its shape, and of its prefixes.  With ``used``, flags of all places,
-    only features that a model uses; None where there are none."""
+    """Places of a word's features, as 32-bit numbers in bytes: how many are of itself and its shape, those, and then
+    those of its prefixes.  With ``used``, flags of all places, only features that a model uses; empty where there are
+    none.  Starts anew when ``MEMORY`` bytes are held."""
 
     def __init__(self, used: np.ndarray | None = None):
         super().__init__()
         self.used = None if used is None else used.tobytes()
+        self.size = 0
 
-    def __missing__(self, word: str) -> tuple[list[int], list[int]] | None:
-        if len(self) >= MEMORY:
-            self.clear()
+    def __missing__(self, word: str) -> bytes:
         lower = word.lower() if word.isalpha() else _EDGES.sub("", word).lower()
         if _LOWER.fullmatch(word):
             shape = "a"
         elif _TITLE.fullmatch(word):
             shape = "Aa"
         else:
-            shape = word[:40]
+            shape = word
             for pattern, sign in _SHAPES:
                 shape = pattern.sub(sign, shape)
-        own = [crc32(lower.encode(), _WORD) % PLACES, _shape_place(shape[:12])]
+        own = [crc32(lower.encode(), _WORD) % PLACES, _shape_place(shape)]
         starts = []
         if len(lower) > PREFIXES[0]:
             done, at = _PREFIX, 0
@@ -85,8 +87,12 @@ class _Words(dict):
         if used is not None:
             own = [p for p in own if used[p]]
             starts = [p for p in starts if used[p] or used[(p * 40_503 + 1) % PLACES]]
-        found = (own, starts) if own or starts else None
+        found = array("i", [len(own), *own, *starts]).tobytes() if own or starts else b""
         if len(word) <= 64:
+            self.size += ENTRY + len(word) + len(found)
+            if self.size > MEMORY:
+                self.clear()
+                self.size = 0
             self[word] = found
         return found
 
@@ -111,9 +117,10 @@ def features_of(text: str, words: _Words | None = None) -> np.ndarray:
     distinct = set(split)
     found: set[int] = set()
     starts: set[int] = set()
-    for own, prefixes in filter(None, map(words.__getitem__, distinct)):
-        found.update(own)
-        for place in prefixes:
+    for packed in filter(None, map(words.__getitem__, distinct)):
+        n_own, *places = array("i", packed)
+        found.update(places[:n_own])
+        for place in places[n_own:]:
             if place in starts:
                 found.add(_again(place))
             else:
@@ -122,7 +129,7 @@ def features_of(text: str, words: _Words | None = None) -> np.ndarray:
     again = sum(map(eq, split, split[1:])) / len(split)
     found.add(_place(f"adjacent {int(again * 20)}"))
     if len(split) >= 20:
-        found.add(_place(f"distinct {int(10 * len(distinct) / len(split)) if len(split) < 2000 else 'long'}"))
+        found.add(_place(f"distinct {int(10 * len(distinct) / (20**0.15 * len(split) ** 0.85))}"))
     return np.array(sorted(found))
 
 
@@ -244,7 +251,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, levels: in
     return OrdinalModel(np.frombuffer(found["p"], "<i8"), np.frombuffer(found["w"], "<f8"), np.frombuffer(found["t"], "<f8"))
 
 
-def score(docs: DataFrame, model: OrdinalModel, keys: list[str], least: float = 0.5) -> DataFrame:
+def score(docs: DataFrame, model: OrdinalModel, keys: list[str], least: float = 0.5, text: str = "text") -> DataFrame:
     """``keys``, expected_grade, tail (P(highest grade)) and kept (tail of ``least`` or more) for every row.
 
     Null texts are scored as empty ones; repeated rows are scored each; without any labelled row every document has the
@@ -252,6 +259,7 @@ def score(docs: DataFrame, model: OrdinalModel, keys: list[str], least: float =
     """
     ship_package(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # features of the bounded sample
+    given, place = with_text(docs, keys, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
@@ -259,8 +267,7 @@ def score(docs: DataFrame, model: OrdinalModel, keys: list[str], least: float =
         dense[own.places] = own.weights
         words = words_of(own)
         for batch in slices(batches):
-            tails = own.tails(np.array([float(dense[features_of(t, words)].sum()) for t in text_of(batch, "_text")]))
+            tails = own.tails(np.array([float(dense[features_of(t, words)].sum()) for t in text_of(batch, place)]))
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), pa.array(tails.sum(1)), pa.array(tails[:, -1])], names=[*keys, "expected_grade", "tail"])
 
-    given = docs.select(*keys, F.col("text").alias("_text"))
     return given.mapInArrow(run, with_keys(given, keys, "expected_grade double, tail double")).withColumn("kept", F.col("tail") >= least)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faintlabel.llm.common import slices, stored, text_of, with_keys
+from faintlabel.llm.common import slices, stored, text_of, with_keys, with_text
 from faintlabel.session import ship_package
 
 SYMBOLS = "#*$%&|<>"
@@ -23,6 +23,10 @@ WINDOW = 8
 #: One odd multiplier per place in a window.
 PLACES = np.random.default_rng(8).integers(1, 2**63, WINDOW, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
+#: Distinct words grow with a power of the words; in 20 words all may differ, which the scale makes 1 of.
+VOCABULARY_POWER = 0.85
+VOCABULARY_SCALE = 20**0.15
+
 SIGNALS = (
     "n_words word_chars n_symbols n_dup_lines n_repeat_words n_lines n_distinct n_adjacent n_upper n_letters n_bangs n_tail_symbols n_ends"
 ).split()
@@ -66,20 +70,18 @@ def signals_of(text: str) -> tuple[int, ...]:
     )
 
 
-def _signal_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches):
-        found = [signals_of(t) for t in text_of(batch, "_text")]
-        columns = [pa.array([f[i] for f in found], pa.int64()) for i in range(len(SIGNALS))]
-        kept = [batch.column(c) for c in batch.schema.names if c != "_text"]
-        names = [c for c in batch.schema.names if c != "_text"]
-        yield pa.RecordBatch.from_arrays([*kept, *columns], names=[*names, *SIGNALS])
+def signals(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """``keys`` and the signals of every document's whole text (null: no words); ``text`` may be a field of a key."""
+    ship_package(docs.sparkSession)
+    given, place = with_text(docs, keys, text)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            found = [signals_of(t) for t in text_of(batch, place)]
+            columns = [pa.array([f[i] for f in found], pa.int64()) for i in range(len(SIGNALS))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keys), *columns], names=[*keys, *SIGNALS])
 
-def signals(docs: DataFrame, keys: list[str]) -> DataFrame:
-    """``keys`` and the signals of every document's whole text (null: no words)."""
-    ship_package(docs.sparkSession)
-    given = docs.select(*keys, F.col("text").alias("_text"))
-    return given.mapInArrow(_signal_batches, with_keys(given, keys, ", ".join(f"{s} long" for s in SIGNALS)))
+    return given.mapInArrow(run, with_keys(given, keys, ", ".join(f"{s} long" for s in SIGNALS)))
 
 
 def share(part: str, whole: str = "n_words") -> Column:
@@ -112,7 +114,7 @@ def rules() -> list[Rule]:
         Rule("adjacent", share("n_adjacent"), 0.04, 0.1, some),
         Rule("windows", share("n_repeat_words"), 0.1, 0.3, some),
         Rule("lines", share("n_dup_lines", "n_lines"), 0.34, 0.5, F.col("n_lines") >= 4),
-        Rule("vocabulary", F.lit(1) - share("n_distinct"), 0.5, 0.85, some & (F.col("n_words") < 2_000)),
+        Rule("vocabulary", F.lit(1) - F.col("n_distinct") / F.pow(F.greatest(F.col("n_words"), F.lit(1)), VOCABULARY_POWER) / VOCABULARY_SCALE, 0.5, 0.85, some),
         Rule("word_length", share("word_chars"), 8.0, 14.0, some),
     ]
 
@@ -156,7 +158,7 @@ def fit_votes(votes: np.ndarray, counts: np.ndarray, rounds: int = 200, prior_sh
     return model
 
 
-def judge(docs: DataFrame, keys: list[str], threshold: float = 0.5) -> DataFrame:
+def judge(docs: DataFrame, keys: list[str], threshold: float = 0.5, text: str = "text") -> DataFrame:
     """``keys``, signals, ``base_failed``, ``posterior`` (of good quality) and ``kept`` of every document.
 
     base_failed: under 20 words, or over 30 % of the words in repeated 8-word windows.  kept: not base_failed and a
@@ -167,7 +169,7 @@ def judge(docs: DataFrame, keys: list[str], threshold: float = 0.5) -> DataFrame
     used = rules()
     votes = F.concat_ws(",", *[r.vote().cast("string") for r in used])
     base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    told = stored(signals(docs, keys).withColumn("base_failed", base).withColumn("_votes", votes), "signals")
+    told = stored(signals(docs, keys, text).withColumn("base_failed", base).withColumn("_votes", votes), "signals")
     patterns = told.groupBy("_votes").agg(F.count(F.lit(1)).alias("n")).collect()  # at most 3 ** rules rows
     grid = np.array([[int(x) for x in r["_votes"].split(",")] for r in patterns], float).reshape(-1, len(used))
     model = fit_votes(grid, np.array([r["n"] for r in patterns], float))
