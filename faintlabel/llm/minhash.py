@@ -6,9 +6,12 @@ other set has is skipped at once, so most sets post nothing.  Sets that meet und
 that agree in T coordinates are compared on their full sets.
 
 Groups of copies: equal sets are one node.  In each posting list all nodes are first compared with the list's most
-central node, then, for some rounds, those outside of the list's largest component with nodes drawn from it; whoever is
-still outside is compared with all others there.  No link between different components is lost, and the pairs within a
-large component are never listed.
+central node.  Lists that still hold several components are merged block against block: a meeting of two blocks counts
+the coordinates in which their nodes agree and skips pairs of one component, pairs that meet under an earlier pair of
+both, and sizes too far apart; only pairs above the match threshold leave it.  Where nearly all of a meeting's pairs are
+above it (copies that differ by just too much), the meeting itself leaves, and its full sets are compared in place.  No
+link between different components is lost, the pairs within a large component are never listed, and pairs that turn out
+not to be linked are never rows of a join.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from faintlabel.llm.common import components, remembered, slices, stored, with_keys
@@ -32,6 +35,9 @@ MISS = 1e-6
 MEMORY = 500_000
 #: Candidate sets up to this many are named to all tasks that read the texts; more are joined by shuffle.
 MOST_SENT = 1_000_000
+#: Nodes of a block, and pairs per node from which on a meeting of blocks is compared in place.
+BLOCK = 256
+DENSE = 4
 _rng = np.random.default_rng(2)
 WORD_FACTORS = _rng.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 COORDINATE_FACTORS = _rng.integers(1, 2**63, 512, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -91,20 +97,23 @@ def _node(shingles: np.ndarray) -> int | None:
 
 
 def signatures(docs: DataFrame, keys: list[str], words: int, coordinates: int) -> DataFrame:
-    """``keys``, n_shingles, node (a 64-bit digest of the set; null: empty set) and signature, from whole texts."""
+    """``keys``, n_shingles, node (a 64-bit digest of the set; null: empty set), signature and marks (the signature as
+    32-bit numbers), from whole texts."""
     ship_package(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             sets = [shingles_of(t, words) for t in batch.column("_text").to_pylist()]
-            marks = [signature_of(s, coordinates).astype(np.int64).tolist() if len(s) else None for s in sets]
+            marks = [signature_of(s, coordinates) if len(s) else None for s in sets]
+            lists = pa.array([None if m is None else m.astype(np.int64) for m in marks], pa.list_(pa.int64()))
+            packed = pa.array([None if m is None else m.astype("<u4").tobytes() for m in marks], pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(k) for k in keys), pa.array([len(s) for s in sets], pa.int64()), pa.array([_node(s) for s in sets], pa.int64()), pa.array(marks, pa.list_(pa.int64()))],
-                names=[*keys, "n_shingles", "node", "signature"],
+                [*(batch.column(k) for k in keys), pa.array([len(s) for s in sets], pa.int64()), pa.array([_node(s) for s in sets], pa.int64()), lists, packed],
+                names=[*keys, "n_shingles", "node", "signature", "marks"],
             )
 
     given = docs.select(*keys, F.col("text").alias("_text"))
-    return given.mapInArrow(run, with_keys(given, keys, "n_shingles long, node long, signature array<long>"))
+    return given.mapInArrow(run, with_keys(given, keys, "n_shingles long, node long, signature array<long>, marks binary"))
 
 
 def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
@@ -158,15 +167,21 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "_x", "_y").mapInArrow(run, "a long, b long")
 
 
-def _links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs that hold on full sets; only the texts of sets that are in a pair are read again."""
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = stored(classes.join(wanted, "node", "left_semi").select("node", F.col("first_doc").alias("doc_id")), "wanted")
+def _sets_of(docs: DataFrame, classes: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
+    """node and shingles, once per node; only the texts of one document per node are read again."""
+    wanted = stored(classes.join(nodes, "node", "left_semi").select("node", F.col("first_doc").alias("doc_id")), "wanted")
     names = wanted.select(F.col("doc_id").alias("_doc"))
     names = F.broadcast(names) if wanted.count() <= MOST_SENT else names
     texts = docs.join(names, F.col("doc_id").eqNullSafe(F.col("_doc")), "left_semi")
-    sets = stored(shingle_sets(texts, words), "sets")
-    return stored(_confirmed(pairs, sets, percent).distinct(), "links")
+    # a doc_id may have other texts too, and rows may repeat
+    sets = shingle_sets(texts.dropDuplicates(["doc_id", "text_key"]), words).join(wanted.select("node"), "node", "left_semi")
+    return stored(sets.dropDuplicates(["node"]), "sets")
+
+
+def _links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs that hold on full sets."""
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    return stored(_confirmed(pairs, _sets_of(docs, classes, nodes, words), percent).distinct(), "links")
 
 
 def _mixed_lists(posts: DataFrame, labels: DataFrame) -> DataFrame:
@@ -177,7 +192,141 @@ def _mixed_lists(posts: DataFrame, labels: DataFrame) -> DataFrame:
     return stored(labelled.join(stored(mixed.select("token", F.col("_top.label").alias("_top")), "mixed"), "token"), "lists")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, coordinates: int = COORDINATES, miss: float = MISS, most_rounds: int = 5) -> DataFrame:
+def _meetings(lists: DataFrame) -> DataFrame:
+    """meeting, token, side (0 or 1; a block may meet itself, all on side 0), node, label and first: the blocks of each list
+    that have pairs to compare.
+
+    ``first`` is the node's smallest token among the lists; two nodes of the same first have met there.  Nodes of the
+    list's largest component are blocks of their own, which do not meet each other; the others are dealt to blocks of up
+    to about ``BLOCK`` nodes by their first, so that blocks of one first need not meet under another token.
+    """
+    rows = lists.join(lists.groupBy("node").agg(F.min("token").alias("first")), "node")
+    inside = F.col("label") == F.col("_top")
+    rows = rows.select("token", "node", "label", "first", inside.alias("_in"), F.when(inside, -1).otherwise(F.col("first")).alias("_g"))
+    sizes = rows.groupBy("token", "_in", "_g").agg(F.count(F.lit(1)).alias("_n"))
+    rest = F.sum(F.when(~F.col("_in") & (F.col("_n") < BLOCK // 2), F.col("_n"))).over(Window.partitionBy("token"))  # one row per first
+    sizes = sizes.withColumn("_rest", F.coalesce(rest, F.lit(0)))
+    own = F.col("_in") | (F.col("_n") >= BLOCK // 2)
+    chunk = F.when(own, F.pmod(F.xxhash64("node"), F.ceil(F.col("_n") / BLOCK))).otherwise(F.pmod(F.xxhash64("_g", F.lit(1)), F.greatest(F.ceil(F.col("_rest") / BLOCK), F.lit(1))))
+    block = F.xxhash64("_in", F.when(own, F.col("_g")).otherwise(-2), chunk)
+    placed = stored(rows.join(sizes, ["token", "_in", "_g"]).select("token", block.alias("block"), "node", "label", "first", "_in"), "placed")
+    blocks = placed.groupBy("token", "block").agg(F.min("first").alias("lo"), F.max("first").alias("hi"), F.max("_in").alias("_in"), F.count(F.lit(1)).alias("n"))
+    blocks = stored(blocks, "blocks")
+    one, other = (blocks.select("token", *[F.col(c).alias(f"{x}_{c}") for c in ("block", "lo", "hi", "_in", "n")]) for x in "xy")
+    met_before = (F.col("x_lo") == F.col("x_hi")) & (F.col("y_lo") == F.col("y_hi")) & (F.col("x_lo") == F.col("y_lo")) & (F.col("x_lo") != F.col("token"))
+    alone = (F.col("x_block") == F.col("y_block")) & (F.col("x_n") == 1)
+    pairs = one.join(other, "token").where((F.col("x_block") <= F.col("y_block")) & ~(F.col("x__in") & F.col("y__in")) & ~met_before & ~alone)
+    pairs = pairs.select(F.xxhash64("token", "x_block", "y_block").alias("meeting"), "token", "x_block", "y_block")
+    sides = F.when(F.col("x_block") == F.col("y_block"), F.array(F.struct(F.lit(0).alias("side"), F.col("x_block").alias("block"))))
+    sides = sides.otherwise(F.array(F.struct(F.lit(0).alias("side"), F.col("x_block").alias("block")), F.struct(F.lit(1).alias("side"), F.col("y_block").alias("block"))))
+    guests = pairs.select("meeting", "token", F.explode(sides).alias("_s")).select("meeting", "token", "_s.side", "_s.block")
+    return placed.join(guests, ["token", "block"]).select("meeting", "token", "side", "node", "label", "first")
+
+
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of one meeting at a time, from batches in the order of meetings."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        names = batch.column("meeting").to_numpy()
+        cuts = [0, *(np.flatnonzero(names[1:] != names[:-1]) + 1).tolist(), len(names)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if held and held[0].column("meeting")[0].as_py() != names[a]:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _askable(group: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of either side of a meeting, their nodes, and which pairs are to be compared: of different components, not met
+    before, with sizes that allow the similarity; each pair once."""
+    side, node, label, first, n = (group.column(c).to_numpy() for c in ("side", "node", "label", "first", "n_shingles"))
+    token = group.column("token")[0].as_py()
+    x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    same = not len(y)
+    y = x if same else y
+    fx, fy = first[x][:, None], first[y][None, :]
+    asked = (label[x][:, None] != label[y][None, :]) & ((fx != fy) | (fx == token))
+    asked &= 100 * np.minimum(n[x][:, None], n[y][None, :]) >= percent * np.maximum(n[x][:, None], n[y][None, :])
+    if same:
+        asked &= np.triu(np.ones(asked.shape, bool), 1)
+    return x, y, node, asked
+
+
+def _paired(node: np.ndarray, x: np.ndarray, y: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    i, j = np.nonzero(found)
+    a, b = node[x[i]], node[y[j]]
+    return np.minimum(a, b), np.maximum(a, b)
+
+
+def _compared(guests: DataFrame, threshold: int, percent: int) -> DataFrame:
+    """meeting, a and b: pairs that agree in ``threshold`` coordinates; where they are over ``DENSE`` times as many as the
+    nodes of the meeting, the meeting alone, with null nodes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _grouped(batches):
+            x, y, node, asked = _askable(group, percent)
+            marks = np.stack([np.frombuffer(m, "<u4") for m in group.column("marks").to_pylist()])
+            agree = np.zeros(asked.shape, np.int16)
+            for j in range(marks.shape[1]):
+                agree += marks[x, j][:, None] == marks[y, j][None, :]
+            a, b = _paired(node, x, y, asked & (agree >= threshold))
+            meeting = group.column("meeting")[0].as_py()
+            if len(a) > DENSE * group.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array([meeting]), pa.array([None], pa.int64()), pa.array([None], pa.int64())], names=["meeting", "a", "b"])
+            elif len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), meeting)), pa.array(a), pa.array(b)], names=["meeting", "a", "b"])
+
+    return guests.repartition("meeting").sortWithinPartitions("meeting").mapInArrow(run, "meeting long, a long, b long")
+
+
+def _shared_sizes(sets: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Intersection sizes of all sets of ``x`` with all of ``y``, by products of columns of their incidence."""
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    column = np.unique(np.concatenate(sets), return_inverse=True)[1].ravel()
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((len(x), len(y)), np.int64)
+    for at in range(0, int(column[-1]) + 1, 4096):
+        a, b = np.searchsorted(column, [at, at + 4096])
+        part = np.zeros((len(sets), 4096), np.float32)
+        part[row[a:b], column[a:b] - at] = 1
+        out += np.rint(part[x] @ part[y].T).astype(np.int64)
+    return out
+
+
+def _compared_in_place(guests: DataFrame, percent: int) -> DataFrame:
+    """a and b: the linked pairs of meetings whose guests bring their full sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _grouped(batches):
+            x, y, node, asked = _askable(group, percent)
+            sets = [np.frombuffer(s, np.uint64) for s in group.column("shingles").to_pylist()]
+            n = group.column("n_shingles").to_numpy()
+            shared = _shared_sizes(sets, x, y)
+            a, b = _paired(node, x, y, asked & (100 * shared >= percent * (n[x][:, None] + n[y][None, :] - shared)))
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    return guests.repartition("meeting").sortWithinPartitions("meeting").mapInArrow(run, "a long, b long")
+
+
+def _links_across(given: DataFrame, classes: DataFrame, lists: DataFrame, words: int, percent: int, threshold: int) -> DataFrame:
+    """Links between nodes of different components that share a posting list."""
+    meetings = stored(_meetings(lists), "meetings")
+    known = classes.select("node", "n_shingles", "marks")
+    found = stored(_compared(meetings.join(known, "node"), threshold, percent), "compared")
+    pairs = stored(found.where("b is not null").select("a", "b").distinct(), "pairs")
+    links = _links(given, classes, pairs, words, percent)
+    dense = found.where("b is null").select("meeting").distinct()
+    if dense.isEmpty():
+        return links
+    guests = stored(meetings.join(dense, "meeting", "left_semi").join(classes.select("node", "n_shingles"), "node"), "guests")
+    sets = _sets_of(given, classes, guests.select("node").distinct(), words)
+    return links.unionAll(stored(_compared_in_place(guests.join(sets, "node"), percent), "in-place"))
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, coordinates: int = COORDINATES, miss: float = MISS) -> DataFrame:
     """doc_id, n_shingles, text_key (a hash of the text), label (of the component; null: no shingles), component_id and
     kept of every row of ``docs`` (doc_id, text; other columns are not read).
 
@@ -188,7 +337,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, coordina
     given = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"))
     threshold = match_threshold(percent, coordinates, miss)
     rows = stored(signatures(given, ["doc_id", "text_key"], words, coordinates), "signatures")
-    classes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("copies"), F.min("n_shingles").alias("n_shingles"), F.min("signature").alias("signature"))
+    classes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("copies"), F.min("n_shingles").alias("n_shingles"), F.min("signature").alias("signature"), F.min("marks").alias("marks"))
     classes = stored(classes, "classes")
     posts = stored(postings(classes, coordinates, threshold), "posts")
 
@@ -198,27 +347,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, coordina
     links = _links(given, classes, stored(_agreeing(star, classes, threshold, percent), "agreeing"), words, percent)
     labels = stored(components(links), "labels")
 
-    left = None
-    for seed in range(most_rounds + 1):
-        lists = _mixed_lists(posts, labels)
-        outside = lists.where("label <> _top").select("token", F.col("node").alias("_node"), F.col("label").alias("_label"), "_top")
-        before, left = left, outside.select("_node").distinct().count()
-        if not left:
-            break
-        final = seed == most_rounds or (before is not None and left > 0.8 * before)
-        if final:  # whoever is still outside meets all others of its lists
-            met = outside.drop("_top").join(lists, "token").where((F.col("label") != F.col("_label")) & ((F.col("label") == F.col("_top")) | (F.col("node") < F.col("_node"))))
-        else:  # one node of the largest component and one of the others, drawn by hash in each list, meet those outside
-            drawn = F.min(F.struct(F.xxhash64("token", "node", F.lit(seed)).alias("_h"), "node", "label"))
-            centres = lists.groupBy("token", (F.col("label") == F.col("_top")).alias("_in")).agg(drawn.alias("_c")).select("token", "_c.node", "_c.label")
-            met = outside.join(stored(centres, "centres"), "token").where("label <> _label")
-        met = met.select(F.least("node", "_node").alias("a"), F.greatest("node", "_node").alias("b")).distinct()
-        met = stored(met.join(star, ["a", "b"], "left_anti"), "met")
-        more = _links(given, classes, stored(_agreeing(met, classes, threshold, percent), "agreeing"), words, percent)
-        star, links = stored(star.unionAll(met), "star"), stored(links.unionAll(more), "links")
+    lists = _mixed_lists(posts, labels)
+    if not lists.isEmpty():
+        links = stored(links.unionAll(_links_across(given, classes, lists, words, percent, threshold)), "links")
         labels = stored(components(links), "labels")
-        if final:
-            break
 
     named = classes.join(labels, "node", "left").withColumn("_label", F.coalesce("label", "node")).select("node", "_label", "first_doc", "copies")
     ids = named.groupBy("_label").agg(F.min("first_doc").alias("component_id"), F.sum("copies").alias("_rows")).where("_rows > 1")

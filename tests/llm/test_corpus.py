@@ -125,6 +125,43 @@ def test_near_duplicates_in_a_group_of_varied_copies(spark):
     assert found == brute_components(rows, 3, 85)
 
 
+@pytest.mark.parametrize("block, dense, coordinates", [(256, 4, 64), (8, 0, 64), (6, 10**6, 64), (8, 1, 32)])
+def test_blocks_of_copies_just_under_and_over_the_limit(spark, monkeypatch, block, dense, coordinates):
+    """Groups whose members differ by about the limit, beside a large linked one and repeated rows: all links, by any blocks."""
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    monkeypatch.setattr(minhash, "DENSE", dense)
+    rng = np.random.default_rng(block)
+    rows = []
+    for group in range(3):
+        base = [f"g{group}w{rng.integers(0, 10**6)}" for _ in range(120)]
+        for copy in range(40):
+            words = list(base)
+            for at in rng.choice(120, (2, 3, 4)[group] if copy % 4 else 1, replace=False):
+                words[at] = f"x{rng.integers(0, 10**9)}"
+            rows.append((1000 * group + copy, " ".join(words)))
+    rows += [(5000 + i % 7, rows[3][1]) for i in range(40)] + [(None, rows[50][1])] * 3
+    docs = spark.createDataFrame([(d, t, "a") for d, t in rows], "doc_id long, text string, label string")
+    split = [t.split() for _, t in rows]
+    sets = [{tuple(w[i : i + 3]) for i in range(len(w) - 2)} for w in split]
+    parent = list(range(len(rows)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, j in combinations(range(len(rows)), 2):
+        if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+            parent[root(i)] = root(j)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        if d is not None:
+            least[root(i)] = min(d, least.get(root(i), d))
+    got = Counter((r["doc_id"], r["component_id"]) for r in minhash.near_duplicates(docs, 3, 85, coordinates).collect())
+    assert got == Counter((d, least[root(i)]) for i, (d, _) in enumerate(rows))
+    assert 3 < len(set(least.values())) < 100
+
+
 def test_near_duplicates_of_odd_rows(odd):
     rows = minhash.near_duplicates(odd, 3, 85).collect()
     by_id = defaultdict(list)
