@@ -3,7 +3,8 @@
 Each node of the tree is cut along its widest dimension at the weighted quantile that gives either side its share of the
 leaves.  A place along a dimension is a sequence of digits: the dimension's own, then a hash of the text, then a hash of
 the row's key.  The cut is found digit by digit from sums per digit, for all nodes of a level in one job.  Equal texts
-share all digits but the last, so a cut goes through a group of them only if the group is too heavy for either side.
+share all digits but the last, so a cut goes through a group of them only if the group is too heavy to be put to either
+side as a whole.
 """
 
 from __future__ import annotations
@@ -17,8 +18,9 @@ from faintlabel.llm.common import bucket_count, ranked, stored
 
 DIGIT = 4096
 TEXT_DIGITS, KEY_DIGITS = 3, 3
-DEPTH = 1 + TEXT_DIGITS + KEY_DIGITS
-#: Where this many rows or fewer are left around a cut, the rest of their digits is looked at in one job.
+TEXT_END = 1 + TEXT_DIGITS
+DEPTH = TEXT_END + KEY_DIGITS
+#: Where this many rows or fewer are left around a cut, several of their digits are looked at in one job.
 FEW_ROWS = 50_000
 
 
@@ -61,7 +63,7 @@ def dimensions(docs: DataFrame, text: Column) -> list[Column]:
     return out
 
 
-def _level(points: DataFrame, nodes: list[Node], n_dims: int, tolerance: float, target: float) -> dict[int, tuple[int, list[int]]]:
+def _level(points: DataFrame, nodes: list[Node], n_dims: int, tolerance: float, whole: float, target: float) -> dict[int, tuple[int, list[int]]]:
     """For each node with more than one leaf, the dimension and the digits below which rows go left."""
     spark = points.sparkSession
     live = {n.name: n for n in nodes if n.leaves > 1}
@@ -80,17 +82,18 @@ def _level(points: DataFrame, nodes: list[Node], n_dims: int, tolerance: float,
         wanted[node.name] = r["bytes"] * (node.leaves // 2) / node.leaves
     searching = [n for n in live.values() if n.name in total]
     left_rows = None
-    for depth in range(DEPTH):
-        if not searching:
-            break
+    while searching:
+        depth = len(searching[0].cut)
         state = _local(spark, [(n.name, n.dimension, n.cut, float(wanted[n.name])) for n in searching], "_node, _dim, _cut, _wanted")  # nodes of the level
         digit = F.element_at(F.array(*[f"_d{i}" for i in range(n_dims)]), F.col("_dim") + 1)
         path = F.concat(F.array(digit), F.col("_digits"))
         inside = points.join(state, "_node").withColumn("_path", path)
         if depth:
             inside = inside.where(F.slice("_path", 1, depth) == F.col("_cut"))
-        last = depth == DEPTH - 1 or (left_rows is not None and left_rows <= FEW_ROWS)
-        step = F.slice("_path", depth + 1, DEPTH if last else 1)
+        # few rows: the rest of the text's digits at once, and those of the key's; never both, as a group of equal texts ends between them
+        end = TEXT_END if depth < TEXT_END else DEPTH
+        upto_digit = end if left_rows is not None and left_rows <= FEW_ROWS else depth + 1
+        step = F.slice("_path", depth + 1, upto_digit - depth)
         sums = inside.groupBy("_node", step.alias("_step")).agg(F.sum("size").alias("_bytes"), F.count(F.lit(1)).alias("_rows"), F.first("_wanted").alias("_wanted"))
         upto = F.sum("_bytes").over(Window.partitionBy("_node").orderBy("_step"))
         crossing = sums.withColumn("_upto", upto).where((F.col("_upto") >= F.col("_wanted")) & (F.col("_upto") - F.col("_bytes") < F.col("_wanted")))
@@ -102,7 +105,8 @@ def _level(points: DataFrame, nodes: list[Node], n_dims: int, tolerance: float,
                 continue
             below = r["_upto"] - r["_bytes"]
             n.cut += r["_step"]
-            if r["_bytes"] <= tolerance * target or last:
+            light = tolerance if len(n.cut) < TEXT_END else whole
+            if r["_bytes"] <= light * target or len(n.cut) == DEPTH:
                 if wanted[n.name] - below > r["_upto"] - wanted[n.name]:
                     n.cut[-1] += 1
             else:
@@ -113,12 +117,14 @@ def _level(points: DataFrame, nodes: list[Node], n_dims: int, tolerance: float,
     return {n.name: (n.dimension, n.cut) for n in live.values() if n.name in total}
 
 
-def shard(docs: DataFrame, n_shards: int, keys: list[str], tolerance: float = 0.002) -> DataFrame:
+def shard(docs: DataFrame, n_shards: int, keys: list[str], tolerance: float = 0.002, whole: float = 0.05) -> DataFrame:
     """``keys``, size, text_crc32, shard (0 to n_shards - 1) and slot (gapless from 0 in each shard) of every row.
 
     size: UTF-8 bytes of the text (null: none) plus 8; text_crc32 is that of the bytes (null: of none).  Reads text, the
     keys, and lang where it is there; a null language is a value like others.  Repeated rows are placed
-    each.  Shards differ in bytes by about ``tolerance`` per level of the tree and by single rows that are larger.
+    each.  Shards differ in bytes by about ``tolerance`` per level of the tree and by single rows that are larger; a group
+    of equal texts of up to ``whole`` of a shard goes to one side, the nearer to even one, a heavier one is cut by its
+    rows' keys.  Ties between equal places keep their rows together; texts of any length are one row.
     """
     words = F.coalesce("text", F.lit(""))
     text = words.cast("binary")
@@ -132,7 +138,7 @@ def shard(docs: DataFrame, n_shards: int, keys: list[str], tolerance: float = 0.
     nodes = [Node(0, 0, n_shards)]
     placed = points.withColumn("_node", F.lit(0))
     while any(n.leaves > 1 for n in nodes):
-        cuts = _level(placed, nodes, len(dims), tolerance, target)
+        cuts = _level(placed, nodes, len(dims), tolerance, whole, target)
         after, rows = [], []
         for n in nodes:
             left = n.leaves // 2

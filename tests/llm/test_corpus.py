@@ -420,6 +420,27 @@ def test_shards_are_even_and_gapless(odd, small, n_shards):
     assert kd_shards.shard(odd.limit(0), n_shards, ["doc_id"]).count() == 0
 
 
+@pytest.mark.parametrize("few", [0, 50_000])
+def test_equal_texts_stay_in_one_shard(spark, monkeypatch, few):
+    """Light groups are whole however few rows are left, a heavy one is cut; sizes and sums by hand."""
+    monkeypatch.setattr(kd_shards, "FEW_ROWS", few)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    heavy = spark.range(600).select((F.col("id") + 10_000).alias("doc_id"), F.lit("the same words again " * 30).alias("text"), F.lit("en").alias("lang"))
+    all_texts = {r["doc_id"]: r["text"] or "" for r in docs.unionByName(heavy).collect()}
+    rows = kd_shards.shard(docs.unionByName(heavy), 24, ["doc_id"]).collect()
+    assert {r["doc_id"]: (r["size"], r["text_crc32"]) for r in rows} == {d: (len(t.encode()) + 8, zlib.crc32(t.encode())) for d, t in all_texts.items()}
+    sizes, where = Counter(), defaultdict(set)
+    weight = Counter()
+    for r in rows:
+        sizes[r["shard"]] += r["size"]
+        where[all_texts[r["doc_id"]]].add(r["shard"])
+        weight[all_texts[r["doc_id"]]] += r["size"]
+    target = sum(sizes.values()) / 24
+    assert all(len(s) == 1 for t, s in where.items() if weight[t] <= 0.05 * target)
+    assert weight["the same words again " * 30] > target and len(where["the same words again " * 30]) > 1
+    assert max(sizes.values()) - min(sizes.values()) < 0.15 * target
+
+
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_queries_match_their_sql(spark, name):
     con = duckdb.connect()
@@ -431,6 +452,30 @@ def test_queries_match_their_sql(spark, name):
     assert Counter(tuple(r) for r in found.select(*columns).collect()) == Counter(wanted)
 
 
+def test_long_and_short_texts_are_judged_alike(spark):
+    """Nothing changes at a length: texts of few words go on both sides of 2,000 words, texts of many stay."""
+    rows = []
+    for n in (1_500, 1_999, 2_000, 2_001, 6_000):
+        rng = np.random.default_rng(n)
+        rows.append((2 * n, " ".join(rng.choice([f"buy{i}" for i in range(20)], n))))
+        rows.append((2 * n + 1, " ".join(f"{'abcdefghij'[i % 10] * 3}{rng.integers(0, n)}" + "." * (i % 12 == 11) for i in range(n))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    votes = quality_rules.signals(docs, ["doc_id"]).select("doc_id", next(r for r in quality_rules.rules() if r.name == "vocabulary").vote().alias("vote"))
+    told = defaultdict(set)
+    for r in votes.collect():
+        told[r["doc_id"] % 2].add(r["vote"])
+    assert told == {0: {-1}, 1: {1}}
+    few = [set(ordinal.features_of(t).tolist()) for d, t in rows if d in (3_998, 4_000)]
+    distinct = [ordinal._place(f"distinct {k}") for k in range(20)]
+    assert len({tuple(p in f for p in distinct) for f in few}) == 1 and any(p in few[0] for p in distinct)
+
+
+def test_a_words_whole_shape_counts():
+    words = ordinal._Words()
+    a, b = (ordinal.features_of(f"{'x1' * 30}{end}", words) for end in ("#", "%"))
+    assert ordinal._place("s " + "a0" * 30 + "#") in a and ordinal._place("s " + "a0" * 30 + "%") in b
+
+
 def test_pipeline_drops_what_its_stages_reject(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     now = docs
