@@ -10,7 +10,6 @@ from __future__ import annotations
 import base64
 import zlib
 from collections.abc import Iterator
-from itertools import islice
 from pathlib import Path
 
 import numpy as np
@@ -19,14 +18,10 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faintlabel.llm.common import SLICE, remembered, slices, text_of, with_keys
+from faintlabel.llm.common import Words, portions, remembered, slices, text_of, with_keys
 from faintlabel.session import ship_package
 
 LEAF_BITS = 8
-#: Bytes that a generation of a worker's memory may take; the one before is kept, and what is met again moves on.
-GENERATION = 24 << 20
-#: What a word costs besides its letters and ids.
-ENTRY = 180
 #: Longer words are not remembered.
 LONGEST_KEPT = 64
 #: Texts whose unknown words are encoded together, and the letters of unknown words from which on they are.
@@ -168,39 +163,6 @@ class Merger:
         return at[(index - run_start) % 2 == 0]
 
 
-class Words:
-    """Ids of words by two generations of bounded size: what is met again moves to the younger."""
-
-    def __init__(self) -> None:
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.size = 0
-
-    def turn(self) -> None:
-        """Between texts: a full generation becomes the old one."""
-        if self.size > GENERATION:
-            self.old, self.young, self.size = self.young, {}, 0
-
-    def add(self, word: str, ids: bytes) -> None:
-        self.young[word] = ids
-        self.size += ENTRY + len(word) + len(ids)
-
-    def drop(self, words: list[str]) -> None:
-        for word in words:
-            self.old.pop(word, None)
-            ids = self.young.pop(word, None)
-            if ids is not None:
-                self.size -= ENTRY + len(word) + len(ids)
-
-    def missing(self, words: set[str]) -> set[str]:
-        """The words that neither generation has; the others are in the younger then."""
-        new = words.difference(self.young)
-        for word in [w for w in new if w in self.old]:
-            self.add(word, self.old[word])
-            new.discard(word)
-        return new
-
-
 class Encoder:
     """Encodes whole texts; remembers the ids of short words."""
 
@@ -298,14 +260,6 @@ def encode(docs: DataFrame, keys: list[str], ranks_path: str, pattern: str, deco
     return given.mapInArrow(run, with_keys(given, keys, "ids array<int>" + ", decoded binary" * decoded))
 
 
-def portions(found: Iterator[np.ndarray]) -> Iterator[tuple[int, list[np.ndarray]]]:
-    """Ids of ``SLICE`` texts at a time, with the place of the first."""
-    at = 0
-    while part := list(islice(found, SLICE)):
-        yield at, part
-        at += len(part)
-
-
 def decode(encoded: DataFrame, keys: list[str], ranks_path: str) -> DataFrame:
     """``keys`` and ``decoded``, the bytes that the ids stand for; null ids give no bytes."""
     ship_package(encoded.sparkSession)

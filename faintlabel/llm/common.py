@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import islice
 from typing import Any
 
 import pyarrow as pa
@@ -30,6 +31,54 @@ def remembered(key: object, make: Callable[[], Any]) -> Any:
     return _memory[key]
 
 
+#: Bytes that a generation of a worker's memory may take; the one before is kept, and what is met again moves on.
+GENERATION = 24 << 20
+#: What a word costs besides its letters and ids.
+ENTRY = 180
+
+
+class Words:
+    """Ids of words by two generations of bounded size: what is met again moves to the younger."""
+
+    def __init__(self, most: int = GENERATION) -> None:
+        self.most = most
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.size = 0
+
+    def turn(self) -> None:
+        """Between texts: a full generation becomes the old one."""
+        if self.size > self.most:
+            self.old, self.young, self.size = self.young, {}, 0
+
+    def add(self, word: str, ids: bytes) -> None:
+        self.young[word] = ids
+        self.size += ENTRY + len(word) + len(ids)
+
+    def drop(self, words: list[str]) -> None:
+        for word in words:
+            self.old.pop(word, None)
+            ids = self.young.pop(word, None)
+            if ids is not None:
+                self.size -= ENTRY + len(word) + len(ids)
+
+    def missing(self, words: set[str]) -> set[str]:
+        """The words that neither generation has; the others are in the younger then."""
+        new = words.difference(self.young)
+        for word in [w for w in new if w in self.old]:
+            self.add(word, self.old[word])
+            new.discard(word)
+        return new
+
+
+def portions(found: Iterator[Any]) -> Iterator[tuple[int, list[Any]]]:
+    """What was found for ``SLICE`` texts at a time, with the place of the first."""
+    at = 0
+    while part := list(islice(found, SLICE)):
+        yield at, part
+        at += len(part)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

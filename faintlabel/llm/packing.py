@@ -20,17 +20,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from faintlabel.llm.common import SLICE, bucket_count, ranked, remembered, running, slices, stored, text_of, with_keys
+from faintlabel.llm.common import Words, bucket_count, portions, ranked, remembered, running, slices, stored, text_of, with_keys
 from faintlabel.session import ship_package
 
 CAPACITY = 4096
 #: Classes in each doubling of the length; lengths up to twice as many are classes of their own.
 PER_OCTAVE = 8
-#: Words of a generation of a worker's memory; the one before is kept, and what is met again moves on.
-GENERATION = 450_000
 LONGEST_KEPT = 64
-#: Texts whose unknown words are encoded together.
+#: Bytes of a generation of words.
+MEMORY = 48 << 20
+#: Texts taken at a time, and the letters of unknown words from which on those are encoded.
 STEP = 4_096
+LETTERS = 600_000
 #: Texts of these characters only need no other normalisation than lower case, and no blank of them can join two words.
 PLAIN = regex.compile(r"[\t\n\r\x20-\x7e\xa1-\xac\xae-\u012f\u0131-\u024f]*")
 #: Fixed value: the vocabulary's own split pattern.
@@ -49,8 +50,7 @@ class WordEncoder:
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith(PIECE_END)]] = True
-        self.words: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.known = Words(MEMORY)
 
     def _encode_pieces(self, pieces: list[str], together: int = 500) -> dict[str, bytes]:
         """Many pieces are encoded in one string; the tokens that end a piece tell where it is cut."""
@@ -67,44 +67,43 @@ class WordEncoder:
             out.update(zip(group, [raw[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)], strict=True))
         return out
 
-    def remember(self, words: set[str]) -> None:
-        """Makes the ids of all the words known."""
-        new = words.difference(self.words)
-        if len(self.words) + len(new) > GENERATION:
-            self.older, self.words, new = self.words, {}, words
-        older = self.older
-        self.words.update({w: older[w] for w in new if w in older})
-        self.words.update(self.learn(new.difference(older)))
-
     def learn(self, words: set[str]) -> dict[str, bytes]:
         split = [(w, (w,) if w.isalpha() else tuple(PIECES.findall(w))) for w in words]
         ids = self._encode_pieces(list({p for _, parts in split for p in parts}))
         return {w: ids[parts[0]] if len(parts) == 1 else b"".join([ids[p] for p in parts]) for w, parts in split}
 
-    def encode(self, texts: list[str], step: int = SLICE) -> Iterator[list[bytes]]:
-        """Little-endian unsigned 32-bit ids of whole texts, ``step`` texts at a time."""
-        plain = [PLAIN.fullmatch(t) is not None and "<|" not in t for t in texts]
-        new: set[str] = set()
-        for text, simple in zip(texts, plain, strict=True):
-            if simple:
-                new.update(text.lower().split())
-                if len(new) > GENERATION:
-                    break  # _ids learns what is missing
-        self.remember(new)
-        for at in range(0, len(texts), step):
-            yield [self._ids(t, simple) for t, simple in zip(texts[at : at + step], plain[at : at + step], strict=True)]
-        for long in [w for w in new if len(w) > LONGEST_KEPT]:
-            self.words.pop(long, None)
-
-    def _ids(self, text: str, simple: bool) -> bytes:
-        if not simple:
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        words, known = text.lower().split(), self.words
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            known = self.learn(set(words))
-            return b"".join([known[w] for w in words])
+    def encode(self, texts: list[str]) -> Iterator[bytes]:
+        """Little-endian unsigned 32-bit ids of whole texts.  The unknown words of some texts are learnt together before
+        those texts are put together."""
+        at = 0
+        while at < len(texts):
+            self.known.turn()
+            new: set[str] = set()
+            letters, split = 0, []
+            while at + len(split) < len(texts) and letters < LETTERS:
+                text = texts[at + len(split)]
+                words = text.lower().split() if self.is_plain(text) else None
+                split.append(words)
+                if words:
+                    unknown = self.known.missing(set(words).difference(new))
+                    new |= unknown
+                    letters += sum(map(len, unknown))
+            for word, ids in self.learn(new).items():
+                self.known.add(word, ids)
+            ids_of = self.known.young.__getitem__
+            for words in split:
+                if words is None:
+                    yield np.array(self.tokenizer.encode(texts[at], add_special_tokens=False).ids, "<u4").tobytes()
+                else:
+                    yield b"".join(map(ids_of, words))
+                at += 1
+            self.known.drop([w for w in new if len(w) > LONGEST_KEPT])
+
+    @staticmethod
+    def is_plain(text: str) -> bool:
+        """Whether lower case is all that the text needs before it is split at blanks."""
+        known = (text.isascii() and text.replace("\n", "").isprintable()) or PLAIN.fullmatch(text) is not None
+        return known and "<|" not in text
 
 
 def word_encoder(data: bytes) -> WordEncoder:
@@ -124,8 +123,8 @@ def encode_pieces(docs: DataFrame, keys: list[str], tokenizer_path: str, end_id:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = word_encoder(data.value)
         for whole in slices(batches, STEP):
-            for k, encoded in enumerate(own.encode(text_of(whole, "_text"))):
-                batch = whole.slice(k * SLICE, SLICE)
+            for at, encoded in portions(own.encode(text_of(whole, "_text"))):
+                batch = whole.slice(at, len(encoded))
                 row, starts, sizes, totals, ids = [], [], [], [], []
                 cuts = batch.column("_spans").to_pylist() if spans else [None] * len(encoded)
                 for i, (found, cut) in enumerate(zip(encoded, cuts, strict=True)):
@@ -139,8 +138,8 @@ def encode_pieces(docs: DataFrame, keys: list[str], tokenizer_path: str, end_id:
                         sizes.append(c["length"])
                         totals.append(total)
                         ids.append(raw[4 * c["start"] : 4 * (c["start"] + c["length"])])
-                at = pa.array(row, pa.int64())
-                columns = [batch.column(c).take(at) for c in keys]
+                rows = pa.array(row, pa.int64())
+                columns = [batch.column(c).take(rows) for c in keys]
                 columns += [pa.array(x, pa.int64()) for x in (starts, sizes, totals)] + [pa.array(ids, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=[*keys, "start", "length", "doc_tokens", "ids"])
 
