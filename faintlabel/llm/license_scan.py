@@ -30,9 +30,46 @@ SENTENCES = {
     "Bsd": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
     "BsdSource": "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
     "BsdBinary": "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
+    "BsdNamesHolder": "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "BsdNamesOwner": "neither the name of the copyright owner nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "BsdNamesUniversity": "neither the name of the university nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "IscGrant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    "IscAsIs": "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness",
+    "Gpl2Free": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
+    "Lgpl21Free": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version",
+    "Lgpl3Free": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "LgplHope": "this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
+    "LgplDetails": "see the gnu lesser general public license for more details",
+    "Agpl3Free": "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "AgplDetails": "see the gnu affero general public license for more details",
+    "Mpl2Subject": "this source code form is subject to the terms of the mozilla public license v 2 0",
+    "Mpl2Copy": "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0",
+    "Epl2": "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0",
+    "Cc0": "to the extent possible under law the author s have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide",
+    "Unlicense": "this is free and unencumbered software released into the public domain",
+    "BoostGrant": "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following",
+    "ZlibAsIs": "this software is provided as is without any express or implied warranty",
+    "ZlibGrant": "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
 }
-#: Licence rules in the order in which they are tried; a matched sequence is used up.
+#: Identifiers that a tag line may name.
+TAGS = (
+    "0BSD AGPL-3.0-only AGPL-3.0-or-later Apache-2.0 BSD-2-Clause BSD-3-Clause BSL-1.0 CC-BY-4.0 CC-BY-NC-4.0 CC-BY-SA-4.0 CC0-1.0 EPL-2.0 "
+    "GPL-2.0-only GPL-2.0-or-later GPL-3.0-only GPL-3.0-or-later ISC LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0-only LGPL-3.0-or-later MIT "
+    "MPL-2.0 Unlicense Zlib"
+).split()
+SENTENCES |= {f"Tag:{t}": f"spdx license identifier {t.lower().replace('-', ' ').replace('.', ' ')}" for t in TAGS}
+#: Licence rules in the order in which they are tried, the longer ones of a family first; a matched sequence is used up.
 RULES = [
+    ("BSD-3-Clause", ["Bsd", "BsdSource", "BsdBinary", "BsdNamesHolder"]),
+    ("BSD-3-Clause", ["Bsd", "BsdSource", "BsdBinary", "BsdNamesOwner"]),
+    ("BSD-3-Clause", ["Bsd", "BsdSource", "BsdBinary", "BsdNamesUniversity"]),
+    ("GPL-2.0-or-later", ["Gpl2Free", "GplHope", "GplDetails"]),
+    ("LGPL-2.1-or-later", ["Lgpl21Free", "LgplHope", "LgplDetails"]),
+    ("LGPL-3.0-or-later", ["Lgpl3Free", "LgplHope", "LgplDetails"]),
+    ("AGPL-3.0-or-later", ["Agpl3Free", "GplHope", "AgplDetails"]),
+    ("MPL-2.0", ["Mpl2Subject", "Mpl2Copy"]),
+    ("ISC", ["IscGrant", "IscAsIs"]),
+    ("Zlib", ["ZlibAsIs", "ZlibGrant"]),
     ("Apache-2.0", ["ApacheGrant", "ApacheUse", "ApacheCopy", "ApacheBasis", "ApacheSee"]),
     ("MIT", ["MitGrant", "MitNotice", "MitAsIs"]),
     ("GPL-3.0-or-later", ["GplFree", "GplHope", "GplDetails"]),
@@ -44,13 +81,19 @@ RULES = [
     ("CC-BY-NC-4.0", ["CcByNc4"]),
     ("CC-BY-4.0", ["CcBy4"]),
     ("CC-BY-SA-4.0", ["CcBySa4"]),
+    ("MPL-2.0", ["Mpl2Subject"]),
+    ("EPL-2.0", ["Epl2"]),
+    ("CC0-1.0", ["Cc0"]),
+    ("Unlicense", ["Unlicense"]),
+    ("BSL-1.0", ["BoostGrant"]),
+    *((t, [f"Tag:{t}"]) for t in TAGS),
 ]
 #: Fragments end at a line's end, or at one of .!?;: before a blank; a known sentence is one or several fragments in a row.
 BREAKS = r"\n|[.!?;:][ \t\r\n]"
 #: What may stand before a line's first word besides signs: a list mark such as "1)" or "(b)", or a word that opens a comment.
 MARKS = r"(?md)^[^a-z0-9\n]*(?:(?:[0-9]{1,2}|[a-z]|[ivx]{2,4})\)|rem|dnl)[ \t]"
 #: Each known sentence has one of these; a text without them needs no look-up.
-KEYWORDS = "licens|permission|copyright|warrant|redistribut"
+KEYWORDS = "licens|permission|copyright|warrant|redistribut|unencumbered|of the mpl"
 
 
 def fragments(text: Column) -> Column:
@@ -83,11 +126,16 @@ def scan(docs: DataFrame, keys: list[str]) -> DataFrame:
     # every identifier stands between two commas of its own, so that neighbours don't share one
     left = F.concat(F.lit(","), F.array_join("_ids", ",,"), F.lit(","))
     found = found.withColumn("sentences", F.array_join("_ids", ",")).withColumn("_left", F.when(F.size("_ids") > 0, left).otherwise(F.lit("")))
-    hits = []
-    for i, (name, sequence) in enumerate(RULES):
-        wanted = "," + ",,".join(sequence) + ","
-        found = found.withColumn(f"_hit{i}", F.when(F.col("_left").contains(wanted), F.lit(name))).withColumn("_left", F.replace("_left", F.lit(wanted), F.lit("|")))
-        hits.append(f"_hit{i}")
-    licences = F.array_join(F.array_distinct(F.array_compact(F.array(*hits))), ",")
-    unmatched = F.size(F.filter(F.split("_left", "[,|]+"), lambda x: x != "")).cast("long")
+    rules = F.array(*[F.struct(F.lit(name).alias("name"), F.lit("," + ",,".join(sequence) + ",").alias("wanted")) for name, sequence in RULES])
+    none = F.array().cast("array<string>")
+
+    def tried(state: Column, rule: Column) -> Column:
+        hit = F.contains(state["left"], rule["wanted"])
+        names = F.when(hit, F.array(rule["name"])).otherwise(none)
+        return F.struct(F.replace(state["left"], rule["wanted"], F.lit("|")).alias("left"), F.concat(state["hits"], names).alias("hits"))
+
+    start = F.struct(F.col("_left").alias("left"), none.alias("hits"))
+    found = found.withColumn("_end", F.when(F.col("_left") != "", F.aggregate(rules, start, tried)).otherwise(start))
+    licences = F.array_join(F.array_distinct("_end.hits"), ",")
+    unmatched = F.size(F.filter(F.split("_end.left", "[,|]+"), lambda x: x != "")).cast("long")
     return found.select(*keys, "sentences", licences.alias("licenses"), unmatched.alias("unmatched"))

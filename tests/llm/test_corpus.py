@@ -355,6 +355,23 @@ def test_licenses_of_wrapped_notices(spark, name):
     assert got == {k: (name, 0) for k in texts}
 
 
+def test_licenses_of_one_family_are_told_apart(spark):
+    """Longer rules win over shorter ones of their family, versions count, and tags are read in comments."""
+    bsd = [license_scan.SENTENCES[x] for x in ("Bsd", "BsdSource", "BsdBinary")]
+    gpl = "This program is free software; you can redistribute it and/or modify\n it under the terms of the GNU General Public License as published by\n the Free Software Foundation; either version {} of the License, or\n (at your option) any later version.\n\n"
+    gpl += " This program is distributed in the hope that it will be useful,\n but WITHOUT ANY WARRANTY; without even the implied warranty of\n MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the\n GNU General Public License for more details.\n"
+    names = "Neither the name of the copyright holder nor the names of its\n   contributors may be used to endorse or promote products derived from\n   this software without specific prior written permission."
+    told = {
+        "BSD-2-Clause": ".\n".join(bsd) + ".", "BSD-3-Clause": ".\n".join(bsd) + ".\n3. " + names, "GPL-2.0-or-later": gpl.format(2), "GPL-3.0-or-later": gpl.format(3),
+        "MPL-2.0": "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at https://mozilla.org/MPL/2.0/. */",
+        "MIT": "// SPDX-License-Identifier: MIT\nint x;", "GPL-2.0-only": "# SPDX-License-Identifier: GPL-2.0-only\n", "Unlicense": "This is free and unencumbered software released into the public domain.",
+        "": "You may read the license of this text. SPDX-License-Identifier: none of the above\nRedistributions are permitted.",
+    }
+    docs = spark.createDataFrame(list(told.items()), "doc_id string, text string")
+    got = {r["doc_id"]: (r["licenses"], r["unmatched"]) for r in license_scan.scan(docs, ["doc_id"]).collect()}
+    assert got == {name: (name, 0) for name in told}
+
+
 def test_licenses_of_one_line(spark):
     """A notice on a line of its own, and one that stops before its end."""
     notice = " ".join(NOTICES["GPL-3.0-or-later"].split("\n\n", 1)[1].split())
