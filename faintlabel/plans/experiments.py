@@ -157,11 +157,13 @@ def run_cases(
     tol: float | None = None,
     hold: str = "auto",
     prediction_dir: str | None = None,
+    fit_metrics: bool = False,
 ) -> Sweep:
     """Fit and test all cases.  ``max_iter`` is for the logistic fits, ``svm_iterations`` for the SVM baselines.
 
     ``temporal`` is an extra all-positive set on which detection rates are taken; with ``prediction_dir`` the
-    predictions of the first label-regularized model per prior on it are kept as CSV.
+    predictions of the first label-regularized model per prior on it are kept as CSV.  With ``fit_metrics`` every fit also
+    reports how many passes it took (``evaluations``) and whether its own test ended it (``converged``).
     """
     planned = _plan_fits(cases, fold_col, divergence)
     columns = {c.train for c in cases} | {c.test for c in cases} | {x for x in (truth, fold_col) if x}
@@ -189,6 +191,8 @@ def run_cases(
             if kind == "label_regularized":
                 pairs = temporal.select(model.predict(temporal, features).alias("prediction"), F.lit(1.0).alias("label"))
                 save_predictions(pairs, f"{prediction_dir}/temporal_{g['p_tilde']}.csv")
+    if fit_metrics:
+        got += [(i, m, float(getattr(f, m))) for i, f in enumerate(fitted) for m in ("evaluations", "converged")]
     run = uuid.uuid4().hex
     out = []
     for i, metric, value in sorted(got):
@@ -240,10 +244,13 @@ def lambda_sweep(
     df: DataFrame, features: FeatureSet, lambda_us=LAMBDA_US, reg_params=REG_PARAMS, p_tilde: float = 0.0, k: int = 5,
     key: str = "id", **options,
 ) -> Sweep:
-    """Strength of the label regulariser against that of the L2 penalty."""
+    """Strength of the label regulariser against that of the L2 penalty.
+
+    Every fit also reports its passes and whether it converged.
+    """
     rows = kfold_assign(df, k, SEED, key)
     case = Case("all", "label", "label", tuple(range(k)), grid=pu_grid([p_tilde], lambda_us, reg_params))
-    return run_cases(rows, features, [case], "lambdas", ["truth_auprc"], **options)
+    return run_cases(rows, features, [case], "lambdas", ["truth_auprc"], **{"fit_metrics": True, **options})
 
 
 def temporal_sweep(

@@ -112,6 +112,16 @@ def test_rank_committee_query_takes_all_steps_and_features(spark, monkeypatch):
     assert [(a["k"] >= T.VECTOR_SIZE, a["svm_iterations"]) for a in asked] == [(True, 100)]
 
 
+def test_fits_of_a_sweep_tell_how_they_ended(labeled):
+    sweep = X.lambda_sweep(labeled, FS, lambda_us=(1,), reg_params=(0.01, 0.5), p_tilde=0.05, k=2, max_iter=3)
+    told = {r["metric"]: r["n"] for r in sweep.results.groupBy("metric").agg(F.count("*").alias("n")).collect()}
+    fits = len(sweep.fitted)
+    assert told["evaluations"] == told["converged"] == fits
+    kept = sweep.results.filter("metric = 'evaluations' and model = 'label_regularized'").collect()
+    assert sorted(r["value"] for r in kept) == sorted(float(f.evaluations) for f in sweep.fitted if f.fit.kind == "pu")
+    assert {r["value"] for r in sweep.results.filter("metric = 'converged' and model = 'label_regularized'").collect()} == {0.0}
+
+
 def test_contract():
     assert entry_module.queries().keys() == {**QUERIES, **entry_module.CORPUS}.keys()
     assert entry_module.oracle_sql().keys() == {**ORACLE, **entry_module.CORPUS_ORACLE}.keys()
