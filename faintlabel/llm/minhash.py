@@ -35,8 +35,10 @@ MISS = 1e-6
 MEMORY = 500_000
 #: Candidate sets up to this many are named to all tasks that read the texts; more are joined by shuffle.
 MOST_SENT = 1_000_000
-#: Nodes of a block, and pairs per node from which on a meeting of blocks is compared in place.
-BLOCK = 256
+#: Nodes of a block, fewer where a list has large sets: a block's sets take some 16 MB at most, down to 64 nodes.
+BLOCK = 1024
+BLOCK_BYTES = 16 << 20
+#: Pairs per node from which on a meeting of blocks is compared in place.
 DENSE = 4
 _rng = np.random.default_rng(2)
 WORD_FACTORS = _rng.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -192,22 +194,27 @@ def _mixed_lists(posts: DataFrame, labels: DataFrame) -> DataFrame:
     return stored(labelled.join(stored(mixed.select("token", F.col("_top.label").alias("_top")), "mixed"), "token"), "lists")
 
 
-def _meetings(lists: DataFrame) -> DataFrame:
+def _meetings(lists: DataFrame, classes: DataFrame) -> DataFrame:
     """meeting, token, side (0 or 1; a block may meet itself, all on side 0), node, label and first: the blocks of each list
     that have pairs to compare.
 
     ``first`` is the node's smallest token among the lists; two nodes of the same first have met there.  Nodes of the
     list's largest component are blocks of their own, which do not meet each other; the others are dealt to blocks of up
-    to about ``BLOCK`` nodes by their first, so that blocks of one first need not meet under another token.
+    to about as many nodes as there is room for by their first, so that blocks of one first need not meet under another token.
     """
     rows = lists.join(lists.groupBy("node").agg(F.min("token").alias("first")), "node")
+    largest = lists.join(classes.select("node", "n_shingles"), "node").groupBy("token").agg(F.max("n_shingles").alias("_most"))
+    room = F.greatest(F.lit(min(64, BLOCK)), F.least(F.lit(BLOCK), F.floor(F.lit(BLOCK_BYTES // 8) / F.col("_most")))).cast("int")
+    rooms = stored(largest.select("token", room.alias("_room")), "rooms")
     inside = F.col("label") == F.col("_top")
     rows = rows.select("token", "node", "label", "first", inside.alias("_in"), F.when(inside, -1).otherwise(F.col("first")).alias("_g"))
-    sizes = rows.groupBy("token", "_in", "_g").agg(F.count(F.lit(1)).alias("_n"))
-    rest = F.sum(F.when(~F.col("_in") & (F.col("_n") < BLOCK // 2), F.col("_n"))).over(Window.partitionBy("token"))  # one row per first
+    sizes = rows.groupBy("token", "_in", "_g").agg(F.count(F.lit(1)).alias("_n")).join(rooms, "token")
+    own = F.col("_in") | (2 * F.col("_n") >= F.col("_room"))
+    rest = F.sum(F.when(~own, F.col("_n"))).over(Window.partitionBy("token"))  # one row per first
     sizes = sizes.withColumn("_rest", F.coalesce(rest, F.lit(0)))
-    own = F.col("_in") | (F.col("_n") >= BLOCK // 2)
-    chunk = F.when(own, F.pmod(F.xxhash64("node"), F.ceil(F.col("_n") / BLOCK))).otherwise(F.pmod(F.xxhash64("_g", F.lit(1)), F.greatest(F.ceil(F.col("_rest") / BLOCK), F.lit(1))))
+    chunk = F.when(own, F.pmod(F.xxhash64("node"), F.ceil(F.col("_n") / F.col("_room")))).otherwise(
+        F.pmod(F.xxhash64("_g", F.lit(1)), F.greatest(F.ceil(F.col("_rest") / F.col("_room")), F.lit(1)))
+    )
     block = F.xxhash64("_in", F.when(own, F.col("_g")).otherwise(-2), chunk)
     placed = stored(rows.join(sizes, ["token", "_in", "_g"]).select("token", block.alias("block"), "node", "label", "first", "_in"), "placed")
     blocks = placed.groupBy("token", "block").agg(F.min("first").alias("lo"), F.max("first").alias("hi"), F.max("_in").alias("_in"), F.count(F.lit(1)).alias("n"))
@@ -313,7 +320,7 @@ def _compared_in_place(guests: DataFrame, percent: int) -> DataFrame:
 
 def _links_across(given: DataFrame, classes: DataFrame, lists: DataFrame, words: int, percent: int, threshold: int) -> DataFrame:
     """Links between nodes of different components that share a posting list."""
-    meetings = stored(_meetings(lists), "meetings")
+    meetings = stored(_meetings(lists, classes), "meetings")
     known = classes.select("node", "n_shingles", "marks")
     found = stored(_compared(meetings.join(known, "node"), threshold, percent), "compared")
     pairs = stored(found.where("b is not null").select("a", "b").distinct(), "pairs")
