@@ -180,6 +180,16 @@ def test_slips_follow_the_rule(spark):
     assert changed > 50 and got == {w: n for w, n in wanted.items() if len(w) >= 6 and n >= 5}
 
 
+def test_a_slip_that_gives_another_slipping_run():
+    longer, shorter = "a" * 8, "a" * 7
+    assert all(zlib.crc32(f"34406:{w}".encode()) % 199 == 0 for w in (longer, shorter))
+    for order in ((longer, shorter), (shorter, longer)):
+        counts = Counter({w: n for n, w in enumerate(order, 2)})
+        wanted = {w[1:]: n for w, n in counts.items()}
+        _mistyped(counts, 34406)
+        assert counts == wanted
+
+
 @pytest.mark.parametrize("name", ["op11_spelling", "op12_secret_scan"])
 def test_sql_gives_the_same_rows(spark, name):
     con = duckdb.connect()
