@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from faintlabel.learning.batches import feature_blocks, nullable
 from faintlabel.learning.models import BLOCK_BYTES, LinearModel, committee_columns, expert_prediction, stack, vote_prediction
 from faintlabel.learning.passes import TASK_BYTES, sum_over_rows
+from faintlabel.learning.repeats import Cells, parts
 from faintlabel.operators.features import FeatureSet
 from faintlabel.operators.metrics import areas_hard, auprc_of_counts, hard_counts
 
@@ -73,13 +74,15 @@ LABEL_CELLS, TRUTH_CELLS = 3, 4
 CELLS = 2 * LABEL_CELLS * TRUTH_CELLS
 
 
-def prediction_counts(df: DataFrame, features: FeatureSet, scorers: Sequence[Scorer], truth: str | None = None) -> DataFrame:
+def prediction_counts(
+    df: DataFrame, features: FeatureSet, scorers: Sequence[Scorer], truth: str | None = None, cells: Cells | None = None
+) -> DataFrame:
     """(name, prediction, label, real_label, n): what every model predicts on its test rows, counted in one pass.
 
-    All hard-label metrics follow from these few rows.
+    All hard-label metrics follow from these few rows.  With ``cells`` over a table of ``counted`` rows.
     """
     names = sorted({c for s in scorers for c in (s.label, s.fold_col) if c} | ({truth} if truth else set()))
-    rows = df.select(*dict.fromkeys([*names, *features.inputs]))
+    rows = df if cells is not None else df.select(*dict.fromkeys([*names, *features.inputs]))
     step = max(1, TASK_BYTES // (8 * max(CELLS, features.size)))
     out = []
     for at in range(0, len(scorers), step):
@@ -88,24 +91,31 @@ def prediction_counts(df: DataFrame, features: FeatureSet, scorers: Sequence[Sco
         cut = np.array([s.cut for s in part])
 
         def reducer(batch: pa.RecordBatch, part=part, w=w, b=b, cut=cut) -> np.ndarray:
-            columns = {c: nullable(batch.column(c)) for c in names}
             acc = np.zeros((len(part), CELLS))
-            for sl, block in feature_blocks(batch, features):
-                local = {c: v[sl] for c, v in columns.items()}
-                margins = block.dot(w) + b
-                t = local[truth] if truth else np.full(block.n, np.nan)
+            for rows in parts(batch, features, names, cells):
+                local = rows.columns
+                above = rows.block.dot(w) + b > cut
+                t = local[truth] if truth else np.full(len(next(iter(local.values()), above)), np.nan)
                 real = np.where(t == 0, 0, np.where(t == 1, 1, np.where(np.isnan(t), 3, 2)))
+                if rows.counts is not None:
+                    every = rows.counts.sum(0)
+                    positive = rows.counts.T @ above
                 for k, s in enumerate(part):
                     y = local[s.label]
                     inside = ~np.isnan(y)
                     if s.fold_col is not None and s.fold is not None:
                         inside &= local[s.fold_col] == s.fold
-                    seen = np.where(y == 0, 0, np.where(y == 1, 1, 2))
-                    cell = ((margins[:, k] > cut[k]) * LABEL_CELLS + seen) * TRUTH_CELLS + real
-                    acc[k] += np.bincount(cell[inside], minlength=CELLS)
+                    cell = np.where(y == 0, 0, np.where(y == 1, 1, 2)) * TRUTH_CELLS + real
+                    if rows.counts is None:
+                        cell = cell + above[:, k] * (LABEL_CELLS * TRUTH_CELLS)
+                        acc[k] += np.bincount(cell[inside], minlength=CELLS)
+                        continue
+                    cell, yes = cell[inside], positive[inside, k]
+                    no = every[inside] - yes
+                    acc[k] += np.bincount(np.concatenate([cell, cell + LABEL_CELLS * TRUTH_CELLS]), weights=np.concatenate([no, yes]), minlength=CELLS)
             return acc.ravel()
 
-        total = sum_over_rows(rows, reducer, len(part) * CELLS, len(part)).reshape(len(part), CELLS)
+        total = sum_over_rows(rows, reducer, len(part) * CELLS, max(len(part), len(cells or ()))).reshape(len(part), CELLS)
         for s, row in zip(part, total):
             out += _cell_rows(s.name, row)
     return df.sparkSession.createDataFrame(

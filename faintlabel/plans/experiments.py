@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Sequence
+from contextlib import ExitStack
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -18,7 +19,8 @@ from faintlabel.learning.bayes import combine_sums, label_sums, model_of
 from faintlabel.learning.committee import Scorer, prediction_counts
 from faintlabel.learning.fits import Fit
 from faintlabel.learning.models import LinearModel
-from faintlabel.learning.training import Fitted, fit_many
+from faintlabel.learning.repeats import counted
+from faintlabel.learning.training import Fitted, check_labels, fit_counted
 from faintlabel.operators import labeling as L
 from faintlabel.operators.features import FeatureSet
 from faintlabel.operators.metrics import auprc_of_counts, auroc_of_counts, hard_counts, harmonic, positive_rate
@@ -167,10 +169,13 @@ def run_cases(
     """
     planned = _plan_fits(cases, fold_col, divergence)
     columns = {c.train for c in cases} | {c.test for c in cases} | {x for x in (truth, fold_col) if x}
-    with held(df.select(*sorted(columns), *features.inputs), hold, experiment) as rows:
-        fitted = (
-            fit_many(rows, features, [p[4] for p in planned], hold="none", max_iter=max_iter, svm_iterations=svm_iterations, tol=tol) if planned else []
-        )
+    with ExitStack() as stack:
+        rows = stack.enter_context(held(df.select(*sorted(columns), *features.inputs), hold, experiment))
+        fits = [p[4] for p in planned]
+        if fits:
+            check_labels(rows, fits)
+        table, cells = stack.enter_context(counted(rows, features, sorted(columns)))
+        fitted = fit_counted(table, features, fits, cells, max_iter, tol, svm_iterations=svm_iterations) if fits else []
         bayes = _bayes_models(rows, features, cases, fold_col)
         entries: list[tuple[Case, int | None, str, dict, LinearModel]] = [
             (c, f, kind, g, m.model) for (c, f, kind, g, _), m in zip(planned, fitted)
@@ -180,7 +185,7 @@ def run_cases(
         scorers = [
             Scorer(str(i), m, c.test, fold_col if f is not None else None, f) for i, (c, f, _, _, m) in enumerate(entries)
         ]
-        measured = count_metrics(prediction_counts(rows, features, scorers, truth)).filter(F.col("metric").isin(list(metrics)))
+        measured = count_metrics(prediction_counts(table, features, scorers, truth, cells)).filter(F.col("metric").isin(list(metrics)))
         got = [(int(r["name"]), r["metric"], r["value"]) for r in measured.collect()]  # models x metrics rows
         if temporal is not None:
             everywhere = [Scorer(s.name, s.model) for s in scorers]

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -15,9 +16,10 @@ from faintlabel.learning.bayes import bag_models, bag_sums, fit_nb, label_sums,
 from faintlabel.learning.committee import Committee, Scorer, prediction_counts
 from faintlabel.learning.fits import DIVERGENCES, Fit, divergence, loss_and_gradient, true_kl
 from faintlabel.learning.models import LinearModel, committee_columns, load_model, save_model
+from faintlabel.learning.repeats import counted
 from faintlabel.learning.training import (
     catalyst_sums, arrow_sums, evaluate, fit_label_regularized, fit_label_regularized_sgd, fit_many, fit_minibatch, fit_newton,
-    inverse_std, loss_history,
+    inverse_std, loss_history, pass_sums,
 )
 from faintlabel.operators import bags as B
 from faintlabel.operators.features import FeatureSet
@@ -471,3 +473,37 @@ def test_bag_models_equal_models_of_the_written_bags(rows):
     written = B.share_over_bags(bagging.rows, bagging)
     for b in range(bagging.n_bags):
         np.testing.assert_allclose(shared[b].weights, fit_nb(written.filter(F.col("bag_id") == b), WIDE).weights, rtol=1e-12)
+
+
+def repeated_rows(spark):
+    rows = [
+        (i, i % 3, (i // 3) % 2, None if i % 7 == 0 else float(i % 5 == 0), i % 4, None if i % 2 else float(i % 3), float(i % 2))
+        for i in range(600)
+    ]
+    return spark.createDataFrame(rows, "id long, a int, b int, label double, fold int, bag double, truth double")
+
+
+def test_equal_rows_are_added_up(spark, monkeypatch):
+    df = repeated_rows(spark)
+    fs = FeatureSet.wide(["a", "b"])
+    fits = [
+        Fit(f"{kind}{left}{bag}", kind, fold_col="fold", left_out=left, bag_col=bag, bag=1 if bag else None, p_tilde=0.1, reg_param=0.01)
+        for kind in ("pu", "logistic", "hinge") for left in (None, 2) for bag in (None, "bag")
+    ]
+    w = np.random.default_rng(0).normal(size=(len(fits), 2))
+    scorers = [Scorer(str(i), LinearModel((1.0, -1.5), 0.2 - i), "label", "fold" if i else None, i) for i in range(3)]
+    with counted(df, fs, ["bag", "fold", "label", "truth"]) as (table, cells):
+        assert table.count() == 6 and sum(sum(r["_counts"]) for r in table.collect()) == 600
+        assert np.allclose(pass_sums(table, fs, fits, w, cells=cells), pass_sums(df, fs, fits, w), rtol=1e-12, atol=1e-12)
+        assert np.allclose(inverse_std(table, fs, fits, cells), inverse_std(df, fs, fits), rtol=1e-12)
+        got = prediction_counts(table, fs, scorers, "truth", cells)
+        assert Counter(map(tuple, got.collect())) == Counter(map(tuple, prediction_counts(df, fs, scorers, "truth").collect()))
+    with counted(df.withColumn("a", F.col("a") + 0.5), fs, ["label"]) as (table, cells):
+        assert cells is None and table.count() == 600
+
+    seen = []
+    sums = training.arrow_sums
+    monkeypatch.setattr(training, "arrow_sums", lambda rows, *rest: seen.append(rows.count()) or sums(rows, *rest))
+    fit_many(df, fs, fits[:2], max_iter=3)
+    fit_label_regularized_sgd(df, fs, 0.1, 1.0, iterations=3)
+    assert set(seen) == {6}  # a pass reads each distinct feature row once
