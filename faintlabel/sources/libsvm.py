@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from faintlabel.functions.hashing import hash_unit
 from faintlabel.operators.features import FeatureSet
+from faintlabel.session import held
 
 
 def read_libsvm(spark: SparkSession, path: str, size: int | None = None) -> DataFrame:
@@ -28,13 +29,21 @@ def part_name(k: int, fold: int, part: str) -> str:
     return f"fold-{fold + 1}-of-{k}_{part}"
 
 
-def write_folds(df: DataFrame, features: FeatureSet, base: str, folds: dict[int, str], id_col: str, files_per_part: int = 1) -> list[str]:
+#: Table rows for which each part gets a file of its own.
+ROWS_PER_FILE = 200_000
+
+
+def write_folds(df: DataFrame, features: FeatureSet, base: str, folds: dict[int, str], id_col: str, files_per_part: int | None = None) -> list[str]:
     """Train and test text of every fold of every k, the row key as feature 0: one job for all 2 * sum(k) parts.
 
     ``folds`` names the fold column of each k.  Each row is laid out once and goes to the parts it belongs to; a part is
-    written in ``files_per_part`` files by ranges of the key's hash, so no task writes to every part.  Returns the parts'
-    names; ``read_parts`` reads them all, and each is a folder of LIBSVM text of its own, ``base/part=<name>``.
+    written in ``files_per_part`` files by ranges of the key's hash, so no task writes to every part; their number grows
+    with the table if it is not given.  Returns the parts' names; ``read_parts`` reads them all, and each is a folder of
+    LIBSVM text of its own, ``base/part=<name>``.
     """
+    if files_per_part is None:
+        with held(df, name="rows") as rows:
+            return write_folds(rows, features, base, folds, id_col, max(1, -(-rows.count() // ROWS_PER_FILE)))
     entries = F.transform(
         F.filter(features.listed(df), lambda e: e["value"] != 0),
         lambda e: F.concat((e["feature"] + 2).cast("string"), F.lit(":"), e["value"].cast("string")),
@@ -45,7 +54,9 @@ def write_folds(df: DataFrame, features: FeatureSet, base: str, folds: dict[int,
         F.when(F.col(c) == f, F.lit(part_name(k, f, "test"))).otherwise(F.lit(part_name(k, f, "train")))
         for k, c in folds.items() for f in range(k)
     ]
-    laid = df.select(F.rtrim(line).alias("value"), F.floor(hash_unit(F.col(id_col), 0) * files_per_part).alias("_range"), F.explode(F.array(*parts)).alias("part"))
+    # lines and ranges are made before the rows are multiplied
+    once = df.select(F.rtrim(line).alias("value"), F.floor(hash_unit(F.col(id_col), 0) * files_per_part).alias("_range"), F.array(*parts).alias("_parts"))
+    laid = once.select("value", "_range", F.explode("_parts").alias("part"))
     names = [part_name(k, f, p) for k in folds for f in range(k) for p in ("train", "test")]
     laid.repartition(len(names) * files_per_part, "part", "_range").select("value", "part").write.partitionBy("part").text(base)
     return names

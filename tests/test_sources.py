@@ -95,6 +95,15 @@ def test_all_folds_in_one_job(spark, folder):
     assert len(one) == 40 and all(list(r["features"].toArray())[0] == list(r["features"].toArray())[1] for r in one)
 
 
+def test_files_of_a_part_grow_with_the_table(spark, folder, monkeypatch):
+    monkeypatch.setattr(libsvm, "ROWS_PER_FILE", 20)
+    df = spark.range(100).select("id", F.lit(1.0).alias("label"), F.lit(2).alias("a"), (F.col("id") % 3).alias("three"))
+    libsvm.write_folds(df, FE.FeatureSet.wide(["a"]), folder, {3: "three"}, "id")
+    read = libsvm.read_parts(spark, folder)
+    assert read.count() == 300
+    assert read.where("part = 'fold-1-of-3_train'").select(F.input_file_name()).distinct().count() > 2
+
+
 def test_a_run_written_twice_is_there_once(spark, folder):
     def run(name, values):
         rows = [(name, "e", {"a": "1"}, i, "m", "x", v) for i, v in enumerate(values)]
