@@ -5,7 +5,9 @@ from pyspark.sql import functions as F
 
 from faintlabel.operators import features as FE
 from faintlabel.session import held, new_folder, shared_folder
+from faintlabel.plans.queries import QUERIES
 from faintlabel.sources import arff, libsvm, results
+from faintlabel.plans.queries import QUERIES
 from faintlabel.sources import tables as T
 
 
@@ -159,3 +161,9 @@ def test_prefix_filter(spark):
     named = FE.named_features(spark.createDataFrame([(n,) for n in names], "name string"))
     kept = named.where(~FE.has_prefix(F.col("name"), ["api"])).collect()
     assert {(r["feature"], r["name"]) for r in kept} == {(i, n) for i, n in enumerate(sorted(names)) if not n.startswith("api")}
+
+
+def test_roles_read_one_table(spark):
+    rows = QUERIES["union_roles"](spark, "/root/testdata/sf0.001")
+    assert not [f for f in rows.inputFiles() if "lineitem" in f]  # labels are worked out before, once for all roles
+    assert rows.select("role").distinct().count() == 3
