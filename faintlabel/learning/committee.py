@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from faintlabel.learning.batches import feature_blocks, nullable
 from faintlabel.learning.models import BLOCK_BYTES, LinearModel, committee_columns, expert_prediction, stack, vote_prediction
-from faintlabel.learning.passes import TASK_BYTES, sum_over_rows
+from faintlabel.learning.passes import BATCH_CELLS, TASK_BYTES, sum_over_rows
 from faintlabel.learning.repeats import Cells, parts
 from faintlabel.operators.features import FeatureSet
 from faintlabel.operators.metrics import areas_hard, auprc_of_counts, hard_counts
@@ -94,12 +94,15 @@ def prediction_counts(
             acc = np.zeros((len(part), CELLS))
             for rows in parts(batch, features, names, cells):
                 local = rows.columns
-                above = rows.block.dot(w) + b > cut
-                t = local[truth] if truth else np.full(len(next(iter(local.values()), above)), np.nan)
+                if rows.counts is None:
+                    above = rows.block.dot(w) + b > cut
+                else:
+                    every, positive = rows.counts.sum(0), np.zeros((rows.counts.shape[1], len(part)))
+                    for first, some in rows.block.slices(max(1, BATCH_CELLS // len(part))):
+                        positive += rows.counts[first : first + some.n].T @ (some.dot(w) + b > cut)
+                n = rows.block.n if rows.counts is None else len(every)
+                t = local[truth] if truth else np.full(n, np.nan)
                 real = np.where(t == 0, 0, np.where(t == 1, 1, np.where(np.isnan(t), 3, 2)))
-                if rows.counts is not None:
-                    every = rows.counts.sum(0)
-                    positive = rows.counts.T @ above
                 for k, s in enumerate(part):
                     y = local[s.label]
                     inside = ~np.isnan(y)

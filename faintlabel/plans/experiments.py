@@ -19,7 +19,7 @@ from faintlabel.learning.bayes import combine_sums, label_sums, model_of
 from faintlabel.learning.committee import Scorer, prediction_counts
 from faintlabel.learning.fits import Fit
 from faintlabel.learning.models import LinearModel
-from faintlabel.learning.repeats import counted
+from faintlabel.learning.repeats import counted, packed
 from faintlabel.learning.training import Fitted, check_labels, fit_counted
 from faintlabel.operators import labeling as L
 from faintlabel.operators.features import FeatureSet
@@ -175,7 +175,8 @@ def run_cases(
         if fits:
             check_labels(rows, fits)
         table, cells = stack.enter_context(counted(rows, features, sorted(columns)))
-        fitted = fit_counted(table, features, fits, cells, max_iter, tol, svm_iterations=svm_iterations) if fits else []
+        blocks = stack.enter_context(packed(table, features, cells, sorted({c.train for c in cases})))
+        fitted = fit_counted(table, features, fits, cells, max_iter, tol, blocks=blocks, svm_iterations=svm_iterations) if fits else []
         bayes = _bayes_models(rows, features, cases, fold_col)
         entries: list[tuple[Case, int | None, str, dict, LinearModel]] = [
             (c, f, kind, g, m.model) for (c, f, kind, g, _), m in zip(planned, fitted)
@@ -185,7 +186,7 @@ def run_cases(
         scorers = [
             Scorer(str(i), m, c.test, fold_col if f is not None else None, f) for i, (c, f, _, _, m) in enumerate(entries)
         ]
-        measured = count_metrics(prediction_counts(table, features, scorers, truth, cells)).filter(F.col("metric").isin(list(metrics)))
+        measured = count_metrics(prediction_counts(blocks, features, scorers, truth, cells)).filter(F.col("metric").isin(list(metrics)))
         got = [(int(r["name"]), r["metric"], r["value"]) for r in measured.collect()]  # models x metrics rows
         if temporal is not None:
             everywhere = [Scorer(s.name, s.model) for s in scorers]

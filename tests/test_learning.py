@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 
 from faintlabel.functions.scalar import sigmoid
 from faintlabel.learning import models as MO
-from faintlabel.learning import passes, training
+from faintlabel.learning import passes, repeats, training
 from faintlabel.learning.bayes import bag_models, bag_sums, fit_nb, label_sums, nb_params
 from faintlabel.learning.committee import Committee, Scorer, prediction_counts
 from faintlabel.learning.fits import DIVERGENCES, Fit, divergence, loss_and_gradient, true_kl
 from faintlabel.learning.models import LinearModel, committee_columns, load_model, save_model
-from faintlabel.learning.repeats import counted
+from faintlabel.learning.repeats import counted, packed
 from faintlabel.learning.training import (
     catalyst_sums, arrow_sums, evaluate, fit_label_regularized, fit_label_regularized_sgd, fit_many, fit_minibatch, fit_newton,
     inverse_std, loss_history, pass_sums,
@@ -507,3 +507,34 @@ def test_equal_rows_are_added_up(spark, monkeypatch):
     fit_many(df, fs, fits[:2], max_iter=3)
     fit_label_regularized_sgd(df, fs, 0.1, 1.0, iterations=3)
     assert set(seen) == {6}  # a pass reads each distinct feature row once
+
+
+def test_counted_rows_travel_in_blocks(spark, monkeypatch):
+    df = repeated_rows(spark).withColumn("a", F.col("a").cast("long") * 3_000_000_000 - 5)
+    fs = FeatureSet.wide(["a", "b"])
+    fits = [
+        Fit(f"{label}{kind}{left}{bag}", kind, label, "fold", left, "bag" if bag else None, bag, p_tilde=0.1)
+        for label in ("label", "truth") for kind in ("pu", "logistic", "hinge") for left in (None, 2) for bag in (None, 1)
+    ]
+    w = np.random.default_rng(1).normal(size=(len(fits), 2)) * [1e-9, 1]
+    scorers = [Scorer(str(i), LinearModel((1e-10, -1.5), 0.2 - i), "label", "fold" if i else None, i) for i in range(3)]
+    names = ["bag", "fold", "label", "truth"]
+    with counted(df, fs, names) as (table, cells), packed(table, fs, cells, ["label", "truth"]) as blocks:
+        got = blocks.collect()
+        assert len(got) == 6 and len({r["_segment"] for r in got}) == 6  # a row per combination of the labels, not per feature row
+        plain = pass_sums(df, fs, fits, w)
+        np.testing.assert_allclose(pass_sums(table, fs, fits, w, cells=cells, blocks=blocks), plain, rtol=1e-12, atol=1e-9)
+        np.testing.assert_allclose(inverse_std(blocks, fs, fits, cells), inverse_std(df, fs, fits), rtol=1e-12)
+        want = prediction_counts(df, fs, scorers, "truth").collect()
+        assert Counter(map(tuple, prediction_counts(blocks, fs, scorers, "truth", cells).collect())) == Counter(map(tuple, want))
+        whole = blocks.toArrow().to_batches()
+        monkeypatch.setattr(repeats, "PART_CELLS", 20)  # several parts of a block
+        assert sum(p.rows().sum() for batch in whole for p in repeats.parts(batch, fs, names, cells)) == 600
+        assert max(p.counts.size for batch in whole for p in repeats.parts(batch, fs, names, cells)) <= 20
+
+    seen = []
+    plain_sums = training.sum_over_rows
+    monkeypatch.setattr(training, "sum_over_rows", lambda rows, *rest: seen.append(rows.columns) or plain_sums(rows, *rest))
+    fit_many(df, fs, fits[:2], max_iter=2)
+    fit_label_regularized_sgd(df, fs, 0.1, 1.0, iterations=2)
+    assert all("_values" in columns for columns in seen)  # every pass reads blocks
