@@ -9,7 +9,7 @@ and a first-fit filling of what is left are a plan over classes; every piece fin
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from dataclasses import dataclass
 from pathlib import Path
 
@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from faintlabel.llm.common import Words, bucket_count, portions, ranked, remembered, running, slices, stored, text_of, with_keys
+from faintlabel.llm.common import ENTRY, bucket_count, portions, ranked, remembered, running, slices, stored, text_of, with_keys
 from faintlabel.session import ship_package
 
 CAPACITY = 4096
@@ -40,6 +40,48 @@ PIECES = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{
 PIECE_END = "</w>"
 
 
+class Known(dict):
+    """Ids of words by two generations of bounded size; what is met again moves to the younger, which this is.
+
+    A word is looked up once, where it stands: one that neither generation has gets an empty place, filled before it is read.
+    """
+
+    def __init__(self, old: dict[str, bytes]) -> None:
+        self.old, self.places = old, {}
+        self.size = self.letters = 0
+
+    def __missing__(self, word: str) -> bytes | bytearray:
+        ids = self.old.get(word)
+        if ids is None:
+            ids = self.places[word] = bytearray()
+            self.letters += len(word)
+        else:
+            self.size += ENTRY + len(word) + len(ids)
+        self[word] = ids
+        return ids
+
+    def turned(self) -> Known:
+        """Between texts: a full generation becomes the old one."""
+        if self.size <= MEMORY:
+            return self
+        self.old = {}
+        return Known(self)
+
+    def has(self, word: str) -> bytes | bytearray | None:
+        """Its ids if they are known; nothing is moved."""
+        return self.get(word) or self.old.get(word)
+
+    def fill(self, ids: dict[str, bytes]) -> None:
+        for word, place in self.places.items():
+            place += ids[word]
+            if len(word) > LONGEST_KEPT:
+                del self[word]
+            else:
+                self[word] = ids[word]
+                self.size += ENTRY + len(word) + len(place)
+        self.places, self.letters = {}, 0
+
+
 class WordEncoder:
     """Ids by the tokenizers library, asked once for each distinct piece of the words that are new in a batch."""
 
@@ -50,7 +92,7 @@ class WordEncoder:
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith(PIECE_END)]] = True
-        self.known = Words(MEMORY)
+        self.known = Known({})
 
     def _encode_pieces(self, pieces: list[str], together: int = 500) -> dict[str, bytes]:
         """Many pieces are encoded in one string; the tokens that end a piece tell where it is cut."""
@@ -67,37 +109,32 @@ class WordEncoder:
             out.update(zip(group, [raw[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)], strict=True))
         return out
 
-    def learn(self, words: set[str]) -> dict[str, bytes]:
-        split = [(w, (w,) if w.isalpha() else tuple(PIECES.findall(w))) for w in words]
-        ids = self._encode_pieces(list({p for _, parts in split for p in parts}))
-        return {w: ids[parts[0]] if len(parts) == 1 else b"".join([ids[p] for p in parts]) for w, parts in split}
+    def learn(self, words: Collection[str]) -> dict[str, bytes]:
+        """Ids of words, from those of their pieces; a piece that is a known word is not encoded again."""
+        split = {w: PIECES.findall(w) for w in words if not w.isalpha()}
+        pieces = {w for w in words if w not in split}.union(*split.values())
+        ids = {p: found for p in pieces if (found := self.known.has(p))}
+        ids |= self._encode_pieces([p for p in pieces if p not in ids])
+        ids |= {w: b"".join([ids[p] for p in parts]) for w, parts in split.items()}
+        return ids
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of whole texts.  The unknown words of some texts are learnt together before
         those texts are put together."""
         at = 0
         while at < len(texts):
-            self.known.turn()
-            new: set[str] = set()
-            letters, split = 0, []
-            while at + len(split) < len(texts) and letters < LETTERS:
+            known = self.known = self.known.turned()
+            split: list[list[bytes | bytearray] | None] = []
+            while at + len(split) < len(texts) and known.letters < LETTERS:
                 text = texts[at + len(split)]
-                words = text.lower().split() if self.is_plain(text) else None
-                split.append(words)
-                if words:
-                    unknown = self.known.missing(set(words).difference(new))
-                    new |= unknown
-                    letters += sum(map(len, unknown))
-            for word, ids in self.learn(new).items():
-                self.known.add(word, ids)
-            ids_of = self.known.young.__getitem__
-            for words in split:
-                if words is None:
+                split.append(list(map(known.__getitem__, text.lower().split())) if self.is_plain(text) else None)
+            known.fill(self.learn(known.places))
+            for found in split:
+                if found is None:
                     yield np.array(self.tokenizer.encode(texts[at], add_special_tokens=False).ids, "<u4").tobytes()
                 else:
-                    yield b"".join(map(ids_of, words))
+                    yield b"".join(found)
                 at += 1
-            self.known.drop([w for w in new if len(w) > LONGEST_KEPT])
 
     @staticmethod
     def is_plain(text: str) -> bool:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter, defaultdict
 from itertools import combinations
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -507,3 +508,17 @@ def test_pipeline_drops_what_its_stages_reject(spark):
         now = after
     packed = corpus_pipeline.STAGES[-1][1](spark, now, SMALL)
     assert {r["doc_id"] for r in packed.select("doc_id").collect()} == {r["doc_id"] for r in now.collect()}
+
+
+def test_packing_asks_once_for_each_piece(monkeypatch):
+    encoder = packing.WordEncoder(Path(PACKING_VOCABULARY).read_bytes())
+    texts = ["alpha beta it's", "alpha, (beta) gamma!' it", "x" * 100 + " beta", "", "café ﬁne alpha", "gamma alpha a1 a1, 's"]
+    want = [np.array(encoder.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    asked, encode = [], encoder._encode_pieces
+    monkeypatch.setattr(encoder, "_encode_pieces", lambda pieces: asked.extend(pieces) or encode(pieces))
+    monkeypatch.setattr(packing, "LETTERS", 1)  # every text is learnt by itself
+    assert list(encoder.encode(texts)) == want
+    assert asked.count("alpha") == 1 and asked.count("beta") == 1  # also as pieces of other words
+    assert "x" * 100 not in encoder.known
+    monkeypatch.setattr(packing, "MEMORY", 0)  # a generation a text: what is met again moves on, the rest is forgotten
+    assert list(encoder.encode(texts * 2)) == want * 2 and not encoder.known.places
