@@ -69,10 +69,15 @@ def positive_counts(df: DataFrame) -> tuple[int, int]:
     return int(row["p"]), int(row["u"])
 
 
-def noise_role(noise: float, labeled_share: float, counts: tuple[int, int], seed: int, key: str = "id") -> Column:
-    """Training label after noise injection: 1 labeled, 0 unlabeled (true or hidden), NULL for dropped positives."""
+def noise_role(
+    noise: float, labeled_share: float, counts: tuple[int, int], seed: int, key: str = "id", unit: Column | None = None
+) -> Column:
+    """Training label after noise injection: 1 labeled, 0 unlabeled (true or hidden), NULL for dropped positives.
+
+    ``unit`` is a column with ``hash_unit`` of key and seed, for many roles of the same rows.
+    """
     labeled, hidden = noise_shares(*counts, noise, labeled_share)
-    u = hash_unit(F.col(key), seed)
+    u = hash_unit(F.col(key), seed) if unit is None else unit
     return F.when(F.col("label") == 0, 0.0).when(
         F.col("label") == 1, F.when(u < labeled, 1.0).when(u < labeled + hidden, 0.0)
     )

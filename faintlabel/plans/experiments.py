@@ -14,13 +14,14 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from faintlabel.functions.hashing import hash_unit
 from faintlabel.functions.scalar import divide
-from faintlabel.learning.bayes import combine_sums, label_sums, model_of
+from faintlabel.learning.bayes import cell_sums, combine_sums, label_sums, model_of
 from faintlabel.learning.committee import Scorer, prediction_counts
 from faintlabel.learning.fits import Fit
 from faintlabel.learning.models import LinearModel
-from faintlabel.learning.repeats import counted, packed
-from faintlabel.learning.training import Fitted, check_labels, fit_counted
+from faintlabel.learning.repeats import Cells, blocked
+from faintlabel.learning.training import Fitted, check_cells, fit_counted
 from faintlabel.operators import labeling as L
 from faintlabel.operators.features import FeatureSet
 from faintlabel.operators.metrics import auprc_of_counts, auroc_of_counts, hard_counts, harmonic, positive_rate
@@ -66,17 +67,23 @@ def _plan_fits(cases: Sequence[Case], fold_col: str | None, divergence: str) ->
     return out
 
 
-def _bayes_models(df: DataFrame, features: FeatureSet, cases: Sequence[Case], fold_col: str | None) -> dict[tuple[str, int | None], LinearModel]:
+def _bayes_models(
+    df: DataFrame, features: FeatureSet, cases: Sequence[Case], fold_col: str | None, cells: Cells | None = None
+) -> dict[tuple[str, int | None], LinearModel]:
     """Naive Bayes of every case and fold from one aggregate over the combinations of label variants.
 
-    Label variants are nested by construction (hash cuts, count thresholds), so the combinations are few.
+    Label variants are nested by construction (hash cuts, count thresholds), so the combinations are few.  With ``cells``
+    over a table of ``counted`` rows.
     """
     wanted = [c for c in cases if "naive_bayes" in c.baselines]
     if not wanted:
         return {}
     columns = sorted({c.train for c in wanted})
     keys = ([fold_col] if fold_col else []) + columns[:-1]
-    cube = label_sums(df, features, keys, columns[-1]).collect()  # folds x label combinations rows
+    if cells is not None:
+        cube = cell_sums(df, features, cells)
+    else:
+        cube = label_sums(df, features, keys, columns[-1]).collect()  # folds x label combinations rows
     out = {}
     for c in wanted:
         for f in c.folds:
@@ -172,12 +179,11 @@ def run_cases(
     with ExitStack() as stack:
         rows = stack.enter_context(held(df.select(*sorted(columns), *features.inputs), hold, experiment))
         fits = [p[4] for p in planned]
+        table, cells, blocks = stack.enter_context(blocked(rows, features, sorted(columns), sorted({c.train for c in cases})))
         if fits:
-            check_labels(rows, fits)
-        table, cells = stack.enter_context(counted(rows, features, sorted(columns)))
-        blocks = stack.enter_context(packed(table, features, cells, sorted({c.train for c in cases})))
+            check_cells(rows, cells, fits)
         fitted = fit_counted(table, features, fits, cells, max_iter, tol, blocks=blocks, svm_iterations=svm_iterations) if fits else []
-        bayes = _bayes_models(rows, features, cases, fold_col)
+        bayes = _bayes_models(blocks, features, cases, fold_col, cells)
         entries: list[tuple[Case, int | None, str, dict, LinearModel]] = [
             (c, f, kind, g, m.model) for (c, f, kind, g, _), m in zip(planned, fitted)
         ]
@@ -230,15 +236,16 @@ def noise_sweep(
     experiment: str = "injected_noise", key: str = "id", **options,
 ) -> Sweep:
     """Baselines and a fit with the prior set to the noise level, for each noise level and labeled share."""
-    counts = positive_counts(df)
     levels = [(s, n) for s in labeled_shares for n in noise_levels]
-    variants = {f"v{i}": noise_role(n, s, counts, SEED, key) for i, (s, n) in enumerate(levels)}
-    rows = kfold_assign(df.withColumn("truth", F.col("label")), k, SEED, key).withColumns(variants)
     cases = [
         Case(f"v{i}", f"v{i}", f"v{i}", tuple(range(k)), {"noise": n, "labeled": s}, grid=pu_grid([n], [lambda_u], [reg_param]))
         for i, (s, n) in enumerate(levels)
     ]
-    return run_cases(rows, features, cases, experiment, ["truth_auprc"], truth="truth", **options)
+    with held(df.select(key, "label", *features.inputs), options.get("hold", "auto"), f"{experiment}-rows") as base:  # read twice
+        counts = positive_counts(base)
+        rows = kfold_assign(base.withColumns({"truth": F.col("label"), "_u": hash_unit(F.col(key), SEED)}), k, SEED, key)
+        variants = {f"v{i}": noise_role(n, s, counts, SEED, key, F.col("_u")) for i, (s, n) in enumerate(levels)}
+        return run_cases(rows.withColumns(variants), features, cases, experiment, ["truth_auprc"], truth="truth", **options)
 
 
 def labeled_amount_sweep(df: DataFrame, features: FeatureSet, labeled_shares=LABELED_SHARES, **options) -> Sweep:

@@ -135,3 +135,16 @@ SOLVER_QUERIES = sorted(set(QUERIES) - set(ORACLE))
 def test_solver_queries_give_rows(spark, name):
     assert name in SOLVER_QUERIES
     assert QUERIES[name](spark, SMALL).count() > 0
+
+
+def test_noise_sweep_reads_its_rows_once(spark, labeled):
+    seen = spark.sparkContext.accumulator(0)
+
+    def passed(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    read = labeled.mapInArrow(passed, labeled.schema)
+    X.noise_sweep(read, FS, (0.0, 0.02), k=3, max_iter=1, reg_param=0.001, svm_iterations=1)
+    assert seen.value == labeled.count()

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from faintlabel.functions.scalar import sigmoid
 from faintlabel.learning import models as MO
-from faintlabel.learning import passes, repeats, training
-from faintlabel.learning.bayes import bag_models, bag_sums, fit_nb, label_sums, nb_params
+from faintlabel.learning import fits, passes, repeats, training
+from faintlabel.learning.bayes import bag_models, bag_sums, cell_sums, fit_nb, label_sums, nb_params
 from faintlabel.learning.committee import Committee, Scorer, prediction_counts
 from faintlabel.learning.fits import DIVERGENCES, Fit, divergence, loss_and_gradient, true_kl
 from faintlabel.learning.models import LinearModel, committee_columns, load_model, save_model
@@ -538,3 +538,35 @@ def test_counted_rows_travel_in_blocks(spark, monkeypatch):
     fit_many(df, fs, fits[:2], max_iter=2)
     fit_label_regularized_sgd(df, fs, 0.1, 1.0, iterations=2)
     assert all("_values" in columns for columns in seen)  # every pass reads blocks
+
+
+def test_small_segments_are_shared_among_tasks(spark):
+    fs = FeatureSet.wide(["a", "b"])
+    i = F.col("id")
+    many = F.when(i < 20_000, 0).otherwise(1 + i % 40).cast("double")  # a large segment and 40 small ones
+    df = spark.range(24_000).select((i % 997).cast("int").alias("a"), (i % 61).cast("int").alias("b"), many.alias("label"))
+    with repeats.blocked(df, fs, ["label"], ["label"]) as (_, cells, blocks):
+        assert len(cells) == 41
+        n = [r["count"] for r in blocks.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+        assert len(n) == 8 and max(n) <= 12
+        sums = {r["label"]: (r["n"], list(r["sums"])) for r in cell_sums(blocks, fs, cells)}
+    assert sums == {r["label"]: (r["n"], list(r["sums"])) for r in label_sums(df, fs, []).collect()}
+
+
+def test_losses_by_products_of_factors():
+    rng = np.random.default_rng(5)
+    n = np.sort(rng.choice([1.0, 2.0, 7.0], 3_000))
+    u = rng.normal(size=(3_000, 4)) * [0.001, 1, 30, 400]
+    total, slope = fits._terms("logistic", False, u, n)
+    np.testing.assert_allclose(total, n @ np.logaddexp(0, u), rtol=1e-12)
+    np.testing.assert_allclose(slope, 0.5 + 0.5 * np.tanh(u / 2), atol=1e-15)
+
+
+def test_cells_tell_bad_labels(spark):
+    fs = FeatureSet.wide(["a"])
+    for bad in (2.0, float("nan")):
+        df = spark.createDataFrame([(1, 0.0), (2, 1.0), (3, bad), (4, None)], "a int, label double")
+        with pytest.raises(ValueError, match="1 rows of label have a label other"):
+            fit_many(df, fs, [Fit("x", "logistic")])
+    with pytest.raises(ValueError, match="no unlabeled rows"):
+        fit_many(spark.createDataFrame([(1, 1.0), (2, None)], "a int, label double"), fs, [Fit()])
