@@ -8,6 +8,7 @@ and a first-fit filling of what is left are a plan over classes; every piece fin
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Collection, Iterator
 from dataclasses import dataclass
@@ -28,10 +29,10 @@ CAPACITY = 4096
 PER_OCTAVE = 8
 LONGEST_KEPT = 64
 #: Bytes of a generation of words.
-MEMORY = 48 << 20
+MEMORY = 32 << 20
 #: Texts taken at a time, and the letters of unknown words from which on those are encoded.
-STEP = 4_096
-LETTERS = 600_000
+STEP = 1_024
+LETTERS = 400_000
 #: Texts of these characters only need no other normalisation than lower case, and no blank of them can join two words.
 PLAIN = regex.compile(r"[\t\n\r\x20-\x7e\xa1-\xac\xae-\u012f\u0131-\u024f]*")
 #: Fixed value: the vocabulary's own split pattern.
@@ -86,6 +87,7 @@ class WordEncoder:
     """Ids by the tokenizers library, asked once for each distinct piece of the words that are new in a batch."""
 
     def __init__(self, data: bytes):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; every thread keeps memory of its own
         self.tokenizer = Tokenizer.from_str(data.decode())
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()

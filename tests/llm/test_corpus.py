@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import subprocess
+import sys
 import zlib
 from collections import Counter, defaultdict
 from itertools import combinations
@@ -522,3 +524,23 @@ def test_packing_asks_once_for_each_piece(monkeypatch):
     assert "x" * 100 not in encoder.known
     monkeypatch.setattr(packing, "MEMORY", 0)  # a generation a text: what is met again moves on, the rest is forgotten
     assert list(encoder.encode(texts * 2)) == want * 2 and not encoder.known.places
+
+
+def test_encoder_memory_is_bounded():
+    """A worker's growth over 25 MB of texts with 400,000 different words."""
+    code = """
+import pyarrow.parquet as pq, public_tokenizers, pathlib
+from faintlabel.llm import packing
+from faintlabel.llm.common import portions, slices, text_of
+def resident():
+    return int(pathlib.Path("/proc/self/statm").read_text().split()[1]) * 4096 / 1e6
+own = packing.WordEncoder(pathlib.Path(public_tokenizers.path("word_bpe_49k.json")).read_bytes())
+before = most = resident()
+batches = pq.ParquetFile("/root/testdata/sf0.1/documents.parquet").iter_batches(10_000, columns=["text"])
+for batch in slices(batches, packing.STEP):
+    for at, encoded in portions(own.encode(text_of(batch, "text"))):
+        most = max(most, resident())
+print(most - before)
+"""
+    run = subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parents[2], capture_output=True, text=True, check=True)
+    assert float(run.stdout) < 165
