@@ -4,6 +4,7 @@ import math
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.ml.classification import LogisticRegression, NaiveBayes
 from pyspark.ml.feature import VectorAssembler
@@ -13,8 +14,9 @@ from faintlabel.functions.scalar import sigmoid
 from faintlabel.learning import models as MO
 from faintlabel.learning import fits, passes, repeats, training
 from faintlabel.learning.bayes import bag_models, bag_sums, cell_sums, fit_nb, label_sums, nb_params
+from faintlabel.learning.batches import DenseBlock
 from faintlabel.learning.committee import Committee, Scorer, prediction_counts
-from faintlabel.learning.fits import DIVERGENCES, Fit, divergence, loss_and_gradient, true_kl
+from faintlabel.learning.fits import DIVERGENCES, Fit, batch_sums, divergence, loss_and_gradient, true_kl
 from faintlabel.learning.models import LinearModel, committee_columns, load_model, save_model
 from faintlabel.learning.repeats import counted, packed
 from faintlabel.learning.training import (
@@ -570,3 +572,27 @@ def test_cells_tell_bad_labels(spark):
             fit_many(df, fs, [Fit("x", "logistic")])
     with pytest.raises(ValueError, match="no unlabeled rows"):
         fit_many(spark.createDataFrame([(1, 1.0), (2, None)], "a int, label double"), fs, [Fit()])
+
+
+def test_a_pass_of_svm_fits_leaves_counted_rows_as_they_are(monkeypatch):
+    fs = FeatureSet.wide(["a", "b"])
+    cells = repeats.Cells(("fold", "label"), np.array([[f, y] for f in (0.0, 1.0) for y in (0.0, 1.0)]))
+    rng = np.random.default_rng(3)
+    x, cell, n = rng.integers(0, 9, (200, 2)), rng.integers(0, 4, 200), rng.choice([1, 2, 70_000], 200)
+    order = np.lexsort((x[:, 1], x[:, 0]))
+    columns = {"_segment": np.zeros(200, int), "_cell": cell[order], "_n": n[order], "a": x[order, 0], "b": x[order, 1]}
+    made = zip(*repeats._block_rows(pa.RecordBatch.from_pydict({k: pa.array(v) for k, v in columns.items()}), fs))
+    kinds = [pa.int32(), *[pa.binary()] * 4]
+    blocks = pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(made, kinds)], names=["_segment", "_values", "_row", "_cells", "_counts"])
+    svms = [Fit(str(f), "hinge", fold_col="fold", left_out=f) for f in (0, 1)]
+    w = np.array([[0.2, -0.1], [-0.3, 0.15]])
+
+    def plain(i: int) -> np.ndarray:
+        told = {"fold": cells.values[cell[i], 0], "label": cells.values[cell[i], 1], "a": x[i, 0], "b": x[i, 1]}
+        return batch_sums(pa.RecordBatch.from_pydict({k: pa.array([v]) for k, v in told.items()}), fs, svms, w)
+
+    want = sum(n[i] * plain(i) for i in range(200))
+    weighted = []
+    monkeypatch.setattr(DenseBlock, "weighted", lambda self, n: weighted.append(len(n)) or DenseBlock(self.x * n[:, None]))
+    np.testing.assert_allclose(batch_sums(blocks, fs, svms, w, cells), want, rtol=1e-9)
+    assert not weighted
