@@ -19,7 +19,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 from faintlabel.llm.common import ENTRY, bucket_count, portions, ranked, remembered, running, slices, stored, text_of, with_keys
 from faintlabel.session import ship_package
@@ -92,6 +92,9 @@ class WordEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.pieces = Tokenizer(self.tokenizer.model)  # the same model, for pieces: those are lower case and split already
+        whole = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.pieces.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), whole])
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith(PIECE_END)]] = True
         self.known = Known({})
@@ -100,7 +103,7 @@ class WordEncoder:
         """Many pieces are encoded in one string; the tokens that end a piece tell where it is cut."""
         out: dict[str, bytes] = {}
         groups = [pieces[i : i + together] for i in range(0, len(pieces), together)]
-        found = self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)
+        found = self.pieces.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)
         for group, encoding in zip(groups, found, strict=True):
             ids = np.array(encoding.ids, "<u4")
             ends = (np.flatnonzero(self.ends[ids]) + 1) * 4
@@ -114,9 +117,11 @@ class WordEncoder:
     def learn(self, words: Collection[str]) -> dict[str, bytes]:
         """Ids of words, from those of their pieces; a piece that is a known word is not encoded again."""
         split = {w: PIECES.findall(w) for w in words if not w.isalpha()}
-        pieces = {w for w in words if w not in split}.union(*split.values())
-        ids = {p: found for p in pieces if (found := self.known.has(p))}
-        ids |= self._encode_pieces([p for p in pieces if p not in ids])
+        new = {w for w in words if w not in split}
+        others = set().union(*split.values()) - new
+        ids = {p: found for p in others if (found := self.known.has(p))}
+        new |= others.difference(ids)
+        ids |= self._encode_pieces(list(new))
         ids |= {w: b"".join([ids[p] for p in parts]) for w, parts in split.items()}
         return ids
 

@@ -526,6 +526,16 @@ def test_packing_asks_once_for_each_piece(monkeypatch):
     assert list(encoder.encode(texts * 2)) == want * 2 and not encoder.known.places
 
 
+def test_packing_encodes_pieces_without_the_rules_for_texts():
+    encoder = packing.WordEncoder(Path(PACKING_VOCABULARY).read_bytes())
+    signs = [chr(c) for c in range(0x250) if packing.PLAIN.fullmatch(chr(c))]
+    texts = [f"a{c}B {c} {c}{c}7 {c}'s" for c in signs]
+    assert len(signs) > 500 and all(map(encoder.is_plain, texts))
+    want = [np.array(encoder.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    encoder.tokenizer = None  # its rules cost more than the model
+    assert list(encoder.encode(texts)) == want
+
+
 def test_encoder_memory_is_bounded():
     """A worker's growth over 25 MB of texts with 400,000 different words."""
     code = """
